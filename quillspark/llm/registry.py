@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup as op3
+from . import exact_dedup, mixing, token_counts
 
 
 def queries() -> dict:
-    return {"op3_exact_dedup": op3.op3_exact_dedup}
+    return {
+        "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op7_token_counts": token_counts.op7_token_counts,
+        "op9_mixing": mixing.op9_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": op3.OP3_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op9_mixing": mixing.OP9_SQL}
