@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, token_counts
+from . import bpe_stream, exact_dedup, mixing, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op7_token_counts": token_counts.op7_token_counts,
         "op9_mixing": mixing.op9_mixing,
+        "op10_bpe": bpe_stream.op10_bpe,
     }
 
 
