@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_stream, exact_dedup, mixing, token_counts
+from . import bpe_stream, exact_dedup, mixing, token_counts, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op2_warc": warc.op2_warc,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op7_token_counts": token_counts.op7_token_counts,
         "op9_mixing": mixing.op9_mixing,
         "op10_bpe": bpe_stream.op10_bpe,
