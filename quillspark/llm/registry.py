@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_stream, exact_dedup, mixing, token_counts, toxicity, warc
+from . import bpe_stream, exact_dedup, mixing, near_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_warc": warc.op2_warc,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op5_toxicity": toxicity.op5_toxicity,
