@@ -9,6 +9,10 @@ A level is one range shuffle. Rows sort by (content, row), so a block that a thi
 over several ranges; what a range has to know of the one before it is whether its first block continues. That comes
 from one summary row a range. Documents of one block, nearly all, leave after the first level.
 
+Spark samples the sort key to the driver to find the ranges. So that this stays small, blocks sort by their first
+bytes and a 64-bit hash, and every block is compared in full with the one before it, across ranges too. Should two
+different blocks ever agree in both, the level is done again with another hash: the names never rest on it.
+
 Defined cases: a null text counts as empty; rows with a null ``doc_id`` take part, and the row that stays is then any
 row with the largest id, null only where all are null; repeated rows (same id, same text) form one group in which all
 rows with the largest id count as kept; other columns are ignored.
@@ -17,6 +21,8 @@ rows with the largest id count as kept; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +31,8 @@ from pyspark.sql import functions as F
 from .stages import cut, with_columns_of
 
 BLOCK_BYTES = 8192
+#: Bytes of a block that the sort compares before the hash.
+KEY_BYTES = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,30 +41,33 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def _named(rows: DataFrame, content: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` and ``name``: equal integers for equal ``content``, over all rows.
+def _named(rows: DataFrame, key: list[str], keep: list[str], proof: str | None = None) -> DataFrame | None:
+    """``keep`` and ``name``: equal integers for equal ``key``, over all rows.
 
-    ``row`` and ``pos`` must identify a row. The content itself does not leave the sorting tasks.
+    ``row`` and ``pos`` must identify a row. Returns None if rows of equal key differ in ``proof``.
     """
-    kinds = dict(rows.dtypes)
-    fields = ", ".join(f"{c} {kinds[c]}" for c in keep)
-    first = ", ".join(f"first_{c} {kinds[c]}, last_{c} {kinds[c]}" for c in content)
+    kinds, content = dict(rows.dtypes), [*key, *([proof] if proof else [])]
+    schema = f"{', '.join(f'{c} {kinds[c]}' for c in keep)}, part int, local long, clash boolean"
+    schema += "".join(f", first_{c} {kinds[c]}, last_{c} {kinds[c]}" for c in content)
+    columns, n_key = [x.split()[0] for x in schema.split(", ")], len(key)
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, begun, last, n = TaskContext.get().partitionId(), None, None, -1
+        part, first, last, n, clash = TaskContext.get().partitionId(), None, None, -1, False
         for batch in batches:
             names = []
             for now in zip(*[batch[c] for c in content], strict=True):
                 if now != last:
+                    if last and now[:n_key] == last[:n_key]:
+                        clash = True
                     n, last = n + 1, now
-                    begun = begun or now
+                    first = first or now
                 names.append(n)
-            yield batch[keep].assign(part=part, local=names, summary=False)
-        if begun:
-            ends = {f"{end}_{c}": [v] for end, row in (("first", begun), ("last", last)) for c, v in zip(content, row, strict=True)}
-            yield pd.DataFrame({"part": [part], "local": [n + 1], "summary": [True]} | ends)
+            yield batch[keep].assign(part=part, local=names)
+        if first:
+            ends = {f"{end}_{c}": [v] for end, row in (("first", first), ("last", last)) for c, v in zip(content, row, strict=True)}
+            yield pd.DataFrame({"part": [part], "local": [n + 1], "clash": [clash]} | ends)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for out in number(batches):
@@ -66,19 +77,20 @@ def _named(rows: DataFrame, content: list[str], keep: list[str]) -> DataFrame:
                     out[c] = out[c].astype(object).where(out[c].notna(), None)
             yield out
 
-    schema = f"{fields}, part int, local long, summary boolean, {first}"
-    columns = [x.split()[0] for x in schema.split(", ")]
-    order = [*content, "row", "pos"]
+    order = [*key, "row", "pos"]
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = cut(sorted_rows.mapInPandas(whole, schema))
     # one row for each range of the sort: their number is that of shuffle partitions, whatever the data
     before = Window.orderBy("part")
-    joined = F.lit(True)
-    for c in content:
-        joined = joined & F.col(f"first_{c}").eqNullSafe(F.lag(f"last_{c}").over(before))
-    starts = numbered.where("summary").withColumn("joins", F.when(joined & (F.row_number().over(before) > 1), 1).otherwise(0))
-    starts = starts.select("part", (F.coalesce(F.sum("local").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("joins").over(before)).alias("offset"))
-    return numbered.where("NOT summary").join(F.broadcast(starts), "part").select(*keep, (F.col("local") + F.col("offset")).alias("name"))
+    same = {c: F.col(f"first_{c}").eqNullSafe(F.lag(f"last_{c}").over(before)) for c in content}
+    joins = reduce(and_, [same[c] for c in key]) & (F.row_number().over(before) > 1)
+    starts = numbered.where("clash IS NOT NULL").withColumn("joins", joins)
+    if proof:
+        if not starts.withColumn("clash", F.col("clash") | (F.col("joins") & ~same[proof])).where("clash").isEmpty():
+            return None
+    ahead = F.coalesce(F.sum("local").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select("part", (ahead - F.sum(F.col("joins").cast("int")).over(before)).alias("offset"))
+    return numbered.where("clash IS NULL").join(F.broadcast(starts), "part").select(*keep, (F.col("local") + F.col("offset")).alias("name"))
 
 
 def text_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -93,7 +105,11 @@ def text_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     blocks = rows.select("row", "doc_id", "n_bytes", F.sha2("bytes", 256).alias("text_sha256"), "bytes", F.explode(cuts).alias("pos"))
     blocks = blocks.select("row", "pos", "n_bytes", F.expr(f"substring(bytes, pos * {block_bytes} + 1, {block_bytes})").alias("block"), *[F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in ("doc_id", "text_sha256")])
     kept = ["row", "pos", "n_bytes", "doc_id", "text_sha256"]
-    level = _named(blocks, ["block"], kept).withColumn("size", F.ceil(F.col("n_bytes") / block_bytes))
+    level, seed = None, 0
+    while level is None:
+        keyed = blocks.withColumn("start", F.expr(f"substring(block, 1, {KEY_BYTES})")).withColumn("mark", F.xxhash64("block", F.lit(seed)))
+        level, seed = _named(keyed, ["start", "mark"], kept, "block"), seed + 1
+    level = level.withColumn("size", F.ceil(F.col("n_bytes") / block_bytes))
     done = level.where("size <= 1")
     more = level.where("size > 1")
     while not more.isEmpty():
@@ -113,7 +129,8 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     Of equal texts (after lower-casing A-Z) the row with the largest doc_id stays.
     """
     named = text_identities(docs, block_bytes)
-    groups = named.groupBy("n_bytes", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # kept apart from the aggregate, so that adaptive execution may split the partition of a large group
+    groups = cut(named.groupBy("n_bytes", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     out = named.join(groups, ["n_bytes", "name"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes")
 
