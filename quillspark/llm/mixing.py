@@ -57,10 +57,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
 
     ``taken`` are the words that the mix takes of the document, repeats counted; ``target`` is its source's.
     """
+    return _mixed(docs, weights, max_repeats, seed).drop("key")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 0) -> DataFrame:
+    """The rows of ``docs``, all columns, each as many times as the mix takes it; rows without words are never taken.
+
+    Rows equal in id, text and source share what the mix takes of them as evenly as it goes.
+    """
+    mark = lambda key: F.md5(F.concat_ws("|", key, F.concat(F.lit("s"), F.col("source").cast("string"))))
+    taken = _mixed(docs, weights, max_repeats, seed).where("size > 0")
+    times = taken.groupBy(mark(F.col("key")).alias("__mark")).agg(F.sum(F.expr("taken div size")).alias("__times"), F.count("*").alias("__n"))
+    marked = docs.withColumn("__mark", mark(order_key(docs["doc_id"].cast("bigint"), docs["text"], seed)))
+    joined = marked.join(times.where("__times > 0"), "__mark")
+    number = F.row_number().over(Window.partitionBy("__mark").orderBy("__mark"))
+    own = F.expr("__times div __n").cast("long") + (number <= F.col("__times") % F.col("__n")).cast("long")
+    repeated = joined.withColumn("__own", own).where("__own > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__own"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def order_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """The shuffle order: md5 of id and text, so that it does not depend on where a row lies."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: int) -> DataFrame:
     rows = with_columns_of(docs, doc_id="bigint", text="string", source="string")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # the shuffle order: md5 of id and text, so that it does not depend on where a row lies
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)))
+    key = order_key(F.col("doc_id"), F.col("text"), seed)
     rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")))
     plan = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats))
     digits = max(0, math.ceil(math.log(max(1, rows.count()) / BUCKET_ROWS, 16)))
@@ -87,8 +110,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = copies.withColumn("inside", F.sum("size").over(inside)).join(F.broadcast(parts), "part")
     taken = taken.where(F.col("inside") + F.col("ahead") <= budget).groupBy("row").agg(F.sum("size").alias("taken"))
-    out = _join_null_safe(rows.drop("key"), plan, ["source"]).join(taken, "row", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    out = _join_null_safe(rows, plan, ["source"]).join(taken, "row", "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "key")
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

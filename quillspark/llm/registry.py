@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_stream, exact_dedup, mixing, near_dedup, token_counts, toxicity, warc
+from . import bpe_stream, exact_dedup, hash_forest, mixing, near_dedup, span_dedup, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,8 +10,11 @@ def queries() -> dict:
         "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_warc": warc.op2_warc,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_hash_forest": hash_forest.op4_hash_forest,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_span_dedup": span_dedup.op6_span_dedup,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_bpe": bpe_stream.op10_bpe,
     }

@@ -1,15 +1,15 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of SPAN consecutive sentences is hashed (128 bits). Hashes that occur more than once are found by one
+From every sentence on, the shortest run of at least SPAN consecutive sentences and LEAST_WORDS words is hashed (128 bits). Hashes that occur more than once are found by one
 aggregate over all documents, which also keeps each hash's first occurrence (smallest doc_id, then position); it
 combines in the map tasks, so a span that a third of all documents share sends one row from each task. Joined back,
 every other occurrence marks its sentences, and marked sentences are removed.
 
 A sentence ends at a full stop, an exclamation or question mark before white space, or at a line break; it is
-compared by its words, A-Z in lower case, white space as one space. Spans of fewer than LEAST_WORDS words are not
-compared, so that a few short sentences alike by chance, or one common line, remove nothing.
+compared by its words, A-Z in lower case, white space as one space. Runs go on until they hold LEAST_WORDS words,
+so that a few short sentences alike by chance, or one common line, remove nothing.
 
-Defined cases: null counts as empty; texts of fewer than SPAN sentences hold no span and stay; a row with a null
+Defined cases: null counts as empty; texts of fewer than SPAN sentences or LEAST_WORDS words hold no span and stay; a row with a null
 doc_id takes no part; rows that share an id are one document, whose marks apply to each of them, so repeated rows
 (same id, same text) remove nothing from each other; other columns are ignored.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .stages import cut, with_columns_of
 
-SPAN, LEAST_WORDS = 3, 20
+SPAN, LEAST_WORDS = 2, 25
 SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -35,6 +35,19 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text) if not m[0].isspace()]
 
 
+def runs(counts: list[int], span: int, least_words: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of the shortest run from each sentence on, given the sentences' words, that is long enough."""
+    end = words = 0
+    for first, n in enumerate(counts):
+        while end < len(counts) and (end - first < span or words < least_words):
+            words += counts[end]
+            end += 1
+        if end - first < span or words < least_words:
+            return
+        yield first, end
+        words -= n
+
+
 def spans(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, first (number of the span's first sentence), h1, h2 for every span of every text."""
     rows = with_columns_of(docs, doc_id="bigint", text="string").where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -47,14 +60,12 @@ def spans(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) ->
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py().translate(_LOWER) if text.is_valid else ""
                 parts = [" ".join(w) for w in (text[a:b].split() for a, b in sentences(text))]
-                counts = [p.count(" ") + 1 for p in parts]
-                for i in range(len(parts) - span + 1):
-                    if sum(counts[i : i + span]) >= least_words:
-                        h = xxhash.xxh3_128_intdigest("\n".join(parts[i : i + span]))
-                        ids.append(doc_id)
-                        firsts.append(i)
-                        highs.append((h >> 64) - (1 << 63))
-                        lows.append((h & ((1 << 64) - 1)) - (1 << 63))
+                for i, end in runs([p.count(" ") + 1 for p in parts], span, least_words):
+                    h = xxhash.xxh3_128_intdigest("\n".join(parts[i:end]))
+                    ids.append(doc_id)
+                    firsts.append(i)
+                    highs.append((h >> 64) - (1 << 63))
+                    lows.append((h & ((1 << 64) - 1)) - (1 << 63))
                 if len(ids) > 100_000:
                     yield _batch(ids, firsts, highs, lows)
                     ids, firsts, highs, lows = [], [], [], []
@@ -98,7 +109,9 @@ def without_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_
             for row in range(batch.num_rows):
                 doc_id, sources, firsts, text = (batch.column(i)[row].as_py() for i in range(4))
                 places = sentences(text)
-                gone = sorted({i + k for i in firsts for k in range(span) if i + k < len(places)})
+                wanted = set(firsts)
+                counts = [len(text[a:b].split()) for a, b in places]
+                gone = sorted({k for i, end in runs(counts, span, least_words) if i in wanted for k in range(i, end)})
                 cuts: list[dict] = []
                 for n, i in enumerate(gone):
                     if n and gone[n - 1] == i - 1:
