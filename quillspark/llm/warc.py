@@ -25,7 +25,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,9 +187,9 @@ def normalise_stream(source, out) -> Iterator[dict]:
 def normalise(manifest: DataFrame, folder: str) -> DataFrame:
     """Rewrites the archives of ``manifest`` (path) record by record, each with a sidecar ``.idx``; returns the index."""
 
-    def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch["path"]:
+            for path in batch.column(0).to_pylist():
                 target = f"{folder}/{path.rsplit('/', 1)[1].removesuffix('.warc.gz').replace('raw-', 'records-')}-{uuid.uuid4().hex}.warc.gz"
                 (where, name), (to, target_name) = _open(path), _open(target)
                 with where.open_input_stream(name, compression=None) as source, to.open_output_stream(target_name, compression=None) as out, to.open_output_stream(f"{target_name}.idx", compression=None) as side:
@@ -205,13 +204,15 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
                     yield _index(target, rows)
 
     _make(folder)
-    # a file to a task: the files are few and of bounded size
-    return cut(manifest.repartition("path").mapInPandas(rewrite, INDEX))
+    # a file to a task, dealt by turns: the files are of bounded size
+    return cut(manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(rewrite, INDEX))
 
 
-def _index(path: str, rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows).assign(path=path).reindex(columns=[x.split()[0] for x in INDEX.split(", ")])
-    return out.assign(page_id=out["page_id"].astype("Int64"))
+def _index(path: str, rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([row | {"path": path} for row in rows], _INDEX)
+
+
+_INDEX = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in INDEX.split(", "))])
 
 
 def parse_member(member: bytes) -> dict:
