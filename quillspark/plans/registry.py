@@ -5,13 +5,293 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import audio as fa
+from quillspark.functions import text as ft
+from quillspark.operators import journals, levels, minutes, planning, responses, samples, speech, transcript
+from quillspark.sources import perflog
+
+from . import adapters as ad
+from . import oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
+CUES = ad.PROSE_CUES
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minutes.meeting_sentences(ad.segments(spark, sf_dir), CUES)
+
+
+def transcript_timeline(spark, sf_dir):
+    return transcript.timeline(ad.segments(spark, sf_dir))
+
+
+def transcript_sentences(spark, sf_dir):
+    return _sentences(spark, sf_dir).withColumn("pos", F.col("pos").cast("long"))
+
+
+def cue_sentences(spark, sf_dir):
+    tested = {c: F.col("text").rlike(getattr(CUES, c)).alias(f"is_{c}") for c in ("decision", "action", "open")}
+    return _sentences(spark, sf_dir).select("meeting_id", "arrival_seq", F.col("pos").cast("long").alias("pos"), *tested.values(), ft.due_date(F.col("text"), CUES).alias("due"))
+
+
+def minutes_items(spark, sf_dir):
+    return minutes.minutes_items(_sentences(spark, sf_dir), CUES)
+
+
+def minutes_topics(spark, sf_dir):
+    return minutes.topics(_sentences(spark, sf_dir))
+
+
+def minutes_overview(spark, sf_dir):
+    segments = ad.segments(spark, sf_dir)
+    return minutes.overview(segments, minutes.meeting_sentences(segments, CUES))
+
+
+def minutes_markdown(spark, sf_dir):
+    return minutes.rendered(ad.segments(spark, sf_dir), CUES)
+
+
+def transcript_text(spark, sf_dir):
+    return transcript.exported_text(ad.segments(spark, sf_dir))
+
+
+def transcript_markdown(spark, sf_dir):
+    return transcript.exported_markdown(ad.segments(spark, sf_dir))
+
+
+def speaker_carry_over(spark, sf_dir):
+    out = transcript.carry_over_names(ad.segments(spark, sf_dir), ad.previous_segments(spark, sf_dir))
+    return out.select("meeting_id", "id", "source", "speaker_id", "speaker_name")
+
+
+def _names(spark, sf_dir):
+    """A name for every speaker with an even number, of meetings with an even number."""
+    rows = ad.segments(spark, sf_dir).where("speaker_id % 2 = 0 AND meeting_id % 2 = 0").select("meeting_id", "source", "speaker_id").distinct()
+    return rows.withColumn("name", F.concat_ws(" ", F.lit("Name"), "meeting_id", "speaker_id"))
+
+
+def speaker_list(spark, sf_dir):
+    return transcript.speakers(ad.segments(spark, sf_dir), _names(spark, sf_dir))
+
+
+def speaker_names_known(spark, sf_dir):
+    return transcript.with_known_names(ad.segments(spark, sf_dir), _names(spark, sf_dir)).select("meeting_id", "id", "speaker_name")
+
+
+def speaker_rename_counts(spark, sf_dir):
+    return transcript.rename_counts(ad.segments(spark, sf_dir), _names(spark, sf_dir))
+
+
+def segment_edits(spark, sf_dir):
+    rows = ad.segments(spark, sf_dir)
+    edits = rows.where("arrival_seq % 3 = 1").select("meeting_id", "id", F.concat(F.lit("edited "), "text").alias("new_text"))
+    removed = rows.where("arrival_seq = 4")
+    return transcript.without(transcript.edited(rows, edits), removed).select("meeting_id", "id", "text", "is_edited")
+
+
+def segment_upserts(spark, sf_dir):
+    rows = ad.segments(spark, sf_dir).select("meeting_id", "id", "text")
+    new = rows.where("meeting_id % 2 = 0").withColumn("text", F.lit("replaced"))
+    added = rows.where("meeting_id % 5 = 0").withColumn("id", F.concat("id", F.lit("-new")))
+    return transcript.upserted(rows, new.unionByName(added), ["meeting_id", "id"])
+
+
+def journal_replay(spark, sf_dir):
+    return journals.replayed(ad.journal(spark, sf_dir))
+
+
+def journal_states(spark, sf_dir):
+    return journals.journal_states(ad.journal(spark, sf_dir))
+
+
+def journal_recovery(spark, sf_dir):
+    entries = ad.journal(spark, sf_dir)
+    audio = entries.where("meeting_id % 2 = 0").groupBy("meeting_id").agg((F.max("line_no") % 100).cast("double").alias("audio_seconds"))
+    return journals.recovered(journals.journal_states(entries), audio).select("meeting_id", "n_segments", "duration_seconds", F.array_join("warnings", "|").alias("warnings"))
+
+
+def response_sections(spark, sf_dir):
+    return responses.sections(ad.lines(spark, sf_dir))
+
+
+def response_markers(spark, sf_dir):
+    return responses.recognised(ad.lines(spark, sf_dir))
+
+
+def prompt_plan(spark, sf_dir):
+    return responses.plan(ad.lines(spark, sf_dir), prompt_tokens=400, output_tokens=700, context_tokens=4096)
+
+
+def prompt_blocks(spark, sf_dir):
+    return responses.packed(ad.lines(spark, sf_dir), block_budget=500).groupBy("response_id", "block").agg(F.min("ord").alias("first_ord"), F.count("*").alias("n_lines"), F.sum("tokens").alias("tokens"))
+
+
+def prompt_prefix(spark, sf_dir):
+    return responses.prefix_within(ad.lines(spark, sf_dir), 800).select("response_id", "ord", "so_far")
+
+
+def block_time_ranges(spark, sf_dir):
+    rows = ad.segments(spark, sf_dir)
+    text = transcript.exported_text(rows)
+    return text.select("meeting_id", ft.block_time_range(F.col("text")).alias("time_range"))
+
+
+def level_statistics(spark, sf_dir):
+    out = levels.statistics(ad.levels(spark, sf_dir))
+    return out.select("stream", "n", F.round("rms", 9).alias("rms"), F.round("peak", 9).alias("peak"), F.round("rms_db", 6).alias("rms_db"), F.round("peak_db", 6).alias("peak_db"), "n_clipped", "clipped", "looks_silent")
+
+
+def level_peak_hold(spark, sf_dir):
+    # at one level a minute, so that peaks fall into each other
+    rows = ad.levels(spark, sf_dir).withColumn("at", F.col("at") / 36000.0)
+    return levels.peak_hold(rows).withColumn("held", F.round("held", 6))
+
+
+def level_voice_activity(spark, sf_dir):
+    return levels.voice_activity(ad.levels(spark, sf_dir), onset=2, hangover=3).withColumn("noise_db", F.round("noise_db", 6))
+
+
+def level_smoothed(spark, sf_dir):
+    return levels.smoothed(ad.levels(spark, sf_dir), 0.1).withColumn("last", F.round("last", 9))
+
+
+def level_stalls(spark, sf_dir):
+    return levels.stalls(ad.levels(spark, sf_dir), 36000.0).withColumn("gap_seconds", F.round("gap_seconds", 3))
+
+
+def level_silence_runs(spark, sf_dir):
+    return levels.silence_runs(ad.levels(spark, sf_dir), -30.0)
+
+
+def level_gap_filled(spark, sf_dir):
+    out = levels.gap_filled(ad.levels(spark, sf_dir), 86400)
+    return out.withColumn("value", F.round("value", 6))
+
+
+def level_inserted_share(spark, sf_dir):
+    return levels.inserted_share(levels.gap_filled(ad.levels(spark, sf_dir), 86400)).withColumn("share", F.round("share", 9))
+
+
+def sample_dc_block(spark, sf_dir):
+    rows = ad.blocks(spark, sf_dir).select("stream", F.posexplode(samples.dc_blocked(F.col("samples"), 16000)).alias("pos", "y"))
+    return rows.select("stream", F.col("pos").cast("long").alias("pos"), F.round("y", 9).alias("y"))
+
+
+def sample_mix(spark, sf_dir):
+    rows = ad.levels(spark, sf_dir)
+    block = lambda who: rows.where(f"stream % 2 = {who}").groupBy(F.floor(F.col("stream") / 2).alias("meeting_id")).agg(F.sort_array(F.collect_list(F.struct("seq", "value"))).alias("x")).select("meeting_id", F.lit(0).alias("block"), F.transform("x", lambda v: v["value"]).alias("samples"))
+    out = samples.aligned_mix(block(0), block(1)).select("meeting_id", F.posexplode("samples").alias("pos", "y"))
+    return out.select("meeting_id", F.col("pos").cast("long").alias("pos"), F.round("y", 9).alias("y"))
+
+
+def sample_downmix(spark, sf_dir):
+    out = ad.blocks(spark, sf_dir).select("stream", F.posexplode(samples.downmixed(F.col("samples"), 2)).alias("pos", "y"))
+    return out.select("stream", F.col("pos").cast("long").alias("pos"), F.round("y", 9).alias("y"))
+
+
+def sample_normalised(spark, sf_dir):
+    out = samples.normalised(ad.blocks(spark, sf_dir)).select("stream", F.posexplode("samples").alias("pos", "y"))
+    return out.select("stream", F.col("pos").cast("long").alias("pos"), F.round("y", 9).alias("y"))
+
+
+def sample_quantised(spark, sf_dir):
+    out = ad.blocks(spark, sf_dir).select("stream", F.posexplode(fa.quantised(F.col("samples"))).alias("pos", "y"))
+    return out.select("stream", F.col("pos").cast("long").alias("pos"), F.col("y").cast("long").alias("y"))
+
+
+def sample_interpolated(spark, sf_dir):
+    """The cubic half way between each two samples of a stream."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("stream").orderBy("seq")
+    v = F.col("value")
+    near = [F.coalesce(F.lag("value", 1).over(order), v), v, F.coalesce(F.lead("value", 1).over(order), v), F.coalesce(F.lead("value", 2).over(order), F.lead("value", 1).over(order), v)]
+    return ad.levels(spark, sf_dir).select("stream", "seq", F.round(fa.catmull_rom(*near, F.lit(0.5)), 9).alias("y"))
+
+
+def vector_cosines(spark, sf_dir):
+    """Each vector with the next one of its label."""
+    from pyspark.sql import Window
+
+    rows = ad.table(spark, sf_dir, "embeddings").select("vec_id", "label", fa.unit(F.col("embedding")).alias("u"))
+    following = F.lead("u").over(Window.partitionBy("label").orderBy("vec_id"))
+    return rows.withColumn("v", following).where("v IS NOT NULL").select("vec_id", "label", F.round(fa.dot(F.col("u"), F.col("v")), 6).alias("cosine"))
+
+
+def vector_statistics(spark, sf_dir):
+    """Mean and deviation of each component for each label."""
+    rows = ad.table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    return rows.groupBy("label", F.col("i").cast("long").alias("i")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"), F.round(F.stddev_pop(F.col("x").cast("double")), 6).alias("deviation"))
+
+
+def vector_speaker_clusters(spark, sf_dir):
+    rows = ad.table(spark, sf_dir, "embeddings")
+    return speech.speaker_clusters(rows.select((F.col("label") % 2).alias("stream"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector")), similarity=0.3)
+
+
+def speech_chunks(spark, sf_dir):
+    rows = ad.levels(spark, sf_dir).select(F.col("stream").alias("meeting_id"), F.lit("Microphone").alias("source"), (F.col("seq") - 1).alias("frame"), (F.col("db") - 20).alias("db"))
+    return speech.speech_chunks(rows, speech.Pauses(pre_roll=2, flush=3, carried=6, least=3, target=8, most=16, overlap=2))
+
+
+def model_choice(spark, sf_dir):
+    machines = ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("machine_id"), (F.col("c_custkey") % 16 + 1).cast("int").alias("cores"), (F.col("c_custkey") % 33).cast("double").alias("ram_gb"), ((F.col("c_custkey") % 97) / 20.0).alias("score"))
+    return planning.chosen_models(machines, planning.catalog(spark)).withColumn("factor", F.round("factor", 9))
+
+
+def storage_footprint(spark, sf_dir):
+    c = F.col("c_custkey")
+    settings = ad.table(spark, sf_dir, "customer").select(c.alias("setting_id"), F.when(c % 2 == 0, "mp3").otherwise("wav").alias("format"), (96 + c % 4 * 32).alias("mp3_kbps"), (c % 3 != 0).alias("stt_enabled"), (c % 5 != 0).alias("keep_audio"), (c % 7 == 0).alias("delete_after"), (c * 1000000).alias("free_bytes"))
+    return planning.storage(settings).select("setting_id", "recording_bytes_s", F.round("kept_mb_h", 6).alias("kept_mb_h"), F.round("hours_that_fit", 9).alias("hours_that_fit"))
+
+
+def preflight_overall(spark, sf_dir):
+    c = F.col("s_suppkey")
+    machines = ad.table(spark, sf_dir, "supplier").select(c.alias("report_id"), (c * (100 << 20)).alias("free_bytes"), (c % 11 != 0).alias("writable"), (c % 7).alias("n_inputs"), (c % 3 == 0).alias("has_model"))
+    return planning.overall(planning.preflight(machines))
+
+
+def folder_names(spark, sf_dir):
+    orders = ad.table(spark, sf_dir, "orders")
+    rows = orders.select(F.col("o_orderkey").alias("created_seq"), ft.folder_name(F.col("o_orderdate"), F.concat_ws(" / ", "o_orderpriority", F.lit("a|b"))).alias("base"))
+    return planning.unique_names(rows)
+
+
+def perf_log_fields(spark, sf_dir):
+    """Events as log lines: a purchase is a header, clicks are plain lines, the rest are fields."""
+    rows = ad.table(spark, sf_dir, "events")
+    field = F.concat(F.lit("    "), F.col("event_type"), F.lit(" = "), (F.col("event_id") % 13).cast("string"))
+    line = F.when(F.col("event_type") == "purchase", F.lit("== performance ==")).when((F.col("event_type") == "click") & (F.col("event_id") % 3 == 0), F.lit("plain")).otherwise(field)
+    lines = rows.select(F.col("user_id").alias("log"), F.lit(0).alias("ordinal"), F.col("event_id").alias("line_no"), line.alias("line"))
+    return perflog.blocks(lines, "== performance ==")
+
+
+def settings_migrated(spark, sf_dir):
+    rows = ad.table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    doc = F.concat(F.lit('{"version": '), (k % 3).cast("string"), F.when(k % 2 == 0, F.lit(', "bitrate": 96')).otherwise(F.lit(', "mp3BitrateKbps": 128')), F.when(k % 5 == 0, F.lit(', "keepAudio": "true"')).when(k % 5 == 1, F.lit(', "keepAudio": false')).otherwise(F.lit("")), F.when(k % 7 == 0, F.lit(', "profile": {"mode": "Fast"}')).otherwise(F.lit(', "mode": "Accurate"')), F.when(k % 11 == 0, F.lit("")).otherwise(F.lit("}")))
+    return planning.migrated_settings(rows.select(k.alias("id"), doc.alias("doc")))
+
+
+def meeting_totals(spark, sf_dir):
+    """Durations are the longest of the sources, not their sum."""
+    rows = ad.segments(spark, sf_dir).groupBy("meeting_id", "source").agg(F.max("end_ms").alias("ms"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms"))
+    return rows.groupBy("meeting_id").agg(F.max("ms").alias("duration_ms"), F.sum("speech_ms").alias("speech_ms"), F.round(F.sum("speech_ms") / F.greatest(F.max("ms"), F.lit(1)), 9).alias("factor"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    transcript_timeline, transcript_sentences, cue_sentences, minutes_items, minutes_topics, minutes_overview, minutes_markdown, transcript_text, transcript_markdown,
+    speaker_carry_over, speaker_list, speaker_names_known, speaker_rename_counts, segment_edits, segment_upserts, journal_replay, journal_states, journal_recovery,
+    response_sections, response_markers, prompt_plan, prompt_blocks, prompt_prefix, block_time_ranges, level_statistics, level_peak_hold, level_voice_activity, level_smoothed,
+    level_stalls, level_silence_runs, level_gap_filled, level_inserted_share, sample_dc_block, sample_mix, sample_downmix, sample_normalised, sample_quantised, sample_interpolated,
+    vector_cosines, vector_statistics, vector_speaker_clusters, speech_chunks, model_choice, storage_footprint, preflight_overall, folder_names, perf_log_fields, settings_migrated, meeting_totals)}
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
