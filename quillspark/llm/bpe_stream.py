@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from .stages import with_columns_of
 
 REMEMBERED = 400_000
+NO_MERGE = 1 << 60
 #: Characters in which a long text is handed to the transducer.
 READ_CHARS = 1 << 16
 #: The white space of the tokenizer's patterns.
@@ -95,12 +96,14 @@ class BytePairs:
         self.symbols = {t: len(t) - len(self.suffix) * t.endswith(self.suffix) if t != self.suffix else 1 for t in self.vocab}
         self.lookahead = sufficient_lookahead(merges, self.symbols)
         self.longest = max(self.symbols.values())
+        self.window = 2 * (self.lookahead + self.longest)
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.word = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}"))
         self.white = regex.compile(f"[{WHITE}]")
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.alphabet = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
         self.text = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        self.bytes = {c: bytes([b]) for b, c in enumerate(byte_alphabet())}
         self.known: dict[str, bytes] = {}
 
     def normalised(self, text: str) -> str:
@@ -111,20 +114,20 @@ class BytePairs:
         return max((m.start() for m in self.white.finditer(text, max(0, len(text) - READ_CHARS))), default=-1)
 
     def merged(self, parts: list[str]) -> list[str]:
-        rank = self.rank
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda pair: rank.get(pair, 1 << 60))
-            if best not in rank:
+        """Merges in place: the adjacent pair of the smallest rank first, the leftmost of equals."""
+        get = self.rank.get
+        ranks = [get(pair, NO_MERGE) for pair in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == NO_MERGE:
                 break
-            out, i, both = [], 0, best[0] + best[1]
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == best[0] and parts[i + 1] == best[1]:
-                    out.append(both)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), NO_MERGE)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), NO_MERGE)
         return parts
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
@@ -132,9 +135,9 @@ class BytePairs:
         window: list[str] = []
         for symbol in symbols:
             window.append(symbol)
-            if len(window) >= 2 * (self.lookahead + self.longest):
+            if len(window) >= self.window:
                 used = 0
-                for token in self.merged(window):
+                for token in self.merged(window[:]):
                     n = self.symbols.get(token, 1)
                     if used + n + self.lookahead > len(window):
                         break
@@ -156,7 +159,13 @@ class BytePairs:
         """Packed ids of one word of the pre-tokenizer."""
         found = self.known.get(word)
         if found is None:
-            ids = [self.vocab[t] for t in self.stream(self._symbols(word)) if t in self.vocab]
+            if len(word) * 4 < self.window:  # at most four bytes a character: the word ends before the window is full
+                parts = list(word.encode("utf-8").decode("latin-1").translate(self.alphabet))
+                parts[-1] += self.suffix
+                tokens = self.merged(parts)
+            else:
+                tokens = self.stream(self._symbols(word))
+            ids = [self.vocab[t] for t in tokens if t in self.vocab]
             found = struct.pack(f"<{len(ids)}I", *ids)
             if len(word) <= self.longest * 4:
                 if len(self.known) >= REMEMBERED:
@@ -193,14 +202,13 @@ class Decoder:
 
     def __init__(self, model: BytePairs, plain: bool = False) -> None:
         self.model, self.plain, self.started, self.rest = model, plain, False, b""
-        self.bytes = {c: bytes([b]) for b, c in enumerate(byte_alphabet())}
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, packed: bytes) -> str:
         packed = self.rest + packed
         whole = len(packed) // 4 * 4
         self.rest = packed[whole:]
-        tokens = [self.model.text[i] for i in memoryview(packed[:whole]).cast("I")]
+        tokens = list(map(self.model.text.__getitem__, memoryview(packed[:whole]).cast("I")))
         if not self.plain:
             out = (" " if self.started and tokens else "") + " ".join(tokens)
             self.started = self.started or bool(tokens)
@@ -210,7 +218,7 @@ class Decoder:
     def _spelled(self, token: str) -> str:
         ends = token.endswith(self.model.suffix) and token not in self.model.special
         body = token[: len(token) - len(self.model.suffix)] if ends else token
-        data = body.encode() if token in self.model.special else b"".join(self.bytes[c] for c in body)
+        data = body.encode() if token in self.model.special else b"".join(self.model.bytes[c] for c in body)
         return self.state.decode(data) + (" " if ends else "")
 
     def end(self) -> str:
