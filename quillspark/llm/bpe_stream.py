@@ -46,6 +46,18 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def later_letters() -> str:
+    """Letters and digits of ``regex`` that the tokenizer's older Unicode tables lack, as ranges of a pattern's set."""
+    from tokenizers import Regex, pre_tokenizers
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    new = "".join(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
+    unknown = {c for part, _ in pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed").pre_tokenize_str(new) for c in part}
+    runs = regex.finditer(r"\S+", "".join(c if c in unknown else " " for c in every))
+    return "".join(rf"\U{ord(m[0][0]):08x}-\U{ord(m[0][-1]):08x}" for m in runs)
+
+
 def sufficient_lookahead(merges: list[tuple[str, str]], size: dict[str, int]) -> int:
     """Symbols behind a token after which no later input can change it; ``size``: symbols of each token."""
     reach: dict[str, int] = {}
@@ -99,6 +111,11 @@ class BytePairs:
         self.window = 2 * (self.lookahead + self.longest)
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.word = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}"))
+        # for texts with letters that only ``regex`` knows: to the tokenizer they are neither letters nor digits
+        later = later_letters()
+        self.later = regex.compile(f"[{later}]") if later else None
+        known = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^{WHITE}\p{{L}}\p{{N}}]||[{later}]]")
+        self.word_later = regex.compile("(?V1)" + known.replace(r"[\p{L}]", rf"[\p{{L}}--[{later}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{later}]]")) if later else self.word
         self.white = regex.compile(f"[{WHITE}]")
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.alphabet = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
@@ -179,7 +196,9 @@ class BytePairs:
             if n % 2:
                 yield struct.pack("<I", self.special[part])
                 continue
-            for word in self.word.findall(self.normalised(part)):
+            part = self.normalised(part)
+            rare = self.later is not None and not part.isascii() and self.later.search(part)
+            for word in (self.word_later if rare else self.word).findall(part):
                 found = known.get(word)
                 yield self.ids(word) if found is None else found
 
