@@ -186,4 +186,33 @@ SELECT log, block, key, arg_min(value, line_no) AS value FROM e WHERE kind = 'f'
 SELECT k AS id, CAST(CASE WHEN bad THEN 1 ELSE k % 3 END AS INTEGER) AS version, CAST(CASE WHEN bad THEN 192 WHEN k % 2 = 1 THEN 128 WHEN k % 3 < 2 THEN 192 ELSE 96 END AS INTEGER) AS bitrate, bad OR k % 5 <> 1 AS keep_audio,
   CASE WHEN bad OR k % 3 < 2 THEN 'Balanced' WHEN k % 7 = 0 THEN 'Fast' ELSE 'Accurate' END AS profile FROM e""",
     "meeting_totals": f"""WITH {SEGMENTS_SQL} SELECT meeting_id, max(end_ms) AS duration_ms, CAST(sum(end_ms - start_ms) AS BIGINT) AS speech_ms, round(sum(end_ms - start_ms) / greatest(max(end_ms), 1), 9) AS factor FROM segments GROUP BY meeting_id""",
+    "source_files": """WITH f AS (SELECT DISTINCT p_partkey // 3 AS meeting_id, p_partkey % 4 AS ord FROM part) SELECT meeting_id, ['mic.wav', 'system.wav', 'imported.wav'][ord + 1] AS name, ['Microphone', 'SystemAudio', 'Imported'][ord + 1] AS kind, CAST(ord AS INTEGER) AS ord FROM f WHERE ord < 3""",
+    "decoder_choice": """SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 3 = 0 THEN 'decoder0' WHEN p_partkey % 5 = 0 THEN 'decoder1' WHEN p_partkey % 7 = 0 THEN 'decoder2' END AS decoder,
+  CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN 'refused ' || p_type END AS refusal FROM part""",
+    "decoder_extensions": """WITH e AS (SELECT s_name, s_suppkey AS k, unnest([0, 1]) AS pos, unnest(['.x' || (s_suppkey % 9), CASE WHEN s_suppkey % 2 = 0 THEN '.X' || (s_suppkey % 9) ELSE '.Wav' END]) AS ext FROM supplier)
+SELECT arg_min(ext, k * 2 + pos) AS extension, arg_min(s_name, k * 2 + pos) AS decoder FROM e GROUP BY lower(ext)""",
+    "capture_formats": """WITH f AS (SELECT s_suppkey AS device_id, [8000, 16000, 44100, 48000, 96000][s_suppkey % 5 + 1] AS rate FROM supplier)
+SELECT device_id, rate, rate = 48000 AS pass_through, rate < 48000 AS band_limited, rate <= 16000 AS speech_band_limited, CAST(rate / 2 AS DOUBLE) AS nyquist, CASE WHEN rate = 48000 THEN 'pass-through' ELSE 'resampled ' || rate || ' -> 48000 Hz' END AS conversion FROM f""",
+    "transcode_results": """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 6 = 0 THEN 'unavailable' WHEN c_custkey % 7 = 0 THEN 'failed' WHEN c_custkey % 5 = 0 THEN 'empty' END AS bad FROM customer)
+SELECT k AS run_id, CASE WHEN bad IS NULL THEN 'mp3' ELSE 'wav' END AS kept, coalesce(bad, CASE WHEN k % 3 <> 1 THEN 'other bitrate' END) AS warning FROM c""",
+    "generator_choice": "SELECT c_custkey AS setting_id, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 < 2 AND c_custkey % 5 <> 0 AND c_custkey % 7 BETWEEN 1 AND 4 THEN 'local' ELSE 'extractive' END AS generator FROM customer",
+    "meeting_warnings": "WITH f AS (SELECT user_id AS meeting_id, event_type AS warning, min(event_id) AS ord FROM events GROUP BY ALL) SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY ord) AS position, warning FROM f",
+    "connections": "SELECT user_id % 20 AS pid, 'host' || (event_id % 6) AS remote, min(event_id) AS first_seen, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1, 2",
+    "cpu_use": f"WITH {LEVELS_SQL} SELECT stream AS process, CAST(seq AS DOUBLE) AS at_, round(least(greatest(25 * value, 0.0), 100.0), 6) AS percent FROM levels WHERE seq > 1".replace("at_", '"at"'),
+    "ring_buffers": """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, CAST(floor(value) AS BIGINT) AS w, CAST(floor(value / 2) AS BIGINT) AS r FROM events),
+m AS (SELECT stream, max(seq) AS last FROM e GROUP BY stream),
+f AS (SELECT stream, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS written, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS overruns, CAST(0 AS BIGINT) AS lost FROM m
+  UNION ALL SELECT stream, seq, written + kept, greatest(held + kept - pushed - r, 0), overruns + CAST(w > 100 AS BIGINT) + CAST(pushed > 0 AS BIGINT), lost + w - kept + pushed
+  FROM (SELECT *, greatest(held + kept - 100, 0) AS pushed FROM (SELECT e.stream, e.seq, e.w, e.r, least(e.w, 100) AS kept, f.written, f.held, f.overruns, f.lost FROM f JOIN e ON e.stream = f.stream AND e.seq = f.seq + 1)))
+SELECT f.stream, written, held, overruns, lost FROM f JOIN m ON m.stream = f.stream AND m.last = f.seq""",
+    "model_checks": """SELECT p_partkey AS model_id, CASE WHEN p_partkey % 4 = 0 OR p_partkey % 3 < 2 THEN 'missing' WHEN p_partkey % 5 = 0 THEN 'unverified' WHEN p_partkey % 7 = p_partkey % 2 THEN 'verified' ELSE 'mismatch' END AS status,
+  CASE WHEN p_partkey * 1000000 >= 1073741824 THEN printf('%.1f GB', p_partkey * 1000000 / 1073741824) WHEN p_partkey * 1000000 >= 1048576 THEN printf('%.0f MB', p_partkey * 1000000 / 1048576) ELSE printf('%d KB', p_partkey * 1000000 // 1024) END AS size FROM part""",
+    "device_reports": """WITH d AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'capture' ELSE 'render' END AS kind, s_name AS name, s_suppkey <> 4 AS later FROM supplier WHERE s_suppkey <= 9)
+SELECT kind, 'Ok' AS severity, count(*) || ': ' || string_agg(name, ', ' ORDER BY later, name) AS detail FROM d GROUP BY kind UNION ALL SELECT 'loopback', 'Error', 'none'""",
+    "run_metrics": """WITH r AS (SELECT c_custkey AS k, c_custkey % 50 * 2.0 AS d, CAST(c_custkey % 64 / 4.0 AS DOUBLE) + CAST(0.001 AS DOUBLE) AS t FROM customer)
+SELECT k AS run_id, printf('Transcription performance:\n  Meeting duration      = %.1f s\n  Speech detected       = %.1f s\n  Speech audio submitted= %.1f s\n  Chunks                = %d (encoder ran %d s of padded window)\n  Segments              = %d\n  Model                 = small\n  Total                 = %.2f s\n  RTF                   = %.2f x meeting duration',
+  CAST(d AS DOUBLE), k % 40 / 2, k % 40 / 5, k % 9, k % 9 * 30, k % 20, CAST(t AS DOUBLE), CAST(CASE WHEN d > 0 THEN t / d ELSE 0 END AS DOUBLE)) AS block FROM r""".replace("\\n", "' || chr(10) || '").replace("printf('", "printf(('", 1).replace("duration',\n", "duration'),\n", 1),
+    "check_reports": """SELECT n_regionkey AS report_id, string_agg('[' || [' OK ', 'WARN', 'FAIL', ' -- '][n_nationkey % 4 + 1] || '] ' || n_name || chr(10) || '      detail' || chr(10) || chr(10), '' ORDER BY n_nationkey) || 'overall: ' ||
+  ['not tested', 'ok', 'warning', 'error'][max([1, 2, 3, 0][n_nationkey % 4 + 1]) + 1] AS text FROM nation GROUP BY n_regionkey""",
+    "process_tree": """WITH RECURSIVE t AS (SELECT p_partkey AS pid, p_partkey // 3 AS parent_pid FROM part), f AS (SELECT pid AS root, pid FROM t WHERE pid IN (1, 2, 7) UNION SELECT f.root, t.pid FROM f JOIN t ON t.parent_pid = f.pid) SELECT * FROM f""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import audio as fa
 from quillspark.functions import text as ft
-from quillspark.operators import journals, levels, minutes, planning, responses, samples, speech, transcript
+from quillspark.operators import journals, levels, minutes, planning, responses, runs, samples, speech, transcript
 from quillspark.sources import perflog
 
 from . import adapters as ad
@@ -281,12 +281,103 @@ def meeting_totals(spark, sf_dir):
     return rows.groupBy("meeting_id").agg(F.max("ms").alias("duration_ms"), F.sum("speech_ms").alias("speech_ms"), F.round(F.sum("speech_ms") / F.greatest(F.max("ms"), F.lit(1)), 9).alias("factor"))
 
 
+def source_files(spark, sf_dir):
+    p = F.col("p_partkey")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("mic.wav", "system.wav", "imported.wav", "notes.txt")]), (p % 4 + 1).cast("int"))
+    return runs.sources_in(ad.table(spark, sf_dir, "part").select(F.floor(p / 3).alias("meeting_id"), name.alias("name")))
+
+
+def decoder_choice(spark, sf_dir):
+    p = F.col("p_partkey")
+    offer = lambda n, accepts, reason: F.struct(F.lit(f"decoder{n}").alias("decoder"), F.lit(n).alias("priority"), accepts.alias("accepts"), reason.alias("reason"))
+    offers = F.array(offer(0, p % 3 == 0, F.lit("no")), offer(1, p % 5 == 0, F.concat(F.lit("refused "), "p_type")), offer(2, p % 7 == 0, F.lit("x")))
+    return runs.chosen_decoders(ad.table(spark, sf_dir, "part").select(F.col("p_name").alias("n"), p.cast("string").alias("path"), F.inline(offers)))
+
+
+def decoder_extensions(spark, sf_dir):
+    s = F.col("s_suppkey")
+    ext = F.array(F.concat(F.lit(".x"), (s % 9).cast("string")), F.when(s % 2 == 0, F.concat(F.lit(".X"), (s % 9).cast("string"))).otherwise(F.lit(".Wav")))
+    return runs.distinct_extensions(ad.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("decoder"), s.alias("priority"), ext.alias("extensions")))
+
+
+def capture_formats(spark, sf_dir):
+    rate = F.element_at(F.array(*[F.lit(x) for x in (8000, 16000, 44100, 48000, 96000)]), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    return runs.format_notes(ad.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("device_id"), rate.alias("rate")))
+
+
+def transcode_results(spark, sf_dir):
+    c = F.col("c_custkey")
+    rows = ad.table(spark, sf_dir, "customer").select(c.alias("run_id"), (c % 6 != 0).alias("supported"), (c % 7 == 0).alias("failed"), (c % 5 * 100).alias("out_bytes"), F.lit(192).alias("requested_kbps"), (160 + c % 3 * 32).cast("int").alias("encoded_kbps"))
+    return runs.transcode_outcomes(rows).select("run_id", "kept", "warning")
+
+
+def generator_choice(spark, sf_dir):
+    c = F.col("c_custkey")
+    rows = ad.table(spark, sf_dir, "customer").select(c.alias("setting_id"), (c % 2 == 0).alias("minutes_enabled"), F.when(c % 3 != 0, c % 3 == 1).alias("profile_minutes"), F.when(c % 5 == 0, "Extractive").otherwise("Local").alias("mode"), F.when(c % 7 != 0, c % 7 < 5).alias("model_present"))
+    return runs.chosen_generators(rows).select("setting_id", "generator")
+
+
+def meeting_warnings(spark, sf_dir):
+    rows = ad.table(spark, sf_dir, "events").select(F.col("user_id").alias("meeting_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("warning"))
+    return runs.distinct_warnings(rows)
+
+
+def connections(spark, sf_dir):
+    rows = ad.table(spark, sf_dir, "events").select(F.col("event_id").alias("at"), (F.col("user_id") % 20).alias("pid"), F.concat(F.lit("host"), (F.col("event_id") % 6).cast("string")).alias("remote"), F.when(F.col("event_type") == "view", "ESTABLISHED").otherwise("LISTEN").alias("state"))
+    return runs.connections_seen(rows)
+
+
+def cpu_use(spark, sf_dir):
+    from pyspark.sql import Window
+
+    total = F.sum("value").over(Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = ad.levels(spark, sf_dir).select(F.col("stream").alias("process"), F.col("seq").cast("double").alias("at"), total.alias("cpu_seconds"))
+    return runs.cpu_percent(rows, 4).withColumn("percent", F.round("percent", 6))
+
+
+def ring_buffers(spark, sf_dir):
+    rows = ad.table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), F.floor("value").alias("written"), F.floor(F.col("value") / 2).alias("read"))
+    return runs.ring_overruns(rows, 100)
+
+
+def model_checks(spark, sf_dir):
+    p = F.col("p_partkey")
+    rows = ad.table(spark, sf_dir, "part").select(p.alias("model_id"), (p * 1000).alias("nominal_bytes"), F.when(p % 4 != 0, p * (p % 3) * 400).alias("file_bytes"), F.when(p % 5 != 0, F.concat(F.lit("AB"), (p % 7).cast("string"))).alias("pinned"), F.concat(F.lit("ab"), (p % 2).cast("string")).alias("measured"))
+    return runs.model_files(rows).select("model_id", "status", runs.human_size(F.col("nominal_bytes") * 1000).alias("size"))
+
+
+def device_reports(spark, sf_dir):
+    s = F.col("s_suppkey")
+    rows = ad.table(spark, sf_dir, "supplier").where(s <= 9).select(F.when(s % 3 == 0, "capture").otherwise("render").alias("kind"), F.col("s_name").alias("name"), (s == 4).alias("is_default"))
+    return runs.device_checks(rows, ["capture", "render", "loopback"])
+
+
+def run_metrics(spark, sf_dir):
+    c = F.col("c_custkey")
+    rows = ad.table(spark, sf_dir, "customer").select(c.alias("run_id"), (c % 50 * 2.0).alias("meeting_seconds"), (c % 40 / 2.0).alias("speech_seconds"), (c % 40 / 5.0).alias("submitted_seconds"), (c % 9).alias("chunks"), (c % 20).alias("segments"), F.lit("small").alias("model"), (c % 64 / 4.0 + 0.001).alias("total_seconds"))
+    return runs.metrics_block(rows)
+
+
+def check_reports(spark, sf_dir):
+    n = F.col("n_nationkey")
+    severity = F.element_at(F.array(*[F.lit(x) for x in ("Ok", "Warning", "Error", "NotTested")]), (n % 4 + 1).cast("int"))
+    return runs.report_text(ad.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("report_id"), n.alias("ord"), F.col("n_name").alias("check"), severity.alias("severity"), F.lit("detail").alias("detail")))
+
+
+def process_tree(spark, sf_dir):
+    p = F.col("p_partkey")
+    tree = ad.table(spark, sf_dir, "part").select(p.alias("pid"), F.floor(p / 3).alias("parent_pid"))
+    return planning.descendants(tree, tree.where("pid IN (1, 2, 7)").select("pid"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     transcript_timeline, transcript_sentences, cue_sentences, minutes_items, minutes_topics, minutes_overview, minutes_markdown, transcript_text, transcript_markdown,
     speaker_carry_over, speaker_list, speaker_names_known, speaker_rename_counts, segment_edits, segment_upserts, journal_replay, journal_states, journal_recovery,
     response_sections, response_markers, prompt_plan, prompt_blocks, prompt_prefix, block_time_ranges, level_statistics, level_peak_hold, level_voice_activity, level_smoothed,
     level_stalls, level_silence_runs, level_gap_filled, level_inserted_share, sample_dc_block, sample_mix, sample_downmix, sample_normalised, sample_quantised, sample_interpolated,
-    vector_cosines, vector_statistics, vector_speaker_clusters, speech_chunks, model_choice, storage_footprint, preflight_overall, folder_names, perf_log_fields, settings_migrated, meeting_totals)}
+    vector_cosines, vector_statistics, vector_speaker_clusters, speech_chunks, model_choice, storage_footprint, preflight_overall, folder_names, perf_log_fields, settings_migrated, meeting_totals,
+    source_files, decoder_choice, decoder_extensions, capture_formats, transcode_results, generator_choice, meeting_warnings, connections, cpu_use, ring_buffers, model_checks, device_reports, run_metrics,
+    check_reports, process_tree)}
 
 
 def queries() -> dict[str, Query]:
