@@ -59,15 +59,24 @@ class Model:
 def noisy_or_fit(words: np.ndarray, sentence_of: np.ndarray, doc_of: np.ndarray, toxic: np.ndarray, rounds: int = 250, rate: float = 0.15, decay: float = 2e-5) -> Model:
     """Fits by Adam on all documents: ``words`` are features, each of sentence ``sentence_of``, that of ``doc_of``."""
     weights = np.zeros(1 << BITS)
-    known, place = np.unique(words, return_inverse=True)
-    docs_with = np.bincount(np.unique(np.stack([place, doc_of[sentence_of]]), axis=1)[0], minlength=len(known)) if len(words) else np.zeros(0)
-    frequent = docs_with >= LEAST_DOCS
-    number = np.cumsum(frequent) - 1
-    use = frequent[place] if len(words) else np.zeros(0, bool)
-    column, row, n = number[place[use]] if len(words) else place, sentence_of[use], int(frequent.sum())
-    theta, n_docs = np.r_[np.zeros(n), -4.0], len(toxic)
+    n_docs = len(toxic)
     if n_docs == 0 or toxic.min() == toxic.max():
         return Model(weights, -4.0)
+    # each step drops what it no longer needs: this runs in the driver
+    pairs = words.astype(np.int64) * n_docs
+    pairs += doc_of[sentence_of]
+    pairs.sort()
+    first_of_pair = np.r_[True, pairs[1:] != pairs[:-1]] if len(pairs) else np.zeros(0, bool)
+    docs_with = np.bincount(pairs[first_of_pair] // n_docs, minlength=1 << BITS)
+    del pairs, first_of_pair
+    known = np.flatnonzero(docs_with >= LEAST_DOCS)
+    number = np.full(1 << BITS, -1, np.int32)
+    number[known] = np.arange(len(known))
+    column = number[words]
+    use = column >= 0
+    column, row, n = column[use], sentence_of[use], len(known)
+    del use
+    theta = np.r_[np.zeros(n), -4.0]
     # the rarer toxic documents count more, by the root of the classes' ratio
     rare = math.sqrt((toxic == 0).sum() / (toxic == 1).sum())
     first, second = np.zeros(n + 1), np.zeros(n + 1)
@@ -80,7 +89,7 @@ def noisy_or_fit(words: np.ndarray, sentence_of: np.ndarray, doc_of: np.ndarray,
         grad[:n] += decay * theta[:n]
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    weights[known[frequent]] = theta[:n]
+    weights[known] = theta[:n]
     return Model(weights, float(theta[n]))
 
 
@@ -104,15 +113,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words:
 
     # bounded by fit_docs x fit_words numbers; doc_ids that repeat in docs bring their rows each, cut to the bound
     taken = rows.mapInArrow(features, "doc_id long, toxic int, sentences array<array<int>>").limit(fit_docs).toArrow().sort_by("doc_id")
-    sentences = taken.column("sentences").combine_chunks()
     if len(taken) == 0:
         return Model(np.zeros(1 << BITS), -4.0)
+    sentences, toxic_of = taken.column("sentences").combine_chunks(), taken.column("toxic").to_numpy()
+    del taken
     per_doc = np.diff(sentences.offsets.to_numpy())
     inner = sentences.flatten()
     per_sentence = np.diff(inner.offsets.to_numpy())
-    words = inner.flatten().to_numpy()
-    doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
-    return noisy_or_fit(words, np.repeat(np.arange(len(per_sentence)), per_sentence), doc_of, taken.column("toxic").to_numpy())
+    doc_of = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)
+    sentence_of = np.repeat(np.arange(len(per_sentence), dtype=np.int32), per_sentence)
+    return noisy_or_fit(inner.flatten().to_numpy(), sentence_of, doc_of, toxic_of)
 
 
 class Scorer(dict):
