@@ -1,23 +1,25 @@
 """Substring deduplication by sparse suffix arrays.
 
 Of the suffixes of all texts (by words, A-Z in lower case) only those are retained that start at a minimiser: the
-smallest hash of KGRAM words in some window of WINDOW starts. Equal passages select equal places, so a passage of PASSAGE words
-or more that occurs twice holds, within its first WINDOW starts, a place that both occurrences retain, with CORE words of the passage from there on.
-
-The retained suffixes are sorted and neighbours compared. First an aggregate over hashes of the suffixes' first CORE words leaves
-only those whose core occurs twice; it combines in the map tasks, so a core that a third of all documents share sends one row from
-each. The rest are sorted by range over (core, the words beyond it, the words before it in reverse, document): neighbours agree in
-the longest run to the right, then to the left. Each is extended over both, word by word, and kept where
-left + core + right reaches PASSAGE. The words carried for that reach to the next and the last minimiser, whose own extensions take over
-there, so passages of any length are covered without carrying them.
-
-Adjacent suffixes that share a passage form a run. Of a run, the occurrence in the document of smallest id, at its smallest place, stays; the
-others' words are repeated. A sort key ends with document and place, so a hot passage spreads over several ranges; a range
-learns from one row of the range before it whether its first suffix continues a run.
-
-Defined cases: null counts as empty; texts of fewer than PASSAGE words hold no passage; rows with a null doc_id take no part;
-rows that share an id are one document, whose marks apply to each of them, so repeated rows (same id, same text) remove nothing from each other;
-other columns are ignored.
+smallest hash of KGRAM words in some window of WINDOW starts. Equal passages select equal places, so a passage of
+PASSAGE words or more that occurs twice holds, within its first WINDOW starts, a place that both occurrences retain,
+with CORE words of the passage from there on.
+
+The retained suffixes are sorted and neighbours compared. First an aggregate over hashes of the suffixes' first CORE
+words leaves only those whose core occurs twice; it combines in the map tasks, so a core that a third of all documents
+share sends one row from each. The rest are sorted by range over (core, the words beyond it, the words before it in
+reverse, document): neighbours agree in the longest run to the right, then to the left. Each is extended over both,
+word by word, and kept where left + core + right reaches PASSAGE. The words carried for that reach to the next and the
+last minimiser, whose own extensions take over there, so passages of any length are covered without carrying them.
+
+Adjacent suffixes that share a passage form a run. Of a run, the occurrence in the document of smallest id, at its
+smallest place, stays; the others' words are repeated. A sort key ends with document and place, so a hot passage
+spreads over several ranges; a range learns from one row of the range before it whether its first suffix continues a
+run.
+
+Defined cases: null counts as empty; texts of fewer than PASSAGE words hold no passage; rows with a null doc_id take no
+part; rows that share an id are one document, whose marks apply to each of them, so repeated rows (same id, same text)
+remove nothing from each other; other columns are ignored.
 """
 
 from __future__ import annotations
