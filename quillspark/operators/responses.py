@@ -47,21 +47,22 @@ def packed(lines: DataFrame, block_budget: int, most_blocks: int = MOST_BLOCKS)
     """response_id, block, ord, tokens: lines in blocks, each filled as far as the next line fits.
 
     A block begins where the running sum since the last beginning would pass the budget, which depends on all lines before; so a
-    response's sizes (not its texts) are folded in order, and blocks from ``most_blocks`` on are left out.
+    response's sizes (not its texts) are folded in order, keeping where blocks begin. Blocks from ``most_blocks`` on are left out.
     """
     tokens = F.col("tokens") if "tokens" in lines.columns else utf16_length(F.col("line"))
     sizes = lines.groupBy("response_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ord"), tokens.cast("long").alias("tokens")))).alias("x"))
-    start = F.expr("named_struct('block', 0L, 'held', 0L, 'any', false, 'out', cast(array() as array<struct<ord: bigint, tokens: bigint, block: bigint>>))")
+    start = F.expr("named_struct('held', 0L, 'filled', false, 'begins', cast(array() as array<bigint>))")
 
     def step(state, line):
-        new = state["any"] & (state["held"] + line["tokens"] > block_budget)
-        block = F.when(new, state["block"] + 1).otherwise(state["block"])
+        new = state["filled"] & (state["held"] + line["tokens"] > block_budget) & (F.size(state["begins"]) < most_blocks)
         held = F.when(new, line["tokens"]).otherwise(state["held"] + line["tokens"])
-        row = F.struct(line["ord"].alias("ord"), line["tokens"].alias("tokens"), block.alias("block"))
-        return F.struct(block.alias("block"), held.alias("held"), (new | state["any"] | (line["tokens"] > 0)).alias("any"), F.concat(state["out"], F.array(row)).alias("out"))
+        begins = F.when(new, F.concat(state["begins"], F.array(line["ord"]))).otherwise(state["begins"])
+        return F.struct(held.alias("held"), (state["filled"] | (line["tokens"] > 0)).alias("filled"), begins.alias("begins"))
 
-    rows = sizes.select("response_id", F.explode(F.aggregate("x", start, step, lambda s: s["out"])).alias("r"))
-    return rows.select("response_id", "r.block", "r.ord", "r.tokens").where(F.col("block") < most_blocks)
+    rows = sizes.select("response_id", "x", F.aggregate("x", start, step, lambda s: s["begins"]).alias("begins"))
+    rows = rows.select("response_id", "begins", F.inline("x"))
+    block = F.size(F.filter("begins", lambda b: b <= F.col("ord"))).cast("long")
+    return rows.select("response_id", block.alias("block"), "ord", "tokens").where(F.col("block") < most_blocks)
 
 
 def prefix_within(lines: DataFrame, most_tokens: int) -> DataFrame:

@@ -120,7 +120,7 @@ def device_checks(devices: DataFrame, kinds: list[str]) -> DataFrame:
     every = spark.createDataFrame([(k,) for k in kinds], "kind string")
     rows = devices.groupBy("kind").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct((~F.col("is_default")).alias("d"), "name"))).alias("x"))
     detail = F.concat(F.col("n").cast("string"), F.lit(": "), F.array_join(F.transform("x", lambda r: r["name"]), ", "))
-    return every.join(F.broadcast(rows), "kind", "left").select("kind", F.when(F.col("n") > 0, "Ok").otherwise("Error").alias("severity"), F.coalesce(detail, F.lit("none")).alias("detail"))
+    return every.join(rows, "kind", "left").select("kind", F.when(F.col("n") > 0, "Ok").otherwise("Error").alias("severity"), F.coalesce(detail, F.lit("none")).alias("detail"))
 
 
 def metrics_block(runs: DataFrame) -> DataFrame:

@@ -109,9 +109,20 @@ def frame_levels(blocks: DataFrame) -> DataFrame:
 
     Frames that lie in two blocks are put together by their number: each block gives its part of a frame's energy.
     """
-    rows = blocks.select("meeting_id", "source", F.posexplode("samples").alias("i", "x"), "start_sample")
-    frame = F.floor((F.col("start_sample") + F.col("i")) / FRAME)
-    parts = rows.groupBy("meeting_id", "source", frame.alias("frame")).agg(F.sum(F.col("x").cast("double") * F.col("x").cast("double")).alias("energy"), F.count("*").alias("n"))
+
+    def energies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples():
+                x = np.asarray(row.samples, np.float64)
+                if len(x):
+                    first = row.start_sample // FRAME
+                    at = np.r_[0, np.arange((first + 1) * FRAME - row.start_sample, len(x), FRAME)]
+                    out.append(pd.DataFrame({"meeting_id": row.meeting_id, "source": row.source, "frame": first + np.arange(len(at)), "energy": np.add.reduceat(x * x, at), "n": np.diff(np.r_[at, len(x)])}))
+            yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("meeting_id", "source", "frame", "energy", "n")})
+
+    rows = blocks.select("meeting_id", "source", "start_sample", "samples").mapInPandas(energies, "meeting_id long, source string, frame long, energy double, n long")
+    parts = rows.groupBy("meeting_id", "source", "frame").agg(F.sum("energy").alias("energy"), F.sum("n").alias("n"))
     level = F.sqrt(F.col("energy") / F.col("n"))
     return parts.where(F.col("n") == FRAME).select("meeting_id", "source", "frame", F.when(level <= 1e-12, F.lit(-120.0)).otherwise(20 * F.log10(level)).alias("db"))
 
