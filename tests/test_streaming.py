@@ -1,6 +1,7 @@
 """Streams end with what a batch over the same rows gives."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,7 +26,9 @@ def state_store(spark):
 
 def put(folder, number, rows):
     folder.mkdir(exist_ok=True)
-    (folder / f"{number:03d}.json").write_text("\n".join(json.dumps(r, default=str) for r in rows))
+    path = folder / f"{number:03d}.json"
+    path.write_text("\n".join(json.dumps(r, default=str) for r in rows))
+    os.utime(path, (1_700_000_000 + number, 1_700_000_000 + number))  # files are taken in the order of their times
 
 
 def test_window_levels_equal_the_batch(spark, tmp_path):
