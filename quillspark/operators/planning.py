@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 RAM_FACTOR, SMALL_FACTOR, ACCEPTABLE_FACTOR, LEAST_SCORE = 3.0, 1.1, 1.5, 0.05
 
 # Id, purpose, licence, bytes, MB of memory, cost relative to the small model.
@@ -131,7 +133,8 @@ def descendants(processes: DataFrame, roots: DataFrame, most_depth: int = 64) ->
     """root, pid: every process (pid, parent_pid) below each root, found level by level."""
     level = found = roots.select(F.col("pid").alias("root"), "pid")
     for _ in range(most_depth):
-        level = level.withColumnRenamed("pid", "parent_pid").join(processes.select("pid", "parent_pid"), "parent_pid").select("root", "pid").join(found, ["root", "pid"], "left_anti").distinct().checkpoint()
+        below = level.withColumnRenamed("pid", "parent_pid").join(processes.select("pid", "parent_pid"), "parent_pid").select("root", "pid")
+        level = cut(below.join(found, ["root", "pid"], "left_anti").distinct())
         if level.isEmpty():
             break
         found = found.union(level)

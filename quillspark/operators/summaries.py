@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import NONE, block_time_range, is_blank, meaningful, trimmed
 
 from . import responses
+from .lineage import cut
 
 #: Rounds of folding before what does not fit is cut.
 MOST_ROUNDS = 3
@@ -63,7 +64,7 @@ def folded(answers: DataFrame, make: Callable[[], Model], block_budget: int) ->
 
     At most MOST_ROUNDS rounds. The results of a round are checkpointed, so a model is never asked twice.
     """
-    rows = useful(answers).checkpoint()
+    rows = cut(useful(answers))
     for _ in range(MOST_ROUNDS):
         lines = rows.select("response_id", F.col("block").alias("ord"), F.concat("answer", F.lit("\n")).alias("line"))
         large = responses.plan(lines, 0, 0, 1).where(F.col("tokens") > block_budget).select("response_id")
@@ -71,7 +72,7 @@ def folded(answers: DataFrame, make: Callable[[], Model], block_budget: int) ->
             return rows
         again = blocks_of(lines.join(large, "response_id", "left_semi"), block_budget)
         shorter = useful(inferred(again, make))
-        rows = rows.join(large, "response_id", "left_anti").unionByName(shorter).checkpoint()
+        rows = cut(rows.join(large, "response_id", "left_anti").unionByName(shorter))
     lines = rows.select("response_id", F.col("block").alias("ord"), F.col("answer").alias("line"))
     kept = responses.prefix_within(lines, block_budget).select("response_id", F.col("ord").alias("block"))
     return rows.join(kept, ["response_id", "block"], "left_semi")
