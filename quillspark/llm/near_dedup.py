@@ -11,12 +11,13 @@ band keys; documents that share one are candidates.
 
 Equal word sequences are one node, so copies never meet as candidates. In each bucket all nodes are compared with its
 centre (a star): the node that shares most bands with others, so that of a text and its variants the text is the centre. The
-pairs are verified by the weighted Jaccard similarity of the whole texts. Nodes that the centre doesn't resolve go to the
-next of ROUNDS rounds with a new centre. What is open then met by chance or belongs to a large group of loose variants;
-it is dealt again by pairs of bands, in whose smaller buckets similar nodes meet again (two nodes of similarity 0.8
-share two bands or more with a probability of 0.98), and takes the same rounds. So the work is linear in the nodes,
-every comparison is made through representatives and no group is expanded into pairs. Verified links are joined into
-classes by contraction.
+pairs are verified by the weighted Jaccard similarity of the whole texts. Verified links are joined into classes by
+contraction. Where a bucket's nodes then are in one class it is done. In the others every node outside its centre's class is
+compared, block by block, with all others of the bucket but those it is joined to and those that bounds prove less similar:
+one minus the similarity is a metric, so two nodes whose distances from the centre differ by more than that of two similar
+ones can't be similar, nor can nodes whose total weights differ too much. So a group of variants around a text takes linear work, no
+candidate is given up, and the classes are those of all candidate pairs; a group of many texts that share buckets without
+being similar costs comparisons as the square of its size.
 
 Defined cases: null counts as empty; texts of fewer than five words have one shingle, of all their words; texts
 without words are one class; a row with a null doc_id is a class by itself with a null class_id; repeated rows fall
@@ -40,7 +41,9 @@ from .words import Words, by_bytes, mix, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 5
-ROUNDS = 2
+BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Room for the rounding of similarities where their bounds leave a pair out.
+SLACK = 1e-6
 DF_BITS = 18
 TABLE_BITS = 16
 _OFFSET = np.float32(128)
@@ -229,19 +232,79 @@ def components(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def stars(rows: DataFrame, texts: DataFrame, idf: Broadcast, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) found in ROUNDS rounds over buckets ``rows`` (key, node, weight), and the rows then still open."""
-    found = None
-    for _ in range(ROUNDS):
-        # kept apart from the join, so that adaptive execution may split the partition of a large bucket
-        centres = cut(rows.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("centre")))
-        pairs = rows.join(centres, "key").where("node <> centre")
-        pairs = cut(pairs.select("key", "node", "weight", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
-        known = cut(pairs.join(verified(pairs.select("a", "b").distinct(), texts, idf), ["a", "b"]))
-        good = known.where(F.col("similarity") >= similarity).select("a", "b")
-        found = good if found is None else found.union(good)
-        rows = known.where(F.col("similarity") < similarity).select("key", "node", "weight")
-    return found, rows
+def starred(rows: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
+    """``rows`` (key, node, weight) with the pair (a, b) of each node and its bucket's centre and ``similarity``; the centre itself has 1."""
+    # kept apart from the join, so that adaptive execution may split the partition of a large bucket
+    centres = cut(rows.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("centre")))
+    pairs = cut(rows.join(centres, "key").select("key", "node", "centre", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
+    known = verified(pairs.select("a", "b").where("a <> b").distinct(), texts, idf)
+    return cut(pairs.join(known, ["a", "b"], "left").withColumn("similarity", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.col("similarity"))))
+
+
+def unsettled(known: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``known`` (see ``starred``) that must be compared further: key, node, root, far, apart (the distance from the centre).
+
+    A row is far if the links so far don't join it to its centre. Two rows that aren't far are joined already; a row that isn't
+    far is left out where no far row of its bucket can be similar to it, as their distances from the centre differ by too much.
+    """
+    named = roots.select("node", "root")
+    of_centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("home"))
+    rows = known.join(named, "node", "left").join(of_centre, "centre", "left")
+    root, home = F.coalesce("root", "node"), F.coalesce("home", "centre")
+    rows = cut(rows.select("key", "node", root.alias("root"), (root != home).alias("far"), (1 - F.col("similarity")).alias("apart"), (F.col("node") == F.col("centre")).alias("is_centre")))
+    reach = 1 - similarity + SLACK
+    bounds = rows.where("far").groupBy("key").agg((F.min("apart") - reach).alias("least"), (F.max("apart") + reach).alias("most"))
+    # the centre has been compared with all others
+    rows = cut(rows.join(cut(bounds), "key").where("NOT is_centre AND (far OR apart BETWEEN least AND most)").select("key", "node", "root", "far", "apart"))
+    # of buckets with the same rows one is enough
+    name = [F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20, 0)")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20, 0)")).alias("y")]
+    same = rows.groupBy("key").agg(*name, F.sum(F.col("far").cast("long")).alias("z")).join(rows.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")), "key")
+    keys = same.where("first <> last").groupBy("n", "x", "y", "z").agg(F.min("key").alias("key")).select("key")
+    return cut(rows.join(cut(keys), "key"))
+
+
+def compared(rows: DataFrame, texts: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
+    """Links (a, b) that join all similar rows of a bucket of ``rows`` (see ``unsettled``) of which one is far.
+
+    Rows of a bucket are dealt to blocks of about BLOCK rows and BLOCK_BYTES bytes, and every block of far rows meets every other block, so
+    that a large bucket is spread over many tasks. Within a task rows that are joined already aren't compared again.
+    """
+    sized = cut(rows.join(texts.select("node", F.octet_length("text").alias("bytes")), "node"))
+    blocks = lambda side: F.greatest(F.lit(1), F.ceil(F.count_if(side) / BLOCK), F.ceil(F.sum(F.when(side, F.col("bytes")).otherwise(0)) / BLOCK_BYTES)).cast("long")
+    counts = cut(sized.groupBy("key").agg(blocks(F.col("far")).alias("fars"), blocks(~F.col("far")).alias("homes")))
+    dealt = sized.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("far"), F.col("fars")).otherwise(F.col("homes"))))
+    # group (i, j): block i of far rows with block j of them, the first one also with the first block of the others, or with a further block of the others
+    parts = """CASE WHEN far THEN concat(transform(sequence(0L, fars - 1), x -> struct(least(x, block) AS i, greatest(x, block) AS j, x >= block AS pivot)),
+        transform(filter(sequence(1L, homes), h -> h < homes), h -> struct(block AS i, fars + h - 1 AS j, true AS pivot)))
+        ELSE transform(sequence(0L, fars - 1), x -> struct(x AS i, CASE WHEN block = 0 THEN x ELSE fars + block - 1 END AS j, false AS pivot)) END"""
+    groups = dealt.select("key", "node", "root", "apart", F.explode(F.expr(parts)).alias("part")).select("key", "part.i", "part.j", "part.pivot", "node", "root", "apart")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, pivot, apart, label = (table.column(c).to_numpy() for c in ("node", "pivot", "apart", "root"))
+        within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        code, weight, first = weighted_shingles(words_of(table.column("text").combine_chunks())[2], idf.value)
+        label, total = label.copy(), np.add.reduceat(weight, first[:-1])
+        distinct, at = np.unique(code, return_inverse=True)
+        one, places, out = np.zeros(len(distinct)), np.arange(len(node)), []
+        for p in np.flatnonzero(pivot).tolist():
+            open_ = (label != label[p]) & (np.abs(apart - apart[p]) <= 1 - similarity + SLACK)
+            open_ &= np.minimum(total, total[p]) >= (similarity - SLACK) * np.maximum(total, total[p])
+            open_ &= ~pivot | (places > p) if within else ~pivot
+            if not open_.any():
+                continue
+            own = slice(first[p], first[p + 1])
+            one[at[own]] = weight[own]
+            common = np.add.reduceat(np.minimum(one[at], weight), first[:-1])
+            one[at[own]] = 0
+            met = np.flatnonzero(open_ & (common >= similarity * (total + total[p] - common)))
+            if len(met):
+                out.extend((min(node[p], node[m]), max(node[p], node[m])) for m in met.tolist())
+                label[np.isin(label, label[met])] = label[p]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    joined = groups.join(texts, "node").select("key", "i", "j", "pivot", "node", "root", "apart", "text")
+    return cut(joined.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, idf: Broadcast, similarity: float = SIMILARITY) -> DataFrame:
@@ -252,12 +315,9 @@ def near_links(docs: DataFrame, nodes: DataFrame, idf: Broadcast, similarity: fl
     # a text from which many differ a little shares more bands with them than they do with each other
     weight = cut(shared.groupBy("node").agg(F.sum("n").alias("weight")))
     texts = _texts_of(docs, nodes.select("node", "same", "doc_id").join(weight.select("node"), "node"))
-    links, left = stars(shared.select("key", "node").join(weight, "node"), texts, idf, similarity)
-    # what is open is dealt again by pairs of bands: similar nodes share several, those that met by chance one
-    keys = left.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.max("weight").alias("weight")).where("size(keys) > 1")
-    finer = F.transform(F.slice("keys", F.col("i") + 2, F.size("keys")), lambda other: F.xxhash64(F.element_at("keys", F.col("i") + 1), other))
-    pairs = keys.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("keys") - 2))).select(F.explode(finer).alias("key"), "node", "weight")
-    return links.union(stars(cut(pairs), texts, idf, similarity)[0])
+    known = starred(shared.select("key", "node").join(weight, "node"), texts, idf)
+    links = cut(known.where((F.col("similarity") >= similarity) & (F.col("a") < F.col("b"))).select("a", "b").distinct())
+    return links.union(compared(unsettled(known, components(links), similarity), texts, idf, similarity))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -69,6 +69,38 @@ def test_classes_are_those_of_all_pairs(spark):
     assert {d: c for d, c in got.items() if d not in near_the_limit} == {d: c for d, c in wanted.items() if d not in near_the_limit}
 
 
+def classes_of_all_pairs(rows):
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, j), s in brute_pairs(rows).items():
+        if s >= nd.SIMILARITY:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
+def linked_in_one_bucket(spark, rows):
+    """The class of each of ``rows`` by the links found where all of them share one band and no other."""
+    docs = documents(spark, rows)
+    idf = spark.sparkContext.broadcast(nd.idf_table(nd.document_frequencies(docs)))
+    nodes = nd.signatures(docs, idf).selectExpr("doc_id AS node", "same", "doc_id", "array(7L) AS bands")
+    roots = {r.node: r.root for r in nd.components(nd.near_links(docs, nodes, idf)).collect()}
+    return {d: roots.get(d, d) for d, _ in rows}
+
+
+def test_loose_variants_without_a_hub_are_joined_as_by_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 100, raising=False)
+    rng = random.Random(3)
+    rows = []
+    for d, chosen in enumerate(rng.sample(range(1 << 11), 400)):
+        rows.append((d, " ".join(f"e{i // 9}" if i % 9 == 4 and chosen >> (i // 9) & 1 else f"b{i}" for i in range(100))))
+    assert linked_in_one_bucket(spark, rows) == classes_of_all_pairs(rows)
+
+
 def test_draws_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(0)
     code = np.sort(rng.integers(0, 1 << 63, 600, dtype=np.uint64))
