@@ -101,6 +101,18 @@ def test_loose_variants_without_a_hub_are_joined_as_by_all_pairs(spark, monkeypa
     assert linked_in_one_bucket(spark, rows) == classes_of_all_pairs(rows)
 
 
+def test_chains_of_edits_are_one_class_each(spark):
+    rows = []
+    for chain in range(5):
+        words = [f"c{chain}x{i}" for i in range(80)]
+        for step in range(7):
+            rows.append((7 * chain + step, " ".join(words)))
+            words[4 + 31 * step % 72] = f"c{chain}s{step}"
+    wanted = classes_of_all_pairs(rows)
+    assert sorted(set(wanted.values())) == [0, 7, 14, 21, 28]
+    assert linked_in_one_bucket(spark, rows) == wanted
+
+
 def test_draws_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(0)
     code = np.sort(rng.integers(0, 1 << 63, 600, dtype=np.uint64))
