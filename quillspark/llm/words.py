@@ -1,7 +1,9 @@
 """Words and word hashes of many texts at once, as numpy arrays.
 
-A word is a run of bytes other than ASCII white space, A-Z in lower case. Its hash is a polynomial of its bytes modulo
-2**64, taken from running sums, then mixed; so no Python code runs for each word.
+A word is a run of bytes other than ASCII white space, A-Z in lower case; each character from U+3000 to U+9FFF (Chinese,
+Japanese, their punctuation) is a word of its own, as such text has no spaces. A run of more than PIECE bytes is cut into
+words of PIECE bytes. A word's hash is a polynomial of its bytes modulo 2**64, taken from running sums, then mixed; so no
+Python code runs for each word, and no more than PIECE bytes are expanded at once.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once; a longer text is handled in pieces that end at white space.
+#: Bytes of text handled at once; a longer text is handled in pieces that end at white space or before a character that is a word.
 PIECE = 1 << 18
+#: First bytes in UTF-8 of the characters that are words, each of three bytes.
+FIRST_BYTE, LAST_BYTE = 0xE3, 0xE9
 BASE = 0x9E3779B97F4A7C15 | 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -23,7 +27,7 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def series(base: int) -> np.ndarray:
         out = np.full(n, base, np.uint64)
@@ -58,11 +62,14 @@ class Words:
 
 def _piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """hash, start, stop of the words in ``data``; a word also ends at each of the offsets ``breaks``."""
-    size = max(PIECE, 1 << int(len(data)).bit_length())
-    power, back = _powers(size)
+    power, back = _powers(PIECE)
     ink = ~_WHITE[data]
-    edge = np.zeros(len(data) + 1, bool)
+    edge = np.zeros(len(data) + 4, bool)
     edge[breaks] = True
+    own = np.flatnonzero((data >= FIRST_BYTE) & (data <= LAST_BYTE))
+    edge[own] = True
+    edge[own + 3] = True
+    edge = edge[: len(data) + 1]
     before = np.r_[False, ink[:-1]] & ~edge[:-1]
     after = np.r_[ink[1:], False] & ~edge[1:]
     start, stop = np.flatnonzero(ink & ~before), np.flatnonzero(ink & ~after) + 1
@@ -72,7 +79,10 @@ def _piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of about PIECE bytes that end at a text's end or at white space."""
+    """Ranges of PIECE bytes at most that end at a text's end, after white space or before a character that is a word.
+
+    Only a run of more than PIECE bytes without such a place, which then begins its range, is cut within.
+    """
     at, end = int(offsets[0]), int(offsets[-1])
     while at < end:
         stop = min(end, at + PIECE)
@@ -81,11 +91,11 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
             if offsets[i] > at:
                 stop = int(offsets[i])
             else:
-                white = np.flatnonzero(_WHITE[data[at:stop]])
-                while not len(white) and stop < min(end, int(offsets[i + 1])):
-                    step = min(end, int(offsets[i + 1]), stop + PIECE)
-                    white, stop = np.flatnonzero(_WHITE[data[stop:step]]) + (stop - at), step
-                stop = at + int(white[-1]) + 1 if len(white) else stop
+                some = data[at:stop]
+                white = np.flatnonzero(_WHITE[some])
+                own = np.flatnonzero((some >= FIRST_BYTE) & (some <= LAST_BYTE))
+                places = [x for x in (int(white[-1]) + 1 if len(white) else 0, int(own[-1]) if len(own) else 0) if x]
+                stop = at + max(places) if places else stop
         yield at, stop
         at = stop
 

@@ -74,18 +74,18 @@ def test_suffixes_of_awkward_rows(spark):
 
 
 def brute_sentences(rows, span, least):
-    """For each document the numbers of sentences in runs that occurred before."""
-    seen, out = {}, {}
+    """For each document the numbers of sentences in minimal runs that occurred before; a run is minimal if it can lose its first or its last sentence to nothing."""
+    seen, out = set(), {}
     for doc_id, text in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
         parts = [" ".join(words(text[a:b])) for a, b in span_dedup.sentences(text)]
+        enough = lambda i, end: end - i >= span and sum(len(p.split()) for p in parts[i:end]) >= least
         for i in range(len(parts)):
-            end = i
-            while end < len(parts) and (end - i < span or sum(len(p.split()) for p in parts[i:end]) < least):
-                end += 1
-            run = tuple(parts[i:end])
-            if len(run) >= span and sum(len(p.split()) for p in run) >= least:
-                if seen.setdefault(run, (doc_id, i)) != (doc_id, i):
-                    out.setdefault(doc_id, set()).update(range(i, end))
+            for end in range(i + 1, min(len(parts), i + least) + 1):
+                if enough(i, end) and (not enough(i, end - 1) or not enough(i + 1, end)):
+                    run = tuple(parts[i:end])
+                    if run in seen:
+                        out.setdefault(doc_id, set()).update(range(i, end))
+                    seen.add(run)
     return out
 
 
@@ -108,6 +108,26 @@ def _outside(text, cuts):
     yield text[at:]
 
 
+def test_the_last_short_sentences_of_a_passage_go(spark):
+    sentence = lambda n, k: " ".join(f"w{k}x{i}" for i in range(n)) + "."
+    passage = " ".join(sentence(n, k) for k, n in enumerate((14, 14, 14, 10)))
+    rows = [(d, f"{sentence(9, f'a{d}')} {passage} {sentence(9, f'b{d}')}") for d in range(3)]
+    assert {r.doc_id: r.n_removed for r in span_dedup.without_repeats(documents(spark, rows)).collect()} == {1: 4, 2: 4}
+
+
+def test_spans_of_several_texts_of_one_id(spark):
+    prose = " ".join(f"Sentence number {i} has some words in it." for i in range(6))
+    other = " ".join(f"Quite another line {i} stands here instead." for i in range(6))
+    got = span_dedup.without_repeats(documents(spark, [(1, prose), (2, f"Start of it. {prose}"), (2, other)])).collect()
+    assert [(r.doc_id, r.source_ids, r.text.strip()) for r in got] == [(2, [1], "Start of it.")]
+
+
+def test_spans_of_text_without_spaces(spark):
+    passage = "今日の会議では予算について話しました。来週までに資料を準備することになりました。担当は田中さんです。"
+    rows = [(1, passage), (2, f"これは別の文です。{passage}最後の一文はここにあります！"), (3, "全く違う内容の文章がここに書かれています。")]
+    assert [(r.doc_id, r.n_removed, r.text) for r in span_dedup.without_repeats(documents(spark, rows)).collect()] == [(2, 3, "これは別の文です。最後の一文はここにあります！")]
+
+
 def test_spans_of_awkward_rows(spark):
     prose = " ".join(f"Sentence number {i} has some words in it." for i in range(6))
     rows = AWKWARD + [(50, prose), (50, prose), (51, f"Other start. {prose}"), (52, "Yes! No! Yes! No!"), (53, "Yes! No! Yes! No!")]
