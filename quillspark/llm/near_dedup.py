@@ -214,16 +214,23 @@ def verified(links: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root, the smallest node of its component, for every node of ``edges`` (a, b)."""
+    """node and root, a node of its component, for every node of ``edges`` (a, b).
+
+    Every node hooks to its smallest neighbour, hooks are followed once, and the edges contracted; smallest by number in one round, which
+    ends stars, and by a hash of it in the next, which shrinks chains by a constant factor whatever their numbers.
+    """
     left = cut(edges.select("a", "b").where("a <> b").distinct())
-    roots = None
+    roots, turn = None, 0
     while not left.isEmpty():
+        rank = lambda c: F.struct((F.xxhash64(c, F.lit(turn)) if turn % 2 else F.lit(0).cast("long")).alias("order"), F.col(c).alias("node"))  # noqa: B023, E731
         both = left.union(left.select("b", "a"))
-        to = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
+        hooks = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("next")).select("node", F.least("next", rank("node"))["node"].alias("root")))
+        step = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        to = cut(hooks.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
         a = to.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
         b = to.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-        left = left.join(a, "a").join(b, "b").where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        left = cut(left.distinct())
+        left = left.join(a, "a").join(b, "b").where("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
+        left, turn = cut(left.distinct()), turn + 1
         if roots is None:
             roots = to
         else:

@@ -89,7 +89,10 @@ def linked_in_one_bucket(spark, rows):
     idf = spark.sparkContext.broadcast(nd.idf_table(nd.document_frequencies(docs)))
     nodes = nd.signatures(docs, idf).selectExpr("doc_id AS node", "same", "doc_id", "array(7L) AS bands")
     roots = {r.node: r.root for r in nd.components(nd.near_links(docs, nodes, idf)).collect()}
-    return {d: roots.get(d, d) for d, _ in rows}
+    least = {}
+    for d, _ in rows:
+        least[roots.get(d, d)] = min(d, least.get(roots.get(d, d), d))
+    return {d: least[roots.get(d, d)] for d, _ in rows}
 
 
 def test_loose_variants_without_a_hub_are_joined_as_by_all_pairs(spark, monkeypatch):
@@ -152,3 +155,10 @@ def test_dropping_keeps_one_of_each_class(spark):
     docs = documents(spark, AWKWARD)
     kept = nd.drop_near(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 4, 4, 6, 8, 9]
+
+
+def test_long_chains_and_stars_contract(spark):
+    chain = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + i * 7 % 101) for i in range(101)] + [(5000, 4000 + i) for i in range(300)]
+    roots = {r.node: r.root for r in nd.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert len({roots[i] for i in range(201)}) == 1 and len({roots[4000 + i] for i in range(300)} | {roots[5000]}) == 1
+    assert not {roots[i] for i in range(201)} & {roots[4000 + i] for i in range(300)}
