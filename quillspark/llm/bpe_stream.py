@@ -6,13 +6,17 @@ are finite; ``sufficient_lookahead`` is the length of the longest one, taken ove
 with that many symbols read behind them are final. The transducer keeps no more than that many symbols and the
 longest token; what comes out is what encoding the whole would give.
 
-The input is cut into the words of the tokenizer's own pre-tokenizer, at whose ends all tokens are final. Words of
-ordinary length are remembered, up to a fixed number for each Python worker.
+The input is cut into the words of the tokenizer's own pre-tokenizer, at whose ends all tokens are final. Every word goes
+through the transducer's window; what came out for words of ordinary length is remembered, up to a fixed number for each
+Python worker. Text is read in pieces of READ_CHARS characters that end where neither a composed character nor a special
+string can go on; a word that goes on beyond its piece stays open, so a text without white space, or one word of any
+length, takes constant memory too.
 
 The file is a ``tokenizers`` JSON file of the kind: NFC, white space, lower case; words by pattern; byte-level BPE with
 a word-end suffix. Its path is a parameter and must be readable on every executor.
 Defined cases: a null text counts as empty, has no tokens and decodes to the empty text; repeated rows give repeated
-results; other columns are ignored.
+results; a very long text or word takes constant memory beside itself (a run of combining marks alone is held until it
+ends); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import hashlib
 import json
 import struct
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -69,30 +73,113 @@ def sufficient_lookahead(merges: list[tuple[str, str]], size: dict[str, int]) ->
     return most
 
 
+class Window:
+    """The symbols of one word, given piece by piece: ``push`` returns the tokens that are final, ``end`` the rest."""
+
+    def __init__(self, model: BytePairs) -> None:
+        self.model, self.symbols = model, []
+
+    def push(self, symbols: list[str]) -> list[str]:
+        model, out, at = self.model, [], 0
+        while at < len(symbols):
+            take = model.window - len(self.symbols)
+            self.symbols += symbols[at : at + take]
+            at += take
+            if len(self.symbols) >= model.window:
+                used = 0
+                for token in model.merged(self.symbols[:]):
+                    n = model.symbols.get(token, 1)
+                    if used + n + model.lookahead > model.window:
+                        break
+                    out.append(token)
+                    used += n
+                self.symbols = self.symbols[used:]
+        return out
+
+    def end(self) -> list[str]:
+        return self.model.merged(self.symbols)
+
+
 class Transducer:
-    """Encodes text given piece by piece: ``feed`` returns the ids that are final, ``end`` the rest."""
+    """Encodes text given piece by piece: ``feed`` returns packed ids that are final, ``end`` the rest."""
 
     def __init__(self, model: BytePairs) -> None:
         self.model, self.pending = model, ""
+        #: The normalised end of what was read, which later text may change.
+        self.head = ""
+        #: A word longer than a piece: what it goes on with, its window, and its last symbol.
+        self.open: tuple[regex.Pattern, Window, str] | None = None
 
-    def feed(self, text: str) -> list[bytes]:
-        """Packed ids of the words that end in what has come so far.
-
-        What may still change is kept: after the last white space, where neither a word, nor a composed character nor
-        a special string can go on.
-        """
+    def feed(self, text: str) -> bytes:
         self.pending += text
-        if len(self.pending) < READ_CHARS:
-            return []
-        spaces = self.model.last_white(self.pending)
-        if spaces < 0:
-            return []
-        ready, self.pending = self.pending[:spaces], self.pending[spaces:]
-        return list(self.model.words(ready))
-
-    def end(self) -> list[bytes]:
+        at = self.model.safe_end(self.pending) if len(self.pending) >= READ_CHARS else 0
+        ready, self.pending = self.pending[:at], self.pending[at:]
+        return b"".join(self._read(ready, True)) if ready else b""
+
+    def end(self) -> bytes:
         ready, self.pending = self.pending, ""
-        return list(self.model.words(ready))
+        return b"".join(self._read(ready, False))
+
+    def _read(self, text: str, more: bool) -> Iterator[bytes]:
+        model = self.model
+        parts = model.split.split(text) if model.split else [text]
+        for n, part in enumerate(parts):
+            if n % 2:
+                yield struct.pack("<I", model.special[part])
+            else:
+                yield from self._words(model.normalised(part), more and n == len(parts) - 1)
+
+    def _words(self, part: str, more: bool) -> Iterator[bytes]:
+        """Ids of the words of ``part``; with ``more`` to come what may still change is kept."""
+        model, known, at = self.model, self.model.known, 0
+        if self.head:
+            part, self.head = self.head + part, ""
+        if self.open is not None:
+            found = self.open[0].match(part)
+            at = found.end() if found else 0
+            yield self._pushed(part[:at])
+            if at == len(part) and more:
+                return
+            yield self._closed()
+        pattern = model.pattern_for(part)
+        if not more:
+            for word in pattern.findall(part, at):
+                ids = known.get(word)
+                yield model.ids(word) if ids is None else ids
+            return
+        held: list[regex.Match] = []
+        for m in pattern.finditer(part, at):
+            if len(held) == 2:
+                yield model.ids(held.pop(0)[0])
+            held.append(m)
+        if held and held[-1].end() == len(part):
+            last = held.pop()
+            if len(last[0]) >= READ_CHARS:
+                opened = last[0]
+            else:
+                opened = ""
+                # few letters may yet make another word with a mark before them
+                joined = held and len(last[0]) < 4 and held[-1].end() == last.start()
+                self.head = part[held.pop().start() if joined else last.start() :]
+        else:
+            opened = ""
+        for m in held:
+            yield model.ids(m[0])
+        if opened:
+            self.open = (model.letters if model.letters.match(opened) else model.marks, Window(model), "")
+            yield self._pushed(opened)
+
+    def _pushed(self, text: str) -> bytes:
+        kind, window, last = self.open
+        symbols = self.model.symbols_of(text)
+        if not symbols:
+            return b""
+        self.open = (kind, window, symbols.pop())
+        return self.model.packed(window.push([last, *symbols] if last else symbols))
+
+    def _closed(self) -> bytes:
+        (_, window, last), self.open = self.open, None
+        return self.model.packed(window.push([last + self.model.suffix]) + window.end())
 
 
 class BytePairs:
@@ -116,7 +203,10 @@ class BytePairs:
         self.later = regex.compile(f"[{later}]") if later else None
         known = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^{WHITE}\p{{L}}\p{{N}}]||[{later}]]")
         self.word_later = regex.compile("(?V1)" + known.replace(r"[\p{L}]", rf"[\p{{L}}--[{later}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{later}]]")) if later else self.word
-        self.white = regex.compile(f"[{WHITE}]")
+        # what a word of letters, or of neither letters, digits nor white space, goes on with
+        self.letters = regex.compile(rf"(?V1)[\p{{L}}--[{later}]]+" if later else r"\p{L}+")
+        self.marks = regex.compile(rf"(?V1)[[^{WHITE}\p{{L}}\p{{N}}]||[{later}]]+" if later else rf"[^{WHITE}\p{{L}}\p{{N}}]+")
+        self.longest_special = max(map(len, self.special), default=1)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.alphabet = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
         self.text = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
@@ -127,8 +217,19 @@ class BytePairs:
         # lower case character by character: no final sigma
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def last_white(self, text: str) -> int:
-        return max((m.start() for m in self.white.finditer(text, max(0, len(text) - READ_CHARS))), default=-1)
+    def safe_end(self, text: str) -> int:
+        """The last place at which ``text`` may be cut whatever follows: within no special string, before no character that can combine with what is before it."""
+        at = len(text) - self.longest_special
+        while at > 0 and text[at] >= "\u0300" and (unicodedata.category(text[at])[0] == "M" or "\u1160" <= text[at] <= "\u11ff" or "\ud7b0" <= text[at] <= "\ud7ff"):
+            at -= 1
+        for m in self.split.finditer(text, max(0, at - self.longest_special), at + self.longest_special) if self.split else ():
+            if m.start() < at < m.end():
+                at = m.start()
+        return max(0, at)
+
+    def pattern_for(self, text: str) -> regex.Pattern:
+        rare = self.later is not None and not text.isascii() and self.later.search(text)
+        return self.word_later if rare else self.word
 
     def merged(self, parts: list[str]) -> list[str]:
         """Merges in place: the adjacent pair of the smallest rank first, the leftmost of equals."""
@@ -147,69 +248,39 @@ class BytePairs:
                 ranks[i] = get((parts[i], parts[i + 1]), NO_MERGE)
         return parts
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[str]:
-        """Tokens of a word's symbols, each as soon as it is final, in memory of the lookahead's size."""
-        window: list[str] = []
-        for symbol in symbols:
-            window.append(symbol)
-            if len(window) >= self.window:
-                used = 0
-                for token in self.merged(window[:]):
-                    n = self.symbols.get(token, 1)
-                    if used + n + self.lookahead > len(window):
-                        break
-                    yield token
-                    used += n
-                window = window[used:]
-        yield from self.merged(window)
-
-    def _symbols(self, word: str) -> Iterator[str]:
-        before = ""
-        for char in word:
-            for symbol in char.encode("utf-8").decode("latin-1").translate(self.alphabet):
-                if before:
-                    yield before
-                before = symbol
-        yield before + self.suffix
+    def symbols_of(self, text: str) -> list[str]:
+        return list(text.encode("utf-8").decode("latin-1").translate(self.alphabet))
+
+    def packed(self, tokens: list[str]) -> bytes:
+        ids = [self.vocab[t] for t in tokens if t in self.vocab]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def tokens(self, word: str) -> list[str]:
+        """Tokens of one word of the pre-tokenizer, through the transducer's window."""
+        symbols, window = self.symbols_of(word), Window(self)
+        symbols[-1] += self.suffix
+        return window.push(symbols) + window.end()
 
     def ids(self, word: str) -> bytes:
         """Packed ids of one word of the pre-tokenizer."""
         found = self.known.get(word)
         if found is None:
-            if len(word) * 4 < self.window:  # at most four bytes a character: the word ends before the window is full
-                parts = list(word.encode("utf-8").decode("latin-1").translate(self.alphabet))
-                parts[-1] += self.suffix
-                tokens = self.merged(parts)
-            else:
-                tokens = self.stream(self._symbols(word))
-            ids = [self.vocab[t] for t in tokens if t in self.vocab]
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            found = self.packed(self.tokens(word))
             if len(word) <= self.longest * 4:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
                 self.known[word] = found
         return found
 
-    def words(self, text: str) -> Iterator[bytes]:
-        known = self.known
-        for n, part in enumerate(self.split.split(text) if self.split else [text]):
-            if n % 2:
-                yield struct.pack("<I", self.special[part])
-                continue
-            part = self.normalised(part)
-            rare = self.later is not None and not part.isascii() and self.later.search(part)
-            for word in (self.word_later if rare else self.word).findall(part):
-                found = known.get(word)
-                yield self.ids(word) if found is None else found
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """The ids of a text as little-endian unsigned 32-bit integers, in pieces."""
+        machine = Transducer(self)
+        for at in range(0, len(text), READ_CHARS):
+            yield machine.feed(text[at : at + READ_CHARS])
+        yield machine.end()
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if len(text) < READ_CHARS:
-            return b"".join(self.words(text))
-        machine, out = Transducer(self), []
-        for at in range(0, len(text), READ_CHARS):
-            out += machine.feed(text[at : at + READ_CHARS])
-        return b"".join([*out, *machine.end()])
+        return b"".join(self.pieces(text))
 
 
 class Decoder:
@@ -286,12 +357,13 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of ``docs``: encoded, and decoded from the ids."""
 
     def digests(model: BytePairs, text: str) -> tuple[int, str, str]:
-        ids, machine = model.encode(text), Decoder(model)
-        digest = hashlib.sha256()
-        for at in range(0, len(ids), READ_CHARS):
-            digest.update(machine.feed(ids[at : at + READ_CHARS]).encode())
-        digest.update(machine.end().encode())
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), digest.hexdigest()
+        n, machine, of_ids, of_text = 0, Decoder(model), hashlib.sha256(), hashlib.sha256()
+        for ids in model.pieces(text):
+            n += len(ids) // 4
+            of_ids.update(ids)
+            of_text.update(machine.feed(ids).encode())
+        of_text.update(machine.end().encode())
+        return n, of_ids.hexdigest(), of_text.hexdigest()
 
     return _mapped(docs, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
 

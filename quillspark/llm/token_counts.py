@@ -6,16 +6,18 @@ before it. The table of last tokens is filled from left to right, and with it
 
     count[i] = count[i - len(last)] + 1
 
-holds the token count of *every* prefix. Truncation to a token budget and the check whether a text fits are lookups in
-that table; nothing is encoded again.
+holds the token count of *every* prefix. ``prefix_counts`` stores it; truncation to a token budget and the check whether a
+text fits (``within_budget``) are lookups in that table; nothing is encoded again. Where only the whole's count is wanted,
+the last entries of the chunks' tables are added up.
 
 The vocabulary has no piece in which something else than a space precedes a space, and none with a line break or tab
 and another character, so a text falls into chunks (spaces and the word after them) whose tables are independent;
 their counts add up. Tables of chunks are remembered, up to a fixed number for each Python worker.
 
 The vocabulary comes from a ``.model`` file (its path is a parameter) that every executor can open.
-Defined cases: a null text counts as empty and has no tokens; columns other than id and text are ignored or kept as
-stated; repeated rows give repeated results.
+Defined cases: a null text counts as empty and has no tokens; a very long text, or word, takes time and memory in
+proportion to its length (a table has four bytes for each character); columns other than id and text are ignored;
+repeated rows give repeated results; a prefix of a negative budget is empty; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ from .stages import with_columns_of
 
 TOKEN_LIMIT = 4096
 REMEMBERED = 400_000
+#: Characters of the longest chunk whose count is remembered.
+REMEMBERED_CHARS = 64
 SPACE = "▁"
 
 
@@ -45,7 +50,7 @@ class PrefixTable:
         skip = lambda i: sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not skip(i)}
         inner = next((p for p in self.score if SPACE in p.lstrip(SPACE) or (len(p) > 1 and re.search(r"[\n\t]", p))), None)
-        if inner is not None or sp.encode("a") != sp.encode(" a".lstrip()):
+        if inner is not None:
             raise ValueError(f"not a vocabulary whose words are independent: {inner!r}")
         self.longest = max(map(len, self.score))
         self.space_run = max(len(p) for p in self.score if not p.strip(SPACE))
@@ -116,42 +121,53 @@ class PrefixTable:
     def of_chunk(self, text: str) -> int:
         found = self.counts.get(text)
         if found is None:
-            if len(self.counts) >= 2 * REMEMBERED:
-                self.counts.clear()
-            found = self.counts[text] = self.chunk(text)[-1] if text else 0
+            found = self.chunk(text)[-1]
+            if len(text) <= REMEMBERED_CHARS:
+                if len(self.counts) >= 2 * REMEMBERED:
+                    self.counts.clear()
+                self.counts[text] = found
         return found
 
     def _spaces(self, n: int) -> int:
         return -(-n // self.space_run)
 
+    def of_run(self, n: int, word: str) -> list[int]:
+        """count[i] for every prefix of ``n`` spaces and a word; the last space goes with the word if its first token takes it."""
+        if n == 0:
+            return self.chunk(word)
+        out = [self._spaces(i) for i in range(n + 1)]
+        if not word:
+            return out
+        last = self.lasts(SPACE + word)
+        count, alone = [0, self.price(SPACE)], [False, True]  # alone: the path to here leaves the space a token of its own
+        for end in range(2, len(last)):
+            start = end - len(last[end])
+            count.append(count[start] + self.price(last[end]))
+            alone.append(alone[start])
+            out.append(count[end] - 1 + out[n] if alone[end] else count[end] + out[n - 1])
+        return out
+
     def _run(self, n: int, word: str) -> int:
-        """Tokens of ``n`` spaces and a word: the last space goes with the word if its first token takes it."""
+        """Tokens of ``n`` spaces and a word."""
         if not word:
             return self._spaces(n)
-        if n == 1:
-            return self.of_chunk(SPACE + word)
-        with_space = self.of_chunk(SPACE + word)
-        apart = self.of_chunk(word) + 1
-        joined = not (with_space == apart and self._splits(word))
-        return with_space + self._spaces(n - 1) if joined else with_space - 1 + self._spaces(n)
-
-    def _splits(self, word: str) -> bool:
-        """Whether a space before ``word`` stays a token of its own: its table's path passes the prefix of one."""
-        text = SPACE + word
-        last = self.lasts(text)
-        end = len(text)
-        while end > 1:
-            end -= len(last[end])
-        return end == 1
-
-    def prefixes(self, text: str) -> list[tuple[int, int]]:
-        """(characters, tokens) at the end of every chunk of the text, the last entry being the whole."""
-        out, tokens, at = [], 0, 0
+        return self.of_chunk(SPACE * min(n, 1) + word) if n < 2 else self.of_run(n, word)[-1]
+
+    def prefixes(self, text: str) -> Iterator[int]:
+        """The tokens of every prefix of the text, from the empty one to the whole."""
+        if not text:
+            yield 0
+            return
+        tokens, first = 0, True
         for n, word, mark in self._chunks(text):
-            tokens += 1 if mark else self._run(n, word) if n else self.of_chunk(word)
-            at += 1 if mark else n + len(word)
-            out.append((max(0, at - 1), tokens))
-        return out
+            counts = [0, 1] if mark else self.of_run(n, word)
+            # the space that is put before a text is not one of its characters: of its own prefixes the empty one has no token
+            for at, count in enumerate(counts[1:], 1):
+                if not first or at > 1:
+                    yield tokens + count
+                else:
+                    yield 0
+            tokens, first = tokens + counts[-1], False
 
     def _chunks(self, text: str) -> Iterator[tuple[int, str, str]]:
         for found in re.finditer(rf"({SPACE}*)([^{SPACE}\n\t]+)|({SPACE}+)|([\n\t])", SPACE + text.replace(" ", SPACE) if text else ""):
@@ -164,7 +180,7 @@ class PrefixTable:
             return 0
         text, total, known = text.replace(SPACE, " "), 0, self.counts
         if "\t" in text or "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] in " \n":
-            return self.prefixes(text)[-1][1]
+            return sum(1 if mark else self._run(n, word) for n, word, mark in self._chunks(text))
         lines = (SPACE + text.replace(" ", " " + SPACE)).split("\n")
         total = len(lines) - 1
         for line in lines:
@@ -173,20 +189,6 @@ class PrefixTable:
                 total += self.of_chunk(word) if n is None else n
         return total
 
-    def fit(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix with at most ``budget`` tokens."""
-        best, before = 0, 0
-        at = 0
-        for n, word, mark in self._chunks(text):
-            steps = [mark] if mark else [SPACE] * n + list(word)
-            for i in range(1, len(steps) + 1):
-                here = 1 if mark else self._run(min(i, n), word[: i - n] if i > n else "") if n else self.of_chunk(word[:i])
-                if before + here <= budget:
-                    best = max(best, at + i)
-            before += here
-            at += len(steps)
-        return max(0, best - 1)
-
 
 @lru_cache(maxsize=4)
 def prefix_table(model: str) -> PrefixTable:
@@ -209,31 +211,26 @@ def count_tokens(docs: DataFrame, model: str, limit: int = TOKEN_LIMIT) -> DataF
 
 
 def prefix_counts(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id and ``prefixes``: an array of (n_chars, n_tokens) at the end of every chunk of the text, in order."""
+    """doc_id, text and ``counts``: the tokens of every prefix of the text, by its characters, from the empty prefix on."""
     rows = with_columns_of(docs, doc_id="bigint", text="string")
-    kind = pa.list_(pa.struct([("n_chars", pa.int64()), ("n_tokens", pa.int64())]))
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(model)
         for batch in batches:
-            found = [[{"n_chars": c, "n_tokens": t} for c, t in table.prefixes((x.as_py() or "").replace(SPACE, " "))] for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "prefixes"])
-
-    return rows.mapInArrow(tables, "doc_id long, prefixes array<struct<n_chars: long, n_tokens: long>>")
-
+            for i in range(batch.num_rows):  # a table has four bytes for each character: one at a time
+                counts = np.fromiter(table.prefixes((batch.column(1)[i].as_py() or "").replace(SPACE, " ")), np.int32)
+                lists = pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), lists], ["doc_id", "text", "counts"])
 
-def truncate_to_budget(docs: DataFrame, model: str, budget: int) -> DataFrame:
-    """doc_id and ``text`` cut to its longest prefix of at most ``budget`` tokens, read off the prefix table."""
-    rows = with_columns_of(docs, doc_id="bigint", text="string")
+    return rows.mapInArrow(tables, "doc_id long, text string, counts array<int>")
 
-    def cut_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = prefix_table(model)
-        for batch in batches:
-            texts = [x.as_py() or "" for x in batch.column(1)]
-            texts = [t[: table.fit(t, budget)] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.mapInArrow(cut_down, "doc_id long, text string")
+def within_budget(tables: DataFrame, budget: int) -> DataFrame:
+    """doc_id, n_tokens, fits, n_chars and ``text`` (its longest prefix of at most ``budget`` tokens), looked up in ``prefix_counts``."""
+    n_tokens = F.element_at("counts", -1)
+    after = F.array_position(F.transform(F.reverse("counts"), lambda c: c <= budget), True)
+    rows = tables.select("doc_id", n_tokens.cast("long").alias("n_tokens"), (n_tokens <= budget).alias("fits"), (F.size("counts") - after).cast("int").alias("n_chars"), "text")
+    return rows.withColumn("text", F.expr("substring(coalesce(text, ''), 1, n_chars)"))
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:

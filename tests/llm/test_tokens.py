@@ -3,6 +3,8 @@
 import hashlib
 import random
 import struct
+import time
+from functools import lru_cache
 
 import public_tokenizers
 import pytest
@@ -18,6 +20,20 @@ TEXT = st.text(st.one_of(st.sampled_from(list("abcdethe  \n\t.,!'0129éßçñ▁
 ODD = ["", " ", "  a  b ", "\n\n", "a\nb\n", "\t tab", " lead", "trail ", "▁▁x", "<s> </s> <unk>", "İ ΑΣ Σ ΣΑΣ.", "'s it's 'LL", "1234 56", "é é", "<|endoftext|>a<|startoftext|>", "x" * 3000, "😀" * 100]
 
 
+@lru_cache
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(WORD)
+
+
+@lru_cache
+def pieces():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=PIECE)
+
+
 @pytest.fixture(scope="module")
 def piece():
     import sentencepiece
@@ -58,22 +74,54 @@ def test_counts_of_odd_texts(piece, text):
 @settings(max_examples=300, deadline=None)
 @given(TEXT)
 def test_counts_of_any_text(text):
-    import sentencepiece
-
-    assert tc.prefix_table(PIECE).count(text) == len(sentencepiece.SentencePieceProcessor(model_file=PIECE).encode(text))
+    assert tc.prefix_table(PIECE).count(text) == len(pieces().encode(text))
 
 
 def test_prefixes_answer_budgets_without_encoding_again(spark, piece):
     rng = random.Random(2)
-    rows = [(i, " ".join("".join(rng.choice("theaninor") for _ in range(rng.randint(1, 9))) for _ in range(40))) for i in range(20)]
-    docs = documents(spark, rows)
-    for r in tc.prefix_counts(docs, PIECE).collect():
-        text = dict(rows)[r.doc_id]
-        assert all(len(piece.encode(text[:n])) == k for n, k in r.prefixes)
-    for r in tc.truncate_to_budget(docs, PIECE, 25).collect():
-        text = dict(rows)[r.doc_id]
-        assert text.startswith(r.text) and len(piece.encode(r.text)) <= 25
-        assert all(len(piece.encode(text[:n])) > 25 for n in range(len(r.text) + 1, len(text) + 1))
+    rows = [(i, " ".join("".join(rng.choice("theaninor") for _ in range(rng.randint(1, 9))) for _ in range(40))) for i in range(10)]
+    rows += [(100 + i, t) for i, t in enumerate(ODD) if "▁" not in t and len(t) < 200] + [(200, None), (201, "日本語 🙂 ok")]
+    tables = tc.prefix_counts(documents(spark, rows), PIECE)
+    for r in tables.collect():
+        text = dict(rows)[r.doc_id] or ""
+        assert [len(piece.encode(text[:n])) for n in range(len(text) + 1)] == r.counts, text
+    for budget in (0, 25):
+        for r in tc.within_budget(tables, budget).collect():
+            text = dict(rows)[r.doc_id] or ""
+            assert (r.n_tokens, r.fits) == (len(piece.encode(text)), len(piece.encode(text)) <= budget)
+            assert text.startswith(r.text) and len(r.text) == r.n_chars and len(piece.encode(r.text)) <= budget
+            assert all(len(piece.encode(text[:n])) > budget for n in range(len(r.text) + 1, len(text) + 1))
+
+
+def test_times_grow_in_proportion_to_a_words_length():
+    table, model, rng = tc.prefix_table(PIECE), bs.byte_pairs(WORD), random.Random(4)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(200_000))
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    for f in (lambda n: list(table.prefixes(word[:n])), lambda n: model.encode(word[:n]), lambda n: model.encode(word[:n].translate(LETTERS))):
+        f(2000)
+        assert seconds(lambda: f(200_000)) < 30 * max(0.05, seconds(lambda: f(20_000)))  # noqa: B023
+
+
+LETTERS = str.maketrans("0123456789+/", "zyxwvutsrqpo")
+
+
+def test_a_text_without_white_space_takes_constant_memory():
+    """Fed a piece at a time, the machine holds no more than a piece, and gives what the library gives."""
+    rng, model = random.Random(5), bs.byte_pairs(WORD)
+    for alphabet in ("abcdefghij", "ab1'-<|>.s", "?!-.", "e\u0301a\u0300\u1100\u1161\u11a8Σ", "日本語ab"):
+        text = "".join(rng.choice(alphabet) for _ in range(300_000)) + "<|endoftext|>" + "".join(rng.choice(alphabet) for _ in range(200_000))
+        machine, out = bs.Transducer(model), []
+        for at in range(0, len(text), 50_000):
+            out.append(machine.feed(text[at : at + 50_000]))
+            assert len(machine.pending) + len(machine.head) < 4 * bs.READ_CHARS
+            assert machine.open is None or len(machine.open[1].symbols) <= model.window
+        out.append(machine.end())
+        assert ids_of(b"".join(out)) == library().encode(text, add_special_tokens=False).ids
 
 
 def test_awkward_rows(spark, piece, word):
@@ -99,9 +147,7 @@ def test_bpe_is_the_librarys(spark, sf_dir, word):
 @settings(max_examples=300, deadline=None)
 @given(TEXT)
 def test_bpe_of_any_text(text):
-    from tokenizers import Tokenizer
-
-    model, t = bs.byte_pairs(WORD), Tokenizer.from_file(WORD)
+    model, t = bs.byte_pairs(WORD), library()
     ids = t.encode(text, add_special_tokens=False).ids
     machine = bs.Decoder(model)
     assert ids_of(model.encode(text)) == ids and machine.feed(model.encode(text)) + machine.end() == t.decode(ids, skip_special_tokens=False)
@@ -112,8 +158,9 @@ def test_tokens_of_a_long_word_are_final_once_emitted():
     rng, model = random.Random(7), bs.byte_pairs(WORD)
     for alphabet in ("ab", "theinorst", "xyzq"):
         word = "".join(rng.choice(alphabet) for _ in range(4000))
-        symbols = list(model._symbols(word))
-        assert list(model.stream(symbols)) == model.merged(symbols[:])
+        symbols = model.symbols_of(word)
+        symbols[-1] += model.suffix
+        assert model.tokens(word) == model.merged(symbols)
 
 
 def test_feeding_in_pieces_changes_nothing():
@@ -121,8 +168,8 @@ def test_feeding_in_pieces_changes_nothing():
     text = "".join(rng.choice("the in or\n é 12 ") for _ in range(300_000))
     machine, out = bs.Transducer(model), []
     for at in range(0, len(text), 7777):
-        out += machine.feed(text[at : at + 7777])
-    assert b"".join([*out, *machine.end()]) == model.encode(text) == b"".join(model.words(text))
+        out.append(machine.feed(text[at : at + 7777]))
+    assert b"".join([*out, machine.end()]) == model.encode(text) == b"".join(bs.Transducer(model)._read(text, False))
 
 
 def test_decoding_in_pieces_and_to_the_spelled_text(spark):
