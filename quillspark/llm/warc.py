@@ -2,7 +2,8 @@
 
 ``write_archives`` writes each partition as files that are one gzip stream each, the form in which archives often come
 and which can't be entered in the middle. ``normalise`` inflates such a stream once, from its start to its end in
-bounded memory, rewrites every record as a gzip member of its own and writes a sidecar index of the members' offsets.
+bounded memory, rewrites every record as a gzip member of its own and writes a sidecar index of the members' offsets;
+a stream that ends before its trailer raises.
 ``read_records`` reads members by that index, so tasks share a file's records freely.
 
 Archives lie in a folder that driver and executors share (by default below the checkpoint folder), opened with
@@ -10,7 +11,8 @@ pyarrow's file systems. A task writes to a name of its own attempt; only the nam
 in a checkpointed manifest, are read afterwards, so a repeated task or a lost executor does no harm.
 
 Payloads: of the pages with equal payloads of ``least_revisit`` bytes or more, that with the largest page_id is written
-as ``response``, the others as ``revisit`` of it, without the payload; smaller ones are all ``response``.
+as ``response``, the others as ``revisit`` of it (by its target URI and date), without the payload; smaller ones are all
+``response``. Every archive begins with a ``warcinfo`` record. Pages carry no time, so ``WARC-Date`` is a parameter.
 Defined cases: a null html is an empty payload; a null url is written empty; a null page_id is written without id and
 refers, or is referred to, as null; repeated rows (same id, same payload) are all ``response`` if theirs is the
 largest id; an empty table gives no archives; other columns are ignored.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,6 +37,8 @@ from .stages import checkpoint_dir, cut, with_columns_of
 #: Compressed bytes read at once; deflate makes at most about a thousand times as many of them.
 READ_BYTES = 1 << 15
 ROLL_BYTES = 256 << 20
+#: Bytes of members that a task reads.
+TASK_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
@@ -51,20 +56,35 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, number: int) -> bytes:
+def _head(fields: dict[str, str]) -> bytes:
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n"
+
+
+def _uri(url: str | None) -> str:
+    return "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in url or "")
+
+
+def info_bytes(name: str, date: str = DATE) -> bytes:
+    """The ``warcinfo`` record at the start of an archive."""
+    block = b"format: WARC File Format 1.1\r\n"
+    fields = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date": date, "WARC-Filename": name}
+    return _head(fields | {"Content-Type": "application/warc-fields", "Content-Length": str(len(block))}) + block + END
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, number: int, refers_url: str | None = None, date: str = DATE) -> bytes:
     """One WARC record: a response with its HTTP head and payload, or a revisit with the head alone."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d" % len(payload) + END
     block = head if revisit else head + payload
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{number}:{page_id}")
-    fields = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Date": DATE}
-    fields["WARC-Target-URI"] = "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in url or "")
+    fields = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Date": date}
+    fields["WARC-Target-URI"] = _uri(url)
     fields["WARC-Payload-Digest"] = f"sha1:{sha1_base32(payload)}"
     if revisit:
-        fields["WARC-Profile"] = REVISIT_PROFILE
+        fields |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To-Target-URI": _uri(refers_url), "WARC-Refers-To-Date": date}
         fields["X-Refers-To-Page"] = "" if refers_to is None else str(refers_to)
     fields["X-Page"] = "" if page_id is None else str(page_id)
     fields |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block + END
+    return _head(fields) + block + END
 
 
 def parse_fields(head: bytes) -> dict[str, str]:
@@ -79,16 +99,18 @@ class Inflated:
     """Reads a gzip file once from start to end, of one member or many, holding a chunk at a time."""
 
     def __init__(self, source) -> None:
-        self.source, self.inflater, self.data = source, zlib.decompressobj(31), b""
+        self.source, self.inflater, self.data, self.begun = source, zlib.decompressobj(31), b"", False
 
     def _more(self) -> bool:
         while True:
             raw = self.inflater.unused_data or self.source.read(READ_BYTES)
             if self.inflater.eof:
-                self.inflater = zlib.decompressobj(31)
+                self.inflater, self.begun = zlib.decompressobj(31), False
             if not raw:
+                if self.begun:
+                    raise EOFError("the archive ends within a gzip member")
                 return False
-            found = self.inflater.decompress(raw)
+            found, self.begun = self.inflater.decompress(raw), True
             if found:
                 self.data += found
                 return True
@@ -113,17 +135,17 @@ class Inflated:
 
 
 def planned(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
-    """page_id, url, payload, revisit, refers_to for each row of ``pages`` (page_id, url, html)."""
+    """page_id, url, payload, revisit, refers_to, refers_url for each row of ``pages`` (page_id, url, html)."""
     rows = with_columns_of(pages, page_id="bigint", url="string", html="string")
     rows = rows.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("same", F.sha2("payload", 256))
     large = F.length("payload") >= least_revisit
-    groups = cut(rows.where(large).groupBy("same").agg(F.max("page_id").alias("keep")))
+    groups = cut(rows.where(large).groupBy("same").agg(F.max(F.struct("page_id", "url")).alias("keep")).select("same", F.col("keep.page_id").alias("keep"), F.col("keep.url").alias("keep_url")))
     joined = rows.join(groups, "same", "left")
     revisit = large & ~F.col("page_id").eqNullSafe(F.col("keep"))
-    return joined.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("keep")).alias("refers_to"))
+    return joined.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("keep")).alias("refers_to"), F.when(revisit, F.col("keep_url")).alias("refers_url"))
 
 
-def write_archives(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def write_archives(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
     """Writes ``records`` (as ``planned`` makes them) as gzip streams; returns the manifest: path, n_records."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,13 +153,14 @@ def write_archives(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES
 
         part, out, n, size, done = TaskContext.get().partitionId(), None, 0, 0, []
         for batch in batches:
-            for row in zip(*[batch.column(c) for c in ("page_id", "url", "payload", "refers_to", "revisit")], strict=True):
-                page_id, url, payload, refers_to, revisit = (x.as_py() for x in row)
+            for row in zip(*[batch.column(c) for c in ("page_id", "url", "payload", "refers_to", "revisit", "refers_url")], strict=True):
+                page_id, url, payload, refers_to, revisit, refers_url = (x.as_py() for x in row)
                 if out is None:
                     path = f"{folder}/raw-{part:05d}-{uuid.uuid4().hex}.warc.gz"
                     where, name = _open(path)
                     out, squeeze, n, size = where.open_output_stream(name, compression=None), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
-                data = record_bytes(page_id, url, payload, refers_to, revisit, (part << 40) + (len(done) << 32) + n)
+                    out.write(squeeze.compress(info_bytes(path.rsplit("/", 1)[1], date)))
+                data = record_bytes(page_id, url, payload, refers_to, revisit, (part << 40) + (len(done) << 32) + n, refers_url, date)
                 out.write(squeeze.compress(data))
                 n, size = n + 1, size + len(data)
                 if size >= roll_bytes:
@@ -230,8 +253,8 @@ def parse_member(member: bytes) -> dict:
     return {"page_id": int(page) if page else None, "payload_bytes": n, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": int(refers) if refers else None, "target_uri": fields.get("warc-target-uri"), "payload": None if revisit else payload}
 
 
-def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records that ``index`` points to; ``payloads=False`` leaves the payload column out."""
+def read_records(index: DataFrame, payloads: bool = True, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The pages' records that ``index`` points to; ``payloads=False`` leaves the payload column out."""
     schema = RECORD if payloads else RECORD.rsplit(", ", 1)[0]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     kind = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in schema.split(", "))])
@@ -258,14 +281,24 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
         if source is not None:
             source.close()
 
-    return index.select("path", "offset", "length").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset").mapInArrow(read, schema)
+    rows = index.where("record_type IN ('response', 'revisit')").select("path", "offset", "length")
+    # by the bytes of the members, which the small index says nothing of: adaptive execution would put it into one task
+    tasks = math.ceil((rows.agg(F.sum("length")).first()[0] or 0) / task_bytes)
+    tasks = max(1, tasks, rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset").mapInArrow(read, schema)
 
 
 def archive_round_trip(pages: DataFrame, least_revisit: int = 0, folder: str | None = None, payloads: bool = False) -> DataFrame:
-    """Writes ``pages`` as archives, normalises them, and reads every record back by its offset."""
+    """Writes ``pages`` as archives, normalises them, and reads every record back by its offset.
+
+    The monolithic archives are removed once all of them are normalised.
+    """
     folder = folder or f"{checkpoint_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     manifest = write_archives(planned(pages, least_revisit), f"{folder}/raw")
-    return read_records(normalise(manifest, f"{folder}/records"), payloads)
+    index = normalise(manifest, f"{folder}/records")
+    where, name = _open(f"{folder}/raw")
+    where.delete_dir(name)
+    return read_records(index, payloads)
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:

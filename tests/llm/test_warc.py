@@ -66,6 +66,21 @@ def test_truncated_archives_raise():
         list(warc.normalise_stream(io.BytesIO(data[: len(data) // 2]), io.BytesIO()))
 
 
+@pytest.mark.parametrize("mode", [zlib.Z_FULL_FLUSH, zlib.Z_FINISH])
+def test_a_stream_that_ends_after_a_record_without_its_trailer_raises(mode):
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+    data = squeeze.compress(warc.record_bytes(1, "u", b"x" * 1000, None, False, 1)) + squeeze.flush(mode)
+    with pytest.raises(EOFError):
+        list(warc.normalise_stream(io.BytesIO(data if mode == zlib.Z_FULL_FLUSH else data[:-5]), io.BytesIO()))
+
+
+def test_revisits_name_what_they_revisit():
+    head = warc.parse_fields(warc.record_bytes(1, "u", b"p", 9, True, 1, "http://nine/", "2020-01-02T03:04:05Z").partition(warc.END)[0])
+    assert head["warc-refers-to-target-uri"] == "http://nine/" and head["warc-refers-to-date"] == head["warc-date"] == "2020-01-02T03:04:05Z"
+    info = warc.parse_fields(warc.info_bytes("a.warc.gz").partition(warc.END)[0])
+    assert info["warc-type"] == "warcinfo" and info["warc-filename"] == "a.warc.gz"
+
+
 def test_damage_is_noticed():
     record = warc.record_bytes(1, "u", b"payload", None, False, 1).replace(b"payload\r\n", b"pAyload\r\n")
     with pytest.raises(ValueError):
