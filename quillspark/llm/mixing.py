@@ -7,11 +7,14 @@ budget, so each source has taken words in proportion to its weight until it is e
 source leaves goes to the others by weight: the split that ``targets`` computes directly.
 
 Running sums are taken in two steps, so that no task holds a source: within small buckets of the shuffle order, and
-over the sums of the buckets. The final sort is a range shuffle whose partitions are summed up in the same way.
-
-Defined cases: a null or empty text has size 0 and is taken 0 times; a null source is a source, last in order; rows
-with a null or repeated doc_id take part, ordered among themselves by text; an empty table gives an empty result;
-other columns are ignored. Rows of size 0 carry no words, so a source of such rows has target 0.
+over the sums of the buckets. Rows of one id, text and source are one group with a count, so that however many there are
+they are one row there; its copies are dealt out again for the final sort, in blocks of COPIES. That sort is a range
+shuffle whose partitions are summed up in the same way. The table of sources, one row each, is ordered in one task.
+
+Defined cases: a null or empty text has size 0 and is taken 0 times; a very long text is one document, taken whole or
+not; a null source is a source, last in order; rows with a null or repeated doc_id take part, ordered among themselves by
+text; an empty table gives an empty result; other columns are ignored. Rows of size 0 carry no words, so a source of such
+rows has target 0.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .stages import cut, with_columns_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 4096
+#: Copies of one row that a task deals out.
+COPIES = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -67,12 +72,19 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     """
     mark = lambda key: F.md5(F.concat_ws("|", key, F.concat(F.lit("s"), F.col("source").cast("string"))))
     taken = _mixed(docs, weights, max_repeats, seed).where("size > 0")
-    times = taken.groupBy(mark(F.col("key")).alias("__mark")).agg(F.sum(F.expr("taken div size")).alias("__times"), F.count("*").alias("__n"))
+    times = cut(taken.groupBy(mark(F.col("key")).alias("__mark")).agg(F.sum(F.expr("taken div size")).alias("__times"), F.count("*").alias("__n")).where("__times > 0"))
     marked = docs.withColumn("__mark", mark(order_key(docs["doc_id"].cast("bigint"), docs["text"], seed)))
-    joined = marked.join(times.where("__times > 0"), "__mark")
-    number = F.row_number().over(Window.partitionBy("__mark").orderBy("__mark"))
-    own = F.expr("__times div __n").cast("long") + (number <= F.col("__times") % F.col("__n")).cast("long")
-    repeated = joined.withColumn("__own", own).where("__own > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__own"))))
+    own = marked.join(times.where("__n = 1"), "__mark").withColumn("__own", F.col("__times"))
+    if not times.where("__n > 1").isEmpty():
+        # equal rows are numbered in parts, so that no task numbers them all
+        equal = cut(marked.join(times.where("__n > 1"), "__mark").withColumn("__part", F.floor(F.rand(seed) * COPIES).cast("int")))
+        earlier = Window.partitionBy("__mark").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = equal.groupBy("__mark", "__part").agg(F.count("*").alias("__rows")).withColumn("__ahead", F.coalesce(F.sum("__rows").over(earlier), F.lit(0))).drop("__rows")
+        number = F.row_number().over(Window.partitionBy("__mark", "__part").orderBy("__mark")) + F.col("__ahead")
+        share = F.expr("__times div __n") + (number <= F.col("__times") % F.col("__n")).cast("long")
+        equal = equal.join(parts, ["__mark", "__part"]).withColumn("__own", share).where("__own > 0")
+        own = own.unionByName(equal.select(*[F.col(f"`{c}`") for c in own.columns]))
+    repeated = own.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__own"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -81,36 +93,46 @@ def order_key(doc_id: Column, text: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
 
 
+def _copies(groups: DataFrame) -> DataFrame:
+    """``groups``, each row ``n`` times over, numbered by ``copy``; a row of many copies is dealt to many tasks."""
+    deal = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("block") * COPIES)))
+    few = groups.where(F.col("n") <= COPIES).withColumn("block", F.lit(0).cast("long"))
+    many = groups.where(F.col("n") > COPIES).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}")))).repartition("row", "block")
+    return few.unionByName(many).withColumn("at", deal).withColumn("copy", F.col("block") * COPIES + F.col("at")).drop("block", "at")
+
+
 def _mixed(docs: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: int) -> DataFrame:
     rows = with_columns_of(docs, doc_id="bigint", text="string", source="string")
-    key = order_key(F.col("doc_id"), F.col("text"), seed)
-    rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")))
-    plan = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats))
-    digits = max(0, math.ceil(math.log(max(1, rows.count()) / BUCKET_ROWS, 16)))
+    rows = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
+    groups = rows.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("n"))
+    groups = cut(groups.withColumn("row", F.monotonically_increasing_id()))
+    whole = F.col("size") * F.col("n")
+    plan = cut(targets(groups.groupBy("source").agg(F.sum(whole).alias("source_size")), weights, max_repeats))
+    digits = max(0, math.ceil(math.log(max(1, groups.count()) / BUCKET_ROWS, 16)))
 
     # running sums within each source, in two steps: the uniform key's first digits make buckets of bounded size
-    dealt = rows.withColumn("bucket", F.substring("key", 1, digits) if digits else F.lit(""))
+    dealt = groups.where("size > 0").withColumn("bucket", F.substring("key", 1, digits) if digits else F.lit(""))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    buckets = dealt.groupBy("source", "bucket").agg(F.sum(whole).alias("bucket_size"))
     buckets = buckets.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).drop("bucket_size")
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = dealt.withColumn("within", F.sum("size").over(within))
+    summed = dealt.withColumn("within", F.sum(whole).over(within) - whole)
     summed = _join_null_safe(_join_null_safe(summed, buckets, ["source", "bucket"]), plan, ["source"])
 
     passes = F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))
-    finish = (F.col("pass") * F.col("source_size") + F.col("ahead") + F.col("within")) / F.col("weight")
-    copies = summed.where("size > 0").withColumn("pass", passes).select("row", "doc_id", "source", "key", "size", "pass", finish.alias("finish"))
-    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("row"), F.col("pass")]
+    finish = (F.col("pass") * F.col("source_size") + F.col("ahead") + F.col("within") + F.col("copy") * F.col("size")) / F.col("weight")
+    copies = _copies(summed).withColumn("pass", passes).select("row", "copy", "doc_id", "source", "key", "size", "pass", finish.alias("finish"))
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("row"), F.col("copy"), F.col("pass")]
     copies = cut(copies.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
 
     # one sum for each range of the sort: as many rows as shuffle partitions
     parts = copies.groupBy("part").agg(F.sum("size").alias("part_size"))
     parts = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    budget = rows.agg(F.sum("size").alias("budget")).first()["budget"] or 0
+    budget = groups.agg(F.sum(whole).alias("budget")).first()["budget"] or 0
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = copies.withColumn("inside", F.sum("size").over(inside)).join(F.broadcast(parts), "part")
-    taken = taken.where(F.col("inside") + F.col("ahead") <= budget).groupBy("row").agg(F.sum("size").alias("taken"))
-    out = _join_null_safe(rows, plan, ["source"]).join(taken, "row", "left")
+    taken = taken.where(F.col("inside") + F.col("ahead") <= budget).groupBy("row", "copy").agg(F.sum("size").alias("taken"))
+    out = _copies(_join_null_safe(groups, plan, ["source"])).join(taken, ["row", "copy"], "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "key")
 
 

@@ -53,6 +53,20 @@ def test_documents_of_the_mix(spark):
     assert count == wanted
 
 
+def test_very_many_equal_rows(spark):
+    from pyspark.sql import functions as F
+
+    equal = spark.range(0, 100_000, 1, 8).select(F.lit(7).cast("long").alias("doc_id"), F.lit("some equal words").alias("text"), F.lit("a").alias("source"))
+    empty = spark.range(0, 50_000, 1, 8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"), F.lit("a").alias("source"))
+    other = spark.range(0, 3000, 1, 2).select((F.col("id") + 100).alias("doc_id"), F.lit("w w w w").alias("text"), F.lit("b").alias("source"))
+    docs = equal.union(empty).union(other)
+    sums = {r.source: (r.n, r.size, r.taken, r.target) for r in mixing.mix(docs).groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert sums["a"][:2] == (150_000, 300_000) and sums["b"][:2] == (3000, 12_000) and sums["b"][2] == sums["b"][3] == 36_000
+    assert abs(sums["a"][2] - sums["a"][3]) <= 3 and sums["a"][3] == 276_000
+    got = {r.source: r.n for r in mixing.mixed_documents(docs).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert got == {"a": 92_000, "b": 9000}
+
+
 def test_no_python_on_the_main_path(spark, sf_dir):
     plan = mixing.op9_mixing(spark, sf_dir)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
