@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import cut, with_columns_of
+from .stages import cut, spread, with_columns_of, written
 from .words import Words, by_bytes, mix, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -191,7 +191,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 right = pa.array([x == y for x, y in zip(same_words(words_of(part.column(2))[2]), part.column(1).to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(right), part.column(2).filter(right)], ["node", "text"])
 
-    found = wanted.join(rows, "doc_id").select("node", "same", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(only, "node long, text string")
+    found = wanted.join(spread(rows), "doc_id").select("node", "same", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(only, "node long, text string")
     return cut(found.dropDuplicates(["node"]))
 
 
@@ -209,7 +209,7 @@ def verified(links: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
                     scores.append(weighted_jaccard(ca[fa[i] : fa[i + 1]], wa[fa[i] : fa[i + 1]], cb[fb[i] : fb[i + 1]], wb[fb[i] : fb[i + 1]]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64())], ["a", "b", "similarity"])
 
-    joined = links.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    joined = links.join(spread(left), "a").join(spread(right), "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(compare, "a long, b long, similarity double")
 
 
@@ -219,23 +219,23 @@ def components(edges: DataFrame) -> DataFrame:
     Every node hooks to its smallest neighbour, hooks are followed once, and the edges contracted; smallest by number in one round, which
     ends stars, and by a hash of it in the next, which shrinks chains by a constant factor whatever their numbers.
     """
-    left = cut(edges.select("a", "b").where("a <> b").distinct())
+    left = written(edges.select("a", "b").where("a <> b").distinct())
     roots, turn = None, 0
     while not left.isEmpty():
         rank = lambda c: F.struct((F.xxhash64(c, F.lit(turn)) if turn % 2 else F.lit(0).cast("long")).alias("order"), F.col(c).alias("node"))  # noqa: B023, E731
         both = left.union(left.select("b", "a"))
-        hooks = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("next")).select("node", F.least("next", rank("node"))["node"].alias("root")))
+        hooks = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("next")).select("node", F.least("next", rank("node"))["node"].alias("root"))
         step = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        to = cut(hooks.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        to = written(hooks.join(spread(step), "root", "left").select("node", F.coalesce("next", "root").alias("root")))
         a = to.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
         b = to.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-        left = left.join(a, "a").join(b, "b").where("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
-        left, turn = cut(left.distinct()), turn + 1
+        left = left.join(spread(a), "a").join(spread(b), "b").where("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
+        left, turn = written(left.distinct()), turn + 1
         if roots is None:
             roots = to
         else:
             step = to.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            roots = cut(roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+            roots = written(roots.join(spread(step), "root", "left").select("node", F.coalesce("next", "root").alias("root")))
     return roots if roots is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -243,9 +243,9 @@ def starred(rows: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
     """``rows`` (key, node, weight) with the pair (a, b) of each node and its bucket's centre and ``similarity``; the centre itself has 1."""
     # kept apart from the join, so that adaptive execution may split the partition of a large bucket
     centres = cut(rows.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("centre")))
-    pairs = cut(rows.join(centres, "key").select("key", "node", "centre", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
+    pairs = cut(rows.join(spread(centres), "key").select("key", "node", "centre", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
     known = verified(pairs.select("a", "b").where("a <> b").distinct(), texts, idf)
-    return cut(pairs.join(known, ["a", "b"], "left").withColumn("similarity", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.col("similarity"))))
+    return cut(pairs.join(spread(known), ["a", "b"], "left").withColumn("similarity", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.col("similarity"))))
 
 
 def unsettled(known: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -256,18 +256,18 @@ def unsettled(known: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     """
     named = roots.select("node", "root")
     of_centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("home"))
-    rows = known.join(named, "node", "left").join(of_centre, "centre", "left")
+    rows = known.join(spread(named), "node", "left").join(spread(of_centre), "centre", "left")
     root, home = F.coalesce("root", "node"), F.coalesce("home", "centre")
     rows = cut(rows.select("key", "node", root.alias("root"), (root != home).alias("far"), (1 - F.col("similarity")).alias("apart"), (F.col("node") == F.col("centre")).alias("is_centre")))
     reach = 1 - similarity + SLACK
     bounds = rows.where("far").groupBy("key").agg((F.min("apart") - reach).alias("least"), (F.max("apart") + reach).alias("most"))
     # the centre has been compared with all others
-    rows = cut(rows.join(cut(bounds), "key").where("NOT is_centre AND (far OR apart BETWEEN least AND most)").select("key", "node", "root", "far", "apart"))
+    rows = cut(rows.join(spread(cut(bounds)), "key").where("NOT is_centre AND (far OR apart BETWEEN least AND most)").select("key", "node", "root", "far", "apart"))
     # of buckets with the same rows one is enough
     name = [F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20, 0)")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20, 0)")).alias("y")]
-    same = rows.groupBy("key").agg(*name, F.sum(F.col("far").cast("long")).alias("z")).join(rows.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")), "key")
+    same = rows.groupBy("key").agg(*name, F.sum(F.col("far").cast("long")).alias("z")).join(spread(rows.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"))), "key")
     keys = same.where("first <> last").groupBy("n", "x", "y", "z").agg(F.min("key").alias("key")).select("key")
-    return cut(rows.join(cut(keys), "key"))
+    return cut(rows.join(spread(cut(keys)), "key"))
 
 
 def compared(rows: DataFrame, texts: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
@@ -276,10 +276,10 @@ def compared(rows: DataFrame, texts: DataFrame, idf: Broadcast, similarity: floa
     Rows of a bucket are dealt to blocks of about BLOCK rows and BLOCK_BYTES bytes, and every block of far rows meets every other block, so
     that a large bucket is spread over many tasks. Within a task rows that are joined already aren't compared again.
     """
-    sized = cut(rows.join(texts.select("node", F.octet_length("text").alias("bytes")), "node"))
+    sized = cut(rows.join(spread(texts.select("node", F.octet_length("text").alias("bytes"))), "node"))
     blocks = lambda side: F.greatest(F.lit(1), F.ceil(F.count_if(side) / BLOCK), F.ceil(F.sum(F.when(side, F.col("bytes")).otherwise(0)) / BLOCK_BYTES)).cast("long")
     counts = cut(sized.groupBy("key").agg(blocks(F.col("far")).alias("fars"), blocks(~F.col("far")).alias("homes")))
-    dealt = sized.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("far"), F.col("fars")).otherwise(F.col("homes"))))
+    dealt = sized.join(spread(counts), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("far"), F.col("fars")).otherwise(F.col("homes"))))
     # group (i, j): block i of far rows with block j of them, the first one also with the first block of the others, or with a further block of the others
     parts = """CASE WHEN far THEN concat(transform(sequence(0L, fars - 1), x -> struct(least(x, block) AS i, greatest(x, block) AS j, x >= block AS pivot)),
         transform(filter(sequence(1L, homes), h -> h < homes), h -> struct(block AS i, fars + h - 1 AS j, true AS pivot)))
@@ -310,21 +310,23 @@ def compared(rows: DataFrame, texts: DataFrame, idf: Broadcast, similarity: floa
                 label[np.isin(label, label[met])] = label[p]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    joined = groups.join(texts, "node").select("key", "i", "j", "pivot", "node", "root", "apart", "text")
+    joined = groups.join(spread(texts), "node").select("key", "i", "j", "pivot", "node", "root", "apart", "text")
     return cut(joined.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, idf: Broadcast, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) that join all nodes (node, same, doc_id, bands) which share a band and are similar."""
+    """Links (a, b) that join all nodes (node, same, doc_id, bands) which share a band and are similar: between a node and the root of its
+    class by verified links, and verified ones beyond these."""
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     sizes = cut(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut(buckets.join(sizes, "key"))
+    shared = cut(buckets.join(spread(sizes), "key"))
     # a text from which many differ a little shares more bands with them than they do with each other
     weight = cut(shared.groupBy("node").agg(F.sum("n").alias("weight")))
-    texts = _texts_of(docs, nodes.select("node", "same", "doc_id").join(weight.select("node"), "node"))
-    known = starred(shared.select("key", "node").join(weight, "node"), texts, idf)
+    texts = _texts_of(docs, nodes.select("node", "same", "doc_id").join(spread(weight.select("node")), "node"))
+    known = starred(shared.select("key", "node").join(spread(weight), "node"), texts, idf)
     links = cut(known.where((F.col("similarity") >= similarity) & (F.col("a") < F.col("b"))).select("a", "b").distinct())
-    return links.union(compared(unsettled(known, components(links), similarity), texts, idf, similarity))
+    roots = components(links)
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(compared(unsettled(known, roots, similarity), texts, idf, similarity))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -335,10 +337,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = own.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     roots = components(near_links(docs, nodes, idf, similarity))
-    named = cut(nodes.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root")))
-    rows = cut(own.select("doc_id", "same").join(named, "same"))
+    named = cut(nodes.select("same", "node").join(spread(roots), "node", "left").select("same", F.coalesce("root", "node").alias("root")))
+    rows = cut(own.select("doc_id", "same").join(spread(named), "same"))
     classes = cut(rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
-    out = rows.join(classes, "root").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    out = rows.join(spread(classes), "root").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     alone = signed.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return out.union(alone)
 
@@ -349,7 +351,7 @@ def drop_near(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Rows that share an id stay or go together; they stay if one of them does.
     """
     gone = near_classes(docs, similarity).groupBy(F.col("doc_id").alias("__gone")).agg(F.max("kept").alias("stays")).where("NOT stays")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return docs.join(spread(gone), docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

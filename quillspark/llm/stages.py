@@ -7,6 +7,7 @@ back to its rows are plain sort-merge joins whose hot partitions adaptive execut
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder and read again, for the rounds of an iteration.
+
+    What the optimiser knows of a checkpoint's rows (which columns are equal or differ) it carries on to all that is made of it, so it
+    piles up from round to round in the driver; of a table it knows nothing.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for a join that sorts and merges both sides, whatever their size: it is never gathered in the driver to be broadcast."""
+    return df.hint("merge")
+
+
 def with_columns_of(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns of ``df``, cast to the named types, so that other columns can't clash with ours."""
     return df.select(*[F.col(name).cast(kind).alias(name) for name, kind in wanted.items()])
