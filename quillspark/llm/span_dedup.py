@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import cut, with_columns_of
+from .stages import cut, marked_documents
 
 SPAN, LEAST_WORDS = 2, 25
 END = re.compile(r"[.!?]+(?=\s|$)|[。！？]+|\n")
@@ -73,13 +73,8 @@ def runs(counts: list[int], span: int, least_words: int) -> list[tuple[int, int]
     return sorted(ending.union(_from_each(counts, span, least_words)))
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    rows = with_columns_of(docs, doc_id="bigint", text="string").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.select("doc_id", F.hash("text").alias("mark"), "text")
-
-
-def spans(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, mark (of the text), place (first sentence and number of sentences), h1, h2 for every span of every text."""
+def spans(documents: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, mark (of the text), place (first sentence and number of sentences), h1, h2 for every span of every text of ``marked_documents``."""
     kind = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("place", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,30 +105,31 @@ def spans(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) ->
                         c.clear()
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
 
-    return _documents(docs).mapInArrow(hashed, "doc_id long, mark int, place long, h1 long, h2 int")
+    return documents.mapInArrow(hashed, "doc_id long, mark int, place long, h1 long, h2 int")
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_spans(documents: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, mark, place, source_id: each span of a document that occurs earlier, with the document of its first occurrence.
 
     Earlier means in a document of smaller id, in another text of the id, or before in the same text.
     """
-    found = spans(docs, span, least_words)
+    found = spans(documents, span, least_words)
     here = F.struct("doc_id", "mark", "place")
     firsts = found.groupBy("h1", "h2").agg(F.min(here).alias("origin"), F.count("*").alias("n"))
     firsts = cut(firsts.where("n > 1").select("h1", "h2", "origin"))
     return found.join(firsts, ["h1", "h2"]).where(here != F.col("origin")).select("doc_id", "mark", "place", F.col("origin.doc_id").alias("source_id"))
 
 
-def removed_sentences(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
+def removed_sentences(documents: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row for each document that loses sentences: doc_id, mark, source_ids (sorted), places (of its repeated spans)."""
-    later = repeated_spans(docs, span, least_words)
+    later = repeated_spans(documents, span, least_words)
     return later.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("source_id")).alias("source_ids"), F.sort_array(F.collect_set("place")).alias("places"))
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents that lose sentences: doc_id, source_ids, n_sentences, n_removed, cuts (start, stop), text (the rest)."""
-    marks = cut(removed_sentences(docs, span, least_words))
+    documents = marked_documents(docs)
+    marks = cut(removed_sentences(documents, span, least_words))
     schema = "doc_id long, source_ids array<long>, n_sentences int, n_removed int, cuts array<struct<start: int, stop: int>>, text string"
     kind = pa.schema([("doc_id", pa.int64()), ("source_ids", pa.list_(pa.int64())), ("n_sentences", pa.int32()), ("n_removed", pa.int32()), ("cuts", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("text", pa.string())])
 
@@ -158,7 +154,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_
                 out.append({"doc_id": doc_id, "source_ids": sources, "n_sentences": len(places), "n_removed": len(gone), "cuts": cuts, "text": "".join(kept)})
             yield pa.RecordBatch.from_pylist(out, kind)
 
-    joined = _documents(docs).join(marks, ["doc_id", "mark"]).select("doc_id", "source_ids", "places", "text")
+    joined = documents.join(marks, ["doc_id", "mark"]).select("doc_id", "source_ids", "places", "text")
     return joined.mapInArrow(remove, schema)
 
 

@@ -40,6 +40,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def marked_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, mark and text of the rows that have both; ``mark`` tells the texts of one id apart.
+
+    It is a hash of the text, or 0 throughout where no id has two texts, as is usual: then it costs nothing in the shuffles.
+    """
+    rows = with_columns_of(docs, doc_id="bigint", text="string").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    mark = F.hash("text")
+    several = rows.select("doc_id", mark.alias("mark")).groupBy("doc_id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high")
+    return rows.select("doc_id", (F.lit(0) if several.isEmpty() else mark).alias("mark"), "text")
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder and read again, for the rounds of an iteration.
 

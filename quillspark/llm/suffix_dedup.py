@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stages import cut, with_columns_of
+from .stages import cut, marked_documents, written
 from .words import Words, by_bytes, mix, words_of
 
 PASSAGE = 50
@@ -85,13 +85,8 @@ def _each_text(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield a + i, words.hash[words.first[i] : words.first[i + 1]]
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    rows = with_columns_of(docs, doc_id="bigint", text="string").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.select("doc_id", F.hash("text").alias("mark"), "text")
-
-
-def suffixes(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (of the text), place, core: the retained suffixes and the hash of their first CORE words."""
+def suffixes(documents: DataFrame) -> DataFrame:
+    """doc_id, mark (of the text), place, core: the retained suffixes of ``marked_documents`` and the hash of their first CORE words."""
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,10 +102,10 @@ def suffixes(docs: DataFrame) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, marks, places, cores)], ["doc_id", "mark", "place", "core"])
 
-    return _documents(docs).mapInArrow(select, "doc_id long, mark int, place long, core long")
+    return documents.mapInArrow(select, "doc_id long, mark int, place long, core long")
 
 
-def with_context(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def with_context(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, mark, place, core, right, left for the ``wanted`` (doc_id, mark, places) suffixes of each document.
 
     ``right`` packs the WINDOW words beyond the core and ``left`` the WINDOW words before the place, nearest first, four bytes a
@@ -135,7 +130,7 @@ def with_context(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if out:
                 yield _suffix_batch(out)
 
-    joined = _documents(docs).join(wanted, ["doc_id", "mark"]).select("doc_id", "mark", "places", "text")
+    joined = documents.join(wanted, ["doc_id", "mark"]).select("doc_id", "mark", "places", "text")
     return joined.mapInArrow(cut_out, "doc_id long, mark int, place long, core long, right binary, left binary")
 
 
@@ -154,15 +149,16 @@ def common_words(a: bytes, b: bytes) -> int:
 
 
 CONTEXT = ["core", "right", "left"]
-NEIGHBOUR = "doc_id long, mark int, place long, core long, right binary, left binary, source_id long, new boolean, part int, end string"
+NEIGHBOUR = "doc_id long, mark int, place long, core long, right binary, left binary, n_right int, n_left int, source_id long, new boolean, part int, end string"
 
 
 def neighbours(found: DataFrame) -> DataFrame:
-    """doc_id, mark, place, core, right, left, new, source_id: the sorted array; ``new`` where a suffix differs from the one before it.
+    """doc_id, mark, place, core, right, left, n_right, n_left, new, source_id: the sorted array; ``new`` where a suffix differs from the one before it.
 
-    ``source_id`` is the document of the first suffix that is equal, core and context.
+    ``source_id`` is the document of the first suffix that is equal, core and context; ``n_right`` and ``n_left`` are the context's words.
+    Core and context themselves are left out where not needed further, but for the firsts.
     """
-    kind = pa.schema([*_SUFFIX, ("source_id", pa.int64()), ("new", pa.bool_()), ("part", pa.int32()), ("end", pa.string())])
+    kind = pa.schema([*_SUFFIX, ("n_right", pa.int32()), ("n_left", pa.int32()), ("source_id", pa.int64()), ("new", pa.bool_()), ("part", pa.int32()), ("end", pa.string())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -189,13 +185,16 @@ def neighbours(found: DataFrame) -> DataFrame:
             # where the range's first run goes on the source is not known here
             owner, at = batch.column(0).to_numpy(), np.maximum.accumulate(np.where(new, np.arange(n), -1))
             sources = pa.array(np.where(at >= 0, owner[np.maximum(at, 0)], source if source is not None else 0), mask=(at < 0) & (source is None))
+            needed = new.copy()
             if first is None:
-                first = batch.slice(0, 1)
+                first, needed[0] = batch.slice(0, 1), True
             last, source = batch.slice(n - 1, 1), sources[n - 1].as_py()
-            yield pa.RecordBatch.from_arrays([*batch.columns, sources, pa.array(new), constant(n, part, kind.field("part")), constant(n, None, kind.field("end"))], schema=kind)
+            kept = [pc.if_else(pa.array(needed), batch.column(c), None) for c in CONTEXT]
+            sizes = [pc.divide(pc.binary_length(batch.column(c)), 4) for c in ("right", "left")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *kept, *sizes, sources, pa.array(new), constant(n, part, kind.field("part")), constant(n, None, kind.field("end"))], schema=kind)
         if first is not None:
             for row, known, end in ((first, first.column(0)[0].as_py(), "first"), (last, source, "last")):
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([known], pa.int64()), pa.array([False]), pa.array([part], pa.int32()), pa.array([end])], schema=kind)
+                yield pa.RecordBatch.from_arrays([*row.columns, *[pa.array([0], pa.int32())] * 2, pa.array([known], pa.int64()), pa.array([False]), pa.array([part], pa.int32()), pa.array([end])], schema=kind)
 
     order = [*CONTEXT, "doc_id", "mark", "place"]
     walked = cut(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(walk, NEIGHBOUR))
@@ -211,7 +210,7 @@ def neighbours(found: DataFrame) -> DataFrame:
     starts = ends.select("part", F.col("first.at").alias("opens"), "goes_on", F.when(F.col("goes_on"), carried).otherwise(F.col("first.source_id")).alias("carried"))
     rows = walked.where("end IS NULL").join(F.broadcast(starts), "part")
     opens = F.col("source_id").isNull() & (here == F.col("opens")) & ~F.col("goes_on")
-    return rows.select("doc_id", "mark", "place", *CONTEXT, (F.col("new") | opens).alias("new"), F.coalesce("source_id", "carried").alias("source_id"))
+    return rows.select("doc_id", "mark", "place", *CONTEXT, "n_right", "n_left", (F.col("new") | opens).alias("new"), F.coalesce("source_id", "carried").alias("source_id"))
 
 
 def extended(firsts: DataFrame) -> DataFrame:
@@ -227,7 +226,7 @@ def extended(firsts: DataFrame) -> DataFrame:
             names = ["doc_id", "mark", "place", *CONTEXT, "source_id"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *both], [*names, "from_left", "from_right"])
 
-    return cut(joined.mapInArrow(extend, schema))
+    return written(joined.mapInArrow(extend, schema))
 
 
 def divided(firsts: DataFrame) -> DataFrame:
@@ -242,22 +241,22 @@ def divided(firsts: DataFrame) -> DataFrame:
     parts = ways.join(shared, ["core", "side", "until"]).where(low <= high).withColumn("n_left", F.explode(F.sequence(low, high)))
     parts = parts.where(f"length(left) >= 4 * n_left AND length(right) >= 4 * ({AROUND} - n_left)")
     words = F.xxhash64(F.expr("substring(left, 1, 4 * n_left)"), F.expr(f"substring(right, 1, 4 * ({AROUND} - n_left))"))
-    parts = cut(parts.select("core", "n_left", words.alias("words"), "doc_id", "mark", "place"))
+    parts = written(parts.select("core", "n_left", words.alias("words"), "doc_id", "mark", "place"))
     earliest = cut(parts.groupBy("core", "n_left", "words").agg(F.min(at).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = parts.join(earliest, ["core", "n_left", "words"]).where(at != F.col("at"))
     return later.select("doc_id", "mark", (F.col("place") - F.col("n_left")).alias("start"), (F.col("place") + PASSAGE - F.col("n_left")).alias("stop"), F.col("at.doc_id").alias("source_id"))
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(documents: DataFrame) -> DataFrame:
     """doc_id, mark, start, stop (words), source_id: passages of a document that occur earlier, with the document of an earlier occurrence.
 
     Earlier means in a document of smaller id, in another text of the id, or before in the same text.
     """
-    found = suffixes(docs)
+    found = suffixes(documents)
     cores = cut(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     wanted = found.join(cores, "core", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places"))
-    rows = neighbours(with_context(docs, wanted))
-    whole = rows.where("NOT new").select("doc_id", "mark", (F.col("place") - F.expr("length(left) div 4")).alias("start"), (F.col("place") + CORE + F.expr("length(right) div 4")).alias("stop"), "source_id")
+    rows = neighbours(with_context(documents, wanted))
+    whole = rows.where("NOT new").select("doc_id", "mark", (F.col("place") - F.col("n_left")).alias("start"), (F.col("place") + CORE + F.col("n_right")).alias("stop"), "source_id")
     firsts = extended(rows.where("new").select("doc_id", "mark", "place", *CONTEXT))
     grown = firsts.where(F.col("from_left") + F.col("from_right") >= AROUND)
     grown = grown.select("doc_id", "mark", (F.col("place") - F.col("from_left")).alias("start"), (F.col("place") + CORE + F.col("from_right")).alias("stop"), "source_id")
@@ -266,7 +265,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 def without_passages(docs: DataFrame) -> DataFrame:
     """The documents that lose words: doc_id, source_ids, n_words, n_removed, cuts (start, stop in words), text (the rest)."""
-    marks = repeated_passages(docs).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("source_id")).alias("source_ids"), F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    documents = marked_documents(docs)
+    marks = repeated_passages(documents).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("source_id")).alias("source_ids"), F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     kind = pa.schema([("doc_id", pa.int64()), ("source_ids", pa.list_(pa.int64())), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("cuts", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("text", pa.string())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +291,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
                     out.append({"doc_id": batch.column(0)[row].as_py(), "source_ids": batch.column(1)[row].as_py(), "n_words": n, "n_removed": sum(c["stop"] - c["start"] for c in cuts), "cuts": cuts, "text": b"".join(kept).decode("utf-8", "replace")})
                 yield pa.RecordBatch.from_pylist(out, kind)
 
-    joined = _documents(docs).join(marks, ["doc_id", "mark"]).select("doc_id", "source_ids", "spans", "text")
+    joined = documents.join(marks, ["doc_id", "mark"]).select("doc_id", "source_ids", "spans", "text")
     return joined.mapInArrow(remove, "doc_id long, source_ids array<long>, n_words long, n_removed long, cuts array<struct<start: long, stop: long>>, text string")
 
 
