@@ -83,9 +83,13 @@ def heading_section(line: Column) -> Column:
     """The section that a heading line opens, or null: decoration aside, at most 24 units that begin with a heading."""
     bare = trimmed(F.regexp_replace(trimmed(line), r"^[#* \x{3000}:：-]+|[#* \x{3000}:：-]+$", ""))
     bare = trimmed(F.regexp_replace(bare, r"^[【】\[\]「」]+|[【】\[\]「」]+$", ""))
-    fits = (utf16_length(bare) > 0) & (utf16_length(bare) <= 24)
-    sections = [F.when(fits & F.lower(bare).startswith(heading.lower()), F.lit(section)) for heading, section in HEADINGS.items()]
-    return F.coalesce(*sections)
+
+    def section(low: Column) -> Column:
+        fits = (F.length(low) > 0) & (F.length(low) <= 24) & (utf16_length(low) <= 24)
+        return F.when(fits, F.coalesce(*[F.when(low.startswith(heading.lower()), F.lit(name)) for heading, name in HEADINGS.items()]))
+
+    # as the element of an array the bare line is computed once, not once for each heading
+    return F.element_at(F.transform(F.array(F.lower(bare)), section), 1)
 
 
 def meaningful(lines: Column) -> Column:

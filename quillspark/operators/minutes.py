@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import NONE, UNKNOWN, Cues, due_date, is_blank, markdown_escaped, sentences, utf16_length
+from quillspark.functions.text import NONE, UNKNOWN, Cues, due_date, is_blank, markdown_escaped, sentences, trimmed, utf16_length
 from quillspark.functions.timecode import clock_of_ms, timestamp_of_ms, timestamp_of_seconds
 
 from .transcript import speaker_label
@@ -29,31 +29,24 @@ def _first(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("meeting_id").orderBy(*ORDER))).where(F.col("rank") <= most)
 
 
-def _after(rows: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
-    """``rows`` of the cue that found no place among the ``chosen``: those after the last one of a full list."""
-    place = F.struct(*ORDER)
-    last = chosen.groupBy("meeting_id").agg(F.max(place).alias("last"), F.count("*").alias("n")).where(F.col("n") == most).drop("n")
-    return rows.join(last, "meeting_id").where(place > F.col("last")).drop("last")
-
-
 def minutes_items(sentence_rows: DataFrame, cues: Cues = Cues(), most: int = MOST_ITEMS) -> DataFrame:
     """Decisions, actions and open points of each meeting: category, rank, timestamp, text, due.
 
-    A sentence goes to the first list whose cue it has and that has room, in the order decision, action, open.
+    A sentence goes to the first list whose cue it has and that has room, in the order decision, action, open. Sentences without
+    a cue stay in the map tasks; those of a meeting are numbered in one sort of its others.
     """
-    tested = {c: F.col("text").rlike(getattr(cues, c)) for c in ("decision", "action", "open")}
-    decided = sentence_rows.where(tested["decision"])
-    decisions = _first(decided, most)
-    over = _after(decided, decisions, most)
-    plain = sentence_rows.where(~tested["decision"])
-    acting = plain.where(tested["action"]).unionByName(over.where(tested["action"]))
-    actions = _first(acting, most)
-    undecided = plain.where(~tested["action"] & tested["open"]).unionByName(over.where(~tested["action"] & tested["open"]))
-    opens = _first(undecided.unionByName(_after(acting, actions, most).where(tested["open"])), most)
-    parts = [rows.withColumn("category", F.lit(c)) for c, rows in (("decision", decisions), ("action", actions), ("open", opens))]
-    items = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    due = F.when(F.col("category") == "action", due_date(F.col("text"), cues))
-    return items.select("meeting_id", "category", F.col("rank").cast("long").alias("rank"), "timestamp", "text", due.alias("due"))
+    names = ("decision", "action", "open")
+    tested = F.transform(F.array("text"), lambda t: F.struct(*[t.rlike(getattr(cues, c)).alias(c) for c in names]))
+    rows = sentence_rows.select("meeting_id", *ORDER, "timestamp", "text", F.element_at(tested, 1).alias("has")).where("has.decision OR has.action OR has.open")
+    so_far = Window.partitionBy("meeting_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = F.lit(False)
+    category = rank = F.lit(None)
+    for c in names:
+        rows = rows.withColumn(f"free_{c}", F.col(f"has.{c}") & ~placed).withColumn(f"n_{c}", F.count_if(f"free_{c}").over(so_far))
+        own = F.col(f"free_{c}") & (F.col(f"n_{c}") <= most)
+        category, rank, placed = F.when(own, F.lit(c)).otherwise(category), F.when(own, F.col(f"n_{c}")).otherwise(rank), placed | own
+    items = rows.where(placed).select("meeting_id", category.alias("category"), rank.cast("long").alias("rank"), "timestamp", "text")
+    return items.withColumn("due", F.when(F.col("category") == "action", due_date(F.col("text"), cues)))
 
 
 def topics(sentence_rows: DataFrame, bucket_ms: int = TOPIC_MS, most: int = TOPIC_POINTS) -> DataFrame:
@@ -107,3 +100,27 @@ def rendered(segments: DataFrame, cues: Cues = Cues(), titles: DataFrame | None
         F.lit("\n## 3. 議題別内容\n\n"), shown("topics", f"- {UNKNOWN}\n\n"), F.lit("## 4. ToDo・ネクストアクション\n\n| 内容 | 担当 | 期限 | 該当時刻 |\n| --- | --- | --- | --- |\n"),
         shown("action", f"| 特定できませんでした | {UNKNOWN} | {UNKNOWN} | - |\n"), F.lit("\n## 5. 継続検討事項\n\n"), shown("open", f"- {UNKNOWN}\n"), F.lit(f"\n## 6. 補足\n\n- {NONE}\n"))
     return rows.select("meeting_id", markdown.alias("markdown"))
+
+
+def rendered_text(segments: DataFrame, meetings: DataFrame, cues: Cues = Cues(), generator: str = "extractive") -> DataFrame:
+    """meeting_id, text: the minutes as plain text, all six sections always present.
+
+    ``meetings`` holds meeting_id, title, folder_name (in place of a missing title), started_at and duration_seconds.
+    """
+    spoken = meeting_sentences(segments, cues)
+    quoted = F.concat(F.lit("  - ["), "timestamp", F.lit("] "), trimmed(F.col("text")), F.lit("\n"))
+    task = F.concat(F.lit("  - "), "text", F.lit(f" / 担当: {UNKNOWN} / 期限: "), "due", F.lit("\n"))
+    listed = minutes_items(spoken, cues).groupBy("meeting_id").agg(*[
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("category") == c, F.struct("rank", shown.alias("line"))))), lambda r: r["line"]), "").alias(c)
+        for c, shown in (("decision", quoted), ("action", task), ("open", quoted))])
+    points = topics(spoken).groupBy("meeting_id", "bucket", "title", "time_range").agg(F.sort_array(F.collect_list(F.struct("rank", "point"))).alias("x"))
+    section = F.concat(F.lit("  "), "title", F.lit(" ("), "time_range", F.lit(")\n"), F.array_join(F.transform("x", lambda r: F.concat(F.lit("    - "), r["point"], F.lit("\n"))), ""), F.lit("\n"))
+    topic = points.withColumn("section", section).groupBy("meeting_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "section"))), lambda r: r["section"]), "").alias("topics"))
+    rows = meetings.join(overview(segments, spoken).select("meeting_id", F.col("text").alias("overview")), "meeting_id").join(listed, "meeting_id", "left").join(topic, "meeting_id", "left")
+    shown = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(f"  {UNKNOWN}\n")).otherwise(F.col(c))
+    head = lambda title: F.lit(f"{title}\n{'-' * 40}\n")
+    text = F.concat(
+        F.lit(f"会議議事録\n{'=' * 40}\n会議名   : "), F.coalesce("title", "folder_name"), F.lit("\n日時     : "), F.date_format("started_at", "yyyy-MM-dd HH:mm"), F.lit("\n録音時間 : "), timestamp_of_seconds(F.col("duration_seconds")),
+        F.lit(f"\n生成方法 : {generator}\n\n※ 文字起こしに存在しない情報は「{UNKNOWN}」と記載しています。\n\n"), head("1. 概要"), "overview", F.lit("\n\n"), head("2. 決定事項"), shown("decision"), F.lit("\n"),
+        head("3. 議題別内容"), F.coalesce("topics", F.lit(f"  {UNKNOWN}\n\n")), head("4. ToDo・ネクストアクション"), shown("action"), F.lit("\n"), head("5. 継続検討事項"), shown("open"), F.lit("\n"), head("6. 補足"), F.lit(f"  {NONE}\n\n"))
+    return rows.select("meeting_id", text.alias("text"))

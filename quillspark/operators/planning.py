@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import is_blank
+
 from .lineage import cut
 
 RAM_FACTOR, SMALL_FACTOR, ACCEPTABLE_FACTOR, LEAST_SCORE = 3.0, 1.1, 1.5, 0.05
@@ -129,13 +131,40 @@ def unique_names(folders: DataFrame) -> DataFrame:
     return folders.withColumn("path", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("_", "base", n.cast("string"))))
 
 
-def descendants(processes: DataFrame, roots: DataFrame, most_depth: int = 64) -> DataFrame:
-    """root, pid: every process (pid, parent_pid) below each root, found level by level."""
+def descendants(processes: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, pid: every process (pid, parent_pid) below each root, found level by level until a level finds nothing new."""
     level = found = roots.select(F.col("pid").alias("root"), "pid")
-    for _ in range(most_depth):
+    while not level.isEmpty():
         below = level.withColumnRenamed("pid", "parent_pid").join(processes.select("pid", "parent_pid"), "parent_pid").select("root", "pid")
         level = cut(below.join(found, ["root", "pid"], "left_anti").distinct())
-        if level.isEmpty():
-            break
         found = found.union(level)
     return found
+
+
+# Beams and the step of temperature by profile, and the prompt for Japanese.
+BEAMS = {"Fast": 1, "Accurate": 5}
+OTHER_BEAM = 2
+TEMPERATURE_STEP = 0.2
+JAPANESE_PROMPT = "以下は会議の日本語の音声です。句読点を付けて書き起こします。"
+
+
+def decode_options(settings: DataFrame) -> DataFrame:
+    """Adds beam, temperature_step and initial_prompt to settings (profile, language): one pass when fast; Japanese unless another language is named."""
+    beam = F.coalesce(*[F.when(F.col("profile") == p, F.lit(n)) for p, n in BEAMS.items()], F.lit(OTHER_BEAM))
+    language = F.coalesce("language", F.lit(""))
+    prompt = F.when(is_blank(language) | F.lower(language).startswith("ja"), F.lit(JAPANESE_PROMPT))
+    return settings.withColumn("beam", beam).withColumn("temperature_step", F.when(F.col("profile") == "Fast", 0.0).otherwise(TEMPERATURE_STEP)).withColumn("initial_prompt", prompt)
+
+
+def progress(runs: DataFrame) -> DataFrame:
+    """Adds ``fraction`` to runs (processed_seconds, total_seconds): from 0 to 1; 0 where the total is not known."""
+    share = F.least(F.greatest(F.col("processed_seconds") / F.col("total_seconds"), F.lit(0.0)), F.lit(1.0))
+    return runs.withColumn("fraction", F.when(F.col("total_seconds") > 0, share).otherwise(F.lit(0.0)))
+
+
+def download_progress(downloads: DataFrame) -> DataFrame:
+    """Adds ``fraction`` and ``remaining_seconds`` to downloads (received, total, bytes_per_second); null where they can't be told."""
+    known = F.col("total") > 0
+    share = F.least(F.greatest(F.col("received") / F.col("total"), F.lit(0.0)), F.lit(1.0))
+    left = (F.col("total") - F.col("received")) / F.col("bytes_per_second")
+    return downloads.withColumn("fraction", F.when(known, share)).withColumn("remaining_seconds", F.when(known & (F.col("bytes_per_second") > 1), left))

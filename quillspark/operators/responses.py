@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import clean_line, heading_section, trimmed, utf16_length
@@ -71,3 +71,17 @@ def prefix_within(lines: DataFrame, most_tokens: int) -> DataFrame:
     so_far = Window.partitionBy("response_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = lines.withColumn("so_far", F.sum(tokens).over(so_far).cast("long")).withColumn("first", F.min("ord").over(Window.partitionBy("response_id")))
     return rows.where((F.col("ord") == F.col("first")) | (F.col("so_far") <= most_tokens)).drop("first")
+
+
+#: Tokens that a prompt's frame is taken to have at least, and those of a chat template on top of what is counted.
+LEAST_OVERHEAD, TEMPLATE_TOKENS = 400, 128
+
+
+def assembled(requests: DataFrame, format_instructions: str) -> DataFrame:
+    """Adds ``prompt`` to requests (instruction, body): the instruction, how to answer, and the body between rules."""
+    return requests.withColumn("prompt", F.concat("instruction", F.lit("\n\n"), F.lit(format_instructions), F.lit("\n---\n"), "body", F.lit("\n---")))
+
+
+def prompt_overhead(frame_tokens: Column) -> Column:
+    """Tokens to set aside for a prompt's frame, given those counted in it."""
+    return F.greatest(F.lit(LEAST_OVERHEAD), frame_tokens + TEMPLATE_TOKENS)

@@ -114,13 +114,28 @@ def model_files(files: DataFrame) -> DataFrame:
     return files.withColumn("status", status)
 
 
-def device_checks(devices: DataFrame, kinds: list[str]) -> DataFrame:
-    """kind, severity, detail: no endpoint of a kind is an error, else their count and names; the default one first."""
-    spark = devices.sparkSession
-    every = spark.createDataFrame([(k,) for k in kinds], "kind string")
-    rows = devices.groupBy("kind").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct((~F.col("is_default")).alias("d"), "name"))).alias("x"))
+def device_checks(devices: DataFrame, kinds: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """kind, severity, detail: no endpoint of a kind is an error, else their count and names; the default one first.
+
+    ``by`` names the columns of ``devices`` that tell machines apart; each machine has its own line for each kind.
+    """
+    every = devices.select(*by).distinct() if by else devices.sparkSession.range(1).select()
+    every = every.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
+    rows = devices.groupBy(*by, "kind").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct((~F.col("is_default")).alias("d"), "name"))).alias("x"))
     detail = F.concat(F.col("n").cast("string"), F.lit(": "), F.array_join(F.transform("x", lambda r: r["name"]), ", "))
-    return every.join(rows, "kind", "left").select("kind", F.when(F.col("n") > 0, "Ok").otherwise("Error").alias("severity"), F.coalesce(detail, F.lit("none")).alias("detail"))
+    return every.join(rows, [*by, "kind"], "left").select(*by, "kind", F.when(F.col("n") > 0, "Ok").otherwise("Error").alias("severity"), F.coalesce(detail, F.lit("none")).alias("detail"))
+
+
+def minutes_totals(inferences: DataFrame) -> DataFrame:
+    """run_id, inferences, map_inferences, reduce_inferences, prompt_tokens, output_tokens, seconds, tokens_per_second of ``inferences`` (run_id, phase, prompt_tokens, output_tokens, seconds)."""
+    of = lambda phase: F.count_if(F.col("phase") == phase)
+    rows = inferences.groupBy("run_id").agg(F.count("*").alias("inferences"), of("map").alias("map_inferences"), of("reduce").alias("reduce_inferences"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("seconds").alias("seconds"))
+    return rows.withColumn("tokens_per_second", F.when(F.col("seconds") > 0, F.col("output_tokens") / F.col("seconds")).otherwise(F.lit(0.0)))
+
+
+def file_hashes(files: DataFrame) -> DataFrame:
+    """Adds ``measured``, the lower-case SHA-256 of ``content``, and whether it is the ``pinned`` one, whatever its case."""
+    return files.withColumn("measured", F.sha2("content", 256)).withColumn("matches", F.lower("pinned") == F.col("measured")).drop("content")
 
 
 def metrics_block(runs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import is_blank, markdown_escaped, trimmed
-from quillspark.functions.timecode import timestamp_of_ms
+from quillspark.functions.timecode import timestamp_of_ms, timestamp_of_seconds
 
 #: What sources are called, in their order.
 SOURCES = {"Microphone": "マイク", "SystemAudio": "PC音声", "Mixed": "ミックス", "Imported": "インポート音声"}
@@ -128,3 +128,22 @@ def _exported(segments: DataFrame, render) -> DataFrame:
     row = F.struct("start_ms", "arrival_seq", timestamp_of_ms(F.col("start_ms")).alias("timestamp"), speaker_label().alias("label"), trimmed(F.col("text")).alias("text"))
     rows = segments.groupBy("meeting_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     return rows.select("meeting_id", F.array_join(F.transform("rows", render), "").alias("text"))
+
+
+def header_lines(meetings: DataFrame, indent: str = "") -> DataFrame:
+    """meeting_id, header: the lines above an exported transcript.
+
+    ``meetings`` holds meeting_id, title, folder_name (in place of a missing title), started_at, utc_offset, duration_seconds, audio_file_name,
+    microphone, render_device, model_id and recovered.
+    """
+    lines = [
+        F.concat(F.lit("会議名      : "), F.coalesce("title", "folder_name")), F.concat(F.lit("開始日時    : "), F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), "utc_offset"),
+        F.concat(F.lit("録音時間    : "), timestamp_of_seconds(F.col("duration_seconds"))), F.concat(F.lit("音声ファイル: "), "audio_file_name"), F.concat(F.lit("マイク      : "), F.coalesce("microphone", F.lit("未設定"))),
+        F.concat(F.lit("PC音声      : "), F.coalesce("render_device", F.lit("未設定"))), F.concat(F.lit("認識モデル  : "), F.coalesce("model_id", F.lit("なし"))), F.when(F.col("recovered"), F.lit("備考        : 異常終了から復旧したデータです"))]
+    shown = F.transform(F.array_compact(F.array(*lines)), lambda x: F.concat(F.lit(indent), x, F.lit("\n")))
+    return meetings.select("meeting_id", F.array_join(shown, "").alias("header"))
+
+
+def cleared(rows: DataFrame, meetings: DataFrame) -> DataFrame:
+    """``rows`` of a transcript, or its speakers' names, without those of the ``meetings`` (meeting_id) that are cleared."""
+    return rows.join(meetings.select("meeting_id").distinct(), "meeting_id", "left_anti")

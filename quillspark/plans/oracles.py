@@ -207,12 +207,43 @@ f AS (SELECT stream, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS written, CAS
 SELECT f.stream, written, held, overruns, lost FROM f JOIN m ON m.stream = f.stream AND m.last = f.seq""",
     "model_checks": """SELECT p_partkey AS model_id, CASE WHEN p_partkey % 4 = 0 OR p_partkey % 3 < 2 THEN 'missing' WHEN p_partkey % 5 = 0 THEN 'unverified' WHEN p_partkey % 7 = p_partkey % 2 THEN 'verified' ELSE 'mismatch' END AS status,
   CASE WHEN p_partkey * 1000000 >= 1073741824 THEN printf('%.1f GB', p_partkey * 1000000 / 1073741824) WHEN p_partkey * 1000000 >= 1048576 THEN printf('%.0f MB', p_partkey * 1000000 / 1048576) ELSE printf('%d KB', p_partkey * 1000000 // 1024) END AS size FROM part""",
-    "device_reports": """WITH d AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'capture' ELSE 'render' END AS kind, s_name AS name, s_suppkey <> 4 AS later FROM supplier WHERE s_suppkey <= 9)
-SELECT kind, 'Ok' AS severity, count(*) || ': ' || string_agg(name, ', ' ORDER BY later, name) AS detail FROM d GROUP BY kind UNION ALL SELECT 'loopback', 'Error', 'none'""",
+    "device_reports": """WITH d AS (SELECT s_suppkey // 10 AS machine_id, CASE WHEN s_suppkey % 3 = 0 THEN 'capture' ELSE 'render' END AS kind, s_name AS name, s_suppkey % 10 <> 4 AS later FROM supplier),
+g AS (SELECT machine_id, kind, count(*) || ': ' || string_agg(name, ', ' ORDER BY later, name) AS detail FROM d GROUP BY machine_id, kind),
+e AS (SELECT DISTINCT machine_id, unnest(['capture', 'render', 'loopback']) AS kind FROM d)
+SELECT machine_id, kind, CASE WHEN detail IS NULL THEN 'Error' ELSE 'Ok' END AS severity, coalesce(detail, 'none') AS detail FROM e LEFT JOIN g USING (machine_id, kind)""",
     "run_metrics": """WITH r AS (SELECT c_custkey AS k, c_custkey % 50 * 2.0 AS d, CAST(c_custkey % 64 / 4.0 AS DOUBLE) + CAST(0.001 AS DOUBLE) AS t FROM customer)
 SELECT k AS run_id, printf('Transcription performance:\n  Meeting duration      = %.1f s\n  Speech detected       = %.1f s\n  Speech audio submitted= %.1f s\n  Chunks                = %d (encoder ran %d s of padded window)\n  Segments              = %d\n  Model                 = small\n  Total                 = %.2f s\n  RTF                   = %.2f x meeting duration',
   CAST(d AS DOUBLE), k % 40 / 2, k % 40 / 5, k % 9, k % 9 * 30, k % 20, CAST(t AS DOUBLE), CAST(CASE WHEN d > 0 THEN t / d ELSE 0 END AS DOUBLE)) AS block FROM r""".replace("\\n", "' || chr(10) || '").replace("printf('", "printf(('", 1).replace("duration',\n", "duration'),\n", 1),
     "check_reports": """SELECT n_regionkey AS report_id, string_agg('[' || [' OK ', 'WARN', 'FAIL', ' -- '][n_nationkey % 4 + 1] || '] ' || n_name || chr(10) || '      detail' || chr(10) || chr(10), '' ORDER BY n_nationkey) || 'overall: ' ||
   ['not tested', 'ok', 'warning', 'error'][max([1, 2, 3, 0][n_nationkey % 4 + 1]) + 1] AS text FROM nation GROUP BY n_regionkey""",
     "process_tree": """WITH RECURSIVE t AS (SELECT p_partkey AS pid, p_partkey // 3 AS parent_pid FROM part), f AS (SELECT pid AS root, pid FROM t WHERE pid IN (1, 2, 7) UNION SELECT f.root, t.pid FROM f JOIN t ON t.parent_pid = f.pid) SELECT * FROM f""",
+    "minutes_text": f"""WITH {_ITEMS}, {_TOPICS}, {_OVERVIEW},
+l AS (SELECT meeting_id, string_agg('  - [' || timestamp || '] ' || {_trim("text")} || chr(10), '' ORDER BY rank) FILTER (category = 'decision') AS decision,
+  string_agg('  - ' || text || ' / 担当: 要確認 / 期限: ' || due || chr(10), '' ORDER BY rank) FILTER (category = 'action') AS action,
+  string_agg('  - [' || timestamp || '] ' || {_trim("text")} || chr(10), '' ORDER BY rank) FILTER (category = 'open') AS open FROM due GROUP BY meeting_id),
+k AS (SELECT meeting_id, bucket, '  ' || title || ' (' || time_range || ')' || chr(10) || string_agg('    - ' || point || chr(10), '' ORDER BY rank) || chr(10) AS section FROM topics GROUP BY meeting_id, bucket, title, time_range),
+q AS (SELECT meeting_id, string_agg(section, '' ORDER BY bucket) AS topics FROM k GROUP BY meeting_id),
+r AS (SELECT repeat('-', 40) || chr(10) AS rule, '  要確認' || chr(10) AS nothing)
+SELECT meeting_id, '会議議事録' || chr(10) || repeat('=', 40) || chr(10) || '会議名   : ' || CASE WHEN meeting_id % 2 = 0 THEN 'Meeting ' || meeting_id ELSE 'folder_' || meeting_id END || chr(10) ||
+  '日時     : ' || strftime(make_timestamp((meeting_id * 60 + 1767605400) * 1000000), '%Y-%m-%d %H:%M') || chr(10) || '録音時間 : ' || {_STAMP.format("CAST(round(duration_seconds * 1000) AS BIGINT)")} || chr(10) ||
+  replace('生成方法 : extractive~~※ 文字起こしに存在しない情報は「要確認」と記載しています。~~1. 概要~', '~', chr(10)) || rule || v.text || chr(10) || chr(10) || '2. 決定事項' || chr(10) || rule || coalesce(decision, nothing) || chr(10) ||
+  '3. 議題別内容' || chr(10) || rule || coalesce(topics, nothing || chr(10)) || '4. ToDo・ネクストアクション' || chr(10) || rule || coalesce(action, nothing) || chr(10) ||
+  '5. 継続検討事項' || chr(10) || rule || coalesce(open, nothing) || chr(10) || '6. 補足' || chr(10) || rule || replace('  なし~~', '~', chr(10)) AS text
+FROM overview v LEFT JOIN l USING (meeting_id) LEFT JOIN q USING (meeting_id) CROSS JOIN r""",
+    "transcript_headers": f"""WITH {SEGMENTS_SQL}, m AS (SELECT meeting_id, max(end_ms) AS ms FROM segments GROUP BY meeting_id)
+SELECT meeting_id, replace('  会議名      : ' || CASE WHEN meeting_id % 2 = 0 THEN 'Meeting ' || meeting_id ELSE 'folder_' || meeting_id END || '~  開始日時    : ' || strftime(make_timestamp((meeting_id * 60 + 1767605400) * 1000000), '%Y-%m-%d %H:%M:%S') || ' +09:00~  録音時間    : ' ||
+  {_STAMP.format("ms")} || '~  音声ファイル: audio.wav~  マイク      : ' || CASE WHEN meeting_id % 5 <> 0 THEN 'mic' ELSE '未設定' END || '~  PC音声      : ' || CASE WHEN meeting_id % 7 <> 0 THEN 'out' ELSE '未設定' END ||
+  '~  認識モデル  : ' || CASE WHEN meeting_id % 4 <> 0 THEN 'small' ELSE 'なし' END || '~' || CASE WHEN meeting_id % 3 = 0 THEN '  備考        : 異常終了から復旧したデータです~' ELSE '' END, '~', chr(10)) AS header FROM m""",
+    "transcript_cleared": f"WITH {SEGMENTS_SQL} SELECT meeting_id, id FROM segments WHERE meeting_id % 3 <> 0",
+    "decode_options": """WITH s AS (SELECT c_custkey AS setting_id, ['Fast', 'Balanced', 'Accurate', '?'][c_custkey % 4 + 1] AS profile, CASE WHEN c_custkey % 7 <> 0 THEN ['ja', 'JA-jp', 'en', ' ', 'fr'][c_custkey % 5 + 1] END AS language FROM customer)
+SELECT *, CASE profile WHEN 'Fast' THEN 1 WHEN 'Accurate' THEN 5 ELSE 2 END AS beam, CAST(CASE WHEN profile = 'Fast' THEN 0 ELSE 0.2 END AS DOUBLE) AS temperature_step,
+  CASE WHEN trim(coalesce(language, '')) = '' OR lower(language) LIKE 'ja%' THEN '以下は会議の日本語の音声です。句読点を付けて書き起こします。' END AS initial_prompt FROM s""",
+    "progress_fractions": """WITH r AS (SELECT c_custkey AS run_id, CAST(c_custkey % 50 * 1.5 AS DOUBLE) AS p, CAST(c_custkey % 11 * 5 AS DOUBLE) AS t, c_custkey % 50 * 4 AS received, CASE WHEN c_custkey % 6 <> 0 THEN c_custkey % 9 * 16 END AS total, CAST(c_custkey % 4 AS DOUBLE) AS b FROM customer)
+SELECT run_id, round(CASE WHEN t > 0 THEN least(greatest(p / t, 0), 1) ELSE 0 END, 9) AS run_fraction, round(CASE WHEN total > 0 THEN least(greatest(received / total, 0), 1) END, 9) AS fraction, round(CASE WHEN total > 0 AND b > 1 THEN (total - received) / b END, 9) AS remaining_seconds FROM r""",
+    "minutes_run_totals": """WITH e AS (SELECT user_id AS run_id, event_id % 5 = 0 AS last, event_id % 900 AS p, event_id % 70 AS o, CAST(event_id % 8 AS DOUBLE) / 4 AS s FROM events)
+SELECT run_id, count(*) AS inferences, count(*) FILTER (NOT last) AS map_inferences, count(*) FILTER (last) AS reduce_inferences, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, sum(s) AS seconds,
+  round(CASE WHEN sum(s) > 0 THEN CAST(sum(o) AS DOUBLE) / sum(s) ELSE 0 END, 9) AS tokens_per_second FROM e GROUP BY run_id""",
+    "page_hashes": "SELECT page_id, sha256(coalesce(html, '')) AS measured, page_id % 2 = 0 AS matches FROM pages",
+    "prompts_assembled": """WITH p AS (SELECT item_id, 'Summarise.' || chr(10) || chr(10) || 'Six sections.' || chr(10) || '---' || chr(10) || text || chr(10) || '---' AS prompt FROM benchmark)
+SELECT item_id, prompt, CAST(greatest(400, length(prompt) + 128) AS BIGINT) AS overhead FROM p""",
 }

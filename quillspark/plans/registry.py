@@ -228,7 +228,9 @@ def vector_statistics(spark, sf_dir):
 
 def vector_speaker_clusters(spark, sf_dir):
     rows = ad.table(spark, sf_dir, "embeddings")
-    return speech.speaker_clusters(rows.select((F.col("label") % 2).alias("stream"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector")), similarity=0.3)
+    # streams of bounded length: a stream is walked in one task
+    stream = F.col("label") * 1_000_000_000 + F.floor(F.col("vec_id") / 1000)
+    return speech.speaker_clusters(rows.select(stream.cast("long").alias("stream"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector")), similarity=0.3)
 
 
 def speech_chunks(spark, sf_dir):
@@ -347,9 +349,10 @@ def model_checks(spark, sf_dir):
 
 
 def device_reports(spark, sf_dir):
+    """Suppliers as the devices of machines, ten to each."""
     s = F.col("s_suppkey")
-    rows = ad.table(spark, sf_dir, "supplier").where(s <= 9).select(F.when(s % 3 == 0, "capture").otherwise("render").alias("kind"), F.col("s_name").alias("name"), (s == 4).alias("is_default"))
-    return runs.device_checks(rows, ["capture", "render", "loopback"])
+    rows = ad.table(spark, sf_dir, "supplier").select(F.floor(s / 10).alias("machine_id"), F.when(s % 3 == 0, "capture").otherwise("render").alias("kind"), F.col("s_name").alias("name"), (s % 10 == 4).alias("is_default"))
+    return runs.device_checks(rows, ["capture", "render", "loopback"], ("machine_id",))
 
 
 def run_metrics(spark, sf_dir):
@@ -370,6 +373,57 @@ def process_tree(spark, sf_dir):
     return planning.descendants(tree, tree.where("pid IN (1, 2, 7)").select("pid"))
 
 
+def _meetings(spark, sf_dir):
+    """Details of the meetings of ``segments``; every second one has no title, every third was recovered."""
+    m = F.col("meeting_id")
+    rows = ad.segments(spark, sf_dir).groupBy("meeting_id").agg((F.max("end_ms") / 1000).alias("duration_seconds"))
+    return rows.select(
+        "meeting_id", F.when(m % 2 == 0, F.concat(F.lit("Meeting "), m.cast("string"))).alias("title"), F.concat(F.lit("folder_"), m.cast("string")).alias("folder_name"), F.expr("timestamp_ntz'2026-01-05 09:30:00' + make_dt_interval(0, 0, CAST(meeting_id AS INT))").alias("started_at"),
+        F.lit("+09:00").alias("utc_offset"), "duration_seconds", F.lit("audio.wav").alias("audio_file_name"), F.when(m % 5 != 0, "mic").alias("microphone"), F.when(m % 7 != 0, "out").alias("render_device"), F.when(m % 4 != 0, "small").alias("model_id"), (m % 3 == 0).alias("recovered"))
+
+
+def minutes_text(spark, sf_dir):
+    return minutes.rendered_text(ad.segments(spark, sf_dir), _meetings(spark, sf_dir), CUES)
+
+
+def transcript_headers(spark, sf_dir):
+    return transcript.header_lines(_meetings(spark, sf_dir), "  ")
+
+
+def transcript_cleared(spark, sf_dir):
+    rows = ad.segments(spark, sf_dir)
+    return transcript.cleared(rows, rows.where("meeting_id % 3 = 0")).select("meeting_id", "id")
+
+
+def decode_options(spark, sf_dir):
+    c = F.col("c_custkey")
+    profile = F.element_at(F.array(*[F.lit(x) for x in ("Fast", "Balanced", "Accurate", "?")]), (c % 4 + 1).cast("int"))
+    language = F.element_at(F.array(*[F.lit(x) for x in ("ja", "JA-jp", "en", " ", "fr")]), (c % 5 + 1).cast("int"))
+    return planning.decode_options(ad.table(spark, sf_dir, "customer").select(c.alias("setting_id"), profile.alias("profile"), F.when(c % 7 != 0, language).alias("language")))
+
+
+def progress_fractions(spark, sf_dir):
+    c = F.col("c_custkey")
+    rows = ad.table(spark, sf_dir, "customer").select(c.alias("run_id"), (c % 50 * 1.5).alias("processed_seconds"), (c % 11 * 5.0).alias("total_seconds"), (c % 50 * 4).alias("received"), F.when(c % 6 != 0, c % 9 * 16).alias("total"), (c % 4 * 1.0).alias("bytes_per_second"))
+    return planning.download_progress(planning.progress(rows).withColumn("run_fraction", F.round("fraction", 9)).drop("fraction")).withColumn("fraction", F.round("fraction", 9)).select("run_id", "run_fraction", "fraction", F.round("remaining_seconds", 9).alias("remaining_seconds"))
+
+
+def minutes_run_totals(spark, sf_dir):
+    e = F.col("event_id")
+    rows = ad.table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.when(e % 5 == 0, "reduce").otherwise("map").alias("phase"), (e % 900).alias("prompt_tokens"), (e % 70).alias("output_tokens"), (e % 8 / 4.0).alias("seconds"))
+    return runs.minutes_totals(rows).withColumn("tokens_per_second", F.round("tokens_per_second", 9))
+
+
+def page_hashes(spark, sf_dir):
+    rows = ad.table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("content"), F.when(F.col("page_id") % 2 == 0, F.upper(F.sha2(F.coalesce("html", F.lit("")), 256))).otherwise("00").alias("pinned"))
+    return runs.file_hashes(rows).select("page_id", "measured", "matches")
+
+
+def prompts_assembled(spark, sf_dir):
+    rows = ad.table(spark, sf_dir, "benchmark").select("item_id", F.lit("Summarise.").alias("instruction"), F.col("text").alias("body"))
+    return responses.assembled(rows, "Six sections.").select("item_id", "prompt", responses.prompt_overhead(F.length("prompt")).cast("long").alias("overhead"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     transcript_timeline, transcript_sentences, cue_sentences, minutes_items, minutes_topics, minutes_overview, minutes_markdown, transcript_text, transcript_markdown,
     speaker_carry_over, speaker_list, speaker_names_known, speaker_rename_counts, segment_edits, segment_upserts, journal_replay, journal_states, journal_recovery,
@@ -377,7 +431,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     level_stalls, level_silence_runs, level_gap_filled, level_inserted_share, sample_dc_block, sample_mix, sample_downmix, sample_normalised, sample_quantised, sample_interpolated,
     vector_cosines, vector_statistics, vector_speaker_clusters, speech_chunks, model_choice, storage_footprint, preflight_overall, folder_names, perf_log_fields, settings_migrated, meeting_totals,
     source_files, decoder_choice, decoder_extensions, capture_formats, transcode_results, generator_choice, meeting_warnings, connections, cpu_use, ring_buffers, model_checks, device_reports, run_metrics,
-    check_reports, process_tree)}
+    check_reports, process_tree, minutes_text, transcript_headers, transcript_cleared, decode_options, progress_fractions, minutes_run_totals, page_hashes, prompts_assembled)}
 
 
 def queries() -> dict[str, Query]:

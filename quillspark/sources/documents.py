@@ -30,7 +30,7 @@ def read_journals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_documents(df: DataFrame, path: str) -> None:
-    """One JSON line for each row, committed as a whole: readers see all of it or nothing."""
+    """One JSON line for each row. New files appear when the job commits; what was at ``path`` is gone from its start on."""
     df.write.mode("overwrite").json(path)
 
 
