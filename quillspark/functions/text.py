@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it; both Java's and RE2's patterns read it.
 SPACE = r"[\x{9}-\x{D} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SENTENCE_END = "[。！？!?\n]"
 LEAST_SENTENCE = 4
 UNKNOWN = "要確認"
@@ -29,7 +30,7 @@ class Cues:
 
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at its ends; ``trim`` knows the space only."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -71,7 +72,7 @@ def markdown_escaped(text: Column) -> Column:
 
 def clean_line(line: Column) -> Column:
     """A line of model output without bullets and headings' marks; code fences become empty."""
-    bare = trimmed(F.regexp_replace(line, "^[-*・　 #]+", ""))
+    bare = trimmed(F.ltrim(line, F.lit("-*・　 #")))
     return F.when(bare.startswith("```"), F.lit("")).otherwise(bare)
 
 
@@ -81,8 +82,8 @@ HEADINGS = {"概要": "overview", "決定事項": "decisions", "議題別内容"
 
 def heading_section(line: Column) -> Column:
     """The section that a heading line opens, or null: decoration aside, at most 24 units that begin with a heading."""
-    bare = trimmed(F.regexp_replace(trimmed(line), r"^[#* \x{3000}:：-]+|[#* \x{3000}:：-]+$", ""))
-    bare = trimmed(F.regexp_replace(bare, r"^[【】\[\]「」]+|[【】\[\]「」]+$", ""))
+    bare = trimmed(F.btrim(trimmed(line), F.lit("#* \u3000:：-")))
+    bare = trimmed(F.btrim(bare, F.lit("【】[]「」")))
 
     def section(low: Column) -> Column:
         fits = (F.length(low) > 0) & (F.length(low) <= 24) & (utf16_length(low) <= 24)
@@ -94,7 +95,7 @@ def heading_section(line: Column) -> Column:
 
 def meaningful(lines: Column) -> Column:
     """Lines without bullets, without those shorter than two units, ``なし`` and code fences."""
-    bare = F.transform(lines, lambda x: trimmed(F.regexp_replace(trimmed(x), "^[-*・ ]+", "")))
+    bare = F.transform(lines, lambda x: trimmed(F.ltrim(trimmed(x), F.lit("-*・ "))))
     return F.filter(bare, lambda x: (utf16_length(x) >= 2) & (x != NONE) & ~x.startswith("```"))
 
 
