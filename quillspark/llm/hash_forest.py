@@ -142,7 +142,7 @@ KEY = ["width", "tree", "block"]
 
 
 def own_counts(strings: DataFrame, sizes: DataFrame, head: int) -> DataFrame:
-    """node and ``counts``, one row for each query and tree and salt: other rows that share the first d bits, for every d of ``head`` or more."""
+    """node, tree and ``counts``, one row for each query, tree and salt: rows that share the first d bits, for every d of ``head`` or more."""
     salted = strings.join(sizes, KEY).select(*KEY, F.pmod(F.xxhash64("node"), "salts").alias("salt"), "code", "node", F.lit(False).alias("is_query"))
     asks = strings.where("asked").join(sizes, KEY).select(*KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "code", "node", F.lit(True).alias("is_query"))
 
@@ -155,23 +155,28 @@ def own_counts(strings: DataFrame, sizes: DataFrame, head: int) -> DataFrame:
             low = asked >> (BITS - d) << (BITS - d)
             out[:, d] = np.searchsorted(rows, low + (1 << (BITS - d))) - np.searchsorted(rows, low)
         counts = pa.ListArray.from_arrays(pa.array(np.arange(len(asked) + 1, dtype=np.int32) * (BITS + 1)), pa.array(out.reshape(-1)))
-        return pa.Table.from_arrays([pa.array(node), counts], ["node", "counts"])
+        return pa.Table.from_arrays([pa.array(node), table["tree"].filter(table["is_query"]), counts], ["node", "tree", "counts"])
 
-    return salted.union(asks).groupBy(*KEY, "salt").applyInArrow(count, "node long, counts array<long>")
+    return salted.union(asks).groupBy(*KEY, "salt").applyInArrow(count, "node long, tree int, counts array<long>")
 
 
 def ascents(strings: DataFrame, sizes: DataFrame, head: int, sought: int, trees: int) -> DataFrame:
-    """node, depth, probes for each query: the longest prefix whose rows, PROBES times over, are ``sought``, and how many prefixes it takes."""
-    deep = own_counts(strings, sizes, head).select("node", F.posexplode("counts").alias("depth", "n")).where(F.col("depth") >= head)
+    """node, depth, probes for each query: the longest prefix whose rows, PROBES times over, are ``sought``, and how many prefixes it takes.
+
+    A tree counts for four times its share at most, so that a crowd which one tree happens to put beside the query doesn't end the ascent.
+    """
+    deep = own_counts(strings, sizes, head).select("node", "tree", F.posexplode("counts").alias("depth", "n")).where(F.col("depth") >= head)
     asked = strings.where("asked").select("node", "width", "tree", "code")
     # shorter prefixes than the blocks': from the blocks' sizes, some thousandth of the rows
     levels = F.explode(F.sequence(F.lit(0), F.lit(head - 1))).alias("depth") if head else F.explode(F.array().cast("array<int>")).alias("depth")
     short = sizes.select("width", "tree", "block", "n", levels).groupBy("width", "tree", "depth", F.expr(f"shiftright(block, {head} - depth)").alias("prefix")).agg(F.sum("n").alias("n"))
     wanted = asked.select("node", "width", "tree", "code", levels).withColumn("prefix", F.expr(f"shiftright(code, {BITS} - depth)"))
-    shallow = wanted.join(short, ["width", "tree", "depth", "prefix"]).select("node", "depth", "n")
-    sums = deep.union(shallow).groupBy("node", "depth").agg((F.sum("n") - trees).alias("n"))  # but for the query itself
-    enough = F.when(F.col("n") * F.least(F.lit(PROBES), F.pow(F.lit(2.0), "depth")) >= sought, F.struct("depth", "n"))
-    chosen = sums.groupBy("node").agg(F.coalesce(F.max(enough), F.struct(F.lit(0).alias("depth"), F.lit(1).cast("long").alias("n"))).alias("x"))
+    shallow = wanted.join(short, ["width", "tree", "depth", "prefix"]).select("node", "tree", "depth", "n")
+    most_probes = F.least(F.lit(float(PROBES)), F.pow(F.lit(2.0), "depth"))
+    of_tree = deep.union(shallow).groupBy("node", "depth", "tree").agg((F.sum("n") - 1).alias("n"))  # but for the query itself
+    sums = of_tree.groupBy("node", "depth").agg(F.sum(F.least(F.col("n").cast("double"), F.lit(4.0 * sought / trees) / most_probes)).alias("n"))
+    enough = F.when(F.col("n") * most_probes >= sought, F.struct("depth", "n"))
+    chosen = sums.groupBy("node").agg(F.coalesce(F.max(enough), F.struct(F.lit(0).alias("depth"), F.lit(1.0).alias("n"))).alias("x"))
     many = F.least(F.lit(PROBES), F.pow(F.lit(2.0), "x.depth"), F.greatest(F.lit(1), F.ceil(F.lit(sought) / F.col("x.n"))))
     return chosen.select("node", "x.depth", many.cast("int").alias("probes"))
 
@@ -278,7 +283,7 @@ def looked_at(nodes: DataFrame, nearest: int = NEAREST, trees: int = TREES, soug
     sizes = cut(strings.groupBy(*KEY).agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / (4 * block))))
     plans = cut(ascents(strings, sizes.select(*KEY, "n", "salts"), head, sought, trees))
     queries = nodes.join(plans, "node")
-    return scored(strings, sizes.select(*KEY, "salts"), probes_of(queries, head, trees), nearest + 3)
+    return scored(strings, sizes.select(*KEY, "salts"), probes_of(queries, head, trees), 2 * (nearest + 1))
 
 
 def _cosine(a: str, b: str) -> Column:
@@ -294,13 +299,13 @@ def nearest_neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, nearest
     rows = usable(vectors)
     nodes = cut(distinct_directions(rows, nearest, query_step))
     found = looked_at(nodes, nearest, trees, sought, block).groupBy("query", "node").agg(F.max("score").alias("score"))
-    # twice as many as are needed, for what single precision cannot tell apart
+    # four times as many as are needed, for what single precision cannot tell apart
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "node")
-    few = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * (nearest + 1)).select("query", "node")
+    few = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 4 * (nearest + 1)).select("query", "node")
     few = few.join(nodes.where("asked").select(F.col("node").alias("query"), F.col("vector").alias("wanted")), "query").join(nodes.select("node", "vector", "ids"), "node")
     hits = few.select("query", "ids", _cosine("wanted", "vector").alias("score")).select("query", "score", F.explode("ids").alias("vec_id"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), lambda x: F.struct(x["vec_id"].alias("vec_id"), (-x["far"]).alias("score")))
-    best = cut(hits.groupBy("query").agg(F.slice(listed, 1, nearest + 1).alias("best")))  # at most 2 x (nearest + 1)**2 of a query
+    best = cut(hits.groupBy("query").agg(F.slice(listed, 1, nearest + 1).alias("best")))  # at most 4 x (nearest + 1)**2 of a query
     # queries by their vector: those that share one are many rows of one node, so the join may be split
     own = rows.where(F.pmod(F.col("vec_id"), F.lit(query_step)) == 0).join(nodes.where("asked").select("vector", "node"), "vector").select("vec_id", "node")
     answers = own.join(best, own["node"] == best["query"]).select(F.col("vec_id").alias("query_id"), F.filter("best", lambda x: x["vec_id"] != F.col("vec_id")).alias("best"))

@@ -73,8 +73,8 @@ def test_a_tight_cluster_and_a_hot_direction(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got, wanted = answers(hf.nearest_neighbours(frame, query_step=100, block=64, sought=2500)), brute(rows, 100)
     assert set(got) == set(wanted)
-    # among multiples of one vector scores differ by rounding alone
-    ok = [abs(s - w) < 1e-9 for q, x in wanted.items() for (_, s), (_, w) in zip(got[q], x, strict=True)]
+    # in the cluster cosines differ by less than single precision, in which candidates are chosen, can tell
+    ok = [abs(s - w) < 2e-7 for q, x in wanted.items() for (_, s), (_, w) in zip(got[q], x, strict=True)]
     assert sum(ok) >= 0.9 * len(ok)
     doubled = [(i, [float(x) for x in (rng.integers(1, 9, 4) * 1.0)]) for i in range(3)] + [(10 + i, [3.0 * (i + 1), 1.0 * (i + 1), 2.0 * (i + 1), 0.0]) for i in range(40)]
     assert [i for i, _ in answers(hf.nearest_neighbours(spark.createDataFrame(doubled, "vec_id long, embedding array<double>"), query_step=20))[20]] == [10, 11, 12, 13, 14]
