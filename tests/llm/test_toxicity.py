@@ -58,3 +58,16 @@ def test_awkward_rows(spark):
         assert len(got) == len(AWKWARD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
         assert not any(r.held_out for r in got if r.doc_id is None)
     assert tx.score(documents(spark, []), tx.fit(docs, spark.createDataFrame([], LABELS))).count() == 0
+
+
+def test_scores_are_those_of_a_loop_over_sentences():
+    import math
+    import re
+
+    model = tx.Model(np.random.default_rng(3).normal(0, 0.7, 1 << tx.BITS), -2.0)
+    for text in ("", "One two two three. Four five! six\nseven? Eight", "... !!", "a b c " * 50 + ". vile words here.", "Ünïcode wörds. Ünïcode again!"):
+        clean = 1.0
+        for sentence in re.findall(r"[^.!?\n]+[.!?]*", text.lower()) or [""]:
+            z = model.bias + sum(model.weights[b] for w in set(re.findall(r"[^\W\d_]+", sentence)) for b in tx.buckets(w))
+            clean *= 1 - 1 / (1 + math.exp(-z))
+        assert abs(tx.Scorer(model).document(text) - (1 - clean)) < 1e-12
