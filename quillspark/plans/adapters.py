@@ -91,6 +91,13 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("stream", F.transform("x", lambda v: v["value"]).alias("samples"))
 
 
+def short_blocks(spark: SparkSession, sf_dir: str, size: int = 32) -> DataFrame:
+    """Samples in blocks of bounded length: stream, block (from 0), samples."""
+    rows = levels(spark, sf_dir).withColumn("block", F.floor((F.col("seq") - 1) / size))
+    rows = rows.groupBy("stream", "block").agg(F.sort_array(F.collect_list(F.struct("seq", "value"))).alias("x"))
+    return rows.select("stream", "block", F.transform("x", lambda v: v["value"]).alias("samples"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as responses of lines; every fifth line is a heading."""
     heads = F.array(*[F.lit(x) for x in ("【概要】", "## 決定事項", "**議題別内容:**", "ToDo・ネクストアクション", "継続検討", "補足")])

@@ -72,6 +72,17 @@ n AS (SELECT stream, max(seq) AS m FROM levels GROUP BY stream),
 
 _MODELS = "models(model_id, purpose, license, size_bytes, ram_mb, cost) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d}, {e}, CAST({f} AS DOUBLE))" for a, b, c, d, e, f in CATALOG) + ")"
 
+
+def _biquad(w: str, q: str, coefficients: str) -> str:
+    """A second-order section over each stream's samples; ``coefficients`` name b0, b1, b2, a0, a1, a2 by alpha, c (of the angle w) and what q says."""
+    return _FOLD.format(levels=LEVELS_SQL) + f"""
+l AS MATERIALIZED (SELECT stream, seq, value AS x FROM levels), k0 AS (SELECT {w} AS w), k1 AS (SELECT w, cos(w) AS c, {q} FROM k0), k2 AS (SELECT {coefficients} FROM k1),
+k AS MATERIALIZED (SELECT b0 / a0 AS b0, b1 / a0 AS b1, b2 / a0 AS b2, a1 / a0 AS a1, a2 / a0 AS a2 FROM k2),
+f AS (SELECT stream, seq, b0 * x AS y, b1 * x - a1 * (b0 * x) AS s, b2 * x - a2 * (b0 * x) AS t FROM l, k WHERE seq = 1
+      UNION ALL SELECT l.stream, l.seq, b0 * l.x + f.s, b1 * l.x - a1 * (b0 * l.x + f.s) + f.t, b2 * l.x - a2 * (b0 * l.x + f.s) FROM f JOIN l ON l.stream = f.stream AND l.seq = f.seq + 1, k)
+SELECT stream, seq - 1 AS pos, round(y, 9) AS y FROM f"""
+
+
 SQL = {
     "transcript_timeline": f"""WITH {SEGMENTS_SQL} SELECT meeting_id, id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, arrival_seq) AS position,
   {_STAMP.format("start_ms")} AS timestamp, {_LABEL} AS label, greatest(0, end_ms - start_ms) AS duration_ms FROM segments""",
@@ -246,4 +257,40 @@ SELECT run_id, count(*) AS inferences, count(*) FILTER (NOT last) AS map_inferen
     "page_hashes": "SELECT page_id, sha256(coalesce(html, '')) AS measured, page_id % 2 = 0 AS matches FROM pages",
     "prompts_assembled": """WITH p AS (SELECT item_id, 'Summarise.' || chr(10) || chr(10) || 'Six sections.' || chr(10) || '---' || chr(10) || text || chr(10) || '---' AS prompt FROM benchmark)
 SELECT item_id, prompt, CAST(greatest(400, length(prompt) + 128) AS BIGINT) AS overhead FROM p""",
+    "sample_low_pass": _biquad("2 * pi() * 3400 / 16000", "sin(w) / (2 * sqrt(CAST(0.5 AS DOUBLE))) AS alpha", "(1 - c) / 2 AS b0, 1 - c AS b1, (1 - c) / 2 AS b2, 1 + alpha AS a0, -2 * c AS a1, 1 - alpha AS a2"),
+    "sample_band_pass": _biquad("2 * pi() * 1000 / 16000", "sin(w) / 3 AS alpha", "alpha AS b0, 0 AS b1, -alpha AS b2, 1 + alpha AS a0, -2 * c AS a1, 1 - alpha AS a2"),
+    "sample_high_shelf": _biquad("2 * pi() * 3000 / 16000", "pow(10, CAST(6 AS DOUBLE) / 40) AS g, sqrt(2 * pow(10, CAST(6 AS DOUBLE) / 40)) * sin(w) AS r",
+                                 "g * (g + 1 + (g - 1) * c + r) AS b0, -2 * g * (g - 1 + (g + 1) * c) AS b1, g * (g + 1 + (g - 1) * c - r) AS b2, g + 1 - (g - 1) * c + r AS a0, 2 * (g - 1 - (g + 1) * c) AS a1, g + 1 - (g - 1) * c - r AS a2"),
+    "sample_upsampled": f"""WITH {LEVELS_SQL}, s AS (SELECT stream, list(value ORDER BY seq) AS x FROM levels GROUP BY stream), i AS (SELECT stream, x, unnest(range(2 * len(x))) AS i FROM s),
+p AS (SELECT stream, i, CAST(i % 2 AS DOUBLE) / 2 AS t, x[greatest(i // 2 - 2, 1)] AS p0, x[greatest(i // 2 - 1, 1)] AS p1, x[greatest(i // 2, 1)] AS p2, x[i // 2 + 1] AS p3 FROM i)
+SELECT stream, i AS pos, round(p1 + t * (p2 - p0) / 2 + t * t * (p0 - 2.5 * p1 + 2 * p2 - 0.5 * p3) + t * t * t * (1.5 * p1 - 0.5 * p0 - 1.5 * p2 + 0.5 * p3), 9) AS y FROM p""",
+    "sample_muted": f"WITH {LEVELS_SQL} SELECT stream, seq - 1 AS pos, CASE WHEN stream % 3 = 0 THEN 0 ELSE round(value, 9) END AS y FROM levels",
+    "sample_slices": f"""WITH {LEVELS_SQL}, s AS (SELECT stream, list(value ORDER BY seq)[stream % 5 + 1 : stream % 7 * 10] AS part FROM levels GROUP BY stream)
+SELECT stream, len(part) AS n, round(part[1], 9) AS first FROM s WHERE len(part) >= 2""",
+    "drift_drops": _FOLD.format(levels=LEVELS_SQL) + """
+l AS MATERIALIZED (SELECT stream, seq, 300 + stream % 5 * 150 + seq % 7 * 10 AS backlog FROM levels),
+f AS (SELECT stream, seq, CAST(backlog AS DOUBLE) / 1000 AS smooth, CASE WHEN backlog > 400 THEN 1 ELSE 0 END AS lasted, 0 AS dropped FROM l WHERE seq = 1
+      UNION ALL SELECT stream, seq, now - dropped / 1000, lasted, CAST(dropped AS INTEGER) FROM (
+        SELECT *, CAST(CASE WHEN lasted >= 5 THEN greatest(least(floor((now - 0.25) * 1000), 1, backlog), 0) ELSE 0 END AS DOUBLE) AS dropped FROM (
+          SELECT stream, seq, now, backlog, CASE WHEN now > 0.4 THEN lasted + 1 ELSE 0 END AS lasted FROM (
+            SELECT l.stream, l.seq, l.backlog, f.lasted, f.smooth + (CAST(l.backlog AS DOUBLE) / 1000 - f.smooth) / 2 AS now FROM f JOIN l ON l.stream = f.stream AND l.seq = f.seq + 1))))
+SELECT stream, seq, CAST(dropped AS BIGINT) AS dropped FROM f""",
+    "capture_probes": """SELECT event_id AS probe_id, CASE WHEN event_id % 7 = 0 THEN 'Error' WHEN event_id % 5 = 0 OR event_id % 90 >= 70 THEN 'Warning' ELSE 'Ok' END AS severity,
+  round(CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 5 * 1200000 AS DOUBLE) / (event_id % 3 * 48000) ELSE 0 END, 9) AS coverage FROM events""",
+    "leg_clipping": """SELECT c_custkey AS meeting_id, CASE WHEN c_custkey % 13 >= c_custkey % 7 THEN 'Microphone' ELSE 'SystemAudio' END AS worse, CAST(greatest(c_custkey % 13, c_custkey % 7) AS DOUBLE) / 20000 AS share
+FROM customer WHERE greatest(c_custkey % 13, c_custkey % 7) >= 2""",
+    "manifest_upserts": """WITH n AS (SELECT 'M' || (p_partkey // 8) AS id, max(p_partkey) AS verified_at FROM part WHERE p_partkey % 4 = 0 GROUP BY 1)
+SELECT id, verified_at, verified_at AS bytes FROM n UNION ALL SELECT 'm' || p_partkey, p_partkey, p_partkey * 10 FROM part WHERE 'M' || p_partkey NOT IN (SELECT id FROM n)""",
+    "import_refusals": """WITH f AS (SELECT p_partkey AS p, ['.wav', '.MP3', '.txt', '', '.m4a'][p_partkey % 5 + 1] AS e FROM part)
+SELECT 'folder/f' || p || e AS path, CASE WHEN p % 11 = 0 THEN 'missing' WHEN e IN ('.txt', '') THEN 'unsupported' WHEN p % 13 = 0 THEN 'empty' WHEN p % 17 = 0 THEN 'unreadable' WHEN p % 3 = 0 THEN 'undecodable' END AS refusal FROM f""",
+    "spoken_spans": f"WITH {SEGMENTS_SQL} SELECT meeting_id, id FROM segments WHERE arrival_seq % 10 <> 9",
+    "speech_run_totals": f"WITH {SEGMENTS_SQL} SELECT meeting_id, source, count(*) AS n_chunks, CAST(sum(end_ms - start_ms) AS DOUBLE) / 1000 AS submitted_seconds, count(*) * 30 AS encoder_seconds FROM segments GROUP BY ALL",
+    "speaker_names_merged": f"WITH {SEGMENTS_SQL}, {_NAMES} SELECT meeting_id, source, speaker_id, CASE WHEN meeting_id % 3 <> 1 THEN 'Typed ' || speaker_id ELSE name END AS name FROM names",
+    "journals_dismissed": f"WITH {JOURNAL_SQL} SELECT meeting_id, line_no, kind FROM journal WHERE meeting_id % 4 <> 0",
+    "recognition_audio_kept": "SELECT c_custkey AS run_id, c_custkey % 6 <> 0 AS kept FROM customer",
+    "meaningful_lines": f"""WITH r AS (SELECT conv_id, turn, ['- ' || text, 'なし', '・ ' || role, '```' || role, '* -', '* x', text] AS x FROM conversations),
+b AS (SELECT conv_id, turn, list_transform(x, lambda v: {_trim("regexp_replace(" + _trim("v") + ", '^[-*・ ]+', '')")}) AS x FROM r)
+SELECT conv_id, turn, coalesce(array_to_string(list_filter(x, lambda v: length(v) >= 2 AND v <> 'なし' AND NOT starts_with(v, '```')), '|'), '') AS kept FROM b""",
+    "mel_scale": """SELECT c_custkey AS id, round(2595 * log10(1 + CAST(c_custkey % 8000 AS DOUBLE) / 700), 6) AS mel, round(700 * (pow(10, CAST(c_custkey % 3000 AS DOUBLE) / 2595) - 1), 6) AS hertz,
+  round(greatest(CAST(60 - c_custkey % 70 AS DOUBLE) / 60, 0), 9) AS meter FROM customer""",
 }

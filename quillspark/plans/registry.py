@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import audio as fa
 from quillspark.functions import text as ft
-from quillspark.operators import journals, levels, minutes, planning, responses, runs, samples, speech, transcript
-from quillspark.sources import perflog
+from quillspark.operators import filters, journals, levels, minutes, planning, responses, runs, samples, speech, transcript
+from quillspark.sources import documents, perflog, wav
 
 from . import adapters as ad
 from . import oracles
@@ -424,6 +424,107 @@ def prompts_assembled(spark, sf_dir):
     return responses.assembled(rows, "Six sections.").select("item_id", "prompt", responses.prompt_overhead(F.length("prompt")).cast("long").alias("overhead"))
 
 
+def _samples_of(blocks, size):
+    """The samples of blocks of ``size`` as rows: stream, pos, y."""
+    rows = blocks.select("stream", "block", F.posexplode("samples").alias("at", "y"))
+    return rows.select("stream", (F.col("block") * size + F.col("at")).cast("long").alias("pos"), F.round("y", 9).alias("y"))
+
+
+def sample_low_pass(spark, sf_dir):
+    return _samples_of(filters.filtered(ad.short_blocks(spark, sf_dir), [filters.Biquad.low_pass(16000, 3400)]), 32)
+
+
+def sample_band_pass(spark, sf_dir):
+    return _samples_of(filters.filtered(ad.short_blocks(spark, sf_dir), [filters.Biquad.band_pass(16000, 1000, 1.5)]), 32)
+
+
+def sample_high_shelf(spark, sf_dir):
+    return _samples_of(filters.filtered(ad.short_blocks(spark, sf_dir), [filters.Biquad.high_shelf(16000, 3000, 6)]), 32)
+
+
+def sample_upsampled(spark, sf_dir):
+    return _samples_of(filters.resampled(ad.short_blocks(spark, sf_dir), 16000, 32000), 64)
+
+
+def sample_muted(spark, sf_dir):
+    rows = ad.short_blocks(spark, sf_dir).withColumn("samples", samples.muted(F.col("samples"), F.col("stream") % 3 == 0))
+    return _samples_of(rows, 32).withColumn("y", F.col("y") + 0.0)
+
+
+def sample_slices(spark, sf_dir):
+    s = F.col("stream")
+    rows = ad.blocks(spark, sf_dir).select(s, samples.sliced(F.col("samples"), s % 5 * 100, s % 7 * 1000, 10).alias("part"))
+    return rows.select("stream", F.size("part").cast("long").alias("n"), F.round(F.element_at("part", 1), 9).alias("first")).where("part IS NOT NULL")
+
+
+def drift_drops(spark, sf_dir):
+    backlog = 300 + F.col("stream") % 5 * 150 + F.col("seq") % 7 * 10
+    return levels.drift_corrections(ad.levels(spark, sf_dir).select("stream", "seq", backlog.alias("backlog")), 1000, 1.0)
+
+
+def capture_probes(spark, sf_dir):
+    e = F.col("event_id")
+    rows = ad.table(spark, sf_dir, "events").select(e.alias("probe_id"), (e % 7 != 0).alias("opened"), (e % 5 * 12000).alias("samples"), (e % 3).cast("double").alias("seconds"), (-(e % 90)).cast("double").alias("peak_db"))
+    return planning.probe_outcomes(rows).select("probe_id", "severity", F.round("coverage", 9).alias("coverage"))
+
+
+def leg_clipping(spark, sf_dir):
+    c = F.col("c_custkey")
+    rows = ad.table(spark, sf_dir, "customer").select(c.alias("meeting_id"), ((c % 13).cast("double") / 20000).alias("microphone"), ((c % 7).cast("double") / 20000).alias("system"))
+    return planning.clipping_warnings(rows)
+
+
+def manifest_upserts(spark, sf_dir):
+    p = F.col("p_partkey")
+    rows = ad.table(spark, sf_dir, "part")
+    manifest = rows.select(F.concat(F.lit("m"), p.cast("string")).alias("id"), p.alias("verified_at"), (p * 10).alias("bytes"))
+    entries = rows.where(p % 4 == 0).select(F.concat(F.lit("M"), F.floor(p / 8).cast("string")).alias("id"), p.alias("verified_at"), p.alias("bytes"))
+    return documents.upsert_manifest(manifest, entries)
+
+
+def import_refusals(spark, sf_dir):
+    p = F.col("p_partkey")
+    end = F.element_at(F.array(*[F.lit(x) for x in (".wav", ".MP3", ".txt", "", ".m4a")]), (p % 5 + 1).cast("int"))
+    rows = ad.table(spark, sf_dir, "part").select(F.concat(F.lit("folder/f"), p.cast("string"), end).alias("path"), (p % 11 != 0).alias("exists"), (p % 13).alias("length"), (p % 17 != 0).alias("readable"), (p % 3 != 0).alias("decodable"))
+    return wav.import_checks(rows)
+
+
+def spoken_spans(spark, sf_dir):
+    rows = ad.segments(spark, sf_dir).withColumn("no_speech_prob", (F.col("arrival_seq") % 10).cast("double") / 10)
+    return speech.spoken(rows).select("meeting_id", "id")
+
+
+def speech_run_totals(spark, sf_dir):
+    return speech.run_totals(ad.segments(spark, sf_dir)).withColumn("encoder_seconds", F.col("encoder_seconds").cast("long"))
+
+
+def speaker_names_merged(spark, sf_dir):
+    old = _names(spark, sf_dir)
+    return transcript.merged_names(old, old.where("meeting_id % 3 <> 1").withColumn("name", F.concat(F.lit("Typed "), F.col("speaker_id").cast("string"))))
+
+
+def journals_dismissed(spark, sf_dir):
+    entries = ad.journal(spark, sf_dir)
+    return journals.dismissed(entries, entries.where("meeting_id % 4 = 0").select("meeting_id").distinct()).select("meeting_id", "line_no", "kind")
+
+
+def recognition_audio_kept(spark, sf_dir):
+    c = F.col("c_custkey")
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("Completed", "Failed", "Cancelled")]), (c % 3 + 1).cast("int"))
+    return ad.table(spark, sf_dir, "customer").select(c.alias("run_id"), runs.keeps_recognition_audio(outcome, c % 2 == 0).alias("kept"))
+
+
+def meaningful_lines(spark, sf_dir):
+    text, role = F.col("text"), F.col("role")
+    rows = F.array(F.concat(F.lit("- "), text), F.lit("なし"), F.concat(F.lit("・ "), role), F.concat(F.lit("```"), role), F.lit("* -"), F.lit("* x"), text)
+    return ad.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(ft.meaningful(rows), "|").alias("kept"))
+
+
+def mel_scale(spark, sf_dir):
+    c = F.col("c_custkey")
+    return ad.table(spark, sf_dir, "customer").select(c.alias("id"), F.round(fa.mel((c % 8000).cast("double")), 6).alias("mel"), F.round(fa.hertz((c % 3000).cast("double")), 6).alias("hertz"), F.round(fa.meter(-(c % 70).cast("double")), 9).alias("meter"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     transcript_timeline, transcript_sentences, cue_sentences, minutes_items, minutes_topics, minutes_overview, minutes_markdown, transcript_text, transcript_markdown,
     speaker_carry_over, speaker_list, speaker_names_known, speaker_rename_counts, segment_edits, segment_upserts, journal_replay, journal_states, journal_recovery,
@@ -431,7 +532,9 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     level_stalls, level_silence_runs, level_gap_filled, level_inserted_share, sample_dc_block, sample_mix, sample_downmix, sample_normalised, sample_quantised, sample_interpolated,
     vector_cosines, vector_statistics, vector_speaker_clusters, speech_chunks, model_choice, storage_footprint, preflight_overall, folder_names, perf_log_fields, settings_migrated, meeting_totals,
     source_files, decoder_choice, decoder_extensions, capture_formats, transcode_results, generator_choice, meeting_warnings, connections, cpu_use, ring_buffers, model_checks, device_reports, run_metrics,
-    check_reports, process_tree, minutes_text, transcript_headers, transcript_cleared, decode_options, progress_fractions, minutes_run_totals, page_hashes, prompts_assembled)}
+    check_reports, process_tree, minutes_text, transcript_headers, transcript_cleared, decode_options, progress_fractions, minutes_run_totals, page_hashes, prompts_assembled,
+    sample_low_pass, sample_band_pass, sample_high_shelf, sample_upsampled, sample_muted, sample_slices, drift_drops, capture_probes, leg_clipping, manifest_upserts, import_refusals,
+    spoken_spans, speech_run_totals, speaker_names_merged, journals_dismissed, recognition_audio_kept, meaningful_lines, mel_scale)}
 
 
 def queries() -> dict[str, Query]:
