@@ -1,11 +1,14 @@
 """Ordered measurements of streams: statistics, clipping, meters, voice activity, stalls, gaps.
 
 A measurement has stream, seq, at (seconds) and value or db. What a reduction can tell is an aggregate; what depends on order is a window or,
-where each step needs the state before it, a fold over the stream's array inside the JVM.
+where each step needs the state before it, a fold over the stream's array inside the JVM or a walk through the stream's sorted batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,25 +43,53 @@ def peak_hold(levels: DataFrame, decay_db: float = DECAY_DB) -> DataFrame:
 FALL, RISE, LOWEST, HIGHEST, MARGIN, LEAST_DB, ONSET, HANGOVER, START_DB = 0.25, 0.002, -90.0, -20.0, 8.0, -65.0, 2, 30, -60.0
 
 
+class VoiceDetector:
+    """An adaptive threshold over a noise floor that falls fast and rises slowly, one level after another; a level that is missing is as the noise."""
+
+    def __init__(self, onset: int = ONSET, hangover: int = HANGOVER) -> None:
+        self.onset, self.hangover = onset, hangover
+        self.noise, self.run, self.hold, self.speech = START_DB, 0, 0, False
+
+    def __call__(self, db: float | None) -> bool:
+        if db is None:
+            db = self.noise
+        if db < self.noise:
+            self.noise += (db - self.noise) * FALL
+        elif not self.speech:
+            self.noise += (db - self.noise) * RISE
+        self.noise = min(max(self.noise, LOWEST), HIGHEST)
+        if db > max(self.noise + MARGIN, LEAST_DB):
+            self.run += 1
+            if self.run >= self.onset:
+                self.speech, self.hold = True, self.hangover
+        else:
+            self.run = 0
+            if self.hold:
+                self.hold -= 1
+            else:
+                self.speech = False
+        return self.speech
+
+
 def voice_activity(levels: DataFrame, onset: int = ONSET, hangover: int = HANGOVER) -> DataFrame:
-    """stream, seq, noise_db, speech: an adaptive threshold over a noise floor that falls fast and rises slowly."""
-    frames = levels.groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("seq", "db"))).alias("x"))
-    start = F.expr(f"named_struct('noise', {START_DB}D, 'run', 0, 'hold', 0, 'speech', false, 'out', cast(array() as array<struct<seq: bigint, noise: double, speech: boolean>>))")
-
-    def step(s, frame):
-        db = frame["db"]
-        noise = F.when(db < s["noise"], s["noise"] + (db - s["noise"]) * FALL).when(~s["speech"], s["noise"] + (db - s["noise"]) * RISE).otherwise(s["noise"])
-        noise = F.least(F.greatest(noise, F.lit(LOWEST)), F.lit(HIGHEST))
-        above = db > F.greatest(noise + MARGIN, F.lit(LEAST_DB))
-        run = F.when(above, s["run"] + 1).otherwise(F.lit(0))
-        begun = above & (run >= onset)
-        hold = F.when(begun, F.lit(hangover)).when(~above & (s["hold"] > 0), s["hold"] - 1).otherwise(s["hold"])
-        speech = F.when(begun, F.lit(True)).when(~above & (s["hold"] <= 0), F.lit(False)).otherwise(s["speech"])
-        row = F.struct(frame["seq"].alias("seq"), noise.alias("noise"), speech.alias("speech"))
-        return F.struct(noise.alias("noise"), run.alias("run"), hold.alias("hold"), speech.alias("speech"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    rows = frames.select("stream", F.explode(F.aggregate("x", start, step, lambda s: s["out"])).alias("r"))
-    return rows.select("stream", "r.seq", F.col("r.noise").alias("noise_db"), "r.speech")
+    """stream, seq, noise_db, speech of each level (stream, seq, db) by a ``VoiceDetector`` for each stream.
+
+    A stream goes through its task batch by batch in order of seq, so what is held is a batch, however long the stream.
+    """
+
+    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, detector = None, None
+        for batch in batches:
+            noise, spoken = [], []
+            for name, db in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if detector is None or name != stream:
+                    stream, detector = name, VoiceDetector(onset, hangover)
+                spoken.append(detector(db))
+                noise.append(detector.noise)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(noise, pa.float64()), pa.array(spoken, pa.bool_())], ["stream", "seq", "noise_db", "speech"])
+
+    rows = levels.select(F.col("stream").cast("long"), F.col("seq").cast("long"), F.col("db").cast("double")).repartition("stream").sortWithinPartitions("stream", "seq")
+    return rows.mapInArrow(detect, "stream long, seq long, noise_db double, speech boolean")
 
 
 def smoothed(levels: DataFrame, alpha: float) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .levels import FALL, HANGOVER, HIGHEST, LEAST_DB, LOWEST, MARGIN, ONSET, RISE, START_DB
+from .levels import VoiceDetector
 
 RATE, FRAME = 16_000, 320
 FRAME_MS = FRAME * 1000 // RATE
@@ -35,31 +35,6 @@ class Pauses:
     overlap: int = 10
 
 
-class VoiceDetector:
-    """The detector of ``levels.voice_activity`` frame by frame, for streams too long for an array fold."""
-
-    def __init__(self) -> None:
-        self.noise, self.run, self.hold, self.speech = START_DB, 0, 0, False
-
-    def __call__(self, db: float) -> bool:
-        if db < self.noise:
-            self.noise += (db - self.noise) * FALL
-        elif not self.speech:
-            self.noise += (db - self.noise) * RISE
-        self.noise = min(max(self.noise, LOWEST), HIGHEST)
-        if db > max(self.noise + MARGIN, LEAST_DB):
-            self.run += 1
-            if self.run >= ONSET:
-                self.speech, self.hold = True, HANGOVER
-        else:
-            self.run = 0
-            if self.hold:
-                self.hold -= 1
-            else:
-                self.speech = False
-        return self.speech
-
-
 class Chunker:
     """Ranges of frames to recognise: speech with its pre-roll, carried on over pauses up to a target length."""
 

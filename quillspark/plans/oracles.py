@@ -154,6 +154,38 @@ f AS (SELECT stream, CAST(0 AS BIGINT) AS seq, CAST(-60 AS DOUBLE) AS noise, 0 A
      SELECT l.stream, l.seq, l.db, f.run, f.hold, f.speech, least(greatest(CASE WHEN l.db < f.noise THEN f.noise + (l.db - f.noise) * CAST(0.25 AS DOUBLE) WHEN NOT f.speech THEN f.noise + (l.db - f.noise) * CAST(0.002 AS DOUBLE) ELSE f.noise END, -90), -20) AS noise
      FROM f JOIN l ON l.stream = f.stream AND l.seq = f.seq + 1))))
 SELECT stream, seq, round(noise, 6) AS noise_db, speech FROM f WHERE seq > 0""",
+    "speech_chunks": _FOLD.format(levels=LEVELS_SQL) + """
+l AS MATERIALIZED (SELECT stream, seq, db - 20 AS db FROM levels),
+f AS (SELECT stream, CAST(0 AS BIGINT) AS seq, CAST(-60 AS DOUBLE) AS noise, 0 AS run, 0 AS hold, false AS speech, CAST(NULL AS BIGINT) AS first, CAST(0 AS BIGINT) AS silence, CAST(0 AS BIGINT) AS spare, CAST(NULL AS BIGINT) AS cut_first, CAST(NULL AS BIGINT) AS cut_stop FROM n
+ UNION ALL
+ SELECT stream, seq, noise, run, hold, speech, CASE WHEN NOT cut THEN first WHEN NOT paused AND stop - first > 2 THEN stop - 2 END, CASE WHEN cut THEN 0 ELSE silence END, CASE WHEN cut THEN 0 ELSE spare END, CASE WHEN cut THEN first END, CASE WHEN cut THEN stop END
+ FROM (SELECT *, coalesce(paused OR seq - first >= 16, false) AS cut, seq - least(greatest(silence - 3, 0), greatest(seq - first - 3, 0)) AS stop FROM (
+   SELECT *, coalesce(silence >= 3 AND seq - first >= 3 AND (seq - first >= 8 OR silence >= 6), false) AS paused FROM (
+     SELECT stream, seq, noise, run, hold, speech, CASE WHEN speech THEN coalesce(first, seq - 1 - spare) ELSE first END AS first, CASE WHEN speech THEN 0 WHEN first IS NOT NULL THEN silence + 1 ELSE silence END AS silence,
+       CASE WHEN first IS NOT NULL THEN spare WHEN speech THEN 0 ELSE least(spare + 1, 2) END AS spare FROM (
+       SELECT stream, seq, noise, run, first, silence, spare, CASE WHEN above AND run >= 2 THEN 30 WHEN NOT above AND hold > 0 THEN hold - 1 ELSE hold END AS hold, CASE WHEN above AND run >= 2 THEN true WHEN NOT above AND hold <= 0 THEN false ELSE speech END AS speech FROM (
+         SELECT * REPLACE (CASE WHEN above THEN run + 1 ELSE 0 END AS run) FROM (
+           SELECT *, db > greatest(noise + 8, -65) AS above FROM (
+             SELECT l.stream, l.seq, l.db, f.run, f.hold, f.speech, f.first, f.silence, f.spare, least(greatest(CASE WHEN l.db < f.noise THEN f.noise + (l.db - f.noise) * CAST(0.25 AS DOUBLE) WHEN NOT f.speech THEN f.noise + (l.db - f.noise) * CAST(0.002 AS DOUBLE) ELSE f.noise END, -90), -20) AS noise
+             FROM f JOIN l ON l.stream = f.stream AND l.seq = f.seq + 1)))))))),
+c AS (SELECT stream, seq AS until, cut_first AS first, cut_stop AS stop FROM f WHERE cut_first IS NOT NULL
+ UNION ALL SELECT stream, m + 1, first, m - least(greatest(silence - 3, 0), greatest(m - first - 3, 0)) FROM f JOIN n USING (stream) WHERE seq = m AND first IS NOT NULL)
+SELECT stream AS meeting_id, 'Microphone' AS source, row_number() OVER (PARTITION BY stream ORDER BY until) - 1 AS seq, first AS first_frame, stop AS end_frame, first * 20 AS start_ms, stop * 20 AS end_ms FROM c""",
+    "vector_speaker_clusters": """WITH RECURSIVE e AS (SELECT CAST(label AS BIGINT) * 1000000000 + vec_id // 1000 AS stream, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS MATERIALIZED (SELECT stream, vec_id AS seq, row_number() OVER (PARTITION BY stream ORDER BY vec_id) AS k, CASE WHEN sqrt(list_dot_product(e, e)) >= 1e-9 THEN list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) ELSE e END AS v FROM e),
+f AS (SELECT DISTINCT stream, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[][]) AS centroids, CAST([] AS BIGINT[]) AS counts, CAST(NULL AS BIGINT) AS cluster FROM u
+ UNION ALL
+ SELECT stream, seq, k,
+   CASE WHEN cluster IS NULL THEN centroids WHEN fresh THEN list_append(centroids, v) ELSE list_transform(centroids, lambda c, i: CASE WHEN i = cluster + 1 THEN moved ELSE c END) END,
+   CASE WHEN cluster IS NULL THEN counts WHEN fresh THEN list_append(counts, 1) ELSE list_transform(counts, lambda n, i: CASE WHEN i = cluster + 1 THEN n + 1 ELSE n END) END,
+   cluster
+ FROM (SELECT * REPLACE (list_transform(moved, lambda x: x / CASE WHEN size >= 1e-9 THEN size ELSE 1 END) AS moved) FROM (
+  SELECT *, sqrt(list_sum(list_transform(moved, lambda x: x * x))) AS size FROM (
+   SELECT *, list_transform(v, lambda x, i: CASE WHEN fresh THEN x ELSE centroids[cluster + 1][i] + (x - centroids[cluster + 1][i]) / (counts[cluster + 1] + 1) END) AS moved FROM (
+   SELECT *, CASE WHEN v IS NULL THEN NULL WHEN fresh THEN len(centroids) ELSE list_position(near, list_max(near)) - 1 END AS cluster FROM (
+     SELECT *, len(near) = 0 OR (list_max(near) < 0.3 AND len(near) < 8) AS fresh FROM (
+       SELECT u.stream, u.seq, u.k, u.v, f.centroids, f.counts, list_transform(f.centroids, lambda c: list_dot_product(c, u.v)) AS near FROM f JOIN u ON u.stream = f.stream AND u.k = f.k + 1)))))))
+SELECT stream, seq, cluster FROM f WHERE k > 0""",
     "level_smoothed": _FOLD.format(levels=LEVELS_SQL) + """
 l AS MATERIALIZED (SELECT stream, seq, value FROM levels),
 f AS (SELECT stream, seq, value AS s FROM l WHERE seq = 1 UNION ALL SELECT l.stream, l.seq, f.s + (l.value - f.s) * CAST(0.1 AS DOUBLE) FROM f JOIN l ON l.stream = f.stream AND l.seq = f.seq + 1)

@@ -229,7 +229,7 @@ def vector_statistics(spark, sf_dir):
 def vector_speaker_clusters(spark, sf_dir):
     rows = ad.table(spark, sf_dir, "embeddings")
     # streams of bounded length: a stream is walked in one task
-    stream = F.col("label") * 1_000_000_000 + F.floor(F.col("vec_id") / 1000)
+    stream = F.col("label").cast("long") * 1_000_000_000 + F.floor(F.col("vec_id") / 1000)
     return speech.speaker_clusters(rows.select(stream.cast("long").alias("stream"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector")), similarity=0.3)
 
 

@@ -106,12 +106,19 @@ def test_carried_silence_ends_a_chunk_and_is_trimmed():
     assert a[1] - a[0] < 500 and b[0] > 6000
 
 
-def test_detector_equals_the_fold(spark):
-    db = np.round(RNG.uniform(-80, -10, 400), 3).tolist()
-    rows = spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(db)], "stream long, seq long, db double")
-    got = [r.speech for r in levels.voice_activity(rows).orderBy("seq").collect()]
-    detector = speech.VoiceDetector()
-    assert got == [detector(x) for x in db]
+def test_detector_walks_each_stream_over_batches(spark):
+    db = {m: [None if i % 97 == 5 else float(x) for i, x in enumerate(np.round(RNG.uniform(-80, -10, 400), 3))] for m in (1, 2, 3)}
+    rows = spark.createDataFrame([(m, i + 1, x) for m in db for i, x in enumerate(db[m])], "stream long, seq long, db double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = levels.voice_activity(rows).orderBy("stream", "seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = []
+    for m in db:
+        detector = levels.VoiceDetector()
+        wanted += [(m, i + 1, detector(x), detector.noise) for i, x in enumerate(db[m])]
+    assert [(r.stream, r.seq, r.speech, r.noise_db) for r in got] == wanted
 
 
 def test_speech_chunks_go_stream_by_stream(spark):
