@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_stream, exact_dedup, hash_forest, merkle, mixing, near_dedup, span_dedup, suffix_dedup, token_counts, toxicity, warc
+from . import bpe_stream, exact_dedup, hash_forest, merkle, mixing, near_dedup, span_dedup, suffix_dedup, token_counts, toxicity, vector_codes, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_bpe": bpe_stream.op10_bpe,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
         "op12_merkle": merkle.op12_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op9_mixing": mixing.OP9_SQL, "op12_merkle": merkle.OP12_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op9_mixing": mixing.OP9_SQL, "op11_vector_codes": vector_codes.OP11_SQL, "op12_merkle": merkle.OP12_SQL}
