@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_stream, exact_dedup, hash_forest, merkle, mixing, near_dedup, span_dedup, suffix_dedup, token_counts, toxicity, vector_codes, warc
+from . import bpe_stream, exact_dedup, hash_forest, merkle, mixing, near_dedup, span_dedup, suffix_dedup, token_counts, toxicity, url_filters, vector_codes, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_bpe": bpe_stream.op10_bpe,
         "op11_vector_codes": vector_codes.op11_vector_codes,
         "op12_merkle": merkle.op12_merkle,
+        "op13_url_filters": url_filters.op13_url_filters,
     }
 
 
