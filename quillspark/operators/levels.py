@@ -131,21 +131,45 @@ def inserted_share(filled: DataFrame, least: float = 0.001) -> DataFrame:
 SMOOTHING_S, TARGET_S, EXCESS_S, SUSTAINED_S, MOST_A_TICK_MS = 2.0, 0.25, 0.15, 5.0, 1
 
 
+class DriftControl:
+    """How many samples to drop at each tick: the smoothed backlog's excess, a little at a time, once it has lasted."""
+
+    def __init__(self, rate: int, tick_seconds: float) -> None:
+        self.rate, self.tick = rate, tick_seconds
+        self.alpha = min(1.0, max(0.0, tick_seconds / SMOOTHING_S))
+        self.most = int(rate * MOST_A_TICK_MS / 1000)
+        self.smooth, self.lasted = -1.0, 0.0
+
+    def __call__(self, backlog: int, inserted: int = 0) -> int:
+        """A tick with ``backlog`` samples waiting, before which ``inserted`` samples of silence made up for a lack."""
+        if inserted > 0:  # a stream that starves doesn't run fast
+            self.smooth = self.lasted = 0.0
+        now = backlog / self.rate
+        self.smooth = now if self.smooth < 0 else self.smooth + (now - self.smooth) * self.alpha
+        if self.smooth <= TARGET_S + EXCESS_S:
+            self.lasted = 0.0
+            return 0
+        self.lasted += self.tick
+        if self.lasted < SUSTAINED_S:
+            return 0
+        dropped = max(0, min(int((self.smooth - TARGET_S) * self.rate), self.most, backlog))
+        self.smooth -= dropped / self.rate
+        return dropped
+
+
 def drift_corrections(backlogs: DataFrame, rate: int, tick_seconds: float) -> DataFrame:
-    """stream, seq, dropped: samples to drop at each tick of a stream's ``backlog`` (in samples), once an excess has lasted."""
-    rows = backlogs.groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("backlog").cast("long").alias("backlog")))).alias("x"))
-    alpha = min(1.0, max(0.0, tick_seconds / SMOOTHING_S))
-    most = int(rate * MOST_A_TICK_MS / 1000)
-    start = F.expr("named_struct('smooth', -1D, 'lasted', 0D, 'out', cast(array() as array<struct<seq: bigint, dropped: bigint>>))")
-
-    def step(s, v):
-        now = v["backlog"] / F.lit(float(rate))
-        smooth = F.when(s["smooth"] < 0, now).otherwise(s["smooth"] + (now - s["smooth"]) * alpha)
-        over = smooth > TARGET_S + EXCESS_S
-        lasted = F.when(over, s["lasted"] + tick_seconds).otherwise(F.lit(0.0))
-        wanted = F.least(((smooth - TARGET_S) * rate).cast("long"), F.lit(most).cast("long"), v["backlog"])
-        dropped = F.when(over & (lasted >= SUSTAINED_S), F.greatest(wanted, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
-        row = F.struct(v["seq"].alias("seq"), dropped.alias("dropped"))
-        return F.struct((smooth - dropped / F.lit(float(rate))).alias("smooth"), lasted.alias("lasted"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    return rows.select("stream", F.inline(F.aggregate("x", start, step, lambda s: s["out"])))
+    """stream, seq, dropped: samples to drop at each tick of a stream's ``backlog`` and, if given, ``inserted`` (in samples). Streams are gone through batch by batch."""
+    columns = ["stream", "seq", "backlog", *(["inserted"] if "inserted" in backlogs.columns else [])]
+
+    def control(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, tick = None, None
+        for batch in batches:
+            out = []
+            for name, _, *counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if tick is None or name != stream:
+                    stream, tick = name, DriftControl(rate, tick_seconds)
+                out.append(tick(*counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["stream", "seq", "dropped"])
+
+    rows = backlogs.select(*[F.col(c).cast("long") for c in columns]).repartition("stream").sortWithinPartitions("stream", "seq")
+    return rows.mapInArrow(control, "stream long, seq long, dropped long")

@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in ``spark.checkpoint.dir``; within one process, as in tests, a temporary folder does."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and sc.master.split("[")[0] != "local":
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; within one process, as in tests, a temporary one does."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-"))
+        named = tempfile.mkdtemp(prefix="quillspark-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

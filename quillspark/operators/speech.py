@@ -62,6 +62,21 @@ class Chunker:
             return self._cut(keep=not paused)
         return None
 
+    def placed(self, frame: int, db: float, idle: int) -> list[tuple[int, int]]:
+        """The chunks completed by a frame that comes at its number: missing frames are silence, and after more than ``idle`` of them all begins anew."""
+        found = []
+        if frame - self.at > idle:
+            found.append(self.end())
+            self.restart(frame)
+        while self.at < frame:
+            found.append(self.feed(-120.0))
+        if self.at == frame:
+            found.append(self.feed(db))
+        return [x for x in found if x]
+
+    def restart(self, frame: int) -> None:
+        self.voice, self.at, self.silence, self.spare, self.start = VoiceDetector(), frame, 0, 0, None
+
     def end(self) -> tuple[int, int] | None:
         """What is left when the stream ends, however short."""
         return self._cut(keep=False) if self.start is not None else None
@@ -102,8 +117,11 @@ def frame_levels(blocks: DataFrame) -> DataFrame:
     return parts.where(F.col("n") == FRAME).select("meeting_id", "source", "frame", F.when(level <= 1e-12, F.lit(-120.0)).otherwise(20 * F.log10(level)).alias("db"))
 
 
-def speech_chunks(frames: DataFrame, pauses: Pauses = Pauses()) -> DataFrame:
-    """The chunks of each stream of ``frames`` (meeting_id, source, frame, db)."""
+def speech_chunks(frames: DataFrame, pauses: Pauses = Pauses(), idle: int | None = None) -> DataFrame:
+    """The chunks of each stream of ``frames`` (meeting_id, source, frame, db).
+
+    Frames follow one another whatever their numbers; with ``idle``, a missing frame is silence, and a stream without frames for longer has ended and begins anew.
+    """
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream, machine, seq, out = None, Chunker(pauses), 0, []
@@ -115,11 +133,12 @@ def speech_chunks(frames: DataFrame, pauses: Pauses = Pauses()) -> DataFrame:
                 seq += 1
 
         for batch in batches:
-            for meeting, source, db in zip(batch["meeting_id"], batch["source"], batch["db"], strict=True):
+            for meeting, source, frame, db in zip(batch["meeting_id"], batch["source"], batch["frame"], batch["db"], strict=True):
                 if (meeting, source) != stream:
                     put(machine.end())
                     stream, machine, seq = (meeting, source), Chunker(pauses), 0
-                put(machine.feed(db))
+                for found in [machine.feed(db)] if idle is None else machine.placed(frame, db, idle):
+                    put(found)
             yield pd.DataFrame(out, columns=[x.split()[0] for x in CHUNK.split(", ")])
             out.clear()
         put(machine.end())

@@ -13,7 +13,7 @@ from quillspark.operators import filters, journals, levels, minutes, planning, r
 from quillspark.sources import documents, perflog, wav
 
 from . import adapters as ad
-from . import oracles
+from . import live_queries, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 CUES = ad.PROSE_CUES
@@ -538,8 +538,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | live_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.SQL)
+    return oracles.SQL | live_queries.SQL
