@@ -1,7 +1,7 @@
-"""Recursive filters and resampling of long streams: blocks of a stream are gone through in order, with the state carried from block to block.
+"""Recursive filters, and what goes through a stream's blocks in order: resampling and adaptive downmix, with the state carried from block to block.
 
-A stream has stream, block, samples. A recursion can't be split, so the unit of work is a stream; within it, runs of STEP samples
-are matrix products.
+A stream has stream, block, samples. Filters alone run in parallel over a stream's blocks in ``recurrence``; here runs of STEP samples are matrix
+products, and the unit of work is a stream.
 """
 
 from __future__ import annotations
@@ -53,6 +53,10 @@ class Biquad:
         up, down = g + 1, g - 1
         return Biquad.of((g * (up + down * c + root), -2 * g * (down + up * c), g * (up + down * c - root)), (up - down * c + root, 2 * (down - up * c), up - down * c - root))
 
+    @staticmethod
+    def dc_block(rate: float, cutoff: float = 20.0) -> Biquad:
+        return Biquad((1.0, -1.0, 0.0), (-max(0.0, 1.0 - 2.0 * math.pi * cutoff / rate), 0.0))
+
     @cached_property
     def _run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of a run of STEP samples: output from input and from state, state from state and from input."""
@@ -130,66 +134,44 @@ class Resampler:
         return p1 + t * (slope_1 + t * (3 * rise - 2 * slope_1 - slope_2 + t * (slope_1 + slope_2 - 2 * rise)))
 
 
-def _through(blocks: DataFrame, make: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
-    """Each stream's blocks in order through what ``make`` makes; a stream's blocks come batch by batch."""
+def _through(blocks: DataFrame, make: Callable[..., Callable[[np.ndarray], np.ndarray]], *given: str) -> DataFrame:
+    """Each stream's blocks in order through what ``make`` makes of the stream's ``given`` columns; a stream's blocks come batch by batch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream, machine = None, None
         for frame in frames:
             out = []
-            for name, x in zip(frame["stream"], frame["samples"], strict=True):
+            for name, x, *rest in zip(frame["stream"], frame["samples"], *[frame[c] for c in given], strict=True):
                 if machine is None or name != stream:
-                    stream, machine = name, make()
+                    stream, machine = name, make(*rest)
                 out.append(machine(np.asarray(x, np.float64)))
             yield frame[["stream", "block"]].assign(samples=out)
 
     kind = dict(blocks.dtypes)["stream"]
     # all blocks of a stream in one partition, in order, without being held at once
-    return blocks.select("stream", "block", "samples").repartition("stream").sortWithinPartitions("stream", "block").mapInPandas(run, f"stream {kind}, block long, samples array<double>")
-
-
-def filtered(blocks: DataFrame, sections: list[Biquad]) -> DataFrame:
-    return _through(blocks, lambda: Chain(sections))
-
-
-def equalised(blocks: DataFrame, rate: int) -> DataFrame:
-    return _through(blocks, lambda: listening_eq(rate))
+    return blocks.select("stream", "block", "samples", *given).repartition("stream").sortWithinPartitions("stream", "block").mapInPandas(run, f"stream {kind}, block long, samples array<double>")
 
 
 def resampled(blocks: DataFrame, source_rate: int, target_rate: int) -> DataFrame:
     return _through(blocks, lambda: Resampler(source_rate, target_rate))
 
 
-def band_levels(samples: np.ndarray, rate: int) -> dict[str, float]:
-    """RMS of each band over the frames that are not silent; every frame moves the filters."""
-    size, nyquist = max(1, rate * FRAME_MS // 1000), rate / 2
-    n = -(-len(samples) // size)
-    loud = np.array([np.sqrt(np.mean(samples[i * size : (i + 1) * size] ** 2)) >= 10 ** (ACTIVE_DB / 20) for i in range(n)], bool)
-    active = np.repeat(loud, size)[: len(samples)]
-    out = {}
+def resampled_each(blocks: DataFrame, target_rate: int) -> DataFrame:
+    """``blocks`` (stream, block, sample_rate, samples), each stream from its own rate to ``target_rate``."""
+    return _through(blocks, lambda rate: Resampler(int(rate), target_rate), "sample_rate")
+
+
+def bands_at(rate: int) -> dict[str, list[Biquad]]:
+    """The two band-passes of each band that lies below the rate's limit."""
+    nyquist, out = rate / 2, {}
     for name, (low, high) in BANDS.items():
         if low < nyquist * 0.95:
             high = min(high, nyquist * 0.95)
             centre = math.sqrt(low * high)
-            y = Chain([Biquad.band_pass(rate, centre, centre / max(1.0, high - low))] * 2)(samples)
-            out[name] = float(np.sqrt(np.mean(y[active] ** 2))) if active.any() else 0.0
+            out[name] = [Biquad.band_pass(rate, centre, centre / max(1.0, high - low))] * 2
     return out
 
 
-def spectral_balance(blocks: DataFrame, rate: int) -> DataFrame:
-    """stream, band, rms, relative_db (to the first band)."""
-
-    def measure(frame: pd.DataFrame) -> pd.DataFrame:
-        samples = np.concatenate([np.asarray(x, np.float64) for x in frame.sort_values("block")["samples"]])
-        found = band_levels(samples, rate)
-        first = next(iter(found.values()), 0.0)
-        relative = [20 * math.log10(v / first) if first > 0 and v > 0 else -120.0 for v in found.values()]
-        return pd.DataFrame({"stream": frame["stream"].iloc[0], "band": list(found), "rms": list(found.values()), "relative_db": relative})
-
-    kind = dict(blocks.dtypes)["stream"]
-    return blocks.groupBy("stream").applyInPandas(measure, f"stream {kind}, band string, rms double, relative_db double")
-
-
 class Downmixer:
     """Mean of the channels, until half a second of sound shows that they cancel each other: then the first channel alone."""
 

@@ -92,14 +92,6 @@ def voice_activity(levels: DataFrame, onset: int = ONSET, hangover: int = HANGOV
     return rows.mapInArrow(detect, "stream long, seq long, noise_db double, speech boolean")
 
 
-def smoothed(levels: DataFrame, alpha: float) -> DataFrame:
-    """stream, n, last: the exponentially smoothed value after all measurements; the first one starts it."""
-    frames = levels.groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("seq", "value"))).alias("x"))
-    first = F.element_at("x", 1)["value"]
-    folded = F.aggregate(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0))), first, lambda s, v: s + (v["value"] - s) * alpha)
-    return frames.select("stream", F.size("x").cast("long").alias("n"), folded.alias("last"))
-
-
 def stalls(levels: DataFrame, longest_gap: float = 3.0) -> DataFrame:
     """stream, seq, gap_seconds: measurements after which the stream was silent for longer."""
     following = F.lead("at").over(Window.partitionBy("stream").orderBy("seq"))

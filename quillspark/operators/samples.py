@@ -1,9 +1,7 @@
-"""Blocks of audio samples as array columns: filters, mixing, downmix, normalising, all inside the JVM."""
+"""Blocks of audio samples as array columns: mixing, downmix, normalising, all inside the JVM."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,18 +12,6 @@ MIX_GAIN_DB = -8.178746
 SKIP_DB = 0.1
 
 
-def dc_blocked(samples: Column, rate: int, cutoff: float = 20.0) -> Column:
-    """y = x - x1 + R * y1 over an array, from rest."""
-    r = max(0.0, 1.0 - 2.0 * math.pi * cutoff / rate)
-    start = F.expr("named_struct('x', 0D, 'y', 0D, 'out', cast(array() as array<double>))")
-
-    def step(s, v):
-        y = v.cast("double") - s["x"] + F.lit(r) * s["y"]
-        return F.struct(v.cast("double").alias("x"), y.alias("y"), F.concat(s["out"], F.array(y)).alias("out"))
-
-    return F.aggregate(samples, start, step, lambda s: s["out"])
-
-
 def mixed(a: Column, b: Column, gain_db: float = MIX_GAIN_DB) -> Column:
     """(a + b) times a constant gain; a side that ends early is silent from there."""
     gain = 10.0 ** (gain_db / 20.0)

@@ -70,6 +70,15 @@ WITH RECURSIVE {levels},
 n AS (SELECT stream, max(seq) AS m FROM levels GROUP BY stream),
 """
 
+def _band(n: int, low: float, high: float, rate: int) -> str:
+    """A band-pass twice over each stream's samples, as band ``n``: k, f and its output o."""
+    return f"""w{n} AS (SELECT 2 * pi() * sqrt(CAST({low * high} AS DOUBLE)) / {rate} AS w, sin(w) / (2 * sqrt(CAST({low * high} AS DOUBLE)) / {high - low}) AS alpha),
+k{n} AS MATERIALIZED (SELECT alpha / (1 + alpha) AS b, -2 * cos(w) / (1 + alpha) AS a1, (1 - alpha) / (1 + alpha) AS a2 FROM w{n}),
+f{n} AS (SELECT stream, CAST(0 AS BIGINT) AS seq, CAST(0 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS s1, CAST(0 AS DOUBLE) AS t1, CAST(0 AS DOUBLE) AS s2, CAST(0 AS DOUBLE) AS t2 FROM n
+  UNION ALL SELECT stream, seq, z, -a1 * y1 + t1, -b * x - a2 * y1, -a1 * z + t2, -b * y1 - a2 * z FROM (SELECT *, b * y1 + s2 AS z FROM (
+    SELECT l.stream, l.seq, l.x, f.t1, f.s2, f.t2, k.b, k.a1, k.a2, k.b * l.x + f.s1 AS y1 FROM f{n} f JOIN l ON l.stream = f.stream AND l.seq = f.seq + 1, k{n} k)))"""
+
+
 _MODELS = "models(model_id, purpose, license, size_bytes, ram_mb, cost) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d}, {e}, CAST({f} AS DOUBLE))" for a, b, c, d, e, f in CATALOG) + ")"
 
 
@@ -293,6 +302,11 @@ SELECT item_id, prompt, CAST(greatest(400, length(prompt) + 128) AS BIGINT) AS o
     "sample_band_pass": _biquad("2 * pi() * 1000 / 16000", "sin(w) / 3 AS alpha", "alpha AS b0, 0 AS b1, -alpha AS b2, 1 + alpha AS a0, -2 * c AS a1, 1 - alpha AS a2"),
     "sample_high_shelf": _biquad("2 * pi() * 3000 / 16000", "pow(10, CAST(6 AS DOUBLE) / 40) AS g, sqrt(2 * pow(10, CAST(6 AS DOUBLE) / 40)) * sin(w) AS r",
                                  "g * (g + 1 + (g - 1) * c + r) AS b0, -2 * g * (g - 1 + (g + 1) * c) AS b1, g * (g + 1 + (g - 1) * c - r) AS b2, g + 1 - (g - 1) * c + r AS a0, 2 * (g - 1 - (g + 1) * c) AS a1, g + 1 - (g - 1) * c - r AS a2"),
+    "sample_band_levels": _FOLD.format(levels=LEVELS_SQL) + f"""l AS MATERIALIZED (SELECT stream, seq, value AS x FROM levels), {_band(1, 300.0, 1000.0, 2400)}, {_band(2, 1000.0, 1140.0, 2400)},
+e AS (SELECT stream, (seq - 1) // 48 AS frame, count(*) AS n, sqrt(avg(x * x)) >= pow(10, CAST(-50 AS DOUBLE) / 20) AS loud FROM l GROUP BY ALL),
+y AS (SELECT 'low-mid' AS band, stream, seq, y FROM f1 UNION ALL SELECT 'mid', stream, seq, y FROM f2),
+r AS (SELECT y.stream, y.band, coalesce(sqrt(avg(y * y) FILTER (loud)), 0) AS rms, count(*) FILTER (loud) AS n FROM y JOIN e ON e.stream = y.stream AND e.frame = (y.seq - 1) // 48 WHERE y.seq > 0 GROUP BY ALL)
+SELECT r.stream, r.band, round(r.rms, 9) AS rms, round(CASE WHEN r.n > 1200 AND q.rms > 0 AND r.rms > 0 THEN 20 * log10(r.rms / q.rms) ELSE -120 END, 6) AS relative_db FROM r JOIN r q ON q.stream = r.stream AND q.band = 'low-mid'""",
     "sample_upsampled": f"""WITH {LEVELS_SQL}, s AS (SELECT stream, list(value ORDER BY seq) AS x FROM levels GROUP BY stream), i AS (SELECT stream, x, unnest(range(2 * len(x))) AS i FROM s),
 p AS (SELECT stream, i, CAST(i % 2 AS DOUBLE) / 2 AS t, x[greatest(i // 2 - 2, 1)] AS p0, x[greatest(i // 2 - 1, 1)] AS p1, x[greatest(i // 2, 1)] AS p2, x[i // 2 + 1] AS p3 FROM i)
 SELECT stream, i AS pos, round(p1 + t * (p2 - p0) / 2 + t * t * (p0 - 2.5 * p1 + 2 * p2 - 0.5 * p3) + t * t * t * (1.5 * p1 - 0.5 * p0 - 1.5 * p2 + 0.5 * p3), 9) AS y FROM p""",

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import audio as fa
 from quillspark.functions import text as ft
-from quillspark.operators import filters, journals, levels, minutes, planning, responses, runs, samples, speech, transcript
+from quillspark.operators import filters, journals, levels, minutes, planning, recurrence, responses, runs, samples, spectrum, speech, transcript
 from quillspark.sources import documents, perflog, wav
 
 from . import adapters as ad
-from . import live_queries, oracles
+from . import file_queries, live_queries, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 CUES = ad.PROSE_CUES
@@ -154,7 +154,7 @@ def level_voice_activity(spark, sf_dir):
 
 
 def level_smoothed(spark, sf_dir):
-    return levels.smoothed(ad.levels(spark, sf_dir), 0.1).withColumn("last", F.round("last", 9))
+    return recurrence.smoothed_levels(ad.levels(spark, sf_dir), 0.1, 32).withColumn("last", F.round("last", 9))
 
 
 def level_stalls(spark, sf_dir):
@@ -175,8 +175,7 @@ def level_inserted_share(spark, sf_dir):
 
 
 def sample_dc_block(spark, sf_dir):
-    rows = ad.blocks(spark, sf_dir).select("stream", F.posexplode(samples.dc_blocked(F.col("samples"), 16000)).alias("pos", "y"))
-    return rows.select("stream", F.col("pos").cast("long").alias("pos"), F.round("y", 9).alias("y"))
+    return _samples_of(recurrence.dc_blocked(ad.short_blocks(spark, sf_dir), 16000), 32)
 
 
 def sample_mix(spark, sf_dir):
@@ -431,15 +430,21 @@ def _samples_of(blocks, size):
 
 
 def sample_low_pass(spark, sf_dir):
-    return _samples_of(filters.filtered(ad.short_blocks(spark, sf_dir), [filters.Biquad.low_pass(16000, 3400)]), 32)
+    return _samples_of(recurrence.filtered(ad.short_blocks(spark, sf_dir), [filters.Biquad.low_pass(16000, 3400)]), 32)
 
 
 def sample_band_pass(spark, sf_dir):
-    return _samples_of(filters.filtered(ad.short_blocks(spark, sf_dir), [filters.Biquad.band_pass(16000, 1000, 1.5)]), 32)
+    return _samples_of(recurrence.filtered(ad.short_blocks(spark, sf_dir), [filters.Biquad.band_pass(16000, 1000, 1.5)]), 32)
 
 
 def sample_high_shelf(spark, sf_dir):
-    return _samples_of(filters.filtered(ad.short_blocks(spark, sf_dir), [filters.Biquad.high_shelf(16000, 3000, 6)]), 32)
+    return _samples_of(recurrence.filtered(ad.short_blocks(spark, sf_dir), [filters.Biquad.high_shelf(16000, 3000, 6)]), 32)
+
+
+def sample_band_levels(spark, sf_dir):
+    """At a rate so low that a stream has several frames."""
+    blocks = ad.short_blocks(spark, sf_dir).withColumn("start_sample", F.col("block") * 32)
+    return spectrum.spectral_balance(blocks, 2400).withColumns({"rms": F.round("rms", 9), "relative_db": F.round("relative_db", 6)})
 
 
 def sample_upsampled(spark, sf_dir):
@@ -533,13 +538,13 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     vector_cosines, vector_statistics, vector_speaker_clusters, speech_chunks, model_choice, storage_footprint, preflight_overall, folder_names, perf_log_fields, settings_migrated, meeting_totals,
     source_files, decoder_choice, decoder_extensions, capture_formats, transcode_results, generator_choice, meeting_warnings, connections, cpu_use, ring_buffers, model_checks, device_reports, run_metrics,
     check_reports, process_tree, minutes_text, transcript_headers, transcript_cleared, decode_options, progress_fractions, minutes_run_totals, page_hashes, prompts_assembled,
-    sample_low_pass, sample_band_pass, sample_high_shelf, sample_upsampled, sample_muted, sample_slices, drift_drops, capture_probes, leg_clipping, manifest_upserts, import_refusals,
+    sample_low_pass, sample_band_pass, sample_high_shelf, sample_band_levels, sample_upsampled, sample_muted, sample_slices, drift_drops, capture_probes, leg_clipping, manifest_upserts, import_refusals,
     spoken_spans, speech_run_totals, speaker_names_merged, journals_dismissed, recognition_audio_kept, meaningful_lines, mel_scale)}
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | live_queries.QUERIES
+    return QUERIES | live_queries.QUERIES | file_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL | live_queries.SQL
+    return oracles.SQL | live_queries.SQL | file_queries.SQL

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,25 @@ def read_journals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_documents(df: DataFrame, path: str) -> None:
-    """One JSON line for each row. New files appear when the job commits; what was at ``path`` is gone from its start on."""
-    df.write.mode("overwrite").json(path)
+    """One JSON line for each row, in place of what was at ``path``.
+
+    The rows are written beside it first and moved when the job has committed, so a job that fails or is killed leaves the old documents as they were. Between
+    the two moves at the end the old ones lie beside ``path``, whole, as ``.old-``.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+    folder = path.rstrip("/")
+    where = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    staged, old = f"{folder}.staging-{mark}", f"{folder}.old-{mark}"
+    try:
+        df.write.json(staged)
+    except Exception:
+        where.delete(at(staged), True)
+        raise
+    if where.exists(at(folder)):
+        where.rename(at(folder), at(old))
+    where.rename(at(staged), at(folder))
+    where.delete(at(old), True)
 
 
 def upsert_manifest(manifest: DataFrame, entries: DataFrame) -> DataFrame:

@@ -82,3 +82,14 @@ def test_storage_rates(spark):
     rows = spark.createDataFrame([("mp3", 192, False, False, False, 1600000000), ("wav", 0, True, True, False, 1600000000)], "format string, mp3_kbps int, stt_enabled boolean, keep_audio boolean, delete_after boolean, free_bytes long")
     mp3, both = planning.storage(rows).collect()
     assert math.isclose(mp3.kept_mb_h, 86.4) and math.isclose(both.kept_mb_h, 576.0) and math.isclose(both.hours_that_fit, 1.6e9 / 5.76e8)
+
+
+def test_documents_are_replaced_when_all_is_written(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    documents.write_documents(spark.range(3).toDF("n"), path)
+    broken = spark.range(3).select(F.when(F.col("id") == 2, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id")).alias("n"))
+    with pytest.raises(Exception, match="lost"):
+        documents.write_documents(broken, path)
+    assert sorted(r.n for r in spark.read.json(path).collect()) == [0, 1, 2]
+    documents.write_documents(spark.range(5, 7).toDF("n"), path)
+    assert sorted(r.n for r in spark.read.json(path).collect()) == [5, 6] and [p.name for p in tmp_path.iterdir()] == ["docs"]
