@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by a hash-prefix forest (LSH forest on sorted arrays).
 
 Each of TREES trees gives every vector a hash string of BITS signs of its products with random directions, orthogonal within a tree as
-far as the width allows. A tree is the sorted array of these strings. A query descends in every array to the rows that share its longest
+far as the width allows. The products are those of the vector's direction less the mean of all directions (of its length), an aggregate over all rows: about the
+origin, vectors that have much in common would nearly all get one string, while distances, and with them the order of cosines, don't change with the centre. A tree is the sorted array of these strings. A query descends in every array to the rows that share its longest
 prefix, and ascends in all trees at once: it shortens the prefix until the trees together hold enough rows. Besides its own prefix it
 looks at those that differ in the bits whose products were nearest to 0, the likeliest ones of near vectors, up to PROBES of them in a tree.
 
 How many rows a query looks at follows from the number N of rows, SOUGHT x N**POWER, and from nothing that depends on one size: the share
-of the table falls as the table grows, and where a query's prefixes are crowded it goes deeper, not wider. There is no limit at which rows
+of the table falls as the table grows (one of fewer rows than that is looked at whole), and where a query's prefixes are crowded it goes deeper, not wider. There is no limit at which rows
 are left out: a prefix that is looked at is looked at whole.
 
 As Spark jobs: strings are dealt by tree and the first bits of the prefix to blocks of about BLOCK rows; a block that holds more (a tight
@@ -16,7 +17,7 @@ rows of the queries' prefixes and return the few that lead. Pairs of a query and
 scored again in double precision on the original numbers.
 
 Vectors of one direction are one node with its smallest ids, as many as an answer can use, so a vector that a third of all rows share is
-searched once. Nothing is fitted; every row is indexed. Recall is measured against brute force in the tests and the README.
+searched once. Nothing but the means is fitted; every row is indexed. Vectors of lengths beyond the WIDTHS most frequent ones are hashed about the origin. Recall is measured against brute force in the tests and the README.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null id take no part; vectors
 of another length than the query's are never near it; rows that repeat an id and its direction count once; candidates with the query's own
@@ -38,13 +39,15 @@ from .stages import cut, with_columns_of
 
 TREES, BITS = 16, 60
 #: Rows looked at over all trees: SOUGHT x N**POWER, at least LEAST_SOUGHT.
-SOUGHT, POWER, LEAST_SOUGHT = 5.0, 0.7, 4000
+SOUGHT, POWER, LEAST_SOUGHT = 6.5, 0.7, 4000
 #: Prefixes looked at in a tree, a power of two: flips of the log2(4 x PROBES) bits nearest to 0, cheapest first.
 PROBES = 256
 BLOCK = 4096
 #: Pairs of a query and a row that are scored at once.
 PAIRS = 100_000
 QUERY_STEP, NEAREST = 50, 5
+#: Lengths of vectors that have a centre of their own.
+WIDTHS = 16
 SEED = 7
 
 
@@ -102,15 +105,38 @@ def _lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]), pa.array(matrix.reshape(-1)))
 
 
+def centres_of(nodes: DataFrame) -> dict[int, np.ndarray]:
+    """The mean direction of the vectors of each of the WIDTHS most frequent lengths, in steps of 1e-6, so that the order of summing doesn't show."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for _, matrix in _by_width(batch.column(0)):
+                w = matrix.shape[1]
+                total[w] = total.get(w, np.zeros(w + 1)) + np.r_[len(matrix), _unit(matrix).sum(axis=0)]
+        for w, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(w + 1, w, np.int32)), pa.array(np.arange(-1, w, dtype=np.int32)), pa.array(x)], names=["width", "pos", "x"])
+
+    each = cut(nodes.select("vector").mapInArrow(sums, "width int, pos int, x double").groupBy("width", "pos").agg(F.sum("x").alias("x")))
+    often = [r["width"] for r in each.where("pos = -1").orderBy(F.desc("x"), "width").limit(WIDTHS).collect()]
+    rows = each.where(F.col("width").isin(often)).collect() if often else []
+    found = {w: np.zeros(w + 1) for w in often}
+    for r in rows:
+        found[r["width"]][r["pos"] + 1] = r["x"]
+    return {w: np.round(x[1:] / x[0], 6) for w, x in found.items()}
+
+
 class Projections:
-    """Products with the directions of every tree, for many vectors at once."""
+    """Products with the directions of every tree, about the centre, for many vectors at once."""
 
-    def __init__(self, trees: int) -> None:
-        self.trees, self.known = trees, {}
+    def __init__(self, trees: int, centres: dict[int, np.ndarray]) -> None:
+        self.trees, self.centres, self.known = trees, centres, {}
 
     def __call__(self, matrix: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(tree, products, codes) of the rows of ``matrix``; a code's first bit is the highest."""
+        """(tree, products, codes) of the unit rows of ``matrix``; a code's first bit is the highest."""
         width = matrix.shape[1]
+        if width in self.centres:
+            matrix = matrix - self.centres[width]
         for t in range(self.trees):
             if (t, width) not in self.known:
                 self.known[t, width] = directions(t, width)
@@ -118,20 +144,20 @@ class Projections:
             yield t, products, (products > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
-def hash_strings(nodes: DataFrame, trees: int) -> DataFrame:
-    """width, tree, code, node, asked, unit: one row for each node and tree."""
+def hash_strings(nodes: DataFrame, trees: int, centres: dict[int, np.ndarray], units: bool = False) -> DataFrame:
+    """width, tree, code, node, asked and, if wanted, unit: one row for each node and tree."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        project = Projections(trees)
+        project = Projections(trees, centres)
         for batch in batches:
             for at, matrix in _by_width(batch.column(1)):
                 matrix = _unit(matrix)
-                own, unit = batch.take(pa.array(at)), _lists(matrix.astype(np.float32))
+                own, unit = batch.take(pa.array(at)), [_lists(matrix.astype(np.float32))] if units else []
                 for t, _, codes in project(matrix):
                     constant = [pa.array(np.full(len(at), x, np.int32)) for x in (matrix.shape[1], t)]
-                    yield pa.RecordBatch.from_arrays([*constant, pa.array(codes), own.column(0), own.column(2), unit], ["width", "tree", "code", "node", "asked", "unit"])
+                    yield pa.RecordBatch.from_arrays([*constant, pa.array(codes), own.column(0), own.column(2), *unit], names=["width", "tree", "code", "node", "asked", "unit"][: 5 + units])
 
-    return nodes.select("node", "vector", "asked").mapInArrow(hashed, "width int, tree int, code long, node long, asked boolean, unit array<float>")
+    return nodes.select("node", "vector", "asked").mapInArrow(hashed, "width int, tree int, code long, node long, asked boolean" + ", unit array<float>" * units)
 
 
 def _prefix(code: Column | str, depth: int) -> Column:
@@ -196,13 +222,13 @@ def likely_prefixes(products: np.ndarray, code: np.ndarray, depth: int, probes:
     return own[:, None] ^ np.take_along_axis(flip, best, axis=1)
 
 
-def probes_of(queries: DataFrame, head: int, trees: int) -> DataFrame:
+def probes_of(queries: DataFrame, head: int, trees: int, centres: dict[int, np.ndarray]) -> DataFrame:
     """width, tree, block, depth, prefixes, node, unit: for each query (node, vector, depth, probes) the blocks it asks and its prefixes there."""
     schema = "width int, tree int, block long, depth int, prefixes array<long>, node long, unit array<float>"
     kind = pa.schema([("width", pa.int32()), ("tree", pa.int32()), ("block", pa.int64()), ("depth", pa.int32()), ("prefixes", pa.list_(pa.int64())), ("node", pa.int64()), ("unit", pa.list_(pa.float32()))])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        project = Projections(trees)
+        project = Projections(trees, centres)
         for batch in batches:
             depth, count = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             for at, matrix in _by_width(batch.column(1)):
@@ -278,12 +304,19 @@ def looked_at(nodes: DataFrame, nearest: int = NEAREST, trees: int = TREES, soug
     """What ``scored`` returns for the queries among ``nodes`` (node, vector, asked)."""
     n = nodes.count()
     sought = sought or sought_rows(n)
+    whole = sought >= n  # one tree, looked at from its root, holds every row
+    trees = 1 if whole else trees
     head = max(0, math.ceil(math.log2(max(1, n) / block)))
-    strings = cut(hash_strings(nodes, trees).withColumn("block", _prefix("code", head)))
+    centres = centres_of(nodes)
+    strings = cut(hash_strings(nodes, trees, centres).withColumn("block", _prefix("code", head)))
     sizes = cut(strings.groupBy(*KEY).agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / (4 * block))))
-    plans = cut(ascents(strings, sizes.select(*KEY, "n", "salts"), head, sought, trees))
+    if whole:
+        plans = strings.where("asked").select("node", F.lit(0).alias("depth"), F.lit(1).alias("probes"))
+    else:
+        plans = cut(ascents(strings, sizes.select(*KEY, "n", "salts"), head, sought, trees))
     queries = nodes.join(plans, "node")
-    return scored(strings, sizes.select(*KEY, "salts"), probes_of(queries, head, trees), 2 * (nearest + 1))
+    with_units = hash_strings(nodes, trees, centres, units=True).withColumn("block", _prefix("code", head))  # made again: kept once for each tree, they would be the most of what is stored
+    return scored(with_units, sizes.select(*KEY, "salts"), probes_of(queries, head, trees, centres), 2 * (nearest + 1))
 
 
 def _cosine(a: str, b: str) -> Column:
