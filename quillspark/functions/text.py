@@ -95,14 +95,15 @@ def heading_section(line: Column) -> Column:
 
 def meaningful(lines: Column) -> Column:
     """Lines without bullets, without those shorter than two units, ``なし`` and code fences."""
-    bare = F.transform(lines, lambda x: trimmed(F.ltrim(trimmed(x), F.lit("-*・ "))))
+    bare = F.transform(lines, lambda x: trimmed(F.ltrim(trimmed(x), F.lit("-*・　 "))))
     return F.filter(bare, lambda x: (utf16_length(x) >= 2) & (x != NONE) & ~x.startswith("```"))
 
 
 def block_time_range(block: Column) -> Column:
-    """``first - last`` of the ``[h:mm:ss]`` marks in a block, or null."""
+    """``first 〜 last`` of the ``[h:mm:ss]`` marks in a block, one where they are the same; empty without marks."""
     marks = F.regexp_extract_all(block, F.lit(r"\[(\d+:\d{2}:\d{2})\]"), F.lit(1))
-    return F.when(F.size(marks) > 0, F.concat(F.element_at(marks, 1), F.lit(" - "), F.element_at(marks, -1)))
+    first, last = F.element_at(marks, 1), F.element_at(marks, -1)
+    return F.when(F.size(marks) == 0, "").when(first == last, first).otherwise(F.concat(first, F.lit(" 〜 "), last))
 
 
 def key_value(line: Column) -> Column:

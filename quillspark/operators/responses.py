@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +49,8 @@ def packed(lines: DataFrame, block_budget: int, most_blocks: int = MOST_BLOCKS)
     """response_id, block, ord, tokens: lines in blocks, each filled as far as the next line fits.
 
     A block begins where the running sum since the last beginning would pass the budget, which depends on all lines before; so a
-    response's sizes (not its texts) are folded in order, keeping where blocks begin. Blocks from ``most_blocks`` on are left out.
+    response's sizes (not its texts) are folded in order, keeping where blocks begin. The lines that come after ``most_blocks`` full
+    blocks are left out; ``left_out`` counts them.
     """
     tokens = F.col("tokens") if "tokens" in lines.columns else utf16_length(F.col("line"))
     sizes = lines.groupBy("response_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ord"), tokens.cast("long").alias("tokens")))).alias("x"))
@@ -65,6 +68,15 @@ def packed(lines: DataFrame, block_budget: int, most_blocks: int = MOST_BLOCKS)
     return rows.select("response_id", block.alias("block"), "ord", "tokens").where(F.col("block") < most_blocks)
 
 
+def left_out(lines: DataFrame, packed_lines: DataFrame) -> DataFrame:
+    """response_id, left_out, left_out_tokens: how many of the lines ``packed`` has no block for, for each response."""
+    tokens = F.col("tokens") if "tokens" in lines.columns else utf16_length(F.col("line"))
+    whole = lines.groupBy("response_id").agg(F.count("*").alias("n"), F.sum(tokens).cast("long").alias("t"))
+    kept = packed_lines.groupBy("response_id").agg(F.count("*").alias("kept"), F.sum("tokens").alias("kept_tokens"))
+    rest = lambda a, b: F.col(a) - F.coalesce(F.col(b), F.lit(0))
+    return whole.join(kept, "response_id", "left").select("response_id", rest("n", "kept").alias("left_out"), rest("t", "kept_tokens").alias("left_out_tokens"))
+
+
 def prefix_within(lines: DataFrame, most_tokens: int) -> DataFrame:
     """The first lines whose tokens together stay within ``most_tokens``; the very first always stays."""
     tokens = F.col("tokens") if "tokens" in lines.columns else utf16_length(F.col("line"))
@@ -77,9 +89,35 @@ def prefix_within(lines: DataFrame, most_tokens: int) -> DataFrame:
 LEAST_OVERHEAD, TEMPLATE_TOKENS = 400, 128
 
 
-def assembled(requests: DataFrame, format_instructions: str) -> DataFrame:
-    """Adds ``prompt`` to requests (instruction, body): the instruction, how to answer, and the body between rules."""
-    return requests.withColumn("prompt", F.concat("instruction", F.lit("\n\n"), F.lit(format_instructions), F.lit("\n---\n"), "body", F.lit("\n---")))
+# What a model is told.
+SYSTEM_PROMPT = """あなたは日本語の会議議事録作成アシスタントです。次の規則を厳守してください。
+1. 与えられた文字起こしに書かれている内容だけを使うこと。書かれていない情報を推測・補完しては絶対にいけません。
+2. 担当者名・期限・数値が文字起こしに明記されていない場合は必ず「要確認」と書くこと。
+3. 人物名を推測してはいけません。文字起こしに現れる呼称のみを使うこと。
+4. 出力は日本語の簡潔な箇条書きにすること。前置きや感想は書かないこと。
+5. 該当する内容が無い場合は「なし」とだけ出力すること。"""
+WHOLE_TRANSCRIPT = "次は会議の文字起こし全文です。この内容だけを使って議事録を作成してください。"
+MARKERS = ("概要", "決定事項", "議題別内容", "ToDo", "継続検討", "補足")
+SIX_SECTIONS = """出力は次の6つの見出しを、この順序で、必ずすべて書いてください。
+各見出しは行頭に単独で書き、その下に内容を「- 」で始まる箇条書きで書いてください。
+該当する内容が無い見出しの下には「なし」とだけ書いてください。
+"""
+
+
+def format_instructions() -> str:
+    """How to answer: the six headings, each on a line of its own."""
+    return SIX_SECTIONS + "\n" + "".join(f"【{name}】\n" for name in MARKERS)
+
+
+def assembled(requests: DataFrame, instructions: str | None = None) -> DataFrame:
+    """Adds ``prompt`` to requests (instruction, body): the instruction, how to answer (by default in six sections), and the body between rules."""
+    return requests.withColumn("prompt", F.concat("instruction", F.lit(f"\n\n{format_instructions() if instructions is None else instructions}\n---\n"), "body", F.lit("\n---")))
+
+
+def frame_overhead(count: Callable[[str], int] = len) -> int:
+    """Tokens to set aside for what stands around a transcript: the rules for the model and a prompt with an empty body, by ``count``."""
+    frame = f"{SYSTEM_PROMPT}{WHOLE_TRANSCRIPT}\n\n{format_instructions()}\n---\n\n---"
+    return max(LEAST_OVERHEAD, count(frame) + TEMPLATE_TOKENS)
 
 
 def prompt_overhead(frame_tokens: Column) -> Column:

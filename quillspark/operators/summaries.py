@@ -15,6 +15,7 @@ from quillspark.functions.text import NONE, block_time_range, is_blank, meaningf
 
 from . import responses
 from .lineage import cut
+from .minutes import filled_template
 
 #: Rounds of folding before what does not fit is cut.
 MOST_ROUNDS = 3
@@ -62,22 +63,35 @@ def map_topics(blocks: DataFrame, answers: DataFrame) -> DataFrame:
 def folded(answers: DataFrame, make: Callable[[], Model], block_budget: int) -> DataFrame:
     """Answers summarised again, block by block, until each response's fit in one block; then the first that fit.
 
-    At most MOST_ROUNDS rounds. The results of a round are checkpointed, so a model is never asked twice.
+    A response is left as it is once another round would be of one block, or has not made its answers fewer; at most MOST_ROUNDS rounds. The results of
+    a round are checkpointed, so a model is never asked twice.
     """
-    rows = cut(useful(answers))
+    rows, open_ones = cut(useful(answers)), None
     for _ in range(MOST_ROUNDS):
         lines = rows.select("response_id", F.col("block").alias("ord"), F.concat("answer", F.lit("\n")).alias("line"))
+        if open_ones is not None:
+            lines = lines.join(open_ones, "response_id", "left_semi")
         large = responses.plan(lines, 0, 0, 1).where(F.col("tokens") > block_budget).select("response_id")
-        if large.isEmpty():
-            return rows
         again = blocks_of(lines.join(large, "response_id", "left_semi"), block_budget)
-        shorter = useful(inferred(again, make))
-        rows = cut(rows.join(large, "response_id", "left_anti").unionByName(shorter))
-    lines = rows.select("response_id", F.col("block").alias("ord"), F.col("answer").alias("line"))
+        several = again.groupBy("response_id").agg(F.max("block").alias("last")).where("last > 0").select("response_id")
+        again = cut(again.join(several, "response_id", "left_semi"))
+        if again.isEmpty():
+            break
+        shorter = cut(useful(inferred(again, make)))
+        count = lambda d, name: d.groupBy("response_id").agg(F.count("*").alias(name))
+        open_ones = cut(count(shorter, "now").join(count(rows, "before"), "response_id").where("now < before").select("response_id"))
+        rows = cut(rows.join(open_ones, "response_id", "left_anti").unionByName(shorter.join(open_ones, "response_id", "left_semi")))
+    lines = rows.select("response_id", F.col("block").alias("ord"), F.concat("answer", F.lit("\n")).alias("line"))
     kept = responses.prefix_within(lines, block_budget).select("response_id", F.col("ord").alias("block"))
     return rows.join(kept, ["response_id", "block"], "left_semi")
 
 
+def minutes_of(answers: DataFrame, map_topics: DataFrame | None = None) -> DataFrame:
+    """The minutes' template (``minutes.TEMPLATE``) of each answer (response_id, answer) of the last step, parsed by its headings."""
+    lines = useful(answers).select("response_id", F.posexplode(F.split("answer", "\n")).alias("ord", "line"))
+    return filled_template(responses.sections(lines), map_topics)
+
+
 def minutes_or_fallback(answers: DataFrame, extractive: DataFrame) -> DataFrame:
     """response_id, markdown, generator, reason: the model's answer, or the extractive minutes where there is none."""
     joined = extractive.join(useful(answers).select("response_id", "answer"), "response_id", "left")

@@ -113,14 +113,34 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def exported_text(segments: DataFrame) -> DataFrame:
-    """meeting_id, text: each transcript as plain text."""
-    return _exported(segments, lambda s: F.concat(F.lit("["), s["timestamp"], F.lit("] ["), s["label"], F.lit("]\n"), s["text"], F.lit("\n\n")))
+# The texts of exported transcripts.
+NOTHING_SAID, NOTHING_SAID_MARKDOWN = "(認識された発言はありません)\n", "_認識された発言はありません。_\n"
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def exported_text(segments: DataFrame, meetings: DataFrame) -> DataFrame:
+    """meeting_id, text: the transcript of each of ``meetings`` (as for ``header_lines``) as plain text, with its header; one without segments says so."""
+    bodies = said(segments).select("meeting_id", F.col("text").alias("body"))
+    rows = header_lines(meetings, "  ").join(bodies, "meeting_id", "left")
+    return rows.select("meeting_id", F.concat(F.lit(f"文字起こし\n{'=' * 40}\n"), "header", F.lit("\n"), F.coalesce("body", F.lit(NOTHING_SAID))).alias("text"))
 
 
-def exported_markdown(segments: DataFrame) -> DataFrame:
-    """meeting_id, text: each transcript as Markdown."""
-    return _exported(segments, lambda s: F.concat(F.lit("**["), s["timestamp"], F.lit("] "), markdown_escaped(s["label"]), F.lit("**\n\n"), s["text"], F.lit("\n\n")))
+def exported_markdown(segments: DataFrame, meetings: DataFrame) -> DataFrame:
+    """meeting_id, text: the transcript of each of ``meetings`` (as for ``header_lines``, and diarized) as Markdown, with a table of its details."""
+    bodies = _exported(segments, lambda s: F.concat(F.lit("**["), s["timestamp"], F.lit("] "), markdown_escaped(s["label"]), F.lit("**\n\n"), s["text"], F.lit("\n\n")))
+    or_ = lambda c, other: markdown_escaped(F.coalesce(F.col(c), F.lit(other)))
+    details = [
+        ("会議名", markdown_escaped(F.coalesce("title", "folder_name"))), ("開始日時", F.concat(F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), "utc_offset")), ("録音時間", timestamp_of_seconds(F.col("duration_seconds"))), ("音声ファイル", markdown_escaped(F.col("audio_file_name"))),
+        ("マイク", or_("microphone", "未設定")), ("PC音声", or_("render_device", "未設定")), ("音声認識モデル", or_("model_id", "なし")), ("話者分離", F.when(F.col("diarized"), "あり").otherwise("なし")), ("復旧", F.when(F.col("recovered"), "異常終了から復旧したデータです"))]
+    table = F.array_join(F.array_compact(F.array(*[F.concat(F.lit(f"| {name} | "), value, F.lit(" |\n")) for name, value in details])), "")
+    head = F.concat(F.lit("# 文字起こし — "), F.date_format("started_at", "yyyy-MM-dd HH:mm"), F.lit("\n\n| 項目 | 内容 |\n| --- | --- |\n"), table, F.lit("\n## 本文\n\n"))
+    rows = meetings.select("meeting_id", head.alias("head")).join(bodies.select("meeting_id", F.col("text").alias("body")), "meeting_id", "left")
+    return rows.select("meeting_id", F.concat("head", F.coalesce("body", F.lit(NOTHING_SAID_MARKDOWN))).alias("text"))
+
+
+def said(segments: DataFrame) -> DataFrame:
+    """meeting_id, text: what was said in each meeting, without a header."""
+    return _exported(segments, lambda s: F.concat(F.lit("["), s["timestamp"], F.lit("] ["), s["label"], F.lit("]\n"), s["text"], F.lit("\n\n")))
 
 
 def _exported(segments: DataFrame, render) -> DataFrame:

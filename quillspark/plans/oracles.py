@@ -56,6 +56,27 @@ overview AS (SELECT meeting_id, n_segments, n_microphone, n_system, n_speakers,
 
 _NAMES = "names AS (SELECT DISTINCT meeting_id, source, speaker_id, 'Name ' || meeting_id || ' ' || speaker_id AS name FROM segments WHERE speaker_id % 2 = 0 AND meeting_id % 2 = 0)"
 
+_MEETINGS = """
+mm AS (SELECT meeting_id, CAST(max(end_ms) AS BIGINT) AS ms FROM segments GROUP BY meeting_id UNION ALL SELECT DISTINCT meeting_id + 1000000, 0 FROM segments WHERE meeting_id % 10 = 0),
+meetings AS (SELECT *, CASE WHEN meeting_id % 2 = 0 THEN 'Meeting ' || meeting_id ELSE 'folder_' || meeting_id END AS name, make_timestamp((meeting_id * 60 + 1767605400) * 1000000) AS begun,
+  CASE WHEN meeting_id % 4 <> 1 THEN make_timestamp((meeting_id * 60 + 1767605400 + ms // 1000) * 1000000) ELSE begun END AS ended FROM mm)
+"""
+
+#: What the documents say, by section, as bullets of Markdown and of plain text.
+_MINUTES = f"""{_ITEMS}, {_TOPICS}, {_OVERVIEW}, {_MEETINGS},
+l AS (SELECT meeting_id, string_agg('- [' || timestamp || '] ' || {_trim("text")} || chr(10), '' ORDER BY rank) FILTER (category = 'decision') AS decision,
+  string_agg('| ' || replace(text, '|', '\\|') || ' | 要確認 | ' || replace(due, '|', '\\|') || ' | ' || timestamp || ' |' || chr(10), '' ORDER BY rank) FILTER (category = 'action') AS task,
+  string_agg('  - ' || text || ' / 担当: 要確認 / 期限: ' || due || chr(10), '' ORDER BY rank) FILTER (category = 'action') AS action,
+  string_agg('- [' || timestamp || '] ' || {_trim("text")} || chr(10), '' ORDER BY rank) FILTER (category = 'open') AS open FROM due GROUP BY meeting_id),
+k AS (SELECT meeting_id, bucket, '### ' || title || ' （' || time_range || '）' || chr(10) || chr(10) || string_agg('- ' || point || chr(10), '' ORDER BY rank) || chr(10) AS section,
+  '  ' || title || ' (' || time_range || ')' || chr(10) || string_agg('    - ' || point || chr(10), '' ORDER BY rank) || chr(10) AS plain FROM topics GROUP BY meeting_id, bucket, title, time_range),
+q AS (SELECT meeting_id, string_agg(section, '' ORDER BY bucket) AS topics, string_agg(plain, '' ORDER BY bucket) AS plain FROM k GROUP BY meeting_id),
+z AS (SELECT meeting_id, count(*) AS n FROM sentences GROUP BY meeting_id),
+doc AS (SELECT m.*, decision, task, action, open, topics, plain, coalesce(v.text, '録音時間 00:00:00、発言 0 件（マイク 0 件 / PC音声 0 件）。') AS overview,
+  'この議事録は文字起こしからキーフレーズを抽出して作成した機械的な要約です。内容の正確性は必ず原文（transcript.md）で確認してください。' AS note1, '対象発言数: ' || coalesce(v.n_segments, 0) || ' / 抽出対象文数: ' || coalesce(z.n, 0) AS note2
+  FROM meetings m LEFT JOIN overview v USING (meeting_id) LEFT JOIN l USING (meeting_id) LEFT JOIN q USING (meeting_id) LEFT JOIN z USING (meeting_id))
+"""
+
 _TEXT = f"'[' || {_STAMP.format('start_ms')} || '] [' || {_LABEL} || ']' || chr(10) || {_trim('text')} || chr(10) || chr(10)"
 
 _HEAD_BARE = f"""{_trim("regexp_replace(" + _trim("regexp_replace(" + _trim("line") + r", '^[#* \x{3000}:：-]+|[#* \x{3000}:：-]+$', '', 'g')") + r", '^[【】\[\]「」]+|[【】\[\]「」]+$', '', 'g')")}"""
@@ -82,6 +103,13 @@ f{n} AS (SELECT stream, CAST(0 AS BIGINT) AS seq, CAST(0 AS DOUBLE) AS y, CAST(0
 _MODELS = "models(model_id, purpose, license, size_bytes, ram_mb, cost) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d}, {e}, CAST({f} AS DOUBLE))" for a, b, c, d, e, f in CATALOG) + ")"
 
 
+#: The lines of responses under their headings.
+_SECTIONS = f"""{_LINES_HEADED},
+w AS (SELECT response_id, ord, line, heading, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY response_id ORDER BY ord ROWS UNBOUNDED PRECEDING), 'overview') AS section FROM headed),
+c AS (SELECT response_id, ord, section, {_trim("regexp_replace(line, '^[-*・　 #]+', '')")} AS line FROM w WHERE heading IS NULL),
+secs AS (SELECT response_id, section, row_number() OVER (PARTITION BY response_id, section ORDER BY ord) AS position, line FROM c WHERE line <> '' AND NOT starts_with(line, '```'))
+"""
+
 def _biquad(w: str, q: str, coefficients: str) -> str:
     """A second-order section over each stream's samples; ``coefficients`` name b0, b1, b2, a0, a1, a2 by alpha, c (of the angle w) and what q says."""
     return _FOLD.format(levels=LEVELS_SQL) + f"""
@@ -101,19 +129,22 @@ SQL = {
     "minutes_items": f"WITH {_ITEMS} SELECT meeting_id, category, rank, timestamp, text, due FROM due",
     "minutes_topics": f"WITH {_SENTENCES}, {_TOPICS} SELECT meeting_id, bucket, title, time_range, rank, point FROM topics",
     "minutes_overview": f"WITH {_SENTENCES}, {_OVERVIEW} SELECT * FROM overview",
-    "minutes_markdown": f"""WITH {_ITEMS}, {_TOPICS}, {_OVERVIEW},
-l AS (SELECT meeting_id, string_agg('- [' || timestamp || '] ' || text || chr(10), '' ORDER BY rank) FILTER (category = 'decision') AS decision,
-  string_agg('| ' || replace(text, '|', '\\|') || ' | 要確認 | ' || replace(due, '|', '\\|') || ' | ' || timestamp || ' |' || chr(10), '' ORDER BY rank) FILTER (category = 'action') AS action,
-  string_agg('- [' || timestamp || '] ' || text || chr(10), '' ORDER BY rank) FILTER (category = 'open') AS open FROM due GROUP BY meeting_id),
-k AS (SELECT meeting_id, bucket, '### ' || title || ' （' || time_range || '）' || chr(10) || chr(10) || string_agg('- ' || point || chr(10), '' ORDER BY rank) || chr(10) AS section FROM topics GROUP BY meeting_id, bucket, title, time_range),
-q AS (SELECT meeting_id, string_agg(section, '' ORDER BY bucket) AS topics FROM k GROUP BY meeting_id)
-SELECT meeting_id, replace('# 会議議事録~~| 生成方法 | extractive |~~## 1. 概要~~', '~', chr(10)) || v.text || replace('~~## 2. 決定事項~~', '~', chr(10)) || coalesce(decision, '- 要確認' || chr(10)) ||
-  replace('~## 3. 議題別内容~~', '~', chr(10)) || coalesce(topics, replace('- 要確認~~', '~', chr(10))) || replace('## 4. ToDo・ネクストアクション~~| 内容 | 担当 | 期限 | 該当時刻 |~| --- | --- | --- | --- |~', '~', chr(10)) ||
-  coalesce(action, '| 特定できませんでした | 要確認 | 要確認 | - |' || chr(10)) || replace('~## 5. 継続検討事項~~', '~', chr(10)) || coalesce(open, '- 要確認' || chr(10)) || replace('~## 6. 補足~~- なし~', '~', chr(10)) AS markdown
-FROM overview v LEFT JOIN l USING (meeting_id) LEFT JOIN q USING (meeting_id)""",
-    "transcript_text": f"WITH {SEGMENTS_SQL} SELECT meeting_id, string_agg({_TEXT}, '' ORDER BY start_ms, arrival_seq) AS text FROM segments GROUP BY meeting_id",
-    "transcript_markdown": f"""WITH {SEGMENTS_SQL} SELECT meeting_id, string_agg('**[' || {_STAMP.format("start_ms")} || '] ' || {_LABEL} || '**' || chr(10) || chr(10) || {_trim("text")} || chr(10) || chr(10), '' ORDER BY start_ms, arrival_seq) AS text
-FROM segments GROUP BY meeting_id""",
+    "minutes_markdown": f"""WITH {_MINUTES}
+SELECT meeting_id, replace('# 会議議事録~~| 項目 | 内容 |~| --- | --- |~| 会議名 | ', '~', chr(10)) || name || replace(' |~| 日時 | ', '~', chr(10)) || strftime(begun, '%Y-%m-%d %H:%M') || ' - ' || strftime(ended, '%H:%M') || replace(' |~| 録音時間 | ', '~', chr(10)) || {_STAMP.format("ms")} ||
+  replace(' |~| 生成方法 | 抽出型（ローカル・AIモデル不使用） |~~> この議事録は文字起こしの内容のみから作成されています。~> 文字起こしに存在しない情報（担当者・期限など）は「要確認」と記載しています。~~## 1. 概要~~', '~', chr(10)) || overview ||
+  replace('~~## 2. 決定事項~~', '~', chr(10)) || coalesce(decision, '- この会議で明確に決定された事項は文字起こしからは特定できませんでした。（要確認）' || chr(10)) || replace('~## 3. 議題別内容~~', '~', chr(10)) || coalesce(topics, replace('- 要確認~~', '~', chr(10))) ||
+  replace('## 4. ToDo・ネクストアクション~~', '~', chr(10)) || coalesce(replace('| 内容 | 担当 | 期限 | 該当時刻 |~| --- | --- | --- | --- |~', '~', chr(10)) || task, replace('| 内容 | 担当 | 期限 |~| --- | --- | --- |~| 特定できませんでした | 要確認 | 要確認 |~', '~', chr(10))) ||
+  replace('~## 5. 継続検討事項~~', '~', chr(10)) || coalesce(open, '- 継続検討事項は文字起こしからは特定できませんでした。（要確認）' || chr(10)) || replace('~## 6. 補足~~- ', '~', chr(10)) || note1 || chr(10) || '- ' || note2 || chr(10) ||
+  CASE WHEN meeting_id % 3 = 0 THEN replace('- 録音時の警告: gap ' || meeting_id || '~- 録音時の警告: clipped~', '~', chr(10)) ELSE '' END || chr(10) AS markdown FROM doc""",
+    "transcript_text": f"""WITH {SEGMENTS_SQL}, {_MEETINGS}, x AS (SELECT meeting_id, string_agg({_TEXT}, '' ORDER BY start_ms, arrival_seq) AS body FROM segments GROUP BY meeting_id)
+SELECT meeting_id, replace('文字起こし~' || repeat('=', 40) || '~  会議名      : ' || name || '~  開始日時    : ' || strftime(begun, '%Y-%m-%d %H:%M:%S') || ' +09:00~  録音時間    : ' || {_STAMP.format("ms")} || '~  音声ファイル: audio.wav~  マイク      : ' ||
+  CASE WHEN meeting_id % 5 <> 0 THEN 'mic' ELSE '未設定' END || '~  PC音声      : ' || CASE WHEN meeting_id % 7 <> 0 THEN 'out|put' ELSE '未設定' END || '~  認識モデル  : ' || CASE WHEN meeting_id % 4 <> 0 THEN 'small' ELSE 'なし' END || '~' ||
+  CASE WHEN meeting_id % 3 = 0 THEN '  備考        : 異常終了から復旧したデータです~' ELSE '' END || '~', '~', chr(10)) || coalesce(body, '(認識された発言はありません)' || chr(10)) AS text FROM meetings LEFT JOIN x USING (meeting_id)""",
+    "transcript_markdown": f"""WITH {SEGMENTS_SQL}, {_MEETINGS},
+x AS (SELECT meeting_id, string_agg('**[' || {_STAMP.format("start_ms")} || '] ' || {_LABEL} || '**' || chr(10) || chr(10) || {_trim("text")} || chr(10) || chr(10), '' ORDER BY start_ms, arrival_seq) AS body FROM segments GROUP BY meeting_id)
+SELECT meeting_id, replace('# 文字起こし — ' || strftime(begun, '%Y-%m-%d %H:%M') || '~~| 項目 | 内容 |~| --- | --- |~| 会議名 | ' || name || ' |~| 開始日時 | ' || strftime(begun, '%Y-%m-%d %H:%M:%S') || ' +09:00 |~| 録音時間 | ' || {_STAMP.format("ms")} || ' |~| 音声ファイル | audio.wav |~| マイク | ' ||
+  CASE WHEN meeting_id % 5 <> 0 THEN 'mic' ELSE '未設定' END || ' |~| PC音声 | ' || CASE WHEN meeting_id % 7 <> 0 THEN 'out\\|put' ELSE '未設定' END || ' |~| 音声認識モデル | ' || CASE WHEN meeting_id % 4 <> 0 THEN 'small' ELSE 'なし' END || ' |~| 話者分離 | ' || CASE WHEN meeting_id % 2 = 1 THEN 'あり' ELSE 'なし' END || ' |~' ||
+  CASE WHEN meeting_id % 3 = 0 THEN '| 復旧 | 異常終了から復旧したデータです |~' ELSE '' END || '~## 本文~~', '~', chr(10)) || coalesce(body, '_認識された発言はありません。_' || chr(10)) AS text FROM meetings LEFT JOIN x USING (meeting_id)""",
     "speaker_carry_over": f"""WITH {SEGMENTS_SQL}, {PREVIOUS_SQL},
 o AS (SELECT c.meeting_id, c.id, p.speaker_id AS p_id, p.speaker_name AS p_name, least(p.end_ms, c.end_ms) - greatest(p.start_ms, c.start_ms) AS overlap,
   row_number() OVER (PARTITION BY c.meeting_id, c.id ORDER BY overlap DESC, p.start_ms, p.arrival_seq) AS n
@@ -132,10 +163,7 @@ SELECT meeting_id, segment_id, start_ms, text, row_number() OVER (PARTITION BY m
   arg_max(duration_seconds, line_no) FILTER (duration_seconds IS NOT NULL) AS duration_seconds, count(DISTINCT segment_id) AS n_segments, arg_max(kind, line_no) <> 'Completed' AS recoverable FROM journal GROUP BY meeting_id""",
     "journal_recovery": f"""WITH {JOURNAL_SQL}, s AS (SELECT meeting_id, count(DISTINCT segment_id) AS n_segments, arg_max(duration_seconds, line_no) FILTER (duration_seconds IS NOT NULL) AS d, CASE WHEN meeting_id % 2 = 0 THEN CAST(max(line_no) % 100 AS DOUBLE) END AS a FROM journal GROUP BY meeting_id)
 SELECT meeting_id, n_segments, CASE WHEN a > 0 THEN a ELSE coalesce(d, 0.0) END AS duration_seconds, '異常終了から復旧したデータです。末尾が欠けている可能性があります。' AS warnings FROM s""",
-    "response_sections": f"""WITH {_LINES_HEADED},
-w AS (SELECT response_id, ord, line, heading, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY response_id ORDER BY ord ROWS UNBOUNDED PRECEDING), 'overview') AS section FROM headed),
-c AS (SELECT response_id, ord, section, {_trim("regexp_replace(line, '^[-*・　 #]+', '')")} AS line FROM w WHERE heading IS NULL)
-SELECT response_id, section, row_number() OVER (PARTITION BY response_id, section ORDER BY ord) AS position, line FROM c WHERE line <> '' AND NOT starts_with(line, '```')""",
+    "response_sections": f"WITH {_SECTIONS} SELECT * FROM secs",
     "response_markers": f"WITH {LINES_SQL}, ids AS (SELECT DISTINCT response_id FROM lines), {_LINES_HEADED.split(LINES_SQL + ',')[1]}, m AS (SELECT response_id, count(DISTINCT heading) AS k FROM headed GROUP BY response_id) SELECT response_id, coalesce(k, 0) AS recognised_markers, coalesce(k, 0) = 0 AS fell_back FROM ids LEFT JOIN m USING (response_id)",
     "prompt_plan": f"WITH {LINES_SQL}, t AS (SELECT response_id, CAST(sum(length(line)) AS BIGINT) AS tokens FROM lines GROUP BY response_id) SELECT response_id, tokens, tokens + 1100 <= 3604 AS single_pass, CAST(2504 AS BIGINT) AS block_budget FROM t",
     "prompt_blocks": f"""WITH RECURSIVE {LINES_SQL},
@@ -144,8 +172,22 @@ f AS (SELECT response_id, ord, t, t AS held, t > 0 AS any_, CAST(0 AS BIGINT) AS
   UNION ALL SELECT x.response_id, x.ord, x.t, CASE WHEN any_ AND held + x.t > 500 THEN x.t ELSE held + x.t END, any_ OR x.t > 0, CASE WHEN any_ AND held + x.t > 500 THEN block + 1 ELSE block END
   FROM f JOIN x ON x.response_id = f.response_id AND x.ord = f.ord + 1)
 SELECT response_id, block, min(ord) AS first_ord, count(*) AS n_lines, CAST(sum(t) AS BIGINT) AS tokens FROM f WHERE block < 60 GROUP BY response_id, block""",
+    "prompt_lines_left_out": f"""WITH RECURSIVE {LINES_SQL},
+x AS MATERIALIZED (SELECT response_id, ord, length(line) AS t FROM lines),
+f AS (SELECT response_id, ord, t, t AS held, t > 0 AS any_, CAST(0 AS BIGINT) AS block FROM x WHERE ord = 0
+  UNION ALL SELECT x.response_id, x.ord, x.t, CASE WHEN any_ AND held + x.t > 300 THEN x.t ELSE held + x.t END, any_ OR x.t > 0, CASE WHEN any_ AND held + x.t > 300 THEN block + 1 ELSE block END
+  FROM f JOIN x ON x.response_id = f.response_id AND x.ord = f.ord + 1)
+SELECT response_id, count(*) FILTER (block >= 3) AS left_out, CAST(coalesce(sum(t) FILTER (block >= 3), 0) AS BIGINT) AS left_out_tokens FROM f GROUP BY response_id""",
+    "minutes_filled": f"""WITH {_SECTIONS},
+e AS (SELECT *, {_trim("regexp_replace(" + _trim("line") + ", '^[-*・　 ]+', '')")} AS x FROM secs), g AS (SELECT * FROM e WHERE length(x) >= 2 AND x <> 'なし' AND NOT starts_with(x, '```')),
+i AS (SELECT response_id, string_agg('  - ' || x || chr(10), '' ORDER BY position) FILTER (section = 'decisions') AS decisions, string_agg('  - ' || x || chr(10), '' ORDER BY position) FILTER (section = 'open') AS open, string_agg('  - ' || x || chr(10), '' ORDER BY position) FILTER (section = 'notes') AS notes,
+  string_agg('  - ' || x || ' / 担当: 要確認 / 期限: 要確認' || chr(10), '' ORDER BY position) FILTER (section = 'actions') AS actions, string_agg('    - ' || x || chr(10), '' ORDER BY position) FILTER (section = 'topics') AS topics FROM g GROUP BY response_id),
+o AS (SELECT response_id, {_trim("string_agg(line, chr(10) ORDER BY position) FILTER (section = 'overview')")} AS overview FROM secs GROUP BY response_id), r AS (SELECT repeat('-', 40) || chr(10) AS rule, '  要確認' || chr(10) AS nothing)
+SELECT response_id AS meeting_id, replace('会議議事録~' || repeat('=', 40) || '~会議名   : d' || response_id || '~日時     : 2026-01-05 09:30~録音時間 : 00:00:00~生成方法 : local~~※ 文字起こしに存在しない情報は「要確認」と記載しています。~~1. 概要~', '~', chr(10)) || rule || coalesce(nullif(overview, ''), '要確認') || chr(10) || chr(10) ||
+  '2. 決定事項' || chr(10) || rule || coalesce(decisions, nothing) || chr(10) || '3. 議題別内容' || chr(10) || rule || coalesce('  議題別内容' || chr(10) || topics, nothing) || chr(10) || '4. ToDo・ネクストアクション' || chr(10) || rule || coalesce(actions, nothing) || chr(10) ||
+  '5. 継続検討事項' || chr(10) || rule || coalesce(open, nothing) || chr(10) || '6. 補足' || chr(10) || rule || coalesce(notes, '  なし' || chr(10)) || chr(10) AS text FROM o LEFT JOIN i USING (response_id) CROSS JOIN r""",
     "prompt_prefix": f"WITH {LINES_SQL}, w AS (SELECT response_id, ord, CAST(sum(length(line)) OVER (PARTITION BY response_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM lines) SELECT * FROM w WHERE ord = 0 OR so_far <= 800",
-    "block_time_ranges": f"""WITH {SEGMENTS_SQL}, m AS (SELECT meeting_id, list({_STAMP.format("start_ms")} ORDER BY start_ms, arrival_seq) AS x FROM segments GROUP BY meeting_id) SELECT meeting_id, x[1] || ' - ' || x[-1] AS time_range FROM m""",
+    "block_time_ranges": f"""WITH {SEGMENTS_SQL}, m AS (SELECT meeting_id, list({_STAMP.format("start_ms")} ORDER BY start_ms, arrival_seq) AS x FROM segments GROUP BY meeting_id) SELECT meeting_id, CASE WHEN x[1] = x[-1] THEN x[1] ELSE x[1] || ' 〜 ' || x[-1] END AS time_range FROM m""",
     "level_statistics": f"""WITH {LEVELS_SQL}, a AS (SELECT stream, count(*) AS n, sqrt(avg(value * value)) AS rms, max(abs(value)) AS peak, count(*) FILTER (abs(value) >= 0.999) AS n_clipped FROM levels GROUP BY stream)
 SELECT stream, n, round(rms, 9) AS rms, round(peak, 9) AS peak, round(CASE WHEN rms <= 1e-12 THEN -120 ELSE 20 * log10(rms) END, 6) AS rms_db, round(CASE WHEN peak <= 1e-12 THEN -120 ELSE 20 * log10(peak) END, 6) AS peak_db,
   n_clipped, n_clipped > 0 AND n_clipped / n >= 1e-4 AS clipped, CASE WHEN peak <= 1e-12 THEN -120 ELSE 20 * log10(peak) END < -65 AS looks_silent FROM a""",
@@ -269,23 +311,15 @@ SELECT k AS run_id, printf('Transcription performance:\n  Meeting duration
     "check_reports": """SELECT n_regionkey AS report_id, string_agg('[' || [' OK ', 'WARN', 'FAIL', ' -- '][n_nationkey % 4 + 1] || '] ' || n_name || chr(10) || '      detail' || chr(10) || chr(10), '' ORDER BY n_nationkey) || 'overall: ' ||
   ['not tested', 'ok', 'warning', 'error'][max([1, 2, 3, 0][n_nationkey % 4 + 1]) + 1] AS text FROM nation GROUP BY n_regionkey""",
     "process_tree": """WITH RECURSIVE t AS (SELECT p_partkey AS pid, p_partkey // 3 AS parent_pid FROM part), f AS (SELECT pid AS root, pid FROM t WHERE pid IN (1, 2, 7) UNION SELECT f.root, t.pid FROM f JOIN t ON t.parent_pid = f.pid) SELECT * FROM f""",
-    "minutes_text": f"""WITH {_ITEMS}, {_TOPICS}, {_OVERVIEW},
-l AS (SELECT meeting_id, string_agg('  - [' || timestamp || '] ' || {_trim("text")} || chr(10), '' ORDER BY rank) FILTER (category = 'decision') AS decision,
-  string_agg('  - ' || text || ' / 担当: 要確認 / 期限: ' || due || chr(10), '' ORDER BY rank) FILTER (category = 'action') AS action,
-  string_agg('  - [' || timestamp || '] ' || {_trim("text")} || chr(10), '' ORDER BY rank) FILTER (category = 'open') AS open FROM due GROUP BY meeting_id),
-k AS (SELECT meeting_id, bucket, '  ' || title || ' (' || time_range || ')' || chr(10) || string_agg('    - ' || point || chr(10), '' ORDER BY rank) || chr(10) AS section FROM topics GROUP BY meeting_id, bucket, title, time_range),
-q AS (SELECT meeting_id, string_agg(section, '' ORDER BY bucket) AS topics FROM k GROUP BY meeting_id),
-r AS (SELECT repeat('-', 40) || chr(10) AS rule, '  要確認' || chr(10) AS nothing)
-SELECT meeting_id, '会議議事録' || chr(10) || repeat('=', 40) || chr(10) || '会議名   : ' || CASE WHEN meeting_id % 2 = 0 THEN 'Meeting ' || meeting_id ELSE 'folder_' || meeting_id END || chr(10) ||
-  '日時     : ' || strftime(make_timestamp((meeting_id * 60 + 1767605400) * 1000000), '%Y-%m-%d %H:%M') || chr(10) || '録音時間 : ' || {_STAMP.format("CAST(round(duration_seconds * 1000) AS BIGINT)")} || chr(10) ||
-  replace('生成方法 : extractive~~※ 文字起こしに存在しない情報は「要確認」と記載しています。~~1. 概要~', '~', chr(10)) || rule || v.text || chr(10) || chr(10) || '2. 決定事項' || chr(10) || rule || coalesce(decision, nothing) || chr(10) ||
-  '3. 議題別内容' || chr(10) || rule || coalesce(topics, nothing || chr(10)) || '4. ToDo・ネクストアクション' || chr(10) || rule || coalesce(action, nothing) || chr(10) ||
-  '5. 継続検討事項' || chr(10) || rule || coalesce(open, nothing) || chr(10) || '6. 補足' || chr(10) || rule || replace('  なし~~', '~', chr(10)) AS text
-FROM overview v LEFT JOIN l USING (meeting_id) LEFT JOIN q USING (meeting_id) CROSS JOIN r""",
-    "transcript_headers": f"""WITH {SEGMENTS_SQL}, m AS (SELECT meeting_id, max(end_ms) AS ms FROM segments GROUP BY meeting_id)
-SELECT meeting_id, replace('  会議名      : ' || CASE WHEN meeting_id % 2 = 0 THEN 'Meeting ' || meeting_id ELSE 'folder_' || meeting_id END || '~  開始日時    : ' || strftime(make_timestamp((meeting_id * 60 + 1767605400) * 1000000), '%Y-%m-%d %H:%M:%S') || ' +09:00~  録音時間    : ' ||
-  {_STAMP.format("ms")} || '~  音声ファイル: audio.wav~  マイク      : ' || CASE WHEN meeting_id % 5 <> 0 THEN 'mic' ELSE '未設定' END || '~  PC音声      : ' || CASE WHEN meeting_id % 7 <> 0 THEN 'out' ELSE '未設定' END ||
-  '~  認識モデル  : ' || CASE WHEN meeting_id % 4 <> 0 THEN 'small' ELSE 'なし' END || '~' || CASE WHEN meeting_id % 3 = 0 THEN '  備考        : 異常終了から復旧したデータです~' ELSE '' END, '~', chr(10)) AS header FROM m""",
+    "minutes_text": f"""WITH {_MINUTES}, r AS (SELECT repeat('-', 40) || chr(10) AS rule, '  要確認' || chr(10) AS nothing)
+SELECT meeting_id, '会議議事録' || chr(10) || repeat('=', 40) || chr(10) || '会議名   : ' || name || chr(10) || '日時     : ' || strftime(begun, '%Y-%m-%d %H:%M') || chr(10) || '録音時間 : ' || {_STAMP.format("ms")} || chr(10) ||
+  replace('生成方法 : 抽出型（ローカル・AIモデル不使用）~~※ 文字起こしに存在しない情報は「要確認」と記載しています。~~1. 概要~', '~', chr(10)) || rule || overview || chr(10) || chr(10) || '2. 決定事項' || chr(10) || rule || coalesce('  ' || replace(rtrim(decision, chr(10)), chr(10) || '- [', chr(10) || '  - [') || chr(10), nothing) || chr(10) ||
+  '3. 議題別内容' || chr(10) || rule || coalesce(plain, nothing || chr(10)) || '4. ToDo・ネクストアクション' || chr(10) || rule || coalesce(action, nothing) || chr(10) || '5. 継続検討事項' || chr(10) || rule || coalesce('  ' || replace(rtrim(open, chr(10)), chr(10) || '- [', chr(10) || '  - [') || chr(10), nothing) || chr(10) ||
+  '6. 補足' || chr(10) || rule || '  - ' || note1 || chr(10) || '  - ' || note2 || chr(10) || CASE WHEN meeting_id % 3 = 0 THEN replace('  - 録音時の警告: gap ' || meeting_id || '~  - 録音時の警告: clipped~', '~', chr(10)) ELSE '' END || chr(10) AS text FROM doc CROSS JOIN r""",
+    "transcript_headers": f"""WITH {SEGMENTS_SQL}, {_MEETINGS}
+SELECT meeting_id, replace('  会議名      : ' || name || '~  開始日時    : ' || strftime(begun, '%Y-%m-%d %H:%M:%S') || ' +09:00~  録音時間    : ' ||
+  {_STAMP.format("ms")} || '~  音声ファイル: audio.wav~  マイク      : ' || CASE WHEN meeting_id % 5 <> 0 THEN 'mic' ELSE '未設定' END || '~  PC音声      : ' || CASE WHEN meeting_id % 7 <> 0 THEN 'out|put' ELSE '未設定' END ||
+  '~  認識モデル  : ' || CASE WHEN meeting_id % 4 <> 0 THEN 'small' ELSE 'なし' END || '~' || CASE WHEN meeting_id % 3 = 0 THEN '  備考        : 異常終了から復旧したデータです~' ELSE '' END, '~', chr(10)) AS header FROM meetings""",
     "transcript_cleared": f"WITH {SEGMENTS_SQL} SELECT meeting_id, id FROM segments WHERE meeting_id % 3 <> 0",
     "decode_options": """WITH s AS (SELECT c_custkey AS setting_id, ['Fast', 'Balanced', 'Accurate', '?'][c_custkey % 4 + 1] AS profile, CASE WHEN c_custkey % 7 <> 0 THEN ['ja', 'JA-jp', 'en', ' ', 'fr'][c_custkey % 5 + 1] END AS language FROM customer)
 SELECT *, CASE profile WHEN 'Fast' THEN 1 WHEN 'Accurate' THEN 5 ELSE 2 END AS beam, CAST(CASE WHEN profile = 'Fast' THEN 0 ELSE 0.2 END AS DOUBLE) AS temperature_step,
@@ -296,8 +330,11 @@ SELECT run_id, round(CASE WHEN t > 0 THEN least(greatest(p / t, 0), 1) ELSE 0 EN
 SELECT run_id, count(*) AS inferences, count(*) FILTER (NOT last) AS map_inferences, count(*) FILTER (last) AS reduce_inferences, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, sum(s) AS seconds,
   round(CASE WHEN sum(s) > 0 THEN CAST(sum(o) AS DOUBLE) / sum(s) ELSE 0 END, 9) AS tokens_per_second FROM e GROUP BY run_id""",
     "page_hashes": "SELECT page_id, sha256(coalesce(html, '')) AS measured, page_id % 2 = 0 AS matches FROM pages",
-    "prompts_assembled": """WITH p AS (SELECT item_id, 'Summarise.' || chr(10) || chr(10) || 'Six sections.' || chr(10) || '---' || chr(10) || text || chr(10) || '---' AS prompt FROM benchmark)
-SELECT item_id, prompt, CAST(greatest(400, length(prompt) + 128) AS BIGINT) AS overhead FROM p""",
+    "prompts_assembled": """WITH s AS (SELECT '次は会議の文字起こし全文です。この内容だけを使って議事録を作成してください。' AS task,
+  replace('出力は次の6つの見出しを、この順序で、必ずすべて書いてください。~各見出しは行頭に単独で書き、その下に内容を「- 」で始まる箇条書きで書いてください。~該当する内容が無い見出しの下には「なし」とだけ書いてください。~~【概要】~【決定事項】~【議題別内容】~【ToDo】~【継続検討】~【補足】~', '~', chr(10)) AS six,
+  replace('あなたは日本語の会議議事録作成アシスタントです。次の規則を厳守してください。~1. 与えられた文字起こしに書かれている内容だけを使うこと。書かれていない情報を推測・補完しては絶対にいけません。~2. 担当者名・期限・数値が文字起こしに明記されていない場合は必ず「要確認」と書くこと。~3. 人物名を推測してはいけません。文字起こしに現れる呼称のみを使うこと。~4. 出力は日本語の簡潔な箇条書きにすること。前置きや感想は書かないこと。~5. 該当する内容が無い場合は「なし」とだけ出力すること。', '~', chr(10)) AS rules),
+p AS (SELECT doc_id, task || chr(10) || chr(10) || six || chr(10) || '---' || chr(10) || coalesce(text, '') || chr(10) || '---' AS prompt, length(rules || task || six) + 11 AS frame FROM documents CROSS JOIN s)
+SELECT doc_id, sha256(prompt) AS prompt_sha256, length(prompt) AS n_chars, CAST(greatest(400, frame + 128) AS BIGINT) AS overhead FROM p""",
     "sample_low_pass": _biquad("2 * pi() * 3400 / 16000", "sin(w) / (2 * sqrt(CAST(0.5 AS DOUBLE))) AS alpha", "(1 - c) / 2 AS b0, 1 - c AS b1, (1 - c) / 2 AS b2, 1 + alpha AS a0, -2 * c AS a1, 1 - alpha AS a2"),
     "sample_band_pass": _biquad("2 * pi() * 1000 / 16000", "sin(w) / 3 AS alpha", "alpha AS b0, 0 AS b1, -alpha AS b2, 1 + alpha AS a0, -2 * c AS a1, 1 - alpha AS a2"),
     "sample_high_shelf": _biquad("2 * pi() * 3000 / 16000", "pow(10, CAST(6 AS DOUBLE) / 40) AS g, sqrt(2 * pow(10, CAST(6 AS DOUBLE) / 40)) * sin(w) AS r",
@@ -335,7 +372,7 @@ SELECT 'folder/f' || p || e AS path, CASE WHEN p % 11 = 0 THEN 'missing' WHEN e
     "journals_dismissed": f"WITH {JOURNAL_SQL} SELECT meeting_id, line_no, kind FROM journal WHERE meeting_id % 4 <> 0",
     "recognition_audio_kept": "SELECT c_custkey AS run_id, c_custkey % 6 <> 0 AS kept FROM customer",
     "meaningful_lines": f"""WITH r AS (SELECT conv_id, turn, ['- ' || text, 'なし', '・ ' || role, '```' || role, '* -', '* x', text] AS x FROM conversations),
-b AS (SELECT conv_id, turn, list_transform(x, lambda v: {_trim("regexp_replace(" + _trim("v") + ", '^[-*・ ]+', '')")}) AS x FROM r)
+b AS (SELECT conv_id, turn, list_transform(x, lambda v: {_trim("regexp_replace(" + _trim("v") + ", '^[-*・　 ]+', '')")}) AS x FROM r)
 SELECT conv_id, turn, coalesce(array_to_string(list_filter(x, lambda v: length(v) >= 2 AND v <> 'なし' AND NOT starts_with(v, '```')), '|'), '') AS kept FROM b""",
     "mel_scale": """SELECT c_custkey AS id, round(2595 * log10(1 + CAST(c_custkey % 8000 AS DOUBLE) / 700), 6) AS mel, round(700 * (pow(10, CAST(c_custkey % 3000 AS DOUBLE) / 2595) - 1), 6) AS hertz,
   round(greatest(CAST(60 - c_custkey % 70 AS DOUBLE) / 60, 0), 9) AS meter FROM customer""",

@@ -50,15 +50,15 @@ def minutes_overview(spark, sf_dir):
 
 
 def minutes_markdown(spark, sf_dir):
-    return minutes.rendered(ad.segments(spark, sf_dir), CUES)
+    return minutes.rendered(ad.segments(spark, sf_dir), _meetings(spark, sf_dir), CUES)
 
 
 def transcript_text(spark, sf_dir):
-    return transcript.exported_text(ad.segments(spark, sf_dir))
+    return transcript.exported_text(ad.segments(spark, sf_dir), _meetings(spark, sf_dir))
 
 
 def transcript_markdown(spark, sf_dir):
-    return transcript.exported_markdown(ad.segments(spark, sf_dir))
+    return transcript.exported_markdown(ad.segments(spark, sf_dir), _meetings(spark, sf_dir))
 
 
 def speaker_carry_over(spark, sf_dir):
@@ -134,7 +134,7 @@ def prompt_prefix(spark, sf_dir):
 
 def block_time_ranges(spark, sf_dir):
     rows = ad.segments(spark, sf_dir)
-    text = transcript.exported_text(rows)
+    text = transcript.said(rows)
     return text.select("meeting_id", ft.block_time_range(F.col("text")).alias("time_range"))
 
 
@@ -373,12 +373,16 @@ def process_tree(spark, sf_dir):
 
 
 def _meetings(spark, sf_dir):
-    """Details of the meetings of ``segments``; every second one has no title, every third was recovered."""
+    """Details of the meetings of ``segments``, and of one more for every tenth of them in which nothing was said; every second one has no title, every third was recovered."""
     m = F.col("meeting_id")
     rows = ad.segments(spark, sf_dir).groupBy("meeting_id").agg((F.max("end_ms") / 1000).alias("duration_seconds"))
+    rows = rows.unionByName(rows.where("meeting_id % 10 = 0").select((m + 1_000_000).alias("meeting_id"), F.lit(0.0).alias("duration_seconds")))
+    begun = F.expr("timestamp_ntz'2026-01-05 09:30:00' + make_dt_interval(0, 0, CAST(meeting_id AS INT))")
+    ended = F.expr("timestamp_ntz'2026-01-05 09:30:00' + make_dt_interval(0, 0, CAST(meeting_id AS INT), floor(duration_seconds))")
     return rows.select(
-        "meeting_id", F.when(m % 2 == 0, F.concat(F.lit("Meeting "), m.cast("string"))).alias("title"), F.concat(F.lit("folder_"), m.cast("string")).alias("folder_name"), F.expr("timestamp_ntz'2026-01-05 09:30:00' + make_dt_interval(0, 0, CAST(meeting_id AS INT))").alias("started_at"),
-        F.lit("+09:00").alias("utc_offset"), "duration_seconds", F.lit("audio.wav").alias("audio_file_name"), F.when(m % 5 != 0, "mic").alias("microphone"), F.when(m % 7 != 0, "out").alias("render_device"), F.when(m % 4 != 0, "small").alias("model_id"), (m % 3 == 0).alias("recovered"))
+        "meeting_id", F.when(m % 2 == 0, F.concat(F.lit("Meeting "), m.cast("string"))).alias("title"), F.concat(F.lit("folder_"), m.cast("string")).alias("folder_name"), begun.alias("started_at"), F.when(m % 4 != 1, ended).alias("stopped_at"),
+        F.lit("+09:00").alias("utc_offset"), "duration_seconds", F.lit("audio.wav").alias("audio_file_name"), F.when(m % 5 != 0, "mic").alias("microphone"), F.when(m % 7 != 0, "out|put").alias("render_device"), F.when(m % 4 != 0, "small").alias("model_id"), (m % 3 == 0).alias("recovered"),
+        (m % 2 == 1).alias("diarized"), F.when(m % 3 == 0, F.array(F.concat(F.lit("gap "), m.cast("string")), F.lit("clipped"))).alias("warnings"))
 
 
 def minutes_text(spark, sf_dir):
@@ -419,8 +423,20 @@ def page_hashes(spark, sf_dir):
 
 
 def prompts_assembled(spark, sf_dir):
-    rows = ad.table(spark, sf_dir, "benchmark").select("item_id", F.lit("Summarise.").alias("instruction"), F.col("text").alias("body"))
-    return responses.assembled(rows, "Six sections.").select("item_id", "prompt", responses.prompt_overhead(F.length("prompt")).cast("long").alias("overhead"))
+    rows = ad.table(spark, sf_dir, "documents").select("doc_id", F.lit(responses.WHOLE_TRANSCRIPT).alias("instruction"), F.coalesce("text", F.lit("")).alias("body"))
+    prompts = responses.assembled(rows)
+    return prompts.select("doc_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.char_length("prompt").cast("long").alias("n_chars"), F.lit(responses.frame_overhead()).cast("long").alias("overhead"))
+
+
+def prompt_lines_left_out(spark, sf_dir):
+    rows = ad.lines(spark, sf_dir)
+    return responses.left_out(rows, responses.packed(rows, 300, 3))
+
+
+def minutes_filled(spark, sf_dir):
+    """Documents as a model's answers, parsed and rendered."""
+    rows = minutes.filled_template(responses.sections(ad.lines(spark, sf_dir)))
+    return minutes.template_text(rows, rows.select("meeting_id", F.lit(None).cast("string").alias("title"), F.concat(F.lit("d"), F.col("meeting_id").cast("string")).alias("folder_name"), F.expr("timestamp_ntz'2026-01-05 09:30:00'").alias("started_at"), F.lit(0.0).alias("duration_seconds")), "local")
 
 
 def _samples_of(blocks, size):
@@ -537,7 +553,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     level_stalls, level_silence_runs, level_gap_filled, level_inserted_share, sample_dc_block, sample_mix, sample_downmix, sample_normalised, sample_quantised, sample_interpolated,
     vector_cosines, vector_statistics, vector_speaker_clusters, speech_chunks, model_choice, storage_footprint, preflight_overall, folder_names, perf_log_fields, settings_migrated, meeting_totals,
     source_files, decoder_choice, decoder_extensions, capture_formats, transcode_results, generator_choice, meeting_warnings, connections, cpu_use, ring_buffers, model_checks, device_reports, run_metrics,
-    check_reports, process_tree, minutes_text, transcript_headers, transcript_cleared, decode_options, progress_fractions, minutes_run_totals, page_hashes, prompts_assembled,
+    check_reports, process_tree, minutes_text, transcript_headers, transcript_cleared, decode_options, progress_fractions, minutes_run_totals, page_hashes, prompts_assembled, prompt_lines_left_out, minutes_filled,
     sample_low_pass, sample_band_pass, sample_high_shelf, sample_band_levels, sample_upsampled, sample_muted, sample_slices, drift_drops, capture_probes, leg_clipping, manifest_upserts, import_refusals,
     spoken_spans, speech_run_totals, speaker_names_merged, journals_dismissed, recognition_audio_kept, meaningful_lines, mel_scale)}
 

@@ -1,7 +1,7 @@
 """Japanese cues, sections and rendering, on small transcripts."""
 
 from quillspark.functions import text as ft
-from quillspark.operators import minutes, responses, transcript
+from quillspark.operators import minutes, responses, summaries, transcript
 from pyspark.sql import functions as F
 
 SEGMENT = "meeting_id long, id string, start_ms long, end_ms long, source string, speaker_id int, speaker_name string, text string, is_edited boolean, arrival_seq long"
@@ -44,7 +44,7 @@ def test_topic_clock_begins_again_after_a_day(spark):
 
 
 def test_rendered_minutes_have_all_sections(spark):
-    text = minutes.rendered(meeting(spark, "はいはい")).first().markdown
+    text = minutes.rendered(meeting(spark, "はいはい"), details(spark)).first().markdown
     assert [line for line in text.split("\n") if line.startswith("## ")] == ["## 1. 概要", "## 2. 決定事項", "## 3. 議題別内容", "## 4. ToDo・ネクストアクション", "## 5. 継続検討事項", "## 6. 補足"]
 
 
@@ -87,5 +87,33 @@ def test_unicode_trim_and_blank(spark):
 
 def test_empty_transcript(spark):
     none = spark.createDataFrame([], SEGMENT)
-    assert minutes.rendered(none).count() == 0
-    assert transcript.exported_text(none).count() == 0
+    assert minutes.rendered(none, details(spark).limit(0)).count() == 0
+    assert transcript.exported_text(none, details(spark)).first().text.endswith("\n\n(認識された発言はありません)\n")
+    assert transcript.exported_markdown(none, details(spark)).first().text.endswith("## 本文\n\n_認識された発言はありません。_\n")
+    text = minutes.rendered(none, details(spark)).first().markdown
+    assert "録音時間 00:01:30、発言 0 件（マイク 0 件 / PC音声 0 件）。" in text and "- 対象発言数: 0 / 抽出対象文数: 0\n- 録音時の警告: 音切れ\n" in text and minutes.NO_DECISIONS in text and minutes.NO_ACTIONS in text
+
+
+def details(spark):
+    """Of the meeting of ``meeting``."""
+    return spark.sql("SELECT 1L meeting_id, cast(NULL AS string) title, 'f' folder_name, timestamp_ntz'2026-01-05 09:30:00' started_at, timestamp_ntz'2026-01-05 10:00:00' stopped_at, '+09:00' utc_offset, 90D duration_seconds, 'a.wav' audio_file_name, cast(NULL AS string) microphone, cast(NULL AS string) render_device, cast(NULL AS string) model_id, true recovered, false diarized, array('音切れ') warnings")
+
+
+def test_minutes_name_the_meeting_and_its_time(spark):
+    lines = minutes.rendered(meeting(spark, "予算を承認することに決定しました。"), details(spark)).first().markdown.split("\n")
+    assert lines[:8] == ["# 会議議事録", "", "| 項目 | 内容 |", "| --- | --- |", "| 会議名 | f |", "| 日時 | 2026-01-05 09:30 - 10:00 |", "| 録音時間 | 00:01:30 |", f"| 生成方法 | {minutes.EXTRACTIVE} |"]
+    assert "- [00:00:00] 予算を承認することに決定しました" in lines or any("予算を承認" in x for x in lines)
+
+
+def test_answers_fill_the_template_and_map_topics_stay(spark):
+    answer = "【概要】\n定例会。\n【決定事項】\n- 予算を承認\n- なし\n【議題別内容】\n- 予算\n【ToDo】\n- 資料を作る（田中、金曜まで）\n【継続検討】\nなし\n【補足】\n- 次回は月曜"
+    answers = spark.createDataFrame([(1, answer), (2, "見出しのない答え")], "response_id long, answer string")
+    got = {r.meeting_id: r for r in summaries.minutes_of(answers).collect()}
+    assert (got[1].overview, got[1].decisions, got[1].open, got[1].notes) == ("定例会。", ["予算を承認"], [], ["次回は月曜"])
+    assert [tuple(a) for a in got[1].actions] == [("資料を作る（田中、金曜まで）", "要確認", "要確認", None)]
+    assert [(t.title, t.time_range, t.points) for t in got[1].topics] == [("議題別内容", "", ["予算"])]
+    assert got[2].overview == "見出しのない答え" and not got[2].topics
+    mapped = spark.createDataFrame([(1, 1, "要点 2", "", ["b"]), (1, 0, "要点 1", "0:00:01 〜 0:10:00", ["a"])], "response_id long, block long, title string, time_range string, points array<string>")
+    assert [t.title for t in next(r for r in summaries.minutes_of(answers, mapped).collect() if r.meeting_id == 1).topics] == ["要点 1", "要点 2"]
+    text = minutes.template_markdown(summaries.minutes_of(answers.where("response_id = 1"), mapped), details(spark), "local").first().markdown
+    assert "### 要点 1 （0:00:01 〜 0:10:00）\n\n- a\n\n### 要点 2\n\n- b\n" in text and "| 資料を作る（田中、金曜まで） | 要確認 | 要確認 | - |\n" in text and minutes.NO_OPEN in text

@@ -33,7 +33,7 @@ def test_topics_carry_the_time_of_their_own_block(spark):
     blocks = summaries.blocks_of(lines(spark, 12), 200)
     answers = summaries.inferred(blocks, lambda: lambda p: "なし" if "00:04:00" in p else "- point of " + p[1:9])
     got = [(r.block, r.time_range, r.points) for r in summaries.map_topics(blocks, answers).orderBy("block").collect()]
-    assert got[0] == (0, "00:00:00 - 00:03:00", ["point of 00:00:00"])
+    assert got[0] == (0, "00:00:00 〜 00:03:00", ["point of 00:00:00"])
     assert [b for b, *_ in got] == [0, 2] and got[1][1].startswith("00:08:00")
 
 
@@ -54,3 +54,20 @@ def test_failure_of_the_model_falls_back(spark):
     extractive = spark.createDataFrame([(1, "# minutes")], "response_id long, markdown string")
     assert tuple(summaries.minutes_or_fallback(answers, extractive).first()) == (1, "# minutes", "extractive", "no answer of the model")
     assert responses.recognised(lines(spark, 1)).first().fell_back
+
+
+def test_a_model_that_does_not_shorten_is_asked_no_further(spark, tmp_path):
+    calls = tmp_path / "calls"
+    answers = spark.createDataFrame([(1, i, "z" * 290) for i in range(4)] + [(2, 0, "short")], "response_id long, block long, answer string")
+
+    def make():
+        def model(prompt):
+            with open(calls, "a") as file:
+                file.write("x")
+            return prompt
+
+        return model
+
+    kept = summaries.folded(answers, make, 300)
+    assert calls.read_text() == "x" * 4  # one round of four blocks
+    assert sorted((r.response_id, r.block, len(r.answer)) for r in kept.collect()) == [(1, 0, 290), (2, 0, 5)]
