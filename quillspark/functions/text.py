@@ -102,7 +102,7 @@ def meaningful(lines: Column) -> Column:
 def block_time_range(block: Column) -> Column:
     """``first 〜 last`` of the ``[h:mm:ss]`` marks in a block, one where they are the same; empty without marks."""
     marks = F.regexp_extract_all(block, F.lit(r"\[(\d+:\d{2}:\d{2})\]"), F.lit(1))
-    first, last = F.element_at(marks, 1), F.element_at(marks, -1)
+    first, last = F.get(marks, F.lit(0)), F.get(marks, F.size(marks) - 1)
     return F.when(F.size(marks) == 0, "").when(first == last, first).otherwise(F.concat(first, F.lit(" 〜 "), last))
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filters import Biquad
+from .filters import Biquad, listening_eq
 from .lineage import cut
 
 GROUP = 1024
@@ -111,6 +111,17 @@ def filtered(blocks: DataFrame, sections: list[Biquad], scale: float = 1.0) -> D
     return through(blocks, Bank([sections], scale)).select("stream", "block", F.element_at("outputs", 1).alias("samples"))
 
 
+def equalised(blocks: DataFrame, rate: int) -> DataFrame:
+    """The listening equaliser: a high shelf that can't exceed full scale."""
+    chain = listening_eq(rate)
+    return filtered(blocks, chain.sections, chain.scale)
+
+
+def processed(blocks: DataFrame, rate: int, dc_block: bool = True) -> DataFrame:
+    """What a recording goes through before it is mixed: the DC blocker, if it is wanted; nothing is delayed."""
+    return dc_blocked(blocks, rate) if dc_block else blocks.select("stream", "block", "samples")
+
+
 def dc_blocked(blocks: DataFrame, rate: int, cutoff: float = 20.0) -> DataFrame:
     """y = x - x1 + R * y1, from rest."""
     return filtered(blocks, [Biquad.dc_block(rate, cutoff)])

@@ -205,6 +205,20 @@ def cepstra(samples: np.ndarray, rate: int = RATE, coefficients: int = 13, filte
     return energies @ cosines.T
 
 
+def cepstra_rows(blocks: DataFrame, rate: int = RATE) -> DataFrame:
+    """stream, block, frame, coefficient, value: the cepstra of each block (stream, block, samples) by itself."""
+    kind = dict(blocks.dtypes)["stream"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for stream, block, samples in zip(batch["stream"], batch["block"], batch["samples"], strict=True):
+                c = cepstra(np.asarray(samples, np.float64), rate)
+                frame, coefficient = np.indices(c.shape)
+                yield pd.DataFrame({"stream": stream, "block": block, "frame": frame.reshape(-1), "coefficient": coefficient.reshape(-1), "value": c.reshape(-1)})
+
+    return blocks.select("stream", "block", "samples").mapInPandas(run, f"stream {kind}, block long, frame long, coefficient long, value double")
+
+
 def voice_print(samples: np.ndarray) -> np.ndarray | None:
     """Unit vector of the means and deviations of the cepstra but for loudness; None if there is too little or too quiet sound."""
     if len(samples) < 0.6 * RATE or math.sqrt(float(np.mean(np.square(samples, dtype=np.float64)))) < 10 ** (-55 / 20):

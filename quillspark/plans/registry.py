@@ -13,7 +13,7 @@ from quillspark.operators import filters, journals, levels, minutes, planning, r
 from quillspark.sources import documents, perflog, wav
 
 from . import adapters as ad
-from . import file_queries, live_queries, oracles
+from . import file_queries, live_queries, oracles, seam_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 CUES = ad.PROSE_CUES
@@ -559,8 +559,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | live_queries.QUERIES | file_queries.QUERIES
+    return QUERIES | live_queries.QUERIES | file_queries.QUERIES | seam_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL | live_queries.SQL | file_queries.SQL
+    return oracles.SQL | live_queries.SQL | file_queries.SQL | seam_queries.SQL
