@@ -28,7 +28,7 @@ def _stream(path):
 
 
 def wav_round_trip(spark, sf_dir):
-    rows = read_wav(spark, _recordings(spark, sf_dir), block_samples=50, split_bytes=256)
+    rows = read_wav(spark, _recordings(spark, sf_dir), block_samples=50, split_bytes=1000)
     rows = rows.select(_stream(F.col("path")), "sample_rate", "start_sample", F.posexplode("samples").alias("i", "y"))
     return rows.select("stream", "sample_rate", (F.col("start_sample") + F.col("i")).alias("pos"), F.round(F.col("y").cast("double") * 32768).cast("long").alias("y"))
 
@@ -41,7 +41,7 @@ def audio_imports(spark, sf_dir):
 def reimport_reasons(spark, sf_dir):
     c = F.col("c_custkey")
     meetings = ad.table(spark, sf_dir, "customer").select(c.alias("meeting_id"), F.when(c % 5 != 0, F.concat(F.lit("/in/"), c.cast("string"), F.lit(".wav"))).otherwise(F.lit(" ")).alias("imported_from"))
-    working = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("meeting_id"))
+    working = ad.table(spark, sf_dir, "orders").select((F.col("o_custkey") * 2).alias("meeting_id"))
     originals = ad.table(spark, sf_dir, "supplier").select(F.concat(F.lit("/in/"), F.col("s_suppkey").cast("string"), F.lit(".wav")).alias("path"))
     return imports.reimports(meetings, working, originals)
 
@@ -54,5 +54,5 @@ SQL = {
     "audio_imports": f"""WITH {ad.LEVELS_SQL}, q AS (SELECT stream, round_even(CAST({_Q} AS DOUBLE) / 32768 * 32767, 0) AS y FROM levels)
 SELECT stream, NULL AS refusal, count(*) / CAST(16000 AS DOUBLE) AS duration_seconds, CAST(max(abs(y)) AS BIGINT) AS peak, count(*) FILTER (abs(y) / 32768 >= 0.999) / CAST(count(*) AS DOUBLE) >= 1e-4 AS clipped FROM q GROUP BY stream""",
     "reimport_reasons": """SELECT c_custkey AS meeting_id, CASE WHEN c_custkey % 5 <> 0 THEN '/in/' || c_custkey || '.wav' END AS source,
-CASE WHEN c_custkey % 5 = 0 THEN 'not imported' WHEN c_custkey NOT IN (SELECT s_suppkey FROM supplier) THEN 'original missing' END AS reason FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+CASE WHEN c_custkey % 5 = 0 THEN 'not imported' WHEN c_custkey NOT IN (SELECT s_suppkey FROM supplier) THEN 'original missing' END AS reason FROM customer WHERE c_custkey NOT IN (SELECT 2 * o_custkey FROM orders)""",
 }

@@ -1,6 +1,6 @@
 """WAV files as a Spark data source: read by ranges of bytes, written file by file and put in place when the whole job commits.
 
-Reading plans tasks from the files' sizes alone: a long file is split into ranges, and a task reads the chunks' heads and then only the blocks that begin in
+Reading plans tasks from the files' sizes alone: a long file is split into ranges, short ones share a task, and a task reads the chunks' heads and then only the blocks that begin in
 its range, one at a time. Columns that the schema leaves out are not decoded. Writing goes to a staging folder inside the target: each task streams
 its blocks behind an unfinished head, which it mends at the end of the file; the driver moves the files when all tasks are done. A task that fails or runs twice, and a
 job that is killed, leave what was there before; what they staged is never read and goes with the next commit or abort of that job.
@@ -63,29 +63,48 @@ def head_of(file, length: int) -> dict:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
+    """The bytes of a file from ``first`` up to ``end``."""
+
     path: str
     length: int
     first: int
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads: a range of a long file, or several short files."""
+
+    ranges: list[Range]
+
+
 class WavReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict) -> None:
         self.schema, self.path = schema, options["path"]
         self.block, self.split = int(options.get("blocksamples", BLOCK_SAMPLES)), int(options.get("splitbytes", SPLIT_BYTES))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         where, top = opened(self.path)
         info = where.get_file_info(top)
         files = [info] if info.is_file else where.get_file_info(fs.FileSelector(top, recursive=True))
         wavs = sorted((f.path, f.size) for f in files if f.is_file and f.path.lower().endswith(".wav") and STAGING not in f.path)
-        return [Range(p, n, at, min(n, at + self.split)) for p, n in wavs for at in range(0, n, self.split)] or [Range("", 0, 0, 0)]
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        tasks, room = [Ranges([])], self.split
+        for path, size in wavs:
+            for at in range(0, size, self.split):
+                some = Range(path, size, at, min(size, at + self.split))
+                if some.end - at > room:
+                    tasks, room = [*tasks, Ranges([])], self.split
+                tasks[-1].ranges.append(some)
+                room -= some.end - at
+        return tasks
+
+    def read(self, task: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in task.ranges:
+            yield from self._blocks(part)
+
+    def _blocks(self, part: Range) -> Iterator[pa.RecordBatch]:
         kind = to_arrow_schema(self.schema)
-        if not part.length:
-            return
         where, _ = opened(self.path)
         with where.open_input_file(part.path) as file:
             try:
