@@ -51,3 +51,36 @@ def test_stages_keep_the_columns_and_the_right_documents(spark, sf_dir, tmp_path
 def test_run_gives_the_last_stage(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 0
+
+
+def small(spark, tmp_path, rows, labels):
+    from cases import documents
+
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return sorted((tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr)
+
+
+def test_no_documents(spark, tmp_path):
+    assert small(spark, tmp_path, [], [(1, 1, 0)]) == []
+
+
+def test_no_labels_and_awkward_rows(spark, tmp_path):
+    from cases import AWKWARD
+
+    got = small(spark, tmp_path, AWKWARD, [])
+    # of the equal texts the largest id stays; rows without words are never taken
+    assert {5, 7, 8, 9} <= {r[0] for r in got} <= {r[0] for r in AWKWARD} and not {1, 2, 3, 4, 6} & {r[0] for r in got}
+
+
+def test_all_documents_toxic(spark, tmp_path):
+    rows = [(i, f"you awful vile idiot number {i % 7}. hateful vile words again.") for i in range(60)]
+    clean = [(100 + i, f"the garden is lovely today in part {i % 7}. we planted trees.") for i in range(60)]
+    labels = [(i, 0, 1) for i in range(60)] + [(100 + i, 1, 0) for i in range(60)]
+    both = small(spark, tmp_path, rows + clean, labels)
+    assert both and all(r[0] >= 100 for r in both)
+
+
+def test_a_stage_that_keeps_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("toxicity", lambda spark, docs, sf_dir: docs.where("false")), *corpus_pipeline.STAGES[1:]])
+    assert small(spark, tmp_path, [(1, "some words here"), (2, None)], []) == []
