@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet in the shared folder and reads again
 for the next one. All but the last return the columns of documents.
+
+Defined cases: what a stage's operator defines for nulls, empty and very long texts, ties and repeated rows holds here too. Rows with a null id or text stay
+where their stage keeps them (null and empty texts are not toxic by themselves and equal one another; they hold no words, so the mix takes none of them). Without labels
+no document is called toxic. A stage that keeps nothing hands an empty table on, and the result is then empty, as it is for empty documents. Columns that
+documents has beyond its own go through all stages but the last.
 """
 
 from __future__ import annotations
