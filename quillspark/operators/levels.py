@@ -27,6 +27,23 @@ def statistics(levels: DataFrame) -> DataFrame:
     return rows.withColumn("clipped", clipped).withColumn("looks_silent", F.col("peak_db") < -65.0)
 
 
+def leg_clipping(samples: DataFrame, threshold: float = CLIP_LEVEL, least: float = CLIP_SHARE) -> DataFrame:
+    """meeting_id, n, microphone, system, worst_fraction, clipped of ``samples`` (meeting_id, source, value): flattened samples of each leg, and the share of the worse one in the samples of a leg."""
+    of = lambda source: F.col("source") == source
+    flat = F.abs("value") >= threshold
+    rows = samples.groupBy("meeting_id").agg(F.count_if(of("Microphone")).alias("n"), F.count_if(of("Microphone") & flat).alias("microphone"), F.count_if(of("SystemAudio") & flat).alias("system"))
+    worst = F.when(F.col("n") > 0, F.greatest("microphone", "system") / F.col("n")).otherwise(F.lit(0.0))
+    return rows.withColumn("worst_fraction", worst).withColumn("clipped", (F.col("n") > 0) & (F.col("worst_fraction") >= least))
+
+
+def capture_probe(levels: DataFrame, seconds: float) -> DataFrame:
+    """stream, samples, peak_db, rms_db of the first ``seconds`` of each stream: what a probe of its device would measure."""
+    begin = F.min("at").over(Window.partitionBy("stream"))
+    rows = levels.withColumn("begin", begin).where(F.col("at") - F.col("begin") < seconds)
+    rows = rows.groupBy("stream").agg(F.count("value").alias("samples"), F.max(F.abs("value")).alias("peak"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
+    return rows.select("stream", "samples", to_db(F.coalesce("peak", F.lit(0.0))).alias("peak_db"), to_db(F.coalesce("rms", F.lit(0.0))).alias("rms_db"))
+
+
 def peak_hold(levels: DataFrame, decay_db: float = DECAY_DB) -> DataFrame:
     """stream, seq, held: each peak falls ``decay_db`` a second, at most a second's worth from one measurement to the next."""
     order = Window.partitionBy("stream").orderBy("seq")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,24 +50,29 @@ def plan(lines: DataFrame, prompt_tokens: int, output_tokens: int, context_token
 def packed(lines: DataFrame, block_budget: int, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """response_id, block, ord, tokens: lines in blocks, each filled as far as the next line fits.
 
-    A block begins where the running sum since the last beginning would pass the budget, which depends on all lines before; so a
-    response's sizes (not its texts) are folded in order, keeping where blocks begin. The lines that come after ``most_blocks`` full
+    A block begins where the running sum since the last beginning would pass the budget, which depends on all lines before; so the sizes of a response's
+    lines (not its texts) are gone through in order, batch by batch, with one sum held. The lines that come after ``most_blocks`` full
     blocks are left out; ``left_out`` counts them.
     """
     tokens = F.col("tokens") if "tokens" in lines.columns else utf16_length(F.col("line"))
-    sizes = lines.groupBy("response_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ord"), tokens.cast("long").alias("tokens")))).alias("x"))
-    start = F.expr("named_struct('held', 0L, 'filled', false, 'begins', cast(array() as array<bigint>))")
-
-    def step(state, line):
-        new = state["filled"] & (state["held"] + line["tokens"] > block_budget) & (F.size(state["begins"]) < most_blocks)
-        held = F.when(new, line["tokens"]).otherwise(state["held"] + line["tokens"])
-        begins = F.when(new, F.concat(state["begins"], F.array(line["ord"]))).otherwise(state["begins"])
-        return F.struct(held.alias("held"), (state["filled"] | (line["tokens"] > 0)).alias("filled"), begins.alias("begins"))
-
-    rows = sizes.select("response_id", "x", F.aggregate("x", start, step, lambda s: s["begins"]).alias("begins"))
-    rows = rows.select("response_id", "begins", F.inline("x"))
-    block = F.size(F.filter("begins", lambda b: b <= F.col("ord"))).cast("long")
-    return rows.select("response_id", block.alias("block"), "ord", "tokens").where(F.col("block") < most_blocks)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        response, block, held, filled = None, 0, 0, False
+        for batch in batches:
+            blocks = []
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if name != response:
+                    response, block, held, filled = name, 0, 0, False
+                if filled and held + size > block_budget:
+                    block, held = block + 1, 0
+                held, filled = held + size, filled or size > 0
+                blocks.append(block)
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(blocks, pa.int64()), batch.column(1), batch.column(2)], ["response_id", "block", "ord", "tokens"])
+            yield out.filter(pc.less(out.column(1), most_blocks))
+
+    kind = dict(lines.dtypes)["response_id"]
+    rows = lines.select("response_id", F.col("ord").cast("long").alias("ord"), F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens")).repartition("response_id").sortWithinPartitions("response_id", "ord")
+    return rows.mapInArrow(pack, f"response_id {kind}, block long, ord long, tokens long")
 
 
 def left_out(lines: DataFrame, packed_lines: DataFrame) -> DataFrame:

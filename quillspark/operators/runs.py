@@ -133,6 +133,31 @@ def minutes_totals(inferences: DataFrame) -> DataFrame:
     return rows.withColumn("tokens_per_second", F.when(F.col("seconds") > 0, F.col("output_tokens") / F.col("seconds")).otherwise(F.lit(0.0)))
 
 
+def minutes_metrics(runs: DataFrame, inferences: DataFrame) -> DataFrame:
+    """Runs of minutes (run_id, transcript_tokens, context_tokens, blocks, load_seconds, total_seconds) with the totals and times of their ``inferences`` (run_id, phase, prompt_tokens, output_tokens, seconds).
+
+    One block is a single pass. A run without inferences has zeros.
+    """
+    of = lambda phase, value: F.sum(F.when(F.col("phase") == phase, value))
+    sums = inferences.groupBy("run_id").agg(
+        of("map", F.lit(1)).alias("map_inferences"), of("map", F.col("seconds")).alias("map_seconds"), of("reduce", F.lit(1)).alias("reduce_inferences"), of("reduce", F.col("seconds")).alias("reduce_seconds"),
+        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("map_inferences", "reduce_inferences", "prompt_tokens", "output_tokens")} | {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("map_seconds", "reduce_seconds")}
+    rows = runs.join(sums, "run_id", "left").withColumns(zero).withColumn("single_pass", F.col("blocks") <= 1)
+    spent = F.col("map_seconds") + F.col("reduce_seconds")
+    return rows.withColumn("tokens_per_second", F.when(spent > 0, F.col("output_tokens") / spent).otherwise(F.lit(0.0)))
+
+
+def minutes_block(metrics: DataFrame) -> DataFrame:
+    """run_id, block: ``minutes_metrics`` with a ``strategy`` (why it was done so) as lines for the log."""
+    lines = [
+        F.lit("Minutes performance:"), F.format_string("  Transcript tokens     = %d", "transcript_tokens"), F.format_string("  Context window        = %d", "context_tokens"),
+        F.format_string("  Strategy              = %s - %s", F.when(F.col("single_pass"), "single pass").otherwise("map-reduce"), F.col("strategy")), F.format_string("  Blocks                = %d", "blocks"), F.format_string("  Model load            = %.2f s", "load_seconds"),
+        F.format_string("  Map inference count   = %d", "map_inferences"), F.format_string("  Map time              = %.2f s", "map_seconds"), F.format_string("  Reduce inference count= %d", "reduce_inferences"), F.format_string("  Reduce time           = %.2f s", "reduce_seconds"),
+        F.format_string("  Prompt tokens         = %d", "prompt_tokens"), F.format_string("  Output tokens         = %d", "output_tokens"), F.format_string("  Tokens/sec            = %.1f", "tokens_per_second"), F.format_string("  Total                 = %.2f s", "total_seconds")]
+    return metrics.select("run_id", F.concat_ws("\n", *lines).alias("block"))
+
+
 def file_hashes(files: DataFrame) -> DataFrame:
     """Adds ``measured``, the lower-case SHA-256 of ``content``, and whether it is the ``pinned`` one, whatever its case."""
     return files.withColumn("measured", F.sha2("content", 256)).withColumn("matches", F.lower("pinned") == F.col("measured")).drop("content")

@@ -53,3 +53,19 @@ def sliced(samples: Column, start_ms: Column, end_ms: Column, rate: int, least_s
     first = clamped(F.floor(start_ms * rate / 1000), 0, 1 << 53).cast("int")
     n = (F.least(F.floor(end_ms * rate / 1000).cast("int"), F.size(samples)) - first).cast("int")
     return F.when(n >= int(least_seconds * rate), F.slice(samples, first + 1, F.greatest(n, F.lit(1))))
+
+
+def spans(blocks: DataFrame, wanted: DataFrame, rate: int, block_samples: int, least_seconds: float = 0.25) -> DataFrame:
+    """stream, span, samples of the ``wanted`` spans (stream, span, start_ms, end_ms) over ``blocks`` (stream, block, samples) of ``block_samples`` each but the last.
+
+    A span meets only the blocks that it touches; one that holds less than ``least_seconds`` is left out.
+    """
+    at = lambda ms: F.greatest(F.floor(ms * rate / 1000), F.lit(0)).cast("long")
+    pieces = wanted.select("stream", "span", at(F.col("start_ms")).alias("first"), at(F.col("end_ms")).alias("end")).where("end > first")
+    pieces = pieces.withColumn("block", F.explode(F.sequence(F.expr(f"first div {block_samples}"), F.expr(f"(end - 1) div {block_samples}"))))
+    joined = pieces.join(blocks.select("stream", "block", "samples"), ["stream", "block"])
+    low = F.greatest(F.col("first") - F.col("block") * block_samples, F.lit(0)).cast("int")
+    high = F.least(F.col("end") - F.col("block") * block_samples, F.size("samples")).cast("int")
+    part = F.slice("samples", low + 1, F.greatest(high - low, F.lit(0)))
+    rows = joined.groupBy("stream", "span").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", part.alias("part")))), lambda r: r["part"])).alias("samples"))
+    return rows.where(F.size("samples") >= int(least_seconds * rate))

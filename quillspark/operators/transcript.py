@@ -113,6 +113,40 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def added(segments: DataFrame, new: DataFrame, names: DataFrame) -> DataFrame:
+    """``segments`` and the ``new`` ones (the same columns), which arrive after those of their meeting in their own order of arrival, under the speakers' known ``names``."""
+    last = segments.groupBy("meeting_id").agg(F.max("arrival_seq").alias("last"))
+    place = F.row_number().over(Window.partitionBy("meeting_id").orderBy("arrival_seq", "id"))
+    late = with_known_names(new, names).join(last, "meeting_id", "left").withColumn("arrival_seq", F.coalesce("last", F.lit(-1)) + place)
+    return segments.unionByName(late.select(*segments.columns))
+
+
+def manual(requests: DataFrame) -> DataFrame:
+    """Segments typed by a person (meeting_id, id, start_ms, source, text, arrival_seq): without length or speaker, marked as edited."""
+    nothing = {"speaker_id": "int", "speaker_name": "string"}
+    return requests.withColumns({"end_ms": F.col("start_ms"), "is_edited": F.lit(True), **{c: F.lit(None).cast(kind) for c, kind in nothing.items()}})
+
+
+def replaced(segments: DataFrame, new: DataFrame, names: DataFrame) -> DataFrame:
+    """``segments`` with the whole transcripts of the meetings in ``new`` in place of theirs; arrivals are numbered by start, and the known ``names`` survive."""
+    kept = segments.join(new.select("meeting_id").distinct(), "meeting_id", "left_anti")
+    order = Window.partitionBy("meeting_id").orderBy("start_ms", "arrival_seq", "id")
+    fresh = with_known_names(new, names).withColumn("arrival_seq", F.row_number().over(order) - 1)
+    return kept.unionByName(fresh.select(*segments.columns))
+
+
+def journal_of(segments: DataFrame, kind: str = "Segment") -> DataFrame:
+    """meeting_id, id, kind, line: the journal's line for each segment that is added (``Segment``) or changed (``SegmentUpdate``); what is null is left out of it."""
+    segment = F.struct("id", F.col("start_ms").alias("startMs"), F.col("end_ms").alias("endMs"), "source", F.col("speaker_id").alias("speakerId"), F.col("speaker_name").alias("speakerName"), "text", F.col("is_edited").alias("isEdited"))
+    return segments.select("meeting_id", "id", F.lit(kind).alias("kind"), F.to_json(F.struct(F.lit(kind).alias("kind"), segment.alias("segment"))).alias("line"))
+
+
+def removal_entries(segments: DataFrame, ids: DataFrame) -> DataFrame:
+    """The journal's lines for the removed ``ids`` (meeting_id, id): updates to an empty text, which a replay turns into the removal."""
+    gone = segments.join(ids.select("meeting_id", "id"), ["meeting_id", "id"], "left_semi")
+    return journal_of(gone.withColumn("text", F.lit("")).withColumn("is_edited", F.lit(True)), "SegmentUpdate")
+
+
 # The texts of exported transcripts.
 NOTHING_SAID, NOTHING_SAID_MARKDOWN = "(認識された発言はありません)\n", "_認識された発言はありません。_\n"
 BYTE_ORDER_MARK = "\ufeff"

@@ -157,6 +157,29 @@ SELECT meeting_id, source, speaker_id, name, row_number() OVER (PARTITION BY mee
     "segment_edits": f"WITH {SEGMENTS_SQL} SELECT meeting_id, id, CASE WHEN arrival_seq % 3 = 1 THEN 'edited ' || text ELSE text END AS text, arrival_seq % 3 = 1 AS is_edited FROM segments WHERE arrival_seq <> 4",
     "segment_upserts": f"""WITH {SEGMENTS_SQL} SELECT meeting_id, id, CASE WHEN meeting_id % 2 = 0 THEN 'replaced' ELSE text END AS text FROM segments
 UNION ALL SELECT meeting_id, id || '-new', text FROM segments WHERE meeting_id % 5 = 0""",
+    "segments_added": f"""WITH {SEGMENTS_SQL}, {_NAMES},
+n AS (SELECT meeting_id, id || '-typed' AS id, start_ms + 5 AS start_ms, start_ms + 5 AS end_ms, source, CAST(NULL AS INTEGER) AS speaker_id, CAST(NULL AS VARCHAR) AS speaker_name, 'typed' AS text, true AS is_edited, CAST(0 AS BIGINT) AS arrival_seq FROM segments WHERE arrival_seq = 1
+  UNION ALL SELECT meeting_id, id || '-copy', start_ms, end_ms, source, speaker_id, name, text, is_edited, arrival_seq FROM segments LEFT JOIN names USING (meeting_id, source, speaker_id) WHERE meeting_id % 3 = 0),
+m AS (SELECT meeting_id, max(arrival_seq) AS last FROM segments GROUP BY meeting_id),
+a AS (SELECT n.* REPLACE (last + row_number() OVER (PARTITION BY meeting_id ORDER BY arrival_seq, id) AS arrival_seq) FROM n JOIN m USING (meeting_id))
+SELECT meeting_id, id, start_ms, end_ms, speaker_name, text, is_edited, arrival_seq, NULL AS line FROM segments
+UNION ALL SELECT meeting_id, id, start_ms, end_ms, speaker_name, text, is_edited, arrival_seq, '{{"kind":"Segment","segment":{{"id":"' || id || '","startMs":' || start_ms || ',"endMs":' || end_ms || ',"source":"' || source || '",' || coalesce('"speakerId":' || speaker_id || ',', '') || coalesce('"speakerName":"' || speaker_name || '",', '') ||
+  '"text":' || to_json(text) || ',"isEdited":' || is_edited || '}}}}' FROM a""",
+    "segments_replaced": f"""WITH {SEGMENTS_SQL}, {_NAMES}
+SELECT meeting_id, id, speaker_name, text, arrival_seq FROM segments WHERE meeting_id NOT IN (SELECT meeting_id FROM segments WHERE meeting_id % 4 = 0 AND arrival_seq % 2 = 0)
+UNION ALL SELECT meeting_id, id, name, 'new', row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, arrival_seq, id) - 1 FROM segments LEFT JOIN names USING (meeting_id, source, speaker_id) WHERE meeting_id % 4 = 0 AND arrival_seq % 2 = 0""",
+    "segment_removals": f"""WITH {SEGMENTS_SQL} SELECT meeting_id, id, 'SegmentUpdate' AS kind, '{{"kind":"SegmentUpdate","segment":{{"id":"' || id || '","startMs":' || start_ms || ',"endMs":' || end_ms || ',"source":"' || source || '",' || coalesce('"speakerId":' || speaker_id || ',', '') || '"text":"","isEdited":true}}}}' AS line FROM segments WHERE arrival_seq % 3 = 2""",
+    "leg_clipping_counts": """WITH s AS (SELECT event_id % 97 AS meeting_id, event_type IN ('click', 'view') AS mic, abs(value / 480 - 0.01) >= 0.999 AS flat FROM events),
+c AS (SELECT meeting_id, count(*) FILTER (mic) AS n, count(*) FILTER (mic AND flat) AS microphone, count(*) FILTER (NOT mic AND flat) AS system FROM s GROUP BY meeting_id), w AS (SELECT *, CASE WHEN n > 0 THEN greatest(microphone, system) / CAST(n AS DOUBLE) ELSE 0 END AS f FROM c)
+SELECT meeting_id, n, microphone, system, round(f, 9) AS worst_fraction, n > 0 AND f >= 1e-4 AS clipped FROM w""",
+    "capture_probe_levels": f"""WITH {LEVELS_SQL}, b AS (SELECT stream, value, secs - min(secs) OVER (PARTITION BY stream) AS since FROM levels), a AS (SELECT stream, count(*) AS samples, max(abs(value)) AS peak, sqrt(avg(value * value)) AS rms FROM b WHERE since < 864000 GROUP BY stream)
+SELECT stream, samples, round(CASE WHEN peak <= 1e-12 THEN -120 ELSE 20 * log10(peak) END, 6) AS peak_db, round(CASE WHEN rms <= 1e-12 THEN -120 ELSE 20 * log10(rms) END, 6) AS rms_db FROM a""",
+    "minutes_metrics_blocks": """WITH i AS (SELECT l_orderkey AS run_id, count(*) FILTER (l_linenumber <> 1) AS maps, coalesce(sum(CAST(l_suppkey % 64 AS DOUBLE) / 20) FILTER (l_linenumber <> 1), 0) AS map_s, count(*) FILTER (l_linenumber = 1) AS reduces, coalesce(sum(CAST(l_suppkey % 64 AS DOUBLE) / 20) FILTER (l_linenumber = 1), 0) AS reduce_s,
+  sum(l_partkey % 500) AS prompt, sum(CAST(l_quantity AS BIGINT)) AS output FROM lineitem GROUP BY 1),
+r AS (SELECT o_orderkey AS id, o_orderpriority AS why, coalesce(maps, 0) AS maps, coalesce(map_s, 0) AS map_s, coalesce(reduces, 0) AS reduces, coalesce(reduce_s, 0) AS reduce_s, coalesce(prompt, 0) AS prompt, coalesce(output, 0) AS output FROM orders LEFT JOIN i ON run_id = o_orderkey)
+SELECT id AS run_id, replace('Minutes performance:~  Transcript tokens     = ' || (id % 9000) || '~  Context window        = 4096~  Strategy              = ' || CASE WHEN id % 4 = 0 THEN 'single pass' ELSE 'map-reduce' END || ' - ' || why || '~  Blocks                = ' || (id % 4 + 1) ||
+  '~  Model load            = ' || printf('%.2f', round(CAST(id % 100 AS DOUBLE) / 50, 2)) || ' s~  Map inference count   = ' || maps || '~  Map time              = ' || printf('%.2f', round(map_s, 2)) || ' s~  Reduce inference count= ' || reduces || '~  Reduce time           = ' || printf('%.2f', round(reduce_s, 2)) ||
+  ' s~  Prompt tokens         = ' || prompt || '~  Output tokens         = ' || output || '~  Tokens/sec            = ' || printf('%.1f', round(CASE WHEN map_s + reduce_s > 0 THEN output / (map_s + reduce_s) ELSE 0 END, 1)) || '~  Total                 = ' || printf('%.2f', round(CAST(id % 1000 AS DOUBLE) / 20, 2)) || ' s', '~', chr(10)) AS block FROM r""",
     "journal_replay": f"""WITH {JOURNAL_SQL}, e AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, segment_id ORDER BY line_no DESC) AS n, min(line_no) OVER (PARTITION BY meeting_id, segment_id) AS first_seen FROM journal WHERE segment_id IS NOT NULL)
 SELECT meeting_id, segment_id, start_ms, text, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, first_seen) AS position FROM e WHERE n = 1""",
     "journal_states": f"""WITH {JOURNAL_SQL} SELECT meeting_id, count(*) AS n_entries, arg_max(kind, line_no) AS last_kind, min(line_no) FILTER (kind = 'Header') AS header_line,

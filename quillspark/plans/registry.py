@@ -98,6 +98,45 @@ def segment_upserts(spark, sf_dir):
     return transcript.upserted(rows, new.unionByName(added), ["meeting_id", "id"])
 
 
+def segments_added(spark, sf_dir):
+    """What people typed, and copies of the turns of some meetings, after what was there; with the lines they leave in the journal."""
+    rows, names = ad.segments(spark, sf_dir), _names(spark, sf_dir)
+    typed = transcript.manual(rows.where("arrival_seq = 1").select("meeting_id", F.concat("id", F.lit("-typed")).alias("id"), (F.col("start_ms") + 5).alias("start_ms"), "source", F.lit("typed").alias("text"), F.lit(0).cast("long").alias("arrival_seq")))
+    copies = rows.where("meeting_id % 3 = 0").withColumn("id", F.concat("id", F.lit("-copy")))
+    out = transcript.added(rows, typed.unionByName(copies), names)
+    return out.join(transcript.journal_of(out.where("id LIKE '%-%-%'")), ["meeting_id", "id"], "left").select("meeting_id", "id", "start_ms", "end_ms", "speaker_name", "text", "is_edited", F.col("arrival_seq").cast("long").alias("arrival_seq"), "line")
+
+
+def segments_replaced(spark, sf_dir):
+    rows = ad.segments(spark, sf_dir)
+    new = rows.where("meeting_id % 4 = 0 AND arrival_seq % 2 = 0").withColumn("text", F.lit("new"))
+    return transcript.replaced(rows, new, _names(spark, sf_dir)).select("meeting_id", "id", "speaker_name", "text", F.col("arrival_seq").cast("long").alias("arrival_seq"))
+
+
+def segment_removals(spark, sf_dir):
+    rows = ad.segments(spark, sf_dir)
+    return transcript.removal_entries(rows, rows.where("arrival_seq % 3 = 2"))
+
+
+def leg_clipping_counts(spark, sf_dir):
+    e = F.col("event_id")
+    rows = ad.table(spark, sf_dir, "events").select((e % 97).alias("meeting_id"), F.when(F.col("event_type").isin("click", "view"), "Microphone").otherwise("SystemAudio").alias("source"), (F.col("value") / 480 - 0.01).alias("value"))
+    return levels.leg_clipping(rows).withColumn("worst_fraction", F.round("worst_fraction", 9))
+
+
+def capture_probe_levels(spark, sf_dir):
+    rows = levels.capture_probe(ad.levels(spark, sf_dir), 864000.0)
+    return rows.select("stream", "samples", F.round("peak_db", 6).alias("peak_db"), F.round("rms_db", 6).alias("rms_db"))
+
+
+def minutes_metrics_blocks(spark, sf_dir):
+    """Orders as runs and their lines as inferences."""
+    o = F.col("o_orderkey")
+    made = ad.table(spark, sf_dir, "orders").select(o.alias("run_id"), (o % 9000).alias("transcript_tokens"), F.lit(4096).alias("context_tokens"), (o % 4 + 1).alias("blocks"), (o % 100 / 50.0).alias("load_seconds"), (o % 1000 / 20.0).alias("total_seconds"), F.col("o_orderpriority").alias("strategy"))
+    line = ad.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linenumber") == 1, "reduce").otherwise("map").alias("phase"), (F.col("l_partkey") % 500).alias("prompt_tokens"), F.col("l_quantity").cast("long").alias("output_tokens"), (F.col("l_suppkey") % 64 / 20.0).alias("seconds"))
+    return runs.minutes_block(runs.minutes_metrics(made, line))
+
+
 def journal_replay(spark, sf_dir):
     return journals.replayed(ad.journal(spark, sf_dir))
 
@@ -179,25 +218,22 @@ def sample_dc_block(spark, sf_dir):
 
 
 def sample_mix(spark, sf_dir):
-    rows = ad.levels(spark, sf_dir)
-    block = lambda who: rows.where(f"stream % 2 = {who}").groupBy(F.floor(F.col("stream") / 2).alias("meeting_id")).agg(F.sort_array(F.collect_list(F.struct("seq", "value"))).alias("x")).select("meeting_id", F.lit(0).alias("block"), F.transform("x", lambda v: v["value"]).alias("samples"))
-    out = samples.aligned_mix(block(0), block(1)).select("meeting_id", F.posexplode("samples").alias("pos", "y"))
-    return out.select("meeting_id", F.col("pos").cast("long").alias("pos"), F.round("y", 9).alias("y"))
+    rows = ad.short_blocks(spark, sf_dir)
+    leg = lambda who: rows.where(f"stream % 2 = {who}").select(F.expr("stream div 2").alias("meeting_id"), "block", "samples")
+    return _samples_of(samples.aligned_mix(leg(0), leg(1)).withColumnRenamed("meeting_id", "stream"), 32).withColumnRenamed("stream", "meeting_id")
 
 
 def sample_downmix(spark, sf_dir):
-    out = ad.blocks(spark, sf_dir).select("stream", F.posexplode(samples.downmixed(F.col("samples"), 2)).alias("pos", "y"))
-    return out.select("stream", F.col("pos").cast("long").alias("pos"), F.round("y", 9).alias("y"))
+    return _samples_of(ad.short_blocks(spark, sf_dir).withColumn("samples", samples.downmixed(F.col("samples"), 2)), 16)
 
 
 def sample_normalised(spark, sf_dir):
-    out = samples.normalised(ad.blocks(spark, sf_dir)).select("stream", F.posexplode("samples").alias("pos", "y"))
-    return out.select("stream", F.col("pos").cast("long").alias("pos"), F.round("y", 9).alias("y"))
+    return _samples_of(samples.normalised(ad.short_blocks(spark, sf_dir)), 32)
 
 
 def sample_quantised(spark, sf_dir):
-    out = ad.blocks(spark, sf_dir).select("stream", F.posexplode(fa.quantised(F.col("samples"))).alias("pos", "y"))
-    return out.select("stream", F.col("pos").cast("long").alias("pos"), F.col("y").cast("long").alias("y"))
+    rows = ad.short_blocks(spark, sf_dir).withColumn("samples", fa.quantised(F.col("samples")))
+    return _samples_of(rows, 32).withColumn("y", F.col("y").cast("long"))
 
 
 def sample_interpolated(spark, sf_dir):
@@ -473,9 +509,10 @@ def sample_muted(spark, sf_dir):
 
 
 def sample_slices(spark, sf_dir):
-    s = F.col("stream")
-    rows = ad.blocks(spark, sf_dir).select(s, samples.sliced(F.col("samples"), s % 5 * 100, s % 7 * 1000, 10).alias("part"))
-    return rows.select("stream", F.size("part").cast("long").alias("n"), F.round(F.element_at("part", 1), 9).alias("first")).where("part IS NOT NULL")
+    s, blocks = F.col("stream"), ad.short_blocks(spark, sf_dir, 16)
+    wanted = blocks.select("stream").distinct().select("stream", F.lit(0).alias("span"), (s % 5 * 100).alias("start_ms"), (s % 7 * 1000).alias("end_ms"))
+    rows = samples.spans(blocks, wanted, 10, 16)
+    return rows.select("stream", F.size("samples").cast("long").alias("n"), F.round(F.element_at("samples", 1), 9).alias("first"))
 
 
 def drift_drops(spark, sf_dir):
@@ -548,7 +585,7 @@ def mel_scale(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     transcript_timeline, transcript_sentences, cue_sentences, minutes_items, minutes_topics, minutes_overview, minutes_markdown, transcript_text, transcript_markdown,
-    speaker_carry_over, speaker_list, speaker_names_known, speaker_rename_counts, segment_edits, segment_upserts, journal_replay, journal_states, journal_recovery,
+    speaker_carry_over, speaker_list, speaker_names_known, speaker_rename_counts, segment_edits, segment_upserts, segments_added, segments_replaced, segment_removals, leg_clipping_counts, capture_probe_levels, minutes_metrics_blocks, journal_replay, journal_states, journal_recovery,
     response_sections, response_markers, prompt_plan, prompt_blocks, prompt_prefix, block_time_ranges, level_statistics, level_peak_hold, level_voice_activity, level_smoothed,
     level_stalls, level_silence_runs, level_gap_filled, level_inserted_share, sample_dc_block, sample_mix, sample_downmix, sample_normalised, sample_quantised, sample_interpolated,
     vector_cosines, vector_statistics, vector_speaker_clusters, speech_chunks, model_choice, storage_footprint, preflight_overall, folder_names, perf_log_fields, settings_migrated, meeting_totals,
