@@ -33,6 +33,11 @@ def smoothing(milliseconds: float, rate: int) -> float:
     return math.exp(-1.0 / (rate * milliseconds / 1000.0)) if milliseconds > 0 and rate > 0 else 0.0
 
 
+def smoothing_of(milliseconds: Column, rate: Column) -> Column:
+    """``smoothing`` of columns."""
+    return F.when((milliseconds > 0) & (rate > 0), F.exp(-1.0 / (rate * milliseconds / 1000.0))).otherwise(F.lit(0.0))
+
+
 def clamped(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

@@ -29,6 +29,32 @@ def catalog(spark) -> DataFrame:
     return spark.createDataFrame(CATALOG, CATALOG_SCHEMA)
 
 
+def models_for(purposes: list[str], models: DataFrame) -> DataFrame:
+    """The models of several purposes as one catalogue, in the order of the purposes."""
+    parts = [models.where(F.col("purpose") == p).withColumn("catalog_rank", F.lit(i)) for i, p in enumerate(purposes)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def found_models(requests: DataFrame, models: DataFrame) -> DataFrame:
+    """request_id, wanted, model_id of requests (request_id, wanted, required): the model of that id whatever its case, null where there is none; a required one that is missing stops the job.
+
+    The catalogue is a handful of rows, so it is broadcast.
+    """
+    known = F.broadcast(models.select(F.lower("model_id").alias("key"), "model_id"))
+    joined = requests.join(known, F.lower("wanted") == F.col("key"), "left")
+    missing = F.raise_error(F.concat(F.lit("no such model: "), F.coalesce("wanted", F.lit("null")))).cast("string")
+    return joined.select("request_id", "wanted", F.when(F.col("model_id").isNull() & F.col("required"), missing).otherwise(F.col("model_id")).alias("model_id"))
+
+
+def with_diarizer(settings: DataFrame) -> DataFrame:
+    """Adds ``diarizer`` to settings (machine_diarizes, diarization, profile): whether speakers are told apart; never in the fast profile."""
+    on = F.coalesce("machine_diarizes", F.lit(False)) & F.coalesce("diarization", F.lit(False))
+    return settings.withColumn("diarizer", on & (F.coalesce("profile", F.lit("")) != "Fast"))
+
+
 def processing_factor(cost: Column, score: Column) -> Column:
     """Time to transcribe as a share of the audio's length."""
     return SMALL_FACTOR * cost / F.greatest(score, F.lit(LEAST_SCORE))

@@ -126,6 +126,17 @@ def device_checks(devices: DataFrame, kinds: list[str], by: tuple[str, ...] = ()
     return every.join(rows, [*by, "kind"], "left").select(*by, "kind", F.when(F.col("n") > 0, "Ok").otherwise("Error").alias("severity"), F.coalesce(detail, F.lit("none")).alias("detail"))
 
 
+def meeting_abilities(meetings: DataFrame, files: DataFrame) -> DataFrame:
+    """meeting_id, is_imported, can_transcribe, has_attribution of ``meetings`` (meeting_id, is_imported) by their working files (meeting_id, name).
+
+    Any working audio can be transcribed; whose voice it is can be told only of a stream's own file, so not of an imported one.
+    """
+    name = F.lower("name")
+    have = files.groupBy("meeting_id").agg(F.bool_or(name.isin("mic.wav", "system.wav")).alias("streams"), F.bool_or(name == "imported.wav").alias("imported"))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return meetings.join(have, "meeting_id", "left").select("meeting_id", "is_imported", (yes("streams") | yes("imported")).alias("can_transcribe"), yes("streams").alias("has_attribution"))
+
+
 def minutes_totals(inferences: DataFrame) -> DataFrame:
     """run_id, inferences, map_inferences, reduce_inferences, prompt_tokens, output_tokens, seconds, tokens_per_second of ``inferences`` (run_id, phase, prompt_tokens, output_tokens, seconds)."""
     of = lambda phase: F.count_if(F.col("phase") == phase)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.audio import clamped, normalising_gain, peak
+from quillspark.functions.audio import normalising_gain, peak
 
 #: Fixed value: decibels that leave head-room for two streams and the interpolation's overshoot.
 MIX_GAIN_DB = -8.178746
@@ -48,13 +48,6 @@ def normalised(blocks: DataFrame, target_db: float = -1.0, most_db: float = 20.0
     return blocks.join(gains, "stream").withColumn("samples", F.transform("samples", lambda x: x.cast("double") * F.col("gain")))
 
 
-def sliced(samples: Column, start_ms: Column, end_ms: Column, rate: int, least_seconds: float = 0.25) -> Column:
-    """The samples of a span, null if it is shorter than ``least_seconds``."""
-    first = clamped(F.floor(start_ms * rate / 1000), 0, 1 << 53).cast("int")
-    n = (F.least(F.floor(end_ms * rate / 1000).cast("int"), F.size(samples)) - first).cast("int")
-    return F.when(n >= int(least_seconds * rate), F.slice(samples, first + 1, F.greatest(n, F.lit(1))))
-
-
 def spans(blocks: DataFrame, wanted: DataFrame, rate: int, block_samples: int, least_seconds: float = 0.25) -> DataFrame:
     """stream, span, samples of the ``wanted`` spans (stream, span, start_ms, end_ms) over ``blocks`` (stream, block, samples) of ``block_samples`` each but the last.
 

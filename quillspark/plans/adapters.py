@@ -85,12 +85,6 @@ levels AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORD
 """
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One array of samples for each stream."""
-    rows = levels(spark, sf_dir).groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("seq", "value"))).alias("x"))
-    return rows.select("stream", F.transform("x", lambda v: v["value"]).alias("samples"))
-
-
 def short_blocks(spark: SparkSession, sf_dir: str, size: int = 32) -> DataFrame:
     """Samples in blocks of bounded length: stream, block (from 0), samples."""
     rows = levels(spark, sf_dir).withColumn("block", F.floor((F.col("seq") - 1) / size))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.operators import speech
-from quillspark.streaming import live
+from quillspark.streaming import capture, live
 from quillspark.streaming.drained import drained
 
 from . import adapters as ad
@@ -48,7 +48,19 @@ def live_drift(spark, sf_dir):
     return drained(rows, lambda d: live.without_drift(d, 1000, 1.0)).select("stream", "seq", "dropped", F.size("samples").cast("long").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (live_stalls, live_speech_chunks, live_timeline, live_drift)}
+def live_window_levels(spark, sf_dir):
+    rows = ad.table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    found = drained(rows, lambda d: capture.window_levels(_with_heartbeats(d, value=None), "1 day")).where("stream >= 0")
+    return found.select("stream", F.unix_seconds("frame.start").alias("begin"), "n", F.round("energy", 3).alias("energy"), "peak")
+
+
+def live_sessions(spark, sf_dir):
+    rows = ad.table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("stream"), F.col("ts").cast("timestamp").alias("ts"))
+    found = drained(rows, lambda d: capture.sessions(_with_heartbeats(d), "12 hours")).where("stream >= 0")
+    return found.select("stream", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "n")
+
+
+QUERIES = {f.__name__: f for f in (live_stalls, live_speech_chunks, live_timeline, live_drift, live_window_levels, live_sessions)}
 SQL = {
     "live_stalls": """WITH w AS (SELECT user_id AS stream, ms, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS back, max(ms) OVER () - 250 AS horizon FROM (SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events)),
 g AS (SELECT *, CAST(coalesce(back, horizon) - ms AS DOUBLE) / 1000 AS gap FROM w)
@@ -56,5 +68,9 @@ SELECT stream, 'stalled' AS event, ms AS since_ms, CAST(36000 AS DOUBLE) AS gap_
 UNION ALL SELECT stream, 'resumed', ms, gap FROM g WHERE gap > 36000 AND back IS NOT NULL""",
     "live_speech_chunks": BATCH["speech_chunks"],
     "live_timeline": BATCH["level_gap_filled"],
+    "live_window_levels": "SELECT user_id AS stream, epoch_us(ts) // 86400000000 * 86400 AS begin, count(*) AS n, round(sum(value * value), 3) AS energy, max(abs(value)) AS peak FROM events GROUP BY ALL",
+    "live_sessions": """WITH w AS (SELECT user_id AS stream, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 43200000000 AS gap FROM events),
+s AS (SELECT stream, us, count(*) FILTER (gap) OVER (PARTITION BY stream ORDER BY us) AS k FROM w)
+SELECT stream, min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM s GROUP BY stream, k""",
     "live_drift": f"SELECT *, 3 - least(dropped, 3) AS kept FROM ({BATCH['drift_drops']})",
 }

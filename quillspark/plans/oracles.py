@@ -283,6 +283,12 @@ SELECT stream, seq, round(-a / 16 + 9 * b / 16 + 9 * c / 16 - d / 16, 9) AS y FR
     "vector_cosines": """WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, lead(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS f FROM embeddings)
 SELECT vec_id, label, round(list_dot_product(e, f) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(f, f))), 6) AS cosine FROM u WHERE f IS NOT NULL""",
     "vector_statistics": """WITH u AS (SELECT label, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT label, i, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation FROM u GROUP BY label, i""",
+    "model_lookups": """WITH r AS (SELECT c_custkey AS request_id, ['WHISPER-TINY-Q5_1', 'whisper-small-q5_1', 'Whisper-Base-q5_1', 'no-such'][c_custkey % 4 + 1] AS wanted FROM customer)
+SELECT request_id, wanted, CASE WHEN wanted <> 'no-such' THEN lower(wanted) END AS model_id FROM r""",
+    "diarizer_settings": "SELECT o_orderkey AS run_id, o_orderstatus = 'O' AND o_totalprice > 100000 AND o_orderkey % 3 <> 0 AS diarizer FROM orders",
+    "meeting_abilities": """WITH f AS (SELECT l_orderkey AS id, bool_or(l_linenumber IN (1, 4)) AS s, bool_or(l_linenumber = 2) AS i FROM lineitem WHERE l_quantity < 10 GROUP BY 1)
+SELECT o_orderkey AS meeting_id, o_orderpriority = '1-URGENT' AS is_imported, coalesce(s OR i, false) AS can_transcribe, coalesce(s, false) AS has_attribution FROM orders LEFT JOIN f ON id = o_orderkey""",
+    "smoothing_coefficients": "SELECT event_id, round(CASE WHEN value - 10 > 0 AND event_type <> 'error' THEN exp(-1 / (16000 * (value - 10) / 1000)) ELSE 0 END, 9) AS coefficient FROM events",
     "model_choice": f"""WITH {_MODELS}, m AS (SELECT c_custkey AS machine_id, CAST(c_custkey % 16 + 1 AS INTEGER) AS cores, CAST(c_custkey % 33 AS DOUBLE) AS ram, (c_custkey % 97) / 20.0 AS score FROM customer),
 s AS (SELECT *, row_number() OVER (ORDER BY cost) AS rank FROM models WHERE purpose = 'speech'),
 p AS (SELECT m.*, s.*, CAST(1.1 AS DOUBLE) * cost / greatest(score, 0.05) AS factor FROM m JOIN s ON ram * 1024 >= ram_mb * 3 OR rank = 1 WHERE CAST(1.1 AS DOUBLE) * cost / greatest(score, 0.05) <= 1.5 OR rank = 1),

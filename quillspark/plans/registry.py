@@ -278,6 +278,35 @@ def model_choice(spark, sf_dir):
     return planning.chosen_models(machines, planning.catalog(spark)).withColumn("factor", F.round("factor", 9))
 
 
+def model_lookups(spark, sf_dir):
+    """Customers ask for models by ids of any case, and some for none there is."""
+    c = F.col("c_custkey")
+    models = planning.models_for(["speech", "text"], planning.catalog(spark))
+    asked = F.element_at(F.array(*[F.lit(x) for x in ("WHISPER-TINY-Q5_1", "whisper-small-q5_1", "Whisper-Base-q5_1", "no-such")]), (c % 4 + 1).cast("int"))
+    requests = ad.table(spark, sf_dir, "customer").select(c.alias("request_id"), asked.alias("wanted"), (c % 4 < 2).alias("required"))
+    return planning.found_models(requests, models)
+
+
+def diarizer_settings(spark, sf_dir):
+    o = F.col("o_orderkey")
+    profile = F.element_at(F.array(*[F.lit(x) for x in ("Fast", "Balanced", "Accurate")]), (o % 3 + 1).cast("int"))
+    rows = ad.table(spark, sf_dir, "orders").select(o.alias("run_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "O").alias("machine_diarizes"), (F.col("o_totalprice") > 100000).alias("diarization"), profile.alias("profile"))
+    return planning.with_diarizer(rows).select("run_id", "diarizer")
+
+
+def meeting_abilities(spark, sf_dir):
+    """Orders as meetings; their lines name working files."""
+    name = F.element_at(F.array(*[F.lit(x) for x in ("Mic.wav", "imported.wav", "notes.txt", "system.wav", "x.txt", "y.txt", "z.txt")]), F.col("l_linenumber"))
+    files = ad.table(spark, sf_dir, "lineitem").where("l_quantity < 10").select((F.col("l_orderkey")).alias("meeting_id"), name.alias("name"))
+    meetings = ad.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("meeting_id"), (F.col("o_orderpriority") == "1-URGENT").alias("is_imported"))
+    return runs.meeting_abilities(meetings, files)
+
+
+def smoothing_coefficients(spark, sf_dir):
+    e = ad.table(spark, sf_dir, "events").select("event_id", (F.col("value") - 10).alias("ms"), F.when(F.col("event_type") == "error", 0).otherwise(16000).alias("rate"))
+    return e.select("event_id", F.round(fa.smoothing_of(F.col("ms"), F.col("rate")), 9).alias("coefficient"))
+
+
 def storage_footprint(spark, sf_dir):
     c = F.col("c_custkey")
     settings = ad.table(spark, sf_dir, "customer").select(c.alias("setting_id"), F.when(c % 2 == 0, "mp3").otherwise("wav").alias("format"), (96 + c % 4 * 32).alias("mp3_kbps"), (c % 3 != 0).alias("stt_enabled"), (c % 5 != 0).alias("keep_audio"), (c % 7 == 0).alias("delete_after"), (c * 1000000).alias("free_bytes"))
@@ -588,7 +617,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     speaker_carry_over, speaker_list, speaker_names_known, speaker_rename_counts, segment_edits, segment_upserts, segments_added, segments_replaced, segment_removals, leg_clipping_counts, capture_probe_levels, minutes_metrics_blocks, journal_replay, journal_states, journal_recovery,
     response_sections, response_markers, prompt_plan, prompt_blocks, prompt_prefix, block_time_ranges, level_statistics, level_peak_hold, level_voice_activity, level_smoothed,
     level_stalls, level_silence_runs, level_gap_filled, level_inserted_share, sample_dc_block, sample_mix, sample_downmix, sample_normalised, sample_quantised, sample_interpolated,
-    vector_cosines, vector_statistics, vector_speaker_clusters, speech_chunks, model_choice, storage_footprint, preflight_overall, folder_names, perf_log_fields, settings_migrated, meeting_totals,
+    vector_cosines, vector_statistics, vector_speaker_clusters, speech_chunks, model_choice, model_lookups, diarizer_settings, meeting_abilities, smoothing_coefficients, storage_footprint, preflight_overall, folder_names, perf_log_fields, settings_migrated, meeting_totals,
     source_files, decoder_choice, decoder_extensions, capture_formats, transcode_results, generator_choice, meeting_warnings, connections, cpu_use, ring_buffers, model_checks, device_reports, run_metrics,
     check_reports, process_tree, minutes_text, transcript_headers, transcript_cleared, decode_options, progress_fractions, minutes_run_totals, page_hashes, prompts_assembled, prompt_lines_left_out, minutes_filled,
     sample_low_pass, sample_band_pass, sample_high_shelf, sample_band_levels, sample_upsampled, sample_muted, sample_slices, drift_drops, capture_probes, leg_clipping, manifest_upserts, import_refusals,

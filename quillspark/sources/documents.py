@@ -59,3 +59,10 @@ def upsert_manifest(manifest: DataFrame, entries: DataFrame) -> DataFrame:
     new = entries.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
     keep = manifest.join(new.select(F.lower("id").alias("k")), F.lower(manifest["id"]) == F.col("k"), "left_anti")
     return keep.unionByName(new)
+
+
+def manifest_entries(manifests: DataFrame, wanted: DataFrame) -> DataFrame:
+    """path, wanted, id, file, sha256: the entry of each ``wanted`` id (path, wanted) in its manifest (path, doc with ``entries``), whatever its case; of several of one id the first, nulls where there is none."""
+    rows = manifests.select("path", F.posexplode("doc.entries").alias("pos", "e"))
+    first = rows.groupBy("path", F.lower("e.id").alias("key")).agg(F.min_by("e", "pos").alias("e"))
+    return wanted.withColumn("key", F.lower("wanted")).join(first, ["path", "key"], "left").select("path", "wanted", "e.id", "e.file", "e.sha256")
