@@ -56,6 +56,16 @@ def peak_hold(levels: DataFrame, decay_db: float = DECAY_DB) -> DataFrame:
     return rows.select("stream", "seq", F.greatest(held, F.lit(SILENCE_DB)).alias("held"))
 
 
+def meters(levels: DataFrame, decay_db: float = DECAY_DB) -> DataFrame:
+    """stream, seq, rms, peak, hold: a meter's three marks after each measurement (rms_db, peak_db); the hold falls at a quarter of the others' rate, none below silence."""
+    order = Window.partitionBy("stream").orderBy("seq")
+    gap = F.least(F.greatest(F.col("at") - F.lag("at").over(order), F.lit(0.0)), F.lit(1.0))
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = levels.withColumn("gap", F.coalesce(gap, F.lit(0.0))).withColumn("fallen", decay_db * F.sum("gap").over(so_far))
+    mark = lambda db, rate: F.greatest(F.max(F.col(db) + F.col("fallen") * rate).over(so_far) - F.col("fallen") * rate, F.lit(SILENCE_DB))
+    return rows.select("stream", "seq", mark("rms_db", 1.0).alias("rms"), mark("peak_db", 1.0).alias("peak"), mark("peak_db", 0.25).alias("hold"))
+
+
 # The detector's thresholds in decibels and frames.
 FALL, RISE, LOWEST, HIGHEST, MARGIN, LEAST_DB, ONSET, HANGOVER, START_DB = 0.25, 0.002, -90.0, -20.0, 8.0, -65.0, 2, 30, -60.0
 

@@ -51,7 +51,7 @@ def live_drift(spark, sf_dir):
 def live_window_levels(spark, sf_dir):
     rows = ad.table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), "value")
     found = drained(rows, lambda d: capture.window_levels(_with_heartbeats(d, value=None), "1 day")).where("stream >= 0")
-    return found.select("stream", F.unix_seconds("frame.start").alias("begin"), "n", F.round("energy", 3).alias("energy"), "peak")
+    return found.select("stream", F.unix_seconds("frame.start").alias("begin"), "n", F.round("energy", 4).alias("energy"), "peak")
 
 
 def live_sessions(spark, sf_dir):
@@ -68,7 +68,7 @@ SELECT stream, 'stalled' AS event, ms AS since_ms, CAST(36000 AS DOUBLE) AS gap_
 UNION ALL SELECT stream, 'resumed', ms, gap FROM g WHERE gap > 36000 AND back IS NOT NULL""",
     "live_speech_chunks": BATCH["speech_chunks"],
     "live_timeline": BATCH["level_gap_filled"],
-    "live_window_levels": "SELECT user_id AS stream, epoch_us(ts) // 86400000000 * 86400 AS begin, count(*) AS n, round(sum(value * value), 3) AS energy, max(abs(value)) AS peak FROM events GROUP BY ALL",
+    "live_window_levels": "SELECT user_id AS stream, epoch_us(ts) // 86400000000 * 86400 AS begin, count(*) AS n, round(sum(value * value), 4) AS energy, max(abs(value)) AS peak FROM events GROUP BY ALL",
     "live_sessions": """WITH w AS (SELECT user_id AS stream, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 43200000000 AS gap FROM events),
 s AS (SELECT stream, us, count(*) FILTER (gap) OVER (PARTITION BY stream ORDER BY us) AS k FROM w)
 SELECT stream, min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM s GROUP BY stream, k""",

@@ -214,6 +214,11 @@ SELECT response_id AS meeting_id, replace('会議議事録~' || repeat('=', 40)
     "level_statistics": f"""WITH {LEVELS_SQL}, a AS (SELECT stream, count(*) AS n, sqrt(avg(value * value)) AS rms, max(abs(value)) AS peak, count(*) FILTER (abs(value) >= 0.999) AS n_clipped FROM levels GROUP BY stream)
 SELECT stream, n, round(rms, 9) AS rms, round(peak, 9) AS peak, round(CASE WHEN rms <= 1e-12 THEN -120 ELSE 20 * log10(rms) END, 6) AS rms_db, round(CASE WHEN peak <= 1e-12 THEN -120 ELSE 20 * log10(peak) END, 6) AS peak_db,
   n_clipped, n_clipped > 0 AND n_clipped / n >= 1e-4 AS clipped, CASE WHEN peak <= 1e-12 THEN -120 ELSE 20 * log10(peak) END < -65 AS looks_silent FROM a""",
+    "level_meters": _FOLD.format(levels=LEVELS_SQL) + """
+l AS MATERIALIZED (SELECT stream, seq, secs / 36000.0 AS secs, db FROM levels),
+f AS (SELECT stream, seq, secs, db - 6 AS rms, db AS peak, db AS hold FROM l WHERE seq = 1 UNION ALL
+  SELECT stream, seq, secs, greatest(db - 6, rms - d), greatest(db, peak - d), greatest(db, hold - d / 4) FROM (SELECT l.stream, l.seq, l.secs, l.db, f.rms, f.peak, f.hold, 40.0 * least(greatest(l.secs - f.secs, 0.0), 1.0) AS d FROM f JOIN l ON l.stream = f.stream AND l.seq = f.seq + 1))
+SELECT stream, seq, round(greatest(rms, -120.0), 6) AS rms, round(greatest(peak, -120.0), 6) AS peak, round(greatest(hold, -120.0), 6) AS hold FROM f""",
     "level_peak_hold": _FOLD.format(levels=LEVELS_SQL) + """
 l AS MATERIALIZED (SELECT stream, seq, secs / 36000.0 AS secs, db FROM levels),
 f AS (SELECT stream, seq, secs, db AS held FROM l WHERE seq = 1 UNION ALL SELECT l.stream, l.seq, l.secs, greatest(l.db, f.held - 40.0 * least(greatest(l.secs - f.secs, 0.0), 1.0)) FROM f JOIN l ON l.stream = f.stream AND l.seq = f.seq + 1)

@@ -196,6 +196,11 @@ def level_smoothed(spark, sf_dir):
     return recurrence.smoothed_levels(ad.levels(spark, sf_dir), 0.1, 32).withColumn("last", F.round("last", 9))
 
 
+def level_meters(spark, sf_dir):
+    rows = ad.levels(spark, sf_dir).select("stream", "seq", (F.col("at") / 36000.0).alias("at"), (F.col("db") - 6).alias("rms_db"), F.col("db").alias("peak_db"))
+    return levels.meters(rows).select("stream", "seq", *[F.round(c, 6).alias(c) for c in ("rms", "peak", "hold")])
+
+
 def level_stalls(spark, sf_dir):
     return levels.stalls(ad.levels(spark, sf_dir), 36000.0).withColumn("gap_seconds", F.round("gap_seconds", 3))
 
@@ -615,7 +620,7 @@ def mel_scale(spark, sf_dir):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     transcript_timeline, transcript_sentences, cue_sentences, minutes_items, minutes_topics, minutes_overview, minutes_markdown, transcript_text, transcript_markdown,
     speaker_carry_over, speaker_list, speaker_names_known, speaker_rename_counts, segment_edits, segment_upserts, segments_added, segments_replaced, segment_removals, leg_clipping_counts, capture_probe_levels, minutes_metrics_blocks, journal_replay, journal_states, journal_recovery,
-    response_sections, response_markers, prompt_plan, prompt_blocks, prompt_prefix, block_time_ranges, level_statistics, level_peak_hold, level_voice_activity, level_smoothed,
+    response_sections, response_markers, prompt_plan, prompt_blocks, prompt_prefix, block_time_ranges, level_statistics, level_peak_hold, level_meters, level_voice_activity, level_smoothed,
     level_stalls, level_silence_runs, level_gap_filled, level_inserted_share, sample_dc_block, sample_mix, sample_downmix, sample_normalised, sample_quantised, sample_interpolated,
     vector_cosines, vector_statistics, vector_speaker_clusters, speech_chunks, model_choice, model_lookups, diarizer_settings, meeting_abilities, smoothing_coefficients, storage_footprint, preflight_overall, folder_names, perf_log_fields, settings_migrated, meeting_totals,
     source_files, decoder_choice, decoder_extensions, capture_formats, transcode_results, generator_choice, meeting_warnings, connections, cpu_use, ring_buffers, model_checks, device_reports, run_metrics,
