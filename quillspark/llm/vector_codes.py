@@ -38,7 +38,7 @@ FEW_GROUPS = 100_000
 
 def integers(vectors: DataFrame, parts: int = PARTS, scale: int = SCALE) -> DataFrame:
     """vec_id, label and the integer vector ``v`` of the rows that have one."""
-    rows = with_columns_of(vectors, vec_id="bigint", embedding="array<double>", label="int")
+    rows = with_columns_of(vectors, vec_id="bigint", embedding="array<double>", label="bigint")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("embedding").isNotNull() & ~bad).withColumn("n", F.size("embedding"))
     length = rows.groupBy("n").count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -81,7 +81,7 @@ def _codes(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 def assigned(state: DataFrame, books: np.ndarray) -> DataFrame:
     """vec_id, label, v, the assignment so far as ``before`` (null at first) and the one by ``books`` as ``now``, a byte for each part."""
-    schema = "vec_id long, label int, v array<int>, before binary, now binary"
+    schema = "vec_id long, label long, v array<int>, before binary, now binary"
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +150,7 @@ def coded(state: DataFrame, books: np.ndarray) -> DataFrame:
                 text = pa.array([c.tobytes().hex() for c in codes.astype(np.uint8)], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), text, pa.array(distances.sum(1), pa.int64())], names=["vec_id", "label", "code", "error"])
 
-    return state.select("vec_id", "label", "v").mapInArrow(code, "vec_id long, label int, code string, error long")
+    return state.select("vec_id", "label", "v").mapInArrow(code, "vec_id long, label long, code string, error long")
 
 
 def decoded(codes: DataFrame, books: np.ndarray, scale: int = SCALE) -> DataFrame:
