@@ -58,3 +58,27 @@ def band_tilt(balance: DataFrame, rate: int) -> DataFrame:
     """stream, tilt_db: how far the highest band lies below the first."""
     last = list(bands_at(rate))[-1]
     return balance.where(F.col("band") == last).select("stream", F.col("relative_db").alias("tilt_db"))
+
+
+# From how many decibels on a difference is told, and how.
+LEAST_DIFFERENCE_DB = 6.0
+DULLER = (
+    "マイク音声の高域（4〜7 kHz）がPC内部音声より {} dB 少なく測定されました。マイク側だけがこもって聞こえる場合、原因は録音デバイスまたはWindows側の設定である可能性が高いです。"
+    "ログの「Microphone capture format」の行で、マイクのサンプルレートを確認してください。"
+)
+
+
+def tilt_differences(microphone: DataFrame, system: DataFrame, rate: int) -> DataFrame:
+    """meeting_id, difference_db, message of meetings whose ``microphone`` is duller than their ``system`` audio by LEAST_DIFFERENCE_DB or more.
+
+    Both are balances (meeting_id in place of stream, band, rms, relative_db); one of which too little was heard tells nothing. The message rounds halves to even.
+    """
+    first, last = list(bands_at(rate))[0], list(bands_at(rate))[-1]
+
+    def tilt(balance: DataFrame, name: str) -> DataFrame:
+        of = lambda band: F.max(F.when(F.col("band") == band, F.col("relative_db")))
+        return balance.groupBy("meeting_id").agg(of(last).alias(name), of(first).alias("own")).where("own = 0").drop("own")
+
+    rows = tilt(microphone, "mic").join(tilt(system, "sys"), "meeting_id").select("meeting_id", (F.col("sys") - F.col("mic")).alias("difference_db"))
+    before, after = DULLER.split("{}")
+    return rows.where(F.col("difference_db") >= LEAST_DIFFERENCE_DB).withColumn("message", F.concat(F.lit(before), F.bround("difference_db").cast("long").cast("string"), F.lit(after)))

@@ -204,3 +204,20 @@ def test_drift_is_corrected_only_when_it_lasts(spark):
     rows = spark.createDataFrame([(1, i, 16000) for i in range(400)] + [(2, i, 1000) for i in range(400)], "stream long, seq long, backlog long")
     found = {(r.stream, r.seq): r.dropped for r in levels.drift_corrections(rows, 16000, 0.02).collect()}
     assert found[1, 100] == 0 and found[1, 399] == 16 and found[2, 399] == 0
+
+
+def test_a_duller_microphone_is_told(spark):
+    kind = "meeting_id long, band string, rms double, relative_db double"
+    bands = lambda m, top, first=0.0: [(m, "low-mid", 0.1, first), (m, "sibilance", 0.01, top)]
+    mic = spark.createDataFrame(bands(1, -30.0) + bands(2, -20.0) + bands(3, -120.0, -120.0) + bands(4, -40.0), kind)
+    system = spark.createDataFrame(bands(1, -12.5) + bands(2, -15.0) + bands(3, -10.0), kind)
+    rows = spectrum.tilt_differences(mic, system, 16000).collect()
+    assert [(r.meeting_id, r.difference_db) for r in rows] == [(1, 17.5)] and "PC内部音声より 18 dB 少なく" in rows[0].message
+
+
+def test_spans_meet_the_blocks_they_touch(spark):
+    x = [float(i) for i in range(100)]
+    blocks = spark.createDataFrame([(1, b, x[b * 30 : b * 30 + 30]) for b in range(4)], "stream long, block long, samples array<double>")
+    wanted = spark.createDataFrame([(1, 0, 2500, 6200), (1, 1, 0, 200), (1, 2, 9000, 20000), (1, 3, 5000, 4000), (2, 4, 0, 9000), (1, 5, -500, 1000)], "stream long, span long, start_ms long, end_ms long")
+    got = {r.span: r.samples for r in samples.spans(blocks, wanted, 10, 30).collect()}
+    assert got == {0: x[25:62], 1: x[:2], 2: x[90:], 5: x[:10]}
