@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .stages import cut, with_columns_of
 
 FAN, STRIDE = 3, 6
-LEAVES = 500_000
+LEAVES = 100_000
 #: Rows of a batch that goes back to Spark, with a path of some kilobytes each.
 BATCH = 2048
 STEPS = "array<struct<before:string,after:string>>"
