@@ -24,7 +24,9 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,37 +51,34 @@ def _named(rows: DataFrame, key: list[str], keep: list[str], proof: str | None =
     kinds, content = dict(rows.dtypes), [*key, *([proof] if proof else [])]
     schema = f"{', '.join(f'{c} {kinds[c]}' for c in keep)}, part int, local long, clash boolean"
     schema += "".join(f", first_{c} {kinds[c]}, last_{c} {kinds[c]}" for c in content)
-    columns, n_key = [x.split()[0] for x in schema.split(", ")], len(key)
+    fields = [tuple(x.split()) for x in schema.split(", ")]
+    types = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, first, last, n, clash = TaskContext.get().partitionId(), None, None, -1, False
+        part, first, last, n, clash = TaskContext.get().partitionId(), None, None, 0, False
         for batch in batches:
-            names = []
-            for now in zip(*[batch[c] for c in content], strict=True):
-                if now != last:
-                    if last and now[:n_key] == last[:n_key]:
-                        clash = True
-                    n, last = n + 1, now
-                    first = first or now
-                names.append(n)
-            yield batch[keep].assign(part=part, local=names)
+            if not batch.num_rows:
+                continue
+            # each row against the one before it, column by column; the batch's first row against the last one of the batch before
+            head = {c: last is not None and batch.column(c)[0] == last[c] for c in content}
+            same = {c: np.r_[head[c], pc.equal(batch.column(c)[1:], batch.column(c)[:-1]).to_numpy(zero_copy_only=False)].astype(bool) for c in content}
+            known = np.logical_and.reduce([same[c] for c in key])
+            clash = clash or bool(proof and (known & ~same[proof]).any())
+            names = n - 1 + np.cumsum(~known)
+            first, last, n = first or {c: batch.column(c)[0] for c in content}, {c: batch.column(c)[-1] for c in content}, int(names[-1]) + 1
+            yield whole({c: batch.column(c) for c in keep} | {"part": pa.array(np.full(len(names), part, np.int32)), "local": pa.array(names.astype(np.int64))}, len(names))
         if first:
-            ends = {f"{end}_{c}": [v] for end, row in (("first", first), ("last", last)) for c, v in zip(content, row, strict=True)}
-            yield pd.DataFrame({"part": [part], "local": [n + 1], "clash": [clash]} | ends)
+            ends = {f"{end}_{c}": pa.array([row[c].as_py()], row[c].type) for end, row in (("first", first), ("last", last)) for c in content}
+            yield whole(ends | {"part": pa.array([part], pa.int32()), "local": pa.array([n], pa.int64()), "clash": pa.array([clash])}, 1)
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in number(batches):
-            out = out.reindex(columns=columns)
-            for c in columns:
-                if out[c].isna().any():
-                    out[c] = out[c].astype(object).where(out[c].notna(), None)
-            yield out
+    def whole(given: dict[str, pa.Array], rows: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(rows, types[kind]) for c, kind in fields], [c for c, _ in fields])
 
     order = [*key, "row", "pos"]
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = cut(sorted_rows.mapInPandas(whole, schema))
+    numbered = cut(sorted_rows.mapInArrow(number, schema))
     # one row for each range of the sort: their number is that of shuffle partitions, whatever the data
     before = Window.orderBy("part")
     same = {c: F.col(f"first_{c}").eqNullSafe(F.lag(f"last_{c}").over(before)) for c in content}
