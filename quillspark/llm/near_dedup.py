@@ -271,7 +271,7 @@ def unsettled(known: DataFrame, roots: DataFrame, similarity: float) -> DataFram
 
 
 def compared(rows: DataFrame, texts: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
-    """Links (a, b) that join all similar rows of a bucket of ``rows`` (see ``unsettled``) of which one is far.
+    """Links (a, b, similarity) that join all similar rows of a bucket of ``rows`` (see ``unsettled``) of which one is far.
 
     Rows of a bucket are dealt to blocks of about BLOCK rows and BLOCK_BYTES bytes, and every block of far rows meets every other block, so
     that a large bucket is spread over many tasks. Within a task rows that are joined already aren't compared again.
@@ -304,19 +304,22 @@ def compared(rows: DataFrame, texts: DataFrame, idf: Broadcast, similarity: floa
             one[at[own]] = weight[own]
             common = np.add.reduceat(np.minimum(one[at], weight), first[:-1])
             one[at[own]] = 0
-            met = np.flatnonzero(open_ & (common >= similarity * (total + total[p] - common)))
+            either = total + total[p] - common
+            met = np.flatnonzero(open_ & (common >= similarity * either))
             if len(met):
-                out.extend((min(node[p], node[m]), max(node[p], node[m])) for m in met.tolist())
+                out.extend((min(node[p], node[m]), max(node[p], node[m]), common[m] / either[m]) for m in met.tolist())
                 label[np.isin(label, label[met])] = label[p]
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        return pa.table({c: pa.array([x[i] for x in out], kind) for i, (c, kind) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())))})
 
     joined = groups.join(spread(texts), "node").select("key", "i", "j", "pivot", "node", "root", "apart", "text")
-    return cut(joined.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
+    return cut(joined.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, similarity double"))
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, idf: Broadcast, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that join all nodes (node, same, doc_id, bands) which share a band and are similar: between a node and the root of its
-    class by verified links, and verified ones beyond these."""
+def linked(docs: DataFrame, nodes: DataFrame, idf: Broadcast, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """The verified links (a, b, similarity) between nodes (node, same, doc_id, bands), each once, and edges (a, b) that join the same nodes in fewer steps.
+
+    Links are those between a node and a bucket's centre, and what joins the nodes that these leave apart.
+    """
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     sizes = cut(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = cut(buckets.join(spread(sizes), "key"))
@@ -324,27 +327,58 @@ def near_links(docs: DataFrame, nodes: DataFrame, idf: Broadcast, similarity: fl
     weight = cut(shared.groupBy("node").agg(F.sum("n").alias("weight")))
     texts = _texts_of(docs, nodes.select("node", "same", "doc_id").join(spread(weight.select("node")), "node"))
     known = starred(shared.select("key", "node").join(spread(weight), "node"), texts, idf)
-    links = cut(known.where((F.col("similarity") >= similarity) & (F.col("a") < F.col("b"))).select("a", "b").distinct())
+    links = cut(known.where((F.col("similarity") >= similarity) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
     roots = components(links)
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(compared(unsettled(known, roots, similarity), texts, idf, similarity))
+    # a pair may meet in several buckets; a link to a centre joins its nodes, so it isn't found again
+    further = compared(unsettled(known, roots, similarity), texts, idf, similarity).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return links.union(further), roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(further.select("a", "b"))
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id (the smallest doc_id of its class), class_size, kept."""
+def near_links(docs: DataFrame, nodes: DataFrame, idf: Broadcast, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) that join all nodes (node, same, doc_id, bands) which share a band and are similar: between a node and the root of its
+    class by verified links, and verified ones beyond these."""
+    return linked(docs, nodes, idf, similarity)[1]
+
+
+def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """The rows (doc_id, same, bands), their distinct word sequences (node, same, doc_id, bands) and the idf."""
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(document_frequencies(docs)))  # 2**DF_BITS numbers
     signed = cut(signatures(docs, idf))
-    own = signed.where("doc_id IS NOT NULL")
-    nodes = own.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    roots = components(near_links(docs, nodes, idf, similarity))
-    named = cut(nodes.select("same", "node").join(spread(roots), "node", "left").select("same", F.coalesce("root", "node").alias("root")))
-    rows = cut(own.select("doc_id", "same").join(spread(named), "same"))
+    nodes = signed.where("doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
+    return signed, cut(nodes.withColumn("node", F.monotonically_increasing_id())), idf
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id (the smallest doc_id of its class), class_size, kept, text_id, links.
+
+    ``text_id`` is the smallest doc_id with the same words, which stands for it in ``near_pairs``; ``links`` is the number of pairs there with it.
+    """
+    signed, nodes, idf = _nodes(docs)
+    links, edges = linked(docs, nodes, idf, similarity)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    named = nodes.select("same", "node", F.col("doc_id").alias("text_id")).join(spread(components(edges)), "node", "left").join(spread(cut(ends)), "node", "left")
+    named = cut(named.select("same", "text_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links")))
+    rows = cut(signed.where("doc_id IS NOT NULL").select("doc_id", "same").join(spread(named), "same").drop("same"))
     classes = cut(rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
-    out = rows.join(spread(classes), "root").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    alone = signed.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    out = rows.join(spread(classes), "root").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"), "text_id", "links")
+    none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
+    alone = signed.where("doc_id IS NULL").select("doc_id", none.alias("class_id"), one.alias("class_size"), F.lit(True).alias("kept"), none.alias("text_id"), (one - 1).alias("links"))
     return out.union(alone)
 
 
+def near_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b, similarity: the verified links between different texts, each once, a text by the ``text_id`` that ``near_classes`` gives its rows.
+
+    They join all that is similar among candidates; a pair that other links join already need not be among them, so a group of
+    many variants has about as many links as texts. Where an id has several texts, its pairs are those of them all.
+    """
+    _, nodes, idf = _nodes(docs)
+    links = linked(docs, nodes, idf, similarity)[0]
+    a, b = (nodes.select(F.col("node").alias(side), F.col("doc_id").alias(f"{side}_id")) for side in "ab")
+    both = links.join(spread(a), "a").join(spread(b), "b")
+    return both.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity")
+
+
 def drop_near(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, without those for which a near duplicate with a smaller doc_id stays.
 

@@ -139,6 +139,27 @@ def test_a_large_group_of_variants_is_one_class(spark):
     assert max(classes.count(c) for c in set(classes)) >= 0.98 * len(rows)
 
 
+def test_links_are_similar_pairs_and_join_the_classes(spark):
+    rows = texts_with_variants(8, seed=9)
+    rows += [(900 + i, t.upper()) for i, (_, t) in enumerate(rows[:5])]  # the same words
+    docs, sims, at = documents(spark, rows), brute_pairs(rows), {d: i for i, (d, _) in enumerate(rows)}
+    classes = {r.doc_id: r for r in nd.near_classes(docs).collect()}
+    pairs = [(r.a, r.b, r.similarity) for r in nd.near_pairs(docs).collect()]
+    assert len({p[:2] for p in pairs}) == len(pairs) > 0
+    root, ends = {d: classes[d].text_id for d in classes}, []
+    for a, b, s in pairs:
+        assert a < b and s >= nd.SIMILARITY and abs(s - sims[max(at[a], at[b]), min(at[a], at[b])]) < 1e-4
+        ends += [a, b]
+        old, new = root[b], root[a]
+        root = {d: new if r == old else r for d, r in root.items()}
+    assert all((root[a] == root[b]) == (classes[a].class_id == classes[b].class_id) for a in root for b in root)
+    assert {d: r.links for d, r in classes.items()} == {d: ends.count(r.text_id) for d, r in classes.items()}
+    least = {}
+    for d, t in rows:
+        least[t.lower()] = min(d, least.get(t.lower(), d))
+    assert {d: r.text_id for d, r in classes.items()} == {d: least[t.lower()] for d, t in rows}
+
+
 def test_awkward_rows(spark):
     rows = AWKWARD + [(50, "one two three"), (51, "ONE two  three"), (52, "one two four")]
     got = nd.near_classes(documents(spark, rows)).collect()
@@ -148,7 +169,8 @@ def test_awkward_rows(spark):
         by_id.setdefault(r.doc_id, set()).add((r.class_id, r.class_size))
     assert by_id[1] == by_id[2] == by_id[3] == {(1, 3)} and by_id[4] == by_id[5] == {(4, 3)} and by_id[6] == by_id[7] == {(6, 2)}
     assert by_id[None] == {(None, 1)} and by_id[50] == by_id[51] == {(50, 2)} and by_id[52] == {(52, 1)}
-    assert nd.near_classes(documents(spark, [])).count() == 0
+    assert {r.links for r in got if r.doc_id in (None, 1, 4, 50, 52)} == {0} and {r.text_id for r in got if r.doc_id in (50, 51)} == {50}
+    assert nd.near_classes(documents(spark, [])).count() == nd.near_pairs(documents(spark, [])).count() == 0
 
 
 def test_dropping_keeps_one_of_each_class(spark):
