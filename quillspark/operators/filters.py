@@ -1,19 +1,15 @@
-"""Recursive filters, and what goes through a stream's blocks in order: resampling and adaptive downmix, with the state carried from block to block.
+"""Recursive filters, resampling and adaptive downmix of samples as they come, with the state carried from call to call.
 
-A stream has stream, block, samples. Filters alone run in parallel over a stream's blocks in ``recurrence``; here runs of STEP samples are matrix
-products, and the unit of work is a stream.
+Runs of STEP samples are matrix products. Whole streams, with their blocks in parallel, are in ``recurrence`` and ``conversion``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
 
 STEP = 64
 #: Names and edges in hertz of the bands whose balance is measured.
@@ -103,6 +99,14 @@ def listening_eq(rate: int, corner: float = 3000.0, gain_db: float = 6.0) -> Cha
     return Chain([shelf], 1.0 / np.abs(reply).sum())
 
 
+def interpolated(line: np.ndarray, k: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The Catmull-Rom curve through ``line`` at a part ``t`` of the way from its sample k + 1 to the next."""
+    p0, p1, p2, p3 = (line[k + i] for i in range(4))
+    slope_1, slope_2 = 0.5 * (p2 - p0), 0.5 * (p3 - p1)
+    rise = p2 - p1
+    return p1 + t * (slope_1 + t * (3 * rise - 2 * slope_1 - slope_2 + t * (slope_1 + slope_2 - 2 * rise)))
+
+
 class Resampler:
     """Catmull-Rom interpolation, after two low-passes at 0.45 of the new rate where it is lower; state carried over blocks."""
 
@@ -126,39 +130,9 @@ class Resampler:
         at = at[at < len(x)]
         k = np.floor(at).astype(int)
         t = at - k
-        p0, p1, p2, p3 = (line[k + i] for i in range(4))
         self.position += self.ratio * len(at) - len(x)
         self.history = line[-3:]
-        slope_1, slope_2 = 0.5 * (p2 - p0), 0.5 * (p3 - p1)
-        rise = p2 - p1
-        return p1 + t * (slope_1 + t * (3 * rise - 2 * slope_1 - slope_2 + t * (slope_1 + slope_2 - 2 * rise)))
-
-
-def _through(blocks: DataFrame, make: Callable[..., Callable[[np.ndarray], np.ndarray]], *given: str) -> DataFrame:
-    """Each stream's blocks in order through what ``make`` makes of the stream's ``given`` columns; a stream's blocks come batch by batch."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, machine = None, None
-        for frame in frames:
-            out = []
-            for name, x, *rest in zip(frame["stream"], frame["samples"], *[frame[c] for c in given], strict=True):
-                if machine is None or name != stream:
-                    stream, machine = name, make(*rest)
-                out.append(machine(np.asarray(x, np.float64)))
-            yield frame[["stream", "block"]].assign(samples=out)
-
-    kind = dict(blocks.dtypes)["stream"]
-    # all blocks of a stream in one partition, in order, without being held at once
-    return blocks.select("stream", "block", "samples", *given).repartition("stream").sortWithinPartitions("stream", "block").mapInPandas(run, f"stream {kind}, block long, samples array<double>")
-
-
-def resampled(blocks: DataFrame, source_rate: int, target_rate: int) -> DataFrame:
-    return _through(blocks, lambda: Resampler(source_rate, target_rate))
-
-
-def resampled_each(blocks: DataFrame, target_rate: int) -> DataFrame:
-    """``blocks`` (stream, block, sample_rate, samples), each stream from its own rate to ``target_rate``."""
-    return _through(blocks, lambda rate: Resampler(int(rate), target_rate), "sample_rate")
+        return interpolated(line, k, t)
 
 
 def bands_at(rate: int) -> dict[str, list[Biquad]]:
@@ -194,7 +168,3 @@ class Downmixer:
                     ratio = 10 * math.log10(max(self.mean_energy / self.channel_energy, 1e-12))
                     self.first_only = ratio < -10 * math.log10(self.channels) - self.MARGIN_DB
         return out
-
-
-def adaptively_downmixed(blocks: DataFrame, channels: int, rate: int) -> DataFrame:
-    return _through(blocks, lambda: Downmixer(channels, rate))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.sources.listing import listed
 from quillspark.sources.wav_source import read_wav, save_wav
 
-from .filters import resampled_each
+from .conversion import resampled_each
 from .levels import CLIP_LEVEL, CLIP_SHARE
 from .speech import RATE
 
@@ -30,7 +30,7 @@ def refused(path: Column, length: Column) -> Column:
 def import_audio(spark: SparkSession, root: str, folder: str, rate: int = RATE, block_samples: int = 1 << 16) -> DataFrame:
     """path, refusal, target, duration_seconds, peak, clipped for every file below ``root``; what can be read lies in ``folder`` afterwards, mono at ``rate``.
 
-    Files are read by ranges, resampled batch by batch and put in place when all are written: a job that fails leaves ``folder`` as it was. Length and
+    Files are read by ranges, resampled block by block in parallel and put in place when all are written: a job that fails leaves ``folder`` as it was. Length and
     peak are those of the files written. Two files of one name raise. A file without samples is refused as ``undecodable``.
     """
     files = listed(spark, root).select("path", "length")

@@ -46,7 +46,7 @@ class Bank:
     def power(self, n: int) -> np.ndarray:
         """How ``n`` samples move a state, whatever the samples."""
         if self._step is None:
-            self._step = np.array([self.run(np.zeros(1), unit)[1] for unit in np.eye(self.size)]).T
+            self._step = np.array([self.run(np.zeros(1), unit)[1] for unit in np.eye(self.size)]).reshape(self.size, self.size).T
         if n not in self._powers:
             self._powers[n] = np.linalg.matrix_power(self._step, n)
         return self._powers[n]
@@ -60,50 +60,76 @@ class Bank:
         return before, state
 
 
-def states(blocks: DataFrame, bank: Bank, initial: Callable[[float], np.ndarray] | None = None) -> DataFrame:
-    """stream, block, state: the filters' state before each block; a stream begins from rest, or as ``initial`` makes of its first sample."""
+class Banks:
+    """The bank for a value that all blocks of a stream have, such as their rate; each is made once in a task."""
+
+    def __init__(self, make: Callable[[object], Bank]) -> None:
+        self.make, self.made = make, {}
+
+    def __call__(self, value: object) -> Bank:
+        if value not in self.made:
+            self.made[value] = self.make(value)
+        return self.made[value]
+
+
+def _chosen(blocks: DataFrame, bank: Bank | Callable[[object], Bank], by: str | None) -> tuple[DataFrame, Banks, str]:
+    """``blocks`` with the value that chooses a stream's bank as ``by``, and its type."""
+    if by is None:
+        return blocks.select("stream", "block", "samples", F.lit(0).alias("by")), Banks(lambda _: bank), "int"
+    return blocks.select("stream", "block", "samples", F.col(by).alias("by")), Banks(bank), dict(blocks.dtypes)[by]
+
+
+def states(blocks: DataFrame, bank: Bank | Callable[[object], Bank], initial: Callable[[float], np.ndarray] | None = None, by: str | None = None) -> DataFrame:
+    """stream, block, state: the filters' state before each block; a stream begins from rest, or as ``initial`` makes of its first sample.
+
+    With ``by``, a column that is the same in all blocks of a stream, ``bank`` makes the stream's bank of its value.
+    """
     kind = dict(blocks.dtypes)["stream"]
+    blocks, banks, of = _chosen(blocks, bank, by)
 
     def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             x = [np.asarray(s, np.float64) for s in frame["samples"]]
-            offsets = [bank.run(s, np.zeros(bank.size))[1] for s in x]
-            yield frame[["stream", "block"]].assign(n=[len(s) for s in x], first=[s[0] if len(s) else np.nan for s in x], offset=offsets)
+            offsets = [banks(v).run(s, np.zeros(banks(v).size))[1] for s, v in zip(x, frame["by"], strict=True)]
+            yield frame[["stream", "block", "by"]].assign(n=[len(s) for s in x], first=[s[0] if len(s) else np.nan for s in x], offset=offsets)
 
-    rows = blocks.select("stream", "block", "samples").mapInPandas(ends, f"stream {kind}, block long, n long, first double, offset array<double>")
+    rows = blocks.mapInPandas(ends, f"stream {kind}, block long, by {of}, n long, first double, offset array<double>")
     rows = cut(rows.withColumn("part", F.floor(F.col("block") / GROUP)))
 
     def composed(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("block")
         first = frame["first"].dropna()
+        bank = banks(frame["by"].iloc[0])
         end = bank.scan(np.zeros(bank.size), frame["n"], frame["offset"])[1]
-        return pd.DataFrame({"stream": frame["stream"].iloc[:1], "part": frame["part"].iloc[:1], "n": [frame["n"].sum()], "first": [first.iloc[0] if len(first) else np.nan], "offset": [end]})
+        return pd.DataFrame({"stream": frame["stream"].iloc[:1], "by": frame["by"].iloc[:1], "part": frame["part"].iloc[:1], "n": [frame["n"].sum()], "first": [first.iloc[0] if len(first) else np.nan], "offset": [end]})
 
     def begun(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("part")
-        first = frame["first"].dropna()
+        first, bank = frame["first"].dropna(), banks(frame["by"].iloc[0])
         start = initial(float(first.iloc[0])) if initial is not None and len(first) else np.zeros(bank.size)
         return frame[["stream", "part"]].assign(start=bank.scan(start, frame["n"], frame["offset"])[0])
 
     def within(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("block")
-        return frame[["stream", "block"]].assign(state=bank.scan(np.asarray(frame["start"].iloc[0], np.float64), frame["n"], frame["offset"])[0])
+        return frame[["stream", "block"]].assign(state=banks(frame["by"].iloc[0]).scan(np.asarray(frame["start"].iloc[0], np.float64), frame["n"], frame["offset"])[0])
 
-    parts = rows.groupBy("stream", "part").applyInPandas(composed, f"stream {kind}, part long, n long, first double, offset array<double>")
+    parts = rows.groupBy("stream", "part").applyInPandas(composed, f"stream {kind}, by {of}, part long, n long, first double, offset array<double>")
     starts = parts.groupBy("stream").applyInPandas(begun, f"stream {kind}, part long, start array<double>")
     return rows.join(starts, ["stream", "part"]).groupBy("stream", "part").applyInPandas(within, f"stream {kind}, block long, state array<double>")
 
 
-def through(blocks: DataFrame, bank: Bank, initial: Callable[[float], np.ndarray] | None = None) -> DataFrame:
-    """stream, block, outputs: what each chain of ``bank`` makes of each block, as an array of arrays."""
-    kind = dict(blocks.dtypes)["stream"]
+def through(blocks: DataFrame, bank: Bank | Callable[[object], Bank], initial: Callable[[float], np.ndarray] | None = None, by: str | None = None) -> DataFrame:
+    """stream, block, outputs: what each chain of ``bank`` makes of each block, as an array of arrays; and the column ``by``, if given (see ``states``)."""
+    kind, before = dict(blocks.dtypes)["stream"], states(blocks, bank, initial, by)
+    blocks, banks, of = _chosen(blocks, bank, by)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame[["stream", "block"]].assign(outputs=[[list(y) for y in bank.run(np.asarray(x, np.float64), np.asarray(s, np.float64))[0]] for x, s in zip(frame["samples"], frame["state"], strict=True)])
+            given = zip(frame["by"], frame["samples"], frame["state"], strict=True)
+            yield frame[["stream", "block", "by"]].assign(outputs=[[list(y) for y in banks(v).run(np.asarray(x, np.float64), np.asarray(s, np.float64))[0]] for v, x, s in given])
 
-    joined = blocks.select("stream", "block", "samples").join(states(blocks, bank, initial), ["stream", "block"])
-    return joined.mapInPandas(run, f"stream {kind}, block long, outputs array<array<double>>")
+    out = blocks.join(before, ["stream", "block"]).mapInPandas(run, f"stream {kind}, block long, by {of}, outputs array<array<double>>")
+    return out.withColumnRenamed("by", by) if by else out.drop("by")
 
 
 def filtered(blocks: DataFrame, sections: list[Biquad], scale: float = 1.0) -> DataFrame:

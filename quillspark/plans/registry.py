@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import audio as fa
 from quillspark.functions import text as ft
-from quillspark.operators import filters, journals, levels, minutes, planning, recurrence, responses, runs, samples, spectrum, speech, transcript
+from quillspark.operators import conversion, filters, journals, levels, minutes, planning, recurrence, responses, runs, samples, spectrum, speech, transcript
 from quillspark.sources import documents, perflog, wav
 
 from . import adapters as ad
@@ -534,7 +534,7 @@ def sample_band_levels(spark, sf_dir):
 
 
 def sample_upsampled(spark, sf_dir):
-    return _samples_of(filters.resampled(ad.short_blocks(spark, sf_dir), 16000, 32000), 64)
+    return _samples_of(conversion.resampled(ad.short_blocks(spark, sf_dir), 16000, 32000), 64)
 
 
 def sample_muted(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import filters, recurrence, speech, summaries
+from quillspark.operators import conversion, recurrence, speech, summaries
 from quillspark.sources import catalog, documents
 
 from . import adapters as ad
@@ -71,7 +71,7 @@ def model_answers(spark, sf_dir):
 
 
 def sample_downsampled(spark, sf_dir):
-    out = filters.resampled(ad.short_blocks(spark, sf_dir), 32000, 16000)
+    out = conversion.resampled(ad.short_blocks(spark, sf_dir), 32000, 16000)
     rows = out.select("stream", "block", F.posexplode("samples").alias("at", "y"))
     return rows.select("stream", (F.col("block") * 16 + F.col("at")).cast("long").alias("pos"), F.round("y", 9).alias("y"))
 
@@ -86,7 +86,7 @@ def sample_adaptive_downmix(spark, sf_dir):
     rows = ad.levels(spark, sf_dir).select("stream", F.floor((F.col("seq") - 1) / 16).alias("block"), "seq", "value")
     second = F.when(F.col("stream") % 2 == 0, -0.9 * F.col("value")).otherwise(0.5 * F.col("value"))
     blocks = rows.groupBy("stream", "block").agg(F.sort_array(F.collect_list(F.struct("seq", F.array(F.col("value"), second).alias("x")))).alias("x")).select("stream", "block", F.flatten(F.transform("x", lambda v: v["x"])).alias("samples"))
-    out = filters.adaptively_downmixed(blocks, 2, 50).select("stream", "block", F.posexplode("samples").alias("at", "y"))
+    out = conversion.adaptively_downmixed(blocks, 2, 50).select("stream", "block", F.posexplode("samples").alias("at", "y"))
     return out.select("stream", (F.col("block") * 16 + F.col("at")).cast("long").alias("pos"), F.round("y", 9).alias("y"))
 
 

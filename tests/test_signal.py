@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.functions import audio as fa
-from quillspark.operators import filters, levels, recurrence, samples, spectrum, speech
+from quillspark.operators import conversion, filters, levels, recurrence, samples, spectrum, speech
 
 RNG = np.random.default_rng(3)
 
@@ -84,6 +84,54 @@ def test_blocks_in_parallel_are_the_sequential_filter(spark, monkeypatch):
     assert rows.join(recurrence.states(rows, recurrence.Bank([sections])), ["stream", "block"]).count() == 122
 
 
+def in_blocks(spark, streams, lengths, extra=()):
+    """A row for each block of ``lengths`` (the last one ends with the stream) of each of the streams."""
+    rows = []
+    for name, x in streams.items():
+        for i, part in enumerate(np.split(x, np.cumsum(lengths))):
+            rows.append((name, i, *[e[name] for e in extra], part.tolist()))
+    columns = ["stream string", "block long", *["sample_rate int" for _ in extra], "samples array<double>"]
+    return spark.createDataFrame(rows, ", ".join(columns)).repartition(7)
+
+
+def joined(df):
+    found = {}
+    for r in sorted(df.collect(), key=lambda r: (r.stream, r.block)):
+        found.setdefault(r.stream, []).extend(r.samples)
+    return {name: np.array(x) for name, x in found.items()}
+
+
+def test_streams_resampled_in_parallel_are_those_resampled_in_order(spark):
+    lengths = [0, 1, 1, 0, 2, 333, 5, 400]  # empty blocks, and blocks shorter than what the interpolation looks back at
+    rates = {"down": 48000, "up": 8000, "odd": 44100, "same": 16000}
+    streams = {name: RNG.standard_normal(2000) for name in rates}
+    got = joined(conversion.resampled_each(in_blocks(spark, streams, lengths, (rates,)), 16000))
+    for name, rate in rates.items():
+        wanted = filters.Resampler(rate, 16000)(streams[name])
+        assert len(got[name]) == len(wanted) and np.abs(got[name] - wanted).max() < 1e-9
+    for a, b in ((32000, 16000), (16000, 48000)):
+        wanted, one = filters.Resampler(a, b)(streams["up"]), {"up": streams["up"]}
+        assert np.abs(joined(conversion.resampled(in_blocks(spark, one, lengths), a, b))["up"] - wanted).max() < 1e-9
+    nothing = in_blocks(spark, streams, lengths, (rates,)).where("false")
+    assert conversion.resampled_each(nothing, 16000).count() == conversion.resampled(nothing, 16000, 8000).count() == 0
+    null = spark.sql("SELECT 'a' AS stream, 0L AS block, 48000 AS sample_rate, cast(null AS array<double>) AS samples")
+    assert [r.samples for r in conversion.resampled_each(null, 16000).collect()] == [[]]
+
+
+def test_streams_downmixed_in_parallel_are_those_downmixed_in_order(spark):
+    x = RNG.standard_normal(4000) * 0.1
+    pairs = lambda a, b: np.stack([a, b], axis=1).reshape(-1)
+    streams = {"against": pairs(x, -x), "together": pairs(x, x), "quiet first": pairs(np.r_[x[:1500] * 1e-3, x[1500:]], -np.r_[x[:1500] * 1e-3, x[1500:]])}
+    lengths = [0, 7, 1001, 992, 1000, 1000, 1000, 0, 1000]
+    got = joined(conversion.adaptively_downmixed(in_blocks(spark, streams, lengths), 2, 2000))
+    for name, y in streams.items():
+        mix = filters.Downmixer(2, 2000)
+        wanted = np.concatenate([mix(p) for p in np.split(y, np.cumsum(lengths))])
+        assert len(got[name]) == len(wanted) and np.abs(got[name] - wanted).max() < 1e-12
+    assert np.abs(got["against"]).max() > 0 and not np.allclose(got["against"], 0)
+    assert conversion.adaptively_downmixed(in_blocks(spark, streams, lengths).where("false"), 2, 2000).count() == 0
+
+
 def test_downmix_leaves_cancelling_channels():
     x = RNG.standard_normal(16000) * 0.1
     mix = filters.Downmixer(2, 16000)
