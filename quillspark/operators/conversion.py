@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import recurrence
 from .filters import Biquad, Downmixer, interpolated
-from .lineage import cut
+from .lineage import written
 
 #: Samples before a block that the interpolation looks at.
 REACH = 3
@@ -72,7 +72,7 @@ def resampled_each(blocks: DataFrame, target_rate: int) -> DataFrame:
     rates = rates.withColumn("sample_rate", F.when(F.col("sample_rate") > 0, F.col("sample_rate")).otherwise(wrong))
     passed = recurrence.through(rates, lambda rate: low_passes(int(rate), target_rate), by="sample_rate")
     # read twice, for the ends of the blocks and for the blocks
-    return _interpolated(cut(passed.select("stream", "block", "sample_rate", F.element_at("outputs", 1).alias("samples"))), target_rate)
+    return _interpolated(written(passed.select("stream", "block", "sample_rate", F.element_at("outputs", 1).alias("samples"))), target_rate)
 
 
 def resampled(blocks: DataFrame, source_rate: int, target_rate: int) -> DataFrame:
@@ -83,7 +83,7 @@ def resampled(blocks: DataFrame, source_rate: int, target_rate: int) -> DataFram
     if source_rate == target_rate:
         return rows
     if target_rate < source_rate:
-        rows = cut(recurrence.filtered(rows, low_passes(source_rate, target_rate).chains[0]))
+        rows = written(recurrence.filtered(rows, low_passes(source_rate, target_rate).chains[0]))
     return _interpolated(rows.withColumn("sample_rate", F.lit(source_rate).cast("long")), target_rate)
 
 

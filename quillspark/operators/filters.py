@@ -66,18 +66,20 @@ class Biquad:
         return np.where(lag >= 0, reply[np.maximum(lag, 0)], 0.0), np.array([p[0] for p in powers[:STEP]]), powers[STEP], np.array([powers[STEP - 1 - i] @ feed for i in range(STEP)]).T
 
     def process(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The filtered samples and the state after them."""
+        """The filtered samples and the state after them; rows of several axes are filtered side by side, each from its own state."""
         from_input, from_state, move, feed = self._run
-        whole, out = len(x) // STEP * STEP, np.empty(len(x))
+        n = x.shape[-1]
+        whole, out = n // STEP * STEP, np.empty(x.shape)
         for at in range(0, whole, STEP):
-            run = x[at : at + STEP]
-            out[at : at + STEP] = from_input @ run + from_state @ state
-            state = move @ state + feed @ run
-        for i in range(whole, len(x)):
-            y = self.b[0] * x[i] + state[0]
-            state = np.array([self.b[1] * x[i] - self.a[0] * y + state[1], self.b[2] * x[i] - self.a[1] * y])
-            out[i] = y
-        return out, state
+            run = x[..., at : at + STEP]
+            out[..., at : at + STEP] = run @ from_input.T + state @ from_state.T
+            state = state @ move.T + run @ feed.T
+        first, second = state[..., 0], state[..., 1]
+        for i in range(whole, n):
+            y = self.b[0] * x[..., i] + first
+            first, second = self.b[1] * x[..., i] - self.a[0] * y + second, self.b[2] * x[..., i] - self.a[1] * y
+            out[..., i] = y
+        return out, np.stack([first, second], axis=-1)
 
 
 class Chain:

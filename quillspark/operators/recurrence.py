@@ -5,7 +5,8 @@ length alone, and an offset, which is the state that the block leaves behind whe
 follows from a scan over one small row a block; then all blocks run from their states, in any order, on any task. The scan itself goes in two steps,
 within groups of GROUP blocks and over the groups, so a stream of any length is the work of many tasks, and none holds more than GROUP small rows.
 
-A block's samples are filtered twice, once for its offset and once for its output. Streams have stream, block (ascending) and samples.
+A block's samples are filtered twice, once for its offset and once for its output. Blocks of one length are filtered side by side, and groups come one after
+another in a task, in order, so short streams cost rows and not calls. Streams have stream, block (ascending) and samples.
 """
 
 from __future__ import annotations
@@ -13,14 +14,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import Biquad, listening_eq
-from .lineage import cut
+from .lineage import written
 
 GROUP = 1024
+#: Samples that are filtered side by side.
+HELD = 1 << 20
 
 
 class Bank:
@@ -33,12 +37,12 @@ class Bank:
         self._step: np.ndarray | None = None
 
     def run(self, x: np.ndarray, state: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """The output of each chain and the state after the samples."""
+        """The output of each chain and the state after the samples, or after each row of them."""
         state, out, at = state.copy(), [], 0
         for chain in self.chains:
             y = x
             for section in chain:
-                y, state[at : at + 2] = section.process(y, state[at : at + 2])
+                y, state[..., at : at + 2] = section.process(y, state[..., at : at + 2])
                 at += 2
             out.append(y * self.scale)
         return out, state
@@ -51,14 +55,6 @@ class Bank:
             self._powers[n] = np.linalg.matrix_power(self._step, n)
         return self._powers[n]
 
-    def scan(self, state: np.ndarray, lengths, offsets) -> tuple[list[np.ndarray], np.ndarray]:
-        """The state before each of the blocks, and after them all."""
-        before = []
-        for n, offset in zip(lengths, offsets, strict=True):
-            before.append(state)
-            state = self.power(int(n)) @ state + np.asarray(offset, np.float64)
-        return before, state
-
 
 class Banks:
     """The bank for a value that all blocks of a stream have, such as their rate; each is made once in a task."""
@@ -72,11 +68,33 @@ class Banks:
         return self.made[value]
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all arrays of ``column`` and the length of each; null is empty."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+
+
+def alike(lengths: np.ndarray, by: list) -> Iterator[tuple[np.ndarray, int, object]]:
+    """Rows of one length and one value of ``by``, HELD samples or one row at most at once."""
+    rows: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(lengths.tolist(), by, strict=True)):
+        rows.setdefault(key, []).append(i)
+    for (n, value), of in rows.items():
+        most = max(1, HELD // max(n, 1))
+        for at in range(0, len(of), most):
+            yield np.array(of[at : at + most]), n, value
+
+
 def _chosen(blocks: DataFrame, bank: Bank | Callable[[object], Bank], by: str | None) -> tuple[DataFrame, Banks, str]:
     """``blocks`` with the value that chooses a stream's bank as ``by``, and its type."""
+    samples = F.col("samples").cast("array<double>").alias("samples")
     if by is None:
-        return blocks.select("stream", "block", "samples", F.lit(0).alias("by")), Banks(lambda _: bank), "int"
-    return blocks.select("stream", "block", "samples", F.col(by).alias("by")), Banks(bank), dict(blocks.dtypes)[by]
+        return blocks.select("stream", "block", samples, F.lit(0).alias("by")), Banks(lambda _: bank), "int"
+    return blocks.select("stream", "block", samples, F.col(by).alias("by")), Banks(bank), dict(blocks.dtypes)[by]
+
+
+def _in_order(rows: DataFrame, *keys: str, then: str) -> DataFrame:
+    """The rows of each key one after another in one task, in the order of ``then``."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, then)
 
 
 def states(blocks: DataFrame, bank: Bank | Callable[[object], Bank], initial: Callable[[float], np.ndarray] | None = None, by: str | None = None) -> DataFrame:
@@ -86,36 +104,75 @@ def states(blocks: DataFrame, bank: Bank | Callable[[object], Bank], initial: Ca
     """
     kind = dict(blocks.dtypes)["stream"]
     blocks, banks, of = _chosen(blocks, bank, by)
-
-    def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            x = [np.asarray(s, np.float64) for s in frame["samples"]]
-            offsets = [banks(v).run(s, np.zeros(banks(v).size))[1] for s, v in zip(x, frame["by"], strict=True)]
-            yield frame[["stream", "block", "by"]].assign(n=[len(s) for s in x], first=[s[0] if len(s) else np.nan for s in x], offset=offsets)
-
-    rows = blocks.mapInPandas(ends, f"stream {kind}, block long, by {of}, n long, first double, offset array<double>")
-    rows = cut(rows.withColumn("part", F.floor(F.col("block") / GROUP)))
-
-    def composed(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("block")
-        first = frame["first"].dropna()
-        bank = banks(frame["by"].iloc[0])
-        end = bank.scan(np.zeros(bank.size), frame["n"], frame["offset"])[1]
-        return pd.DataFrame({"stream": frame["stream"].iloc[:1], "by": frame["by"].iloc[:1], "part": frame["part"].iloc[:1], "n": [frame["n"].sum()], "first": [first.iloc[0] if len(first) else np.nan], "offset": [end]})
-
-    def begun(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("part")
-        first, bank = frame["first"].dropna(), banks(frame["by"].iloc[0])
-        start = initial(float(first.iloc[0])) if initial is not None and len(first) else np.zeros(bank.size)
-        return frame[["stream", "part"]].assign(start=bank.scan(start, frame["n"], frame["offset"])[0])
-
-    def within(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("block")
-        return frame[["stream", "block"]].assign(state=banks(frame["by"].iloc[0]).scan(np.asarray(frame["start"].iloc[0], np.float64), frame["n"], frame["offset"])[0])
-
-    parts = rows.groupBy("stream", "part").applyInPandas(composed, f"stream {kind}, by {of}, part long, n long, first double, offset array<double>")
-    starts = parts.groupBy("stream").applyInPandas(begun, f"stream {kind}, part long, start array<double>")
-    return rows.join(starts, ["stream", "part"]).groupBy("stream", "part").applyInPandas(within, f"stream {kind}, block long, state array<double>")
+    states_of = pa.list_(pa.float64())
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, lengths = flat(batch.column("samples"))
+            starts = np.cumsum(lengths) - lengths
+            first, offsets = np.full(len(lengths), np.nan), [None] * len(lengths)
+            first[lengths > 0] = x[starts[lengths > 0]]
+            for rows, n, value in alike(lengths, batch.column("by").to_pylist()):
+                bank = banks(value)
+                end = bank.run(x[starts[rows][:, None] + np.arange(n)], np.zeros((len(rows), bank.size)))[1]
+                for i, offset in zip(rows, end, strict=True):
+                    offsets[i] = offset
+            made = [pa.array(lengths, pa.int64()), pa.array(first, from_pandas=True), pa.array(offsets, states_of)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("stream", "block", "by")], *made], ["stream", "block", "by", "n", "first", "offset"])
+
+    rows = blocks.mapInArrow(ends, f"stream {kind}, block long, by {of}, n long, first double, offset array<double>")
+    rows = written(rows.withColumn("part", F.floor(F.col("block") / GROUP)))
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the blocks of each part do to a state of rest, its length and first sample."""
+        key = state = None
+        names = ["stream", "by", "part", "n", "first", "offset"]
+        held: list = []
+
+        def put(kinds: list[pa.DataType]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+        kinds = None
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in names[:-1]] + [states_of]
+            for stream, value, part, n, first, offset in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                if key != (stream, part):
+                    if len(held) >= 4096:
+                        yield put(kinds)
+                        held = []
+                    key, bank = (stream, part), banks(value)
+                    state = np.zeros(bank.size)
+                    held.append([stream, value, part, 0, None, state])
+                last = held[-1]
+                state = bank.power(n) @ state + np.array(offset, np.float64)
+                last[3], last[4], last[5] = last[3] + n, first if last[4] is None else last[4], state
+        if held:
+            yield put(kinds)
+
+    def passed(names: list[str], at: str, put: str, start: Callable[[Bank, object], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """A scan that tells each row the state before it; ``start`` is that of the first row of a key (the columns ``names``), made of the column ``begin``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key = state = bank = None
+            for batch in batches:
+                before, keys = [], zip(*[batch.column(c).to_pylist() for c in names], strict=True)
+                for this, value, n, offset, begin in zip(keys, *[batch.column(c).to_pylist() for c in ("by", "n", "offset", "begin")], strict=True):
+                    if key != this:
+                        key, bank = this, banks(value)
+                        state = start(bank, begin)
+                    before.append(state)
+                    state = bank.power(n) @ state + np.array(offset, np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column("stream"), batch.column(at), pa.array(before, states_of)], ["stream", at, put])
+
+        return run
+
+    parts = _in_order(rows, "stream", "part", then="block").mapInArrow(composed, f"stream {kind}, by {of}, part long, n long, first double, offset array<double>")
+    whole = Window.partitionBy("stream").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = parts.withColumn("begin", F.first("first", ignorenulls=True).over(whole))
+    begun = passed(["stream"], "part", "begin", lambda bank, first: np.zeros(bank.size) if initial is None or first is None else np.asarray(initial(first), np.float64))
+    starts = _in_order(parts, "stream", then="part").mapInArrow(begun, f"stream {kind}, part long, begin array<double>")
+    within = passed(["stream", "part"], "block", "state", lambda _, begin: np.array(begin, np.float64))
+    return _in_order(rows.join(starts, ["stream", "part"]), "stream", "part", then="block").mapInArrow(within, f"stream {kind}, block long, state array<double>")
 
 
 def through(blocks: DataFrame, bank: Bank | Callable[[object], Bank], initial: Callable[[float], np.ndarray] | None = None, by: str | None = None) -> DataFrame:
@@ -123,12 +180,19 @@ def through(blocks: DataFrame, bank: Bank | Callable[[object], Bank], initial: C
     kind, before = dict(blocks.dtypes)["stream"], states(blocks, bank, initial, by)
     blocks, banks, of = _chosen(blocks, bank, by)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            given = zip(frame["by"], frame["samples"], frame["state"], strict=True)
-            yield frame[["stream", "block", "by"]].assign(outputs=[[list(y) for y in banks(v).run(np.asarray(x, np.float64), np.asarray(s, np.float64))[0]] for v, x, s in given])
-
-    out = blocks.join(before, ["stream", "block"]).mapInPandas(run, f"stream {kind}, block long, by {of}, outputs array<array<double>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, lengths = flat(batch.column("samples"))
+            starts, state = np.cumsum(lengths) - lengths, batch.column("state")
+            for rows, n, value in alike(lengths, batch.column("by").to_pylist()):
+                bank, few = banks(value), batch.select(["stream", "block", "by"]).take(pa.array(rows))
+                given = flat(state.take(pa.array(rows)))[0].reshape(len(rows), bank.size)
+                made = np.stack(bank.run(x[starts[rows][:, None] + np.arange(n)], given)[0], axis=1)
+                chains = made.shape[1]
+                inner = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) * chains + 1) * n, pa.int32()), pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays([*few.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * chains, pa.int32()), inner)], ["stream", "block", "by", "outputs"])
+
+    out = blocks.join(before, ["stream", "block"]).mapInArrow(run, f"stream {kind}, block long, by {of}, outputs array<array<double>>")
     return out.withColumnRenamed("by", by) if by else out.drop("by")
 
 

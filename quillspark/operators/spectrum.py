@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import ACTIVE_DB, FRAME_MS, bands_at
-from .recurrence import Bank, states
+from .recurrence import Bank, alike, flat, states
 
 LEAST_SECONDS = 0.5
 
@@ -24,20 +24,26 @@ def frame_energies(blocks: DataFrame, rate: int) -> DataFrame:
     bank, size = Bank(list(bands_at(rate).values())), max(1, rate * FRAME_MS // 1000)
     kind = dict(blocks.dtypes)["stream"]
 
-    def energies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples():
-                x = np.asarray(row.samples, np.float64)
-                if len(x):
-                    first = row.start_sample // size
-                    at = np.r_[0, np.arange((first + 1) * size - row.start_sample, len(x), size)]
-                    sums = [np.add.reduceat(y * y, at) for y in (x, *bank.run(x, np.asarray(row.state, np.float64))[0])]
-                    out.append(pd.DataFrame({"stream": row.stream, "frame": first + np.arange(len(at)), "n": np.diff(np.r_[at, len(x)]), "energy": sums[0], "bands": list(np.array(sums[1:]).T)}))
-            yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("stream", "frame", "n", "energy", "bands")})
-
-    joined = blocks.select("stream", "block", "start_sample", "samples").join(states(blocks, bank), ["stream", "block"])
-    rows = joined.mapInPandas(energies, f"stream {kind}, frame long, n long, energy double, bands array<double>")
+    def energies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            samples, lengths = flat(batch.column("samples"))
+            starts, before = np.cumsum(lengths) - lengths, batch.column("start_sample").to_numpy()
+            for rows, n, _ in alike(lengths, [0] * len(lengths)):
+                if not n:
+                    continue
+                x = samples[starts[rows][:, None] + np.arange(n)]
+                state = flat(batch.column("state").take(pa.array(rows)))[0].reshape(len(rows), bank.size)
+                # the rows one after another: a frame begins with each row and wherever a multiple of ``size`` is passed
+                at = before[rows][:, None] + np.arange(n)
+                frame = at // size
+                begins = np.flatnonzero(np.c_[np.ones(len(rows), bool), frame[:, 1:] != frame[:, :-1]].ravel())
+                sums = [np.add.reduceat((y * y).ravel(), begins) for y in (x, *bank.run(x, state)[0])]
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(begins) + 1) * (len(sums) - 1), pa.int32()), pa.array(np.stack(sums[1:], axis=1).ravel()))
+                made = [pa.array(frame.ravel()[begins], pa.int64()), pa.array(np.diff(np.r_[begins, x.size]), pa.int64()), pa.array(sums[0]), bands]
+                yield pa.RecordBatch.from_arrays([batch.column("stream").take(pa.array(rows[begins // n])), *made], ["stream", "frame", "n", "energy", "bands"])
+
+    joined = blocks.select("stream", "block", F.col("start_sample").cast("long").alias("start_sample"), F.col("samples").cast("array<double>").alias("samples")).join(states(blocks, bank), ["stream", "block"])
+    rows = joined.mapInArrow(energies, f"stream {kind}, frame long, n long, energy double, bands array<double>")
     bands = F.array(*[F.sum(F.element_at("bands", i + 1)) for i in range(len(bank.chains))])
     return rows.groupBy("stream", "frame").agg(F.sum("n").alias("n"), F.sum("energy").alias("energy"), bands.alias("bands"))
 

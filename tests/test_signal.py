@@ -269,3 +269,20 @@ def test_spans_meet_the_blocks_they_touch(spark):
     wanted = spark.createDataFrame([(1, 0, 2500, 6200), (1, 1, 0, 200), (1, 2, 9000, 20000), (1, 3, 5000, 4000), (2, 4, 0, 9000), (1, 5, -500, 1000)], "stream long, span long, start_ms long, end_ms long")
     got = {r.span: r.samples for r in samples.spans(blocks, wanted, 10, 30).collect()}
     assert got == {0: x[25:62], 1: x[:2], 2: x[90:], 5: x[:10]}
+
+
+def test_many_short_streams_cost_rows_and_not_calls(spark, monkeypatch):
+    """Streams of a few unequal blocks, one of them empty, a stream whose first block is empty, another longer than a group: all in order, without a call for each stream."""
+    monkeypatch.setattr(recurrence, "GROUP", 3)
+    monkeypatch.setattr(recurrence, "HELD", 50)
+    streams = {s: [RNG.standard_normal(n) for n in ([7, 0, 3 + s % 5] if s % 2 else [0, 64 + s, 5, 1, 9, 2, 70])] for s in range(60)}
+    rows = spark.createDataFrame([(s, b, x.tolist()) for s, parts in streams.items() for b, x in enumerate(parts)], "stream long, block long, samples array<double>").repartition(3)
+    section = filters.Biquad.low_pass(16000, 1000)
+    found = recurrence.filtered(rows, [section])
+    assert "Groups" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.stream, r.block): r.samples for r in found.collect()}
+    for s, parts in streams.items():
+        assert [len(got[s, b]) for b in range(len(parts))] == [len(x) for x in parts]
+        assert np.abs(np.concatenate([got[s, b] for b in range(len(parts))]) - loop(section, np.concatenate(parts))).max() < 1e-12
+    first = {(r.stream, r.block): r.samples for r in recurrence.smoothed(rows, 0.1).collect()}
+    assert all(abs(first[s, s % 2 == 0][0] - np.concatenate(parts)[0]) < 1e-12 for s, parts in streams.items())
