@@ -28,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: rows without an order, each computed once (a checkpoint counts them first and computes them again to keep them)."""
+    """``df`` as a table in the shared folder: columns of it can be read alone, and the tasks that read it go by its size."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

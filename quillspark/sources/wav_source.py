@@ -1,7 +1,7 @@
 """WAV files as a Spark data source: read by ranges of bytes, written file by file and put in place when the whole job commits.
 
 Reading plans tasks from the files' sizes alone: a long file is split into ranges, short ones share a task, and a task reads the chunks' heads and then only the blocks that begin in
-its range, one at a time. Columns that the schema leaves out are not decoded. Writing goes to a staging folder inside the target: each task streams
+its range, HELD bytes at a time. A task opens some FILES files at most, and there are no more than some TASKS tasks while they are shorter than SPLIT_BYTES. Columns that the schema leaves out are not decoded. Writing goes to a staging folder inside the target: each task streams
 its blocks behind an unfinished head, which it mends at the end of the file; the driver moves the files when all tasks are done. A task that fails or runs twice, and a
 job that is killed, leave what was there before; what they staged is never read and goes with the next commit or abort of that job.
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from pyspark.sql.types import StructType
 from .wav import BLOCK_SAMPLES, EXTENSIBLE, FLOAT, PCM, SCHEMA, decode
 
 SPLIT_BYTES = 64 << 20
+FILES, TASKS, HELD = 512, 1024, 1 << 20
 STAGING = ".staging-"
 LONGEST = (1 << 32) - 1 - 80
 NOT_READ = 0xFFFFFFFF
@@ -89,23 +91,34 @@ class WavReader(DataSourceReader):
         info = where.get_file_info(top)
         files = [info] if info.is_file else where.get_file_info(fs.FileSelector(top, recursive=True))
         wavs = sorted((f.path, f.size) for f in files if f.is_file and f.path.lower().endswith(".wav") and STAGING not in f.path)
-        tasks, room = [Ranges([])], self.split
+        split = max(self.split, min(SPLIT_BYTES, sum(size for _, size in wavs) // TASKS))
+        tasks, room = [Ranges([])], split
         for path, size in wavs:
-            for at in range(0, size, self.split):
-                some = Range(path, size, at, min(size, at + self.split))
-                if some.end - at > room:
-                    tasks, room = [*tasks, Ranges([])], self.split
+            for at in range(0, size, split):
+                some = Range(path, size, at, min(size, at + split))
+                if some.end - at > room and tasks[-1].ranges:
+                    tasks.append(Ranges([]))
+                    room = split
                 tasks[-1].ranges.append(some)
-                room -= some.end - at
+                # opening a file costs too
+                room -= some.end - at + split // FILES
         return tasks
 
     def read(self, task: Ranges) -> Iterator[pa.RecordBatch]:
+        kind, where = to_arrow_schema(self.schema), opened(self.path)[0]
+        rows, held = [], 0
+        put = lambda: pa.RecordBatch.from_pydict({c: [row[c] for row in rows] for c in kind.names}, kind)
         for part in task.ranges:
-            yield from self._blocks(part)
-
-    def _blocks(self, part: Range) -> Iterator[pa.RecordBatch]:
-        kind = to_arrow_schema(self.schema)
-        where, _ = opened(self.path)
+            for row in self._blocks(where, part, "samples" in kind.names):
+                rows.append(row)
+                held += 256 + (row["samples"].nbytes if "samples" in row else 0)
+                if held >= HELD:
+                    yield put()
+                    rows, held = [], 0
+        if rows:
+            yield put()
+
+    def _blocks(self, where: fs.FileSystem, part: Range, with_samples: bool) -> Iterator[dict]:
         with where.open_input_file(part.path) as file:
             try:
                 head = head_of(file, part.length)
@@ -117,11 +130,11 @@ class WavReader(DataSourceReader):
             for i in range(due(part.first), min(due(part.end), -(-frames // self.block))):
                 at = i * self.block
                 row = {"path": part.path, "sample_rate": head["rate"], "channels": head["channels"], "block": i, "start_sample": at}
-                if "samples" in kind.names:
+                if with_samples:
                     n = min(self.block, frames - at)
                     file.seek(head["start"] + at * width)
                     row["samples"] = decode(file.read(n * width), head["bits"], head["is_float"]).reshape(n, head["channels"]).mean(axis=1).astype(np.float32)
-                yield pa.RecordBatch.from_pydict({c: [row[c]] for c in kind.names}, kind)
+                yield row
 
 
 @dataclass
@@ -147,13 +160,15 @@ class WavWriter(DataSourceArrowWriter):
                 done.append((staged, f"{top}/{name}"))
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["path"] != name or out is None:
+            samples = batch.column("samples")
+            for i, (path, its_rate) in enumerate(zip(batch.column("path").to_pylist(), batch.column("sample_rate").to_pylist(), strict=True)):
+                if path != name or out is None:
                     close()
-                    name, count, rate, staged = row["path"], 0, row["sample_rate"], f"{top}/{self.staging}/{uuid.uuid4().hex}"
+                    name, count, rate, staged = path, 0, its_rate, f"{top}/{self.staging}/{uuid.uuid4().hex}"
                     out = where.open_output_stream(staged)
                     out.write(wav_head(0, rate))
-                body = np.rint(np.clip(np.asarray(row["samples"], np.float64), -1.0, 1.0) * 32767).astype("<i2").tobytes()
+                x = samples[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                body = np.rint(np.clip(x, -1.0, 1.0) * 32767).astype("<i2").tobytes()
                 out.write(body)
                 count += len(body)
         close()
@@ -163,13 +178,14 @@ class WavWriter(DataSourceArrowWriter):
         where, top = opened(self.path)
         moves = [m for message in messages if message for m in message.files]
         targets = [final for _, final in moves]
-        twice = {t for t in targets if targets.count(t) > 1} if len(set(targets)) < len(targets) else set()
+        twice = {t for t, n in Counter(targets).items() if n > 1}
         there = [] if self.overwrite else [t for t in targets if where.get_file_info(t).type != fs.FileType.NotFound]
         if twice or there:
             self.abort(messages)
             raise ValueError(f"files that two tasks wrote: {sorted(twice)[:5]}, files that exist: {there[:5]}")
+        for folder in {final.rsplit("/", 1)[0] for final in targets}:
+            where.create_dir(folder, recursive=True)
         for staged, final in moves:
-            where.create_dir(final.rsplit("/", 1)[0], recursive=True)
             where.move(staged, final)
         where.delete_dir(f"{top}/{self.staging}")
 

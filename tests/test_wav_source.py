@@ -127,3 +127,14 @@ def test_folders_with_a_pending_journal(spark, tmp_path):
     assert {(r.folder, r.files, r.has_journal, r.has_metadata, tuple(r.audio)) for r in folders.collect()} >= {("pending", 2, True, False, ("mic.wav",)), ("plain", 1, False, True, ())}
     states = journals.journal_states(documents.read_journals(spark, str(tmp_path)))
     assert sorted(r.folder for r in imports.pending_meetings(folders, states).collect()) == ["pending", "torn"]
+
+
+def test_many_short_files_are_dealt_over_tasks_of_bounded_number(spark, tmp_path):
+    """One task of the default size would open them all; tasks of a few bytes would be as many as the files."""
+    for i in range(1500):
+        (tmp_path / f"s{i}.wav").write_bytes(wav.encode_wav(tone(20), 16000))
+    whole, split = wav_source.read_wav(spark, str(tmp_path)), wav_source.read_wav(spark, str(tmp_path), split_bytes=80)
+    assert 1 < whole.rdd.getNumPartitions() <= 4 and split.rdd.getNumPartitions() <= 1.5 * wav_source.TASKS
+    reader = wav_source.WavReader(whole.schema, {"path": str(tmp_path)})
+    assert [sum(b.num_rows for b in reader.read(p)) for p in reader.partitions()][0] > 300 and all(len(list(reader.read(p))) == 1 for p in reader.partitions())
+    assert whole.agg(F.count_distinct("path")).first()[0] == 1500 and whole.agg(F.sum(F.size("samples"))).first()[0] == 30000
