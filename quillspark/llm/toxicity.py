@@ -38,6 +38,8 @@ LEAST_DOCS = 8
 #: Weight of a toxic document: the classes' ratio to this power. With the decay, chosen on a fold of the training rows.
 RARE_POWER = 1.25
 REMEMBERED = 400_000
+#: Words that a step of fitting holds at once.
+PIECE = 1 << 19
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -59,35 +61,52 @@ class Model:
 
 
 def noisy_or_fit(words: np.ndarray, sentence_of: np.ndarray, doc_of: np.ndarray, toxic: np.ndarray, rounds: int = 250, rate: float = 0.15, decay: float = 1e-3) -> Model:
-    """Fits by Adam on all documents: ``words`` are features, each of sentence ``sentence_of``, that of ``doc_of``."""
+    """Fits by Adam on all documents: ``words`` are features, each of sentence ``sentence_of``, that of ``doc_of``, both ascending."""
     weights = np.zeros(1 << BITS)
     n_docs = len(toxic)
     if n_docs == 0 or toxic.min() == toxic.max():
         return Model(weights, -4.0)
     # each step drops what it no longer needs: this runs in the driver
-    pairs = words.astype(np.int64) * n_docs
-    pairs += doc_of[sentence_of]
-    pairs.sort()
-    first_of_pair = np.r_[True, pairs[1:] != pairs[:-1]] if len(pairs) else np.zeros(0, bool)
-    docs_with = np.bincount(pairs[first_of_pair] // n_docs, minlength=1 << BITS)
-    del pairs, first_of_pair
+    docs_with = np.zeros(1 << BITS, np.int64)
+    at = 0
+    while at < len(words):
+        # whole documents, PIECE words or one document
+        end = min(len(words), at + PIECE)
+        last = doc_of[sentence_of[end - 1]]
+        begin = int(np.searchsorted(sentence_of, np.searchsorted(doc_of, last)))
+        end = begin if end < len(words) and begin > at else int(np.searchsorted(sentence_of, np.searchsorted(doc_of, last, "right")))
+        pairs = words[at:end].astype(np.int64) * n_docs
+        pairs += doc_of[sentence_of[at:end]]
+        pairs.sort()
+        docs_with += np.bincount(pairs[np.r_[True, pairs[1:] != pairs[:-1]]] // n_docs, minlength=1 << BITS)
+        at = end
     known = np.flatnonzero(docs_with >= LEAST_DOCS)
     number = np.full(1 << BITS, -1, np.int32)
     number[known] = np.arange(len(known))
-    column = number[words]
-    use = column >= 0
-    column, row, n = column[use], sentence_of[use], len(known)
-    del use
+    # words lie in the order of their sentences, so pieces of them are added up one by one: no step holds numbers for all words at once
+    kept, rows, n = [], [], len(known)
+    for at in range(0, len(words), PIECE):
+        column = number[words[at : at + PIECE]]
+        use = column >= 0
+        kept.append(column[use])
+        rows.append(sentence_of[at : at + PIECE][use])
+    del words, sentence_of
+    pieces = [(c, r) for c, r in zip(kept, rows, strict=True) if len(c)]
     theta = np.r_[np.zeros(n), -4.0]
     # the rarer toxic documents count more
     rare = ((toxic == 0).sum() / (toxic == 1).sum()) ** RARE_POWER
     first, second = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, rounds + 1):
-        z = theta[n] + np.bincount(row, theta[column], minlength=len(doc_of))
+        z, grad = np.full(len(doc_of), theta[n]), np.zeros(n + 1)
+        for column, row in pieces:
+            z[row[0] : row[-1] + 1] += np.bincount(row - row[0], theta[column])
         clean = np.exp(-np.bincount(doc_of, np.logaddexp(0, z), minlength=n_docs))
         pull = np.where(toxic == 1, -rare * clean / np.maximum(1 - clean, 1e-9), 1.0)
         slope = pull[doc_of] / (1 + np.exp(-z))
-        grad = np.r_[np.bincount(column, slope[row], minlength=n), slope.sum()] / n_docs
+        for column, row in pieces:
+            grad[:n] += np.bincount(column, slope[row], minlength=n)
+        grad[n] = slope.sum()
+        grad /= n_docs
         grad[:n] += decay * theta[:n]
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -124,7 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words:
     per_sentence = np.diff(inner.offsets.to_numpy())
     doc_of = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)
     sentence_of = np.repeat(np.arange(len(per_sentence), dtype=np.int32), per_sentence)
-    return noisy_or_fit(inner.flatten().to_numpy(), sentence_of, doc_of, toxic_of)
+    model = noisy_or_fit(inner.flatten().to_numpy(), sentence_of, doc_of, toxic_of)
+    del sentences, inner, sentence_of, doc_of
+    pa.default_memory_pool().release_unused()  # the driver lives on
+    return model
 
 
 class Scorer(dict):

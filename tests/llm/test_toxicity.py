@@ -71,3 +71,22 @@ def test_scores_are_those_of_a_loop_over_sentences():
             z = model.bias + sum(model.weights[b] for w in set(re.findall(r"[^\W\d_]+", sentence)) for b in tx.buckets(w))
             clean *= 1 - 1 / (1 + math.exp(-z))
         assert abs(tx.Scorer(model).document(text) - (1 - clean)) < 1e-12
+
+
+def test_fitting_holds_pieces_of_the_words_and_not_all_of_them_at_once(monkeypatch):
+    """Beside its input the fit keeps the words' columns and sentences, 8 bytes a word, and what a piece needs; pieces of any length give one model."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    docs, sentences, n = 400, 2000, 2_000_000
+    sentence_of, doc_of = np.sort(rng.integers(0, sentences, n)).astype(np.int32), np.repeat(np.arange(docs, dtype=np.int32), sentences // docs)
+    words, toxic = (rng.zipf(1.4, n) % 5000).astype(np.int32), (rng.random(docs) < 0.2).astype(np.int32)
+    monkeypatch.setattr(tx, "PIECE", 1 << 16)
+    tracemalloc.start()
+    model = tx.noisy_or_fit(words, sentence_of, doc_of, toxic, rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n + (14 << 20)
+    monkeypatch.setattr(tx, "PIECE", 777_777)
+    other = tx.noisy_or_fit(words, sentence_of, doc_of, toxic, rounds=3)
+    assert np.abs(other.weights - model.weights).max() < 1e-9 and abs(other.bias - model.bias) < 1e-9 and np.abs(model.weights).max() > 0.1
