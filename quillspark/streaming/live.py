@@ -27,6 +27,19 @@ def _ms(at) -> int:
     return int(pd.Timestamp(at).value // 1_000_000)
 
 
+def _heard(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a watermark, without the heartbeats: they have moved it, and all of them would be one key of one task.
+
+    The second condition never holds; naming ``ts`` keeps the filter behind the watermark, where an optimiser would move one on other columns before it.
+    """
+    return rows.where(F.col(column).isNotNull() | (F.col("ts") < F.lit("0001-01-01").cast("timestamp")))
+
+
+def _came(rows: Iterator[pd.DataFrame], column: str) -> pd.DataFrame:
+    """The rows of all batches but heartbeats, which are dropped batch by batch."""
+    return pd.concat([batch.dropna(subset=[column]) for batch in rows])
+
+
 class _Timed(StatefulProcessor):
     """One timer for each key."""
 
@@ -125,7 +138,7 @@ class IdleChunks(_Timed):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         machine, seq = self._machine()
-        frames = pd.concat(list(rows)).dropna(subset=["frame"]).sort_values("frame")
+        frames = _came(rows, "frame").sort_values("frame")
         found = [c for frame, db in zip(frames["frame"], frames["db"], strict=True) for c in machine.placed(int(frame), float(db), self.idle)]
         if len(frames):
             self.rearm(timerValues, _ms(frames["ts"].iloc[-1]), self.idle * FRAME_MS + 1)
@@ -141,7 +154,7 @@ class IdleChunks(_Timed):
 def idle_chunks(frames: DataFrame, pauses: Pauses = Pauses(), idle: int = 150, delay: str = JITTER, clock: str = "EventTime") -> DataFrame:
     """Chunks of a streaming ``frames`` (meeting_id, source, frame, db, ts), as ``speech.speech_chunks(frames, pauses, idle)`` gives them for a batch."""
     rows = frames.select("meeting_id", "source", "frame", "db", "ts").withWatermark("ts", delay)
-    return rows.groupBy("meeting_id", "source").transformWithStateInPandas(IdleChunks(pauses, idle, clock), CHUNK, "Append", clock)
+    return _heard(rows, "frame").groupBy("meeting_id", "source").transformWithStateInPandas(IdleChunks(pauses, idle, clock), CHUNK, "Append", clock)
 
 
 class Timeline(StatefulProcessor):
@@ -178,7 +191,7 @@ class Timeline(StatefulProcessor):
         return {k[0]: v[0] for k, v in self.held.iterator()}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows)).dropna(subset=["tick"])
+        came = _came(rows, "tick")
         if not len(came):
             return
         first = self.next.get()[0] if self.next.exists() else int(came["tick"].min())
@@ -202,7 +215,7 @@ def live_timeline(ticks: DataFrame, tick_ms: int = TICK_MS, delay: str = JITTER)
     are added up. A heartbeat (null ``tick``) moves the watermark, and so the end of a stream out of its buffer. ``ts`` lies in the tick; ticks count from the epoch.
     """
     rows = ticks.select("stream", "tick", "value", "ts").withWatermark("ts", delay)
-    return rows.groupBy("stream").transformWithStateInPandas(Timeline(tick_ms), "stream long, tick long, value double, inserted boolean", "Append", "EventTime")
+    return _heard(rows, "tick").groupBy("stream").transformWithStateInPandas(Timeline(tick_ms), "stream long, tick long, value double, inserted boolean", "Append", "EventTime")
 
 
 class LiveDrift(StatefulProcessor):

@@ -98,3 +98,26 @@ def test_status_of_a_running_recording(spark, tmp_path):
         assert status.snapshot() == live.Status(40.0, 3.0, 2.0, 1, 1280)
     finally:
         spark.streams.removeListener(status)
+
+
+def test_heartbeats_are_not_held():
+    """Batches of heartbeats are let go as they come, however many there are."""
+    import weakref
+
+    import pandas as pd
+
+    alive, most = weakref.WeakSet(), []
+
+    class Batch(pd.DataFrame):
+        __hash__ = object.__hash__
+        __eq__ = object.__eq__
+
+    def batches():
+        for i in range(20):
+            batch = Batch({"tick": [None if i != 7 else 3.0] * 5})
+            alive.add(batch)
+            most.append(len(alive))
+            yield batch
+            del batch
+
+    assert len(live._came(batches(), "tick")) == 5 and max(most) <= 3
